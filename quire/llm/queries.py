@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, secret_scan
+from quire.llm import exact_dedup, packing, secret_scan
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
