@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, packing, secret_scan
+from quire.llm import chat_format, exact_dedup, packing, secret_scan, url_filter
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
+    "op2_url_filter": url_filter.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }

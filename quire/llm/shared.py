@@ -35,6 +35,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of a small table; Spark deletes it when it is no longer used."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def drop_table(df_or_path, spark: SparkSession | None = None) -> None:
     """Delete a table of :func:`table` that nothing will read again."""
     spark = spark or df_or_path.sparkSession
