@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, exact_dedup, packing, secret_scan, url_filter
+from quire.llm import chat_format, exact_dedup, packing, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
