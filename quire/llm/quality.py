@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64, chunks, mix, text_buffer, word_hashes
-from quire.llm.shared import documents, table
+from quire.llm.shared import checkpoint, documents, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 SEED = 17
-#: The cut on scores is found on at most so many labelled documents.
-CALIBRATION_ROWS = 200_000
+#: The target model and the cut are fitted on at most so many labelled documents (16 bytes each reach every task).
+LABELLED_ROWS = 200_000
 _KEY_BINS = 4096
 
 
@@ -94,7 +94,7 @@ def best_cut(scored: DataFrame) -> float:
     kinds the cut is 0, where a document is as likely under either model.
     """
     rows = scored.where("quality IS NOT NULL").select((F.col("log_weight") / F.greatest(F.lit(1), F.col("n_grams"))).alias("w"), (F.col("quality") == 1).alias("good"))
-    rows = rows.orderBy(F.xxhash64("w", "good")).limit(CALIBRATION_ROWS).toPandas()
+    rows = rows.toPandas()  # LABELLED_ROWS at most
     good = rows["good"].to_numpy(dtype=bool)
     if not good.any() or good.all():
         return 0.0
@@ -131,10 +131,11 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id") -> DataFrame:
     return rows.where(F.col(key) > high).unionByName(border)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept; one row per input row.
 
-    Target: documents labelled quality 1 and not toxic.  Words are runs of
+    Target: documents labelled quality 1 and not toxic; of the labels at most
+    ``labelled_rows`` are used, chosen by hash.  All documents count as raw.  Words are runs of
     other than ``[\\x20\\x09-\\x0D]``, A-Z folded.  The key is the log-weight in
     excess of the labelled cut plus Gumbel noise that depends on doc_id and
     seed alone; the k largest keys are kept, k being the number of documents
@@ -143,6 +144,7 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     more than once counts as good only if all its labels say so.
     """
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marks = F.broadcast(checkpoint(marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(labelled_rows)))
     rows = documents(docs).join(marks, "doc_id", "left")
     ratios = log_ratios(count_grams(rows.select("text", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target")), buckets), buckets)
     scored = table(score(documents(docs), ratios), "scores")
