@@ -127,3 +127,69 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[n
                 out.append(np.zeros(0, U64))
             at += n
     return out
+
+
+_BYTE = byte_values(23)
+_POSITION_BITS = 21
+#: Bytes of one scan; longer buffers are scanned in overlapping segments.
+SEGMENT = 1 << _POSITION_BITS
+
+
+def segments(offsets: np.ndarray, window: int):
+    """(from, to, first document, last document): stretches of the buffer that hold every window once."""
+    for i, j in chunks(offsets, SEGMENT):
+        low, high = int(offsets[i]), int(offsets[j])
+        if high - low <= SEGMENT:
+            yield low, high, i, j
+        else:
+            for at in range(low, max(low + 1, high - window + 1), SEGMENT - window + 1):
+                yield at, min(at + SEGMENT, high), i, j
+
+
+def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which :func:`slice_hash` takes the hash of any slice."""
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=U64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    return sums, down
+
+
+def slice_hash(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (sums[end] - sums[begin]) * down[begin]
+
+
+def anchors(raw: np.ndarray, cuts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows of ``window`` bytes that do not cross a cut.
+
+    A window's anchor is its ``gram``-byte string with the least hash, the
+    leftmost of equals, so equal windows have equal anchors at equal places.
+    Returns per run of windows with one anchor: hash of the anchor, hash of the
+    run's whole stretch (with the anchor's place in it), first window, number
+    of windows.  ``window - gram + 1`` must be a power of two.
+    """
+    none = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64))
+    if len(raw) < window:
+        return none
+    sums, down = prefix_sums(raw)
+    grams = mix((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
+    least = (grams >> U64(_POSITION_BITS) << U64(_POSITION_BITS)) | np.arange(len(grams), dtype=U64)
+    step, width = 1, window - gram + 1
+    while step < width:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    windows = len(raw) - window + 1
+    at = (least[:windows] & U64(SEGMENT - 1)).astype(np.int64)
+    # windows that cross a cut (a border between documents) are nobody's
+    crossing = np.zeros(windows + 1, dtype=np.int32)
+    np.add.at(crossing, np.clip(cuts - window + 1, 0, windows), 1)
+    np.add.at(crossing, np.clip(cuts, 0, windows), -1)
+    inside = np.cumsum(crossing[:-1]) == 0
+    fresh = inside.copy()
+    fresh[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(fresh)
+    if not len(first):
+        return none
+    count = np.add.reduceat(inside.astype(np.int64), first)
+    last = first + count - 1
+    stretch = slice_hash(sums, down, first, last + window)
+    return grams[at[first]], mix(stretch ^ mix((count << 16 | (at[first] - first)).astype(U64))), first, count

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, url_filter
+from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
