@@ -14,7 +14,7 @@ import pyarrow as pa
 U64 = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components, roots
 from quire.llm.kernels import U64, shingle_sets, text_buffer
-from quire.llm.shared import checkpoint, documents, table
+from quire.llm.shared import arrow_rows, checkpoint, documents, table
 
 WORDS = 5
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -337,7 +337,8 @@ def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
     near = F.max(most * 100 >= (F.col("n") + F.col("n_u") - most) * PERCENT)
     stars = groups.join(center, "shingle").where("text_id != u").groupBy("u", F.col("text_id").alias("v")).agg(near.alias("near")).where("near").select("u", "v")
     compared = stars.join(sets.select(F.col("text_id").alias("v"), F.col("set").alias("set_v")), "v").join(sets.select(F.col("text_id").alias("u"), F.col("set").alias("set_u")), "u")
-    first = checkpoint(compared.select("u", "v", "set_u", "set_v").mapInArrow(_star_links, "u long, v long"))
+    with arrow_rows(docs.sparkSession, 500):
+        first = checkpoint(compared.select("u", "v", "set_u", "set_v").mapInArrow(_star_links, "u long, v long"))
     # What is left: prefix shingles whose texts are in more than one component.
     known = components(first).select(F.col("node").alias("text_id"), "component")
     member = groups.select("shingle", "text_id", "n").join(known, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
