@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, quality, secret_scan, suffix_dedup, url_filter
+from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
