@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import documents
+from quire.llm.shared import documents, only, table
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -67,8 +67,7 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    return only(docs, table(exact_dedup(docs).where("kept").select("doc_id"), "kept-ids"))[0]
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components, roots
 from quire.llm.kernels import U64, shingle_sets, text_buffer
-from quire.llm.shared import arrow_rows, checkpoint, documents, table
+from quire.llm.shared import BROADCAST_IDS, arrow_rows, checkpoint, documents, only, table
 
 WORDS = 5
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -40,8 +40,6 @@ PERCENT = 80
 COMMON_SHINGLES = 250_000
 #: Rounds of :func:`peel`.
 PEELINGS = 3
-#: So many candidate ids (8 bytes each) are broadcast at most.
-BROADCAST_IDS = 2_000_000
 #: Texts looked at together when common shingles are counted.
 _TASTE = 2000
 BLOCK = 512
@@ -391,8 +389,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's id, with all columns."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__kept_id"), "left_semi")
+    return only(docs, table(jaccard_components(docs).where("doc_id = component_id").select("doc_id"), "kept-ids"))[0]
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

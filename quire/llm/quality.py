@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64, chunks, mix, text_buffer, word_hashes
-from quire.llm.shared import checkpoint, documents, table
+from quire.llm.shared import checkpoint, documents, only, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -159,8 +159,7 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, with all columns."""
-    kept = classify(docs, labels).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+    return only(docs, table(classify(docs, labels).where("kept").select("doc_id"), "kept-ids"))[0]
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many document ids (8 bytes each) are broadcast at most.
+BROADCAST_IDS = 2_000_000
+
 _written: list[str] = []
 
 
@@ -23,16 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later stages then depend on files that every executor sees, not on shuffle
-    files of an executor that may be lost.
+    files of an executor that may be lost.  A table that is not to be kept is
+    on the list of :func:`written`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,10 +57,21 @@ def drop_table(df_or_path, spark: SparkSession | None = None) -> None:
         _written[:] = [x for x in _written if not path.endswith(x.split(":", 1)[-1])]
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table written so far; only once all results are stored."""
-    for path in list(_written):
-        drop_table(path, spark)
+def written() -> list[str]:
+    """Tables that nobody has dropped yet, oldest first."""
+    return list(_written)
+
+
+def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose doc_id is in ``ids``, the other rows).
+
+    Up to ``BROADCAST_IDS`` ids are broadcast, so texts stay where they are;
+    more are joined by a shuffle.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    return docs.join(ids, same, "left_semi"), docs.join(ids, same, "left_anti")
 
 
 @contextmanager

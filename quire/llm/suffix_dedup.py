@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64, anchors, mix, prefix_sums, segments, slice_hash, text_buffer
-from quire.llm.shared import checkpoint, documents, drop_table, table
+from quire.llm.shared import checkpoint, documents, drop_table, only, table
 
 WINDOW = 200
 GRAM = 73
 BATCHES = 4
 #: Anchors with more different stretches than this are compared through sorted rows, one per window.
 STRETCHES_IN_TASK = 4096
-#: So many document ids (8 bytes each) are broadcast at most.
-BROADCAST_IDS = 2_000_000
 
 
 def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -85,12 +83,6 @@ class IndexFamily:
         return both.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs with these ids, the other rows); few enough ids are broadcast, so texts stay where they are."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_semi"), docs.join(ids, "doc_id", "left_anti")
-
-
 _SPAN = "doc_id long, start long, end long"
 
 
@@ -189,7 +181,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     whole = shared.join(stretches.where("n > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi").select("doc_id", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
     variants = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
     several = checkpoint(stretches.join(variants, "gram").select("variants", F.col("x.doc_id").alias("doc_id"), "gram", "n", F.col("x.start").alias("start"), F.col("x.windows").alias("windows")))
-    here = _only(docs, several.select("doc_id").distinct())[0]
+    here = only(docs, several.select("doc_id").distinct())[0]
     few = _compare_in_task(_cut_out(here, several.where(F.col("variants") <= stretches_in_task), window), window)
     found = whole.unionByName(few)
     many = several.where(F.col("variants") > stretches_in_task)
@@ -211,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     rows = documents(docs)
     spans = repeated_spans(docs, window, gram, batches, stretches_in_task)
     lists = table(spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "repeat-spans")  # at most one per byte of the text
-    hit, clean = _only(rows, lists.select("doc_id"))
+    hit, clean = only(rows, lists.select("doc_id"))
     hit = hit.join(lists, "doc_id").select(F.encode("text", "UTF-8").alias("raw"), "doc_id", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
