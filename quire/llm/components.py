@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating star contraction.
 
-Links first shrink to a forest inside each task.  Then every round hangs nodes
-on the least label they see (a large star, then a small star) until nothing
-changes.  Nodes with very many links are aggregated in part before the
+Links first shrink to a forest inside each task.  While that is larger than one
+task may hold, every round hangs nodes on the least label they see (a large
+star, then a small star) until nothing changes.  Nodes with very many links are aggregated in part before the
 shuffle, and each round's table is a checkpoint.
 """
 
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from quire.llm.shared import checkpoint
 
 
+#: A forest of at most so many links (16 bytes each) is finished in one task; a larger one goes on in rounds.
+SMALL_LINKS = 1_000_000
+
+
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Least member of each node's component; nodes are 0..n-1."""
     parent = list(range(n))
@@ -49,6 +53,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(root[far])], names=["u", "v"])
 
 
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of all batches of a task; they are few."""
+    held = list(batches)
+    if held:
+        yield from _forest(iter([pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=None)[0]]) if sum(map(len, held)) else iter(()))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that can be reached), for each node with a link.
 
@@ -58,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
     edges = checkpoint(edges.mapInArrow(_forest, "u long, v long").distinct())
     last = None
-    while True:
+    while edges.count() > SMALL_LINKS:
         # Large star: larger neighbours of a node move to the least of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -71,3 +82,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == last:
             return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
         last = now
+    forest = checkpoint(edges.coalesce(1).mapInArrow(_whole_forest, "node long, component long"))
+    return forest.unionByName(forest.select(F.col("component").alias("node"), "component")).distinct()

@@ -16,6 +16,9 @@ MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+# Worker processes give memory of large batches back at once.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

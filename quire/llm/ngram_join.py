@@ -344,7 +344,9 @@ def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
     left = checkpoint(member.join(mixed, "shingle").select("text_id", "n", "component", "hub").distinct())
     families = components(left.select("component", "hub")).select(F.col("node").alias("component"), F.col("component").alias("family"))
     members = left.select("text_id", "n", "component").distinct().join(families, "component", "left").withColumn("family", F.coalesce("family", "component"))
-    return first.unionByName(_join_families(members, sets))
+    with arrow_rows(docs.sparkSession, 2000):
+        second = checkpoint(_join_families(members, sets))
+    return first.unionByName(second)
 
 
 def _join_families(members: DataFrame, sets: DataFrame) -> DataFrame:
