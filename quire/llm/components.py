@@ -80,7 +80,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpoint(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if now == last:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+            break
         last = now
-    forest = checkpoint(edges.coalesce(1).mapInArrow(_whole_forest, "node long, component long"))
+    else:
+        edges = checkpoint(edges.coalesce(1).mapInArrow(_whole_forest, "u long, v long"))
+    forest = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return forest.unionByName(forest.select(F.col("component").alias("node"), "component")).distinct()
