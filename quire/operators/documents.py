@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,8 +158,6 @@ def escape_html(text: Column) -> Column:
 
 def to_html(blocks: DataFrame) -> DataFrame:
     """doc_id, html: headings, paragraphs and nested lists (a stack, closed down to the item's level)."""
-    import pandas as pd
-
     tagged = blocks.where("trim(text) != ''").select("doc_id", F.struct("ord", "level", F.col("marker").isNotNull().alias("item"), F.coalesce("ilvl", F.lit(0).cast("long")).alias("ilvl"), (F.trim(F.coalesce("marker", F.lit("-"))) != "-").alias("ordered"), escape_html(F.col("text")).alias("html")).alias("b"))
     docs = tagged.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
 
@@ -226,8 +225,6 @@ def attach_comments(comments: DataFrame, authors: DataFrame) -> DataFrame:
 
 def media_registry(refs: DataFrame, limit: int = 32 << 20, budget: int = 128 << 20) -> DataFrame:
     """book, part, ord, mime, kept: parts by first mention; too large ones, and ones over the budget of kept parts, are skipped."""
-    import pandas as pd
-
     ext = F.lower(F.element_at(F.split("part", r"\."), -1))
     mime = F.when(ext == "png", "image/png").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "gif", "image/gif").when(ext == "svg", "image/svg+xml").otherwise("application/octet-stream")
     first = refs.groupBy("book", "part").agg(F.min("ord").alias("ord"), F.max("size").alias("size")).withColumn("mime", mime)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,8 +72,6 @@ def replace_text(runs: DataFrame, needle: str, replacement: str) -> DataFrame:
     The replacement goes to the run where the hit starts (on a border: the
     earlier run), the runs below it lose their part.
     """
-    import pandas as pd
-
     pars = runs.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_ord", "text"))), lambda x: x["text"]).alias("texts"))
 
     @F.pandas_udf("array<string>")
