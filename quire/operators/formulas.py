@@ -190,10 +190,10 @@ def pivot_summary(rows: DataFrame, group: str, values: list[str], order: str, bl
     whole = rows.agg(*[F.bool_and(n.isNotNull()).alias(v) for v, n in numbers.items()])
     name = F.trim(F.coalesce(F.col(group), F.lit("")))
     keyed = rows.select(F.when(name == "", F.lit(blank)).otherwise(name).alias("grp"), F.col(order).alias("_o"), *[n.alias(v) for v, n in numbers.items()])
-    out = keyed.rollup("grp").agg(F.count(F.lit(1)).alias("n_rows"), F.min("_o").alias("_o"), F.grouping("grp").alias("_t"), *[F.sum(v).alias(v) for v in values])
+    out = keyed.rollup("grp").agg(F.count(F.lit(1)).alias("n_rows"), F.min("_o").alias("_o"), F.grouping("grp").alias("__total"), *[F.sum(v).alias(v) for v in values])
     flags = whole.select(*[F.col(v).alias(f"_{v}") for v in values], F.lit(1).alias("_j"))
     out = out.withColumn("_j", F.lit(1)).join(F.broadcast(flags), "_j")  # one row
-    position = F.when(F.col("_t") == 1, -1).otherwise(F.row_number().over(W.partitionBy("_t").orderBy("_o")) - 1)
+    position = F.when(F.col("__total") == 1, -1).otherwise(F.row_number().over(W.partitionBy("__total").orderBy("_o")) - 1)
     return out.select("grp", "n_rows", *[F.when(F.col(f"_{v}"), F.col(v)).otherwise(F.col("n_rows").cast("double")).alias(v) for v in values], position.cast("long").alias("position"))
 
 
