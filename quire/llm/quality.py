@@ -134,7 +134,8 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept; one row per input row.
 
-    Target: documents labelled quality 1 and not toxic; of the labels at most
+    Target: half of the documents labelled quality 1 and not toxic (the other
+    half, with the bad ones, sets the cut); of the labels at most
     ``labelled_rows`` are used, chosen by hash.  All documents count as raw.  Words are runs of
     other than ``[\\x20\\x09-\\x0D]``, A-Z folded.  The key is the log-weight in
     excess of the labelled cut plus Gumbel noise that depends on doc_id and
@@ -146,9 +147,11 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     marks = F.broadcast(checkpoint(marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(labelled_rows)))
     rows = documents(docs).join(marks, "doc_id", "left")
-    ratios = log_ratios(count_grams(rows.select("text", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target")), buckets), buckets)
+    # Half of the good documents make the target model, the other half, unseen by it, the cut.
+    unseen = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 1
+    ratios = log_ratios(count_grams(rows.select("text", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~unseen).alias("target")), buckets), buckets)
     scored = table(score(documents(docs), ratios), "scores")
-    cut = best_cut(scored.join(marks, "doc_id"))
+    cut = best_cut(scored.join(marks, "doc_id").where((F.col("quality") == 0) | unseen))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     margin = F.col("log_weight") - F.col("n_grams") * F.lit(cut)
     keyed = scored.withColumn("key", F.when(F.col("n_grams") > 0, margin - F.log(-F.log(uniform))))

@@ -41,7 +41,8 @@ ENCODINGS = (
 )
 BASE64 = UPPER + LOWER + DIGITS + "+/"
 BANDS = (20, 28, 40, 64)
-FALSE_DISCOVERY_RATE = 0.05
+#: Share of random strings among those taken for structured.
+FALSE_DISCOVERY_RATE = 0.01
 BIN = 20  # bins per power of ten
 _BLOCK = 256
 

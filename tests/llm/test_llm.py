@@ -1,0 +1,306 @@
+"""The ten corpus operators: brute force, round trips, held-out accuracy and edge cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import chat_format, components, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, url_filter
+from quire.llm.queries import ORACLES, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, digest string, n long"
+WORDS = "the of and in to a is that for it with as was on be by at from this have or an are not but".split()
+
+
+def table(spark, texts):
+    """Documents with extra columns whose names operators use inside."""
+    return spark.createDataFrame([(i, t, None, "x", 1) for i, t in texts], DOCS)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+EDGES = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "ONE  two"), (6, "x" * 5000), (7, "a b c d e f g h"), (8, "a b c d e f g h"), (None, "a b c d e f g h")]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, DIR)
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(repr(tuple(dict(zip(want.columns, r))[c] for c in cols)) for r in want.fetchall())
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [])
+    assert exact_dedup.exact_dedup(docs).count() == 0
+    assert ngram_join.jaccard_components(docs).count() == 0
+    assert secret_scan.secret_scan(docs).count() == 0
+    assert suffix_dedup.remove_repeats(docs).count() == 0
+    assert packing.pack_documents(docs, packing.default_tokenizer()).count() == 0
+    assert pieces.digests(docs, pieces.default_model()).count() == 0
+    assert quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert chat_format.digests(chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_chat_round_trip(spark):
+    texts = ["<|im_end|>", "<\\|im_start|>", "<", "|x", "<\\\\|", None, "", "é<|", "plain\nline"]
+    turns = spark.createDataFrame([(k % 3, k, ["user", "assistant", "a\\n\nb"][k % 3], t, 9) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string, part long")
+    parts = chat_format.format_conversations(turns).collect()
+    back = collections.defaultdict(list)
+    for p in sorted(parts, key=lambda p: p["part"]):
+        assert bytes(p["formatted"]).count(b"<|") == 2 * p["n_turns"]
+        back[p["conv_id"]] += chat_format.read_turns(bytes(p["formatted"]))
+    for c in range(3):
+        assert back[c] == [(["user", "assistant", "a\\n\nb"][k % 3], t or "") for k, t in enumerate(texts) if k % 3 == c]
+
+
+@pytest.mark.parametrize("bits", [1, 2, 12])
+def test_bloom_cascade_is_exact(spark, bits):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    hashed = keys.select("key", "id", *url_filter.hashed(F.col("key")))
+    levels = url_filter.cascade(hashed.where("id % 7 = 0"), hashed, bits)
+    rows = hashed.toPandas()
+    got = url_filter.contains(levels, rows["a"].to_numpy(), rows["b"].to_numpy())
+    assert (got == (rows["id"] % 7 == 0)).all() and (len(levels) > 2 or bits == 12)
+
+
+def test_url_rules(spark):
+    urls = ["http://A.Example.NET/en/x", "http://b.net/", "http://net", "http://xnet/", "no scheme", None, "x://s.org/fr/?q", "x://org/fr/", "x://example.com/de/a#b", "x://notexample.com/de/", "x://u.net?a/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
+    want = {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("org/fr/", "allow"), 7: ("org/fr/", "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "allow")}
+    for limit in (1 << 20, 0):  # filters, and the join that replaces them
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, max_filter_bytes=limit).collect()}
+        assert got == want
+
+
+def test_quality_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = labels.where("doc_id % 2 = 0")
+    got = quality.classify(docs, half).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    right = {q: [r["kept"] == bool(q) for r in got if r["quality"] == q] for q in (0, 1)}
+    assert np.mean(right[0]) > 0.9 and np.mean(right[1]) > 0.95
+
+
+def test_top_k_by_counting(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.pmod(F.col("id") * 7919, F.lit(997)) / 10.0).alias("key"))
+    for k in (0, 1, 17, 2500, 5000, 9000):
+        want = {r["doc_id"] for r in rows.orderBy(F.desc("key"), "doc_id").limit(k).collect()}
+        assert {r["doc_id"] for r in quality.top_k(rows, "key", k).collect()} == want
+
+
+def test_quality_edges(spark):
+    got = quality.classify(table(spark, EDGES), spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(EDGES) and not any(r["kept"] for r in got if r["doc_id"] in (1, 2, 3))
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    texts = [(i, t) for i, t in EDGES if i is not None] + [(100 + i, " ".join(rng.choice(WORDS) + rng.choice(["", ".", "  x", "\n", "\t y"]) for _ in range(rng.randrange(3000)))) for i in range(25)]
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    plain.encode_special_tokens = True
+    rows = packing.pack_documents(table(spark, texts), packing.default_tokenizer()).toPandas()
+    for doc_id, text in texts:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        own = rows[rows["doc_id"] == doc_id].sort_values("piece")
+        assert own["start"].tolist() == [0, *own["length"].cumsum()[:-1]] and own["length"].sum() == len(ids)
+        assert [zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) for s, n in zip(own["start"], own["length"])] == own["ids_crc32"].tolist()
+        assert len(own) == 1 or set(own["length"][1:]) == {2048}
+    for _, s in rows.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 2048
+    assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 2048) + 1
+
+
+def test_packer_closes_the_fullest():
+    p = packing.Packer(10, 2, 0)
+    assert [p.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
+    assert p.place(5) == (2, 0)  # the bin with 3 free closes
+    assert p.place(3) == (0, 6) and p.place(5) == (2, 5)
+
+
+def test_exact_dedup_collisions_and_edges(spark):
+    docs = table(spark, [*EDGES, (9, "a b c d e f g  h")])
+    weak = by_id(exact_dedup.exact_dedup(docs, content_hash=lambda c: F.substring(F.md5(c), 1, 1)))
+    full = by_id(exact_dedup.exact_dedup(docs))
+    assert weak == full
+    assert [full[i]["keep_id"] for i in (1, 2, 3)] == [3, 3, 3] and full[1]["group_size"] == 3
+    assert full[8]["keep_id"] == 9 and full[8]["group_size"] == 4 and full[None]["kept"] is False
+    assert full[4]["kept"] and full[5]["kept"]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()) == [3, 4, 5, 6, 9]
+
+
+@pytest.mark.parametrize("text", ["the cat", "a  b", "  x", "x ", "é▁b", " ", "ab\ncd", "日 q", "hello"])
+def test_piece_search_against_all_paths(text):
+    m = pieces.piece_model(pieces.default_model())
+    shown, paths = f" {text}", []
+
+    def walk(i, score, ids):
+        if i == len(shown):
+            paths.append((round(score, 4), ids))
+            return
+        single = False
+        for j in range(i + 1, len(shown) + 1):
+            found = m.scores.get(shown[i:j].replace(" ", "▁"))
+            if found and "▁" not in shown[i:j]:
+                single |= j == i + 1
+                walk(j, score + found[0], (*ids, found[1]))
+        if not single:
+            walk(i + 1, score + m.unknown, ids + tuple(m.byte_ids[b] for b in shown[i].encode()))
+
+    walk(0, 0.0, ())
+    got = m.encode([text])[0]
+    assert [round(s, 4) for s, _ in got] == sorted((s for s, _ in paths), reverse=True)[:3]
+    assert {(round(s, 4), tuple(np.frombuffer(x, "<u4").tolist())) for s, x in got} <= set(paths)
+    assert all(m.decode(x).decode() == text for _, x in got)
+
+
+def test_pieces_round_trip(spark):
+    docs = table(spark, EDGES)
+    assert all(r["round_trip"] for r in pieces.digests(docs, pieces.default_model()).collect())
+    best = pieces.encode(docs, pieces.default_model()).select("doc_id", F.col("segmentations")[0]["ids"].alias("ids"))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in pieces.decode(best, pieces.default_model()).collect()) == collections.Counter((i, t or "") for i, t in EDGES)
+
+
+def test_embedding_edges(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 12))
+    vectors = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:10] + rng.normal(scale=0.1, size=(10, 12)), base[:5], base[:3] * 1e30]))]
+    vectors += [(90, None), (91, [0.0] * 12), (92, [float("nan")] * 12), (93, [None] * 12), (94, [1.0, 2.0]), (95, [1.0, 2.0]), (96, [])]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), tile=16).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors if i < 90}
+    near = {i: {j for j in unit if j != i and unit[i] @ unit[j] >= 0.9} for i in unit}
+    root = components.roots(np.array([i for i in near for _ in near[i]]), np.array([j for i in near for j in near[i]]), len(unit))
+    for i in unit:
+        assert (got[i]["n_links"], got[i]["component_id"]) == (len(near[i]), root[i])
+    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in (90, 91, 92, 93, 96))
+    assert got[95]["component_id"] == 94 and got[94]["n_links"] == 1
+
+
+def repeats(texts, window):
+    count = collections.Counter(t[p : p + window] for t in texts.values() for p in range(len(t) - window + 1))
+    out = {}
+    for k, t in texts.items():
+        hit = bytearray(len(t))
+        for p in range(len(t) - window + 1):
+            if count[t[p : p + window]] > 1:
+                hit[p : p + window] = b"\1" * window
+        out[k] = (sum(hit), sum(hit[i] and not (i and hit[i - 1]) for i in range(len(hit))), bytes(c for c, h in zip(t, hit) if not h))
+    return out
+
+
+@pytest.mark.parametrize("in_task", [4096, 1])
+def test_repeated_passages(spark, in_task):
+    rng = random.Random(7)
+    word = lambda n: " ".join("".join(rng.choices("abcdé", k=5)) for _ in range(n))
+    shared = [word(60) for _ in range(4)]
+    texts = [(i, word(rng.randrange(60)) + " " + "".join(s[rng.randrange(40) :] for s in rng.sample(shared, 2)) + word(20)) for i in range(40)]
+    texts += [(50, "z" * 700), (51, None), (52, ""), (53, "short"), (54, texts[0][1]), (55, ("ab" * 150) + word(30) + ("ab" * 120))]
+    got = by_id(suffix_dedup.remove_repeats(table(spark, [*texts, (None, texts[0][1])]), stretches_in_task=in_task))
+    want = repeats({i: (t or "").encode() for i, t in texts}, 200)
+    for i, _ in texts:
+        r = got[i]
+        assert (sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), bytes(r["kept"])) == want[i]
+    assert not got[None]["removed"]
+
+
+def jaccard(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = components.roots(np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int), max(ids) + 1)
+    return {i: (len(sets[i]), int(root[i])) for i in ids}
+
+
+def test_ngram_components(spark):
+    rng = random.Random(11)
+    passage = " ".join(rng.choices(WORDS, k=60))
+    texts = [(i, t) for i, t in EDGES if i is not None]
+    for g in range(30):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(200)}" for _ in range(rng.randrange(5, 120))]
+        for c in range(rng.randrange(1, 8)):
+            mine = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                mine[rng.randrange(len(mine))] = f"new{rng.randrange(1000)}"
+            texts.append((100 + 10 * g + c, " ".join(mine) + (" " + passage if g % 2 else "")))
+    got = {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(ngram_join.jaccard_components(table(spark, [*texts, (None, texts[-1][1])]))).items()}
+    assert got.pop(None)[1] is None
+    assert got == jaccard(texts)
+
+
+def test_signature_trees_lose_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64))
+        sets += [base, *(np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, 3).astype(np.uint64)])) for _ in range(3))]
+    order = np.arange(len(sets))
+    tree = ngram_join.SignatureTree(sets)
+    found = ngram_join.tree_links(tree, tree, True, (order, order))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    want = components.roots(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), len(sets))
+    assert (components.roots(np.array([a for a, _ in found]), np.array([b for _, b in found]), len(sets)) == want).all()
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL_LINKS", small)
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    root = components.roots(np.array([a for a, _ in links]), np.array([b for _, b in links]), 1100)
+    want = {x: int(root[x]) for a, b in links if a != b for x in (a, b)}
+    assert {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    texts = [
+        (1, None), (2, ""), (3, "é password=abcdefgh1 token: secret: abcdefghijk"), (4, "AKIAABCDEFGH1234 AKIA12 " + "a1" * 20), (5, f"see {token} here"), (6, "nothing aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"),
+        (7, "API_KEY = 'zz/yy+xx=w' " * 600), (8, "Passwd:short1"),
+    ]
+    got = by_id(secret_scan.secret_scan(table(spark, texts)))
+    for i, text in texts:
+        t, spans = text or "", []
+        spans += [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(got[i]["spans"].split(","))
+    assert got[5]["spans"] == f"random:4:{4 + len(token)}" and got[6]["spans"].count("random") == 0
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, texts)).collect()}
+    assert clean[1] is None and clean[5] == "see [secret] here" and clean[8] == "Passwd:short1" and "zz/yy" not in clean[7] and clean[3].startswith("é [secret] ")
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DIR).toPandas()
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    good = quality.keep_good(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    kept = {r["doc_id"] for r in ngram_join.drop_near_copies(exact_dedup.drop_copies(good)).collect()}
+    assert set(out["doc_id"]) == kept and 0 < len(kept) < docs.count()
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
