@@ -26,7 +26,7 @@ OPEN_BINS = 4096
 #: Pieces of one packer that are looked at together, longest first.
 LOOK_AHEAD = 16384
 TOKENS_PER_PACKER = 1 << 26
-#: Distinct words kept with their ids in a Python worker (about 200 MB).
+#: Distinct words kept with their ids during a task (about 200 MB).
 CACHE_WORDS = 1_000_000
 #: White space around a space, where a cut before that space could split a token.
 _ODD = re.compile(r"\s \s|\s $")
@@ -133,6 +133,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SE
                     rows.append((doc_id, 0, 0, first, ids[: first * 4]))
                     rows.extend((doc_id, k, s, longest, ids[s * 4 : (s + longest) * 4]) for k, s in enumerate(range(first, n, longest), 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "piece", "start", "length", "ids"])
+        own.words.clear()  # the worker goes on to other tasks, which may not need them
 
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
