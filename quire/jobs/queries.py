@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
+from quire.functions.number_format import format_number
 from quire.operators import corpus, documents, edits, formulas, rules, sheets
 from quire.sources import adapters as A
 
@@ -174,6 +175,15 @@ def b6(spark, d):
     return A.read(spark, d, "orders").select("o_orderkey", f(p, "0", "whole"), f(p, "#,##0.00", "grouped"), f(-p, "0.00", "negative"), f((F.col("o_orderkey") % 100) / 100, "0%", "percent"), f(S.date_to_serial(F.to_date("o_orderdate")), "yyyy-mm-dd", "day"))
 
 
+@query("b6_any_format", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN format('{:,.2f}', CAST(l_extendedprice AS DECIMAL(38,2))) || ' EUR' WHEN 1 THEN '(' || format('{:.1f}', CAST(l_quantity AS DECIMAL(38,1))) || ')'
+  WHEN 2 THEN strftime(l_shipdate, '%d.%m.%Y 00:00') ELSE lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 4, '0') END AS shown FROM lineitem""")
+def b6_any(spark, d):
+    k = F.col("l_linenumber") % 4
+    num = F.when(k == 0, F.col("l_extendedprice")).when(k == 1, -F.col("l_quantity")).when(k == 2, S.date_to_serial(F.to_date("l_shipdate"))).otherwise(F.col("l_quantity"))
+    code = F.when(k == 0, '#,##0.00" EUR"').when(k == 1, "0.0;(0.0)").when(k == 2, "dd.mm.yyyy hh:mm").otherwise("0000")
+    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", format_number(num, code).alias("shown"))
+
+
 @query("b7_display_text", "WITH " + A.CELLS_SQL + ", shown AS (SELECT book, sheet, row, format('{:.2f}', CAST(num AS DECIMAL(38,2))) AS t FROM cells WHERE col = 1) SELECT s.book, s.sheet, s.row, CASE WHEN s.row % 5 = 0 THEN 'edited' ELSE t END AS shown FROM shown s")
 def b7(spark, d):
     cells = A.cells(spark, d).where("col = 1").withColumn("shown", S.format_plain(F.col("num"), F.lit("0.00")))
