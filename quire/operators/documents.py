@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def joined(parts: Column, sep: str, *order: str) -> Column:
@@ -203,14 +206,26 @@ def sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(F.sum(F.col("section_break").cast("long")).over(w), F.lit(0)))
 
 
+@F.pandas_udf(StringType())
+def percent_decoded(column: pd.Series) -> pd.Series:
+    """Escapes decoded as UTF-8; bad ones and ``+`` stay as they are."""
+
+    def one(text):
+        try:
+            return None if text is None else unquote(text, errors="strict")
+        except UnicodeDecodeError:
+            return text
+
+    return column.map(one)
+
+
 def resolve_rels(refs: DataFrame, rels: DataFrame) -> DataFrame:
     """refs (pkg, source_part, id) plus target_mode and part: targets resolved against the source's folder, null part for external or undeclared ones."""
     found = refs.join(rels.select("pkg", "source_part", "id", "target", "target_mode"), ["pkg", "source_part", "id"], "left")
     folder = F.regexp_extract("source_part", r"^(.*/)?[^/]*$", 1)
     whole = F.when(F.startswith("target", F.lit("/")), F.col("target")).otherwise(F.concat(folder, F.col("target")))
     walk = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
-    # %20 is the escape that names have in practice; others stay as they are, '+' too.
-    return found.withColumn("part", F.when(F.coalesce("target_mode", F.lit("")) != "External", F.replace(F.array_join(walk, "/"), F.lit("%20"), F.lit(" ")))).withColumn("warning", F.when(F.col("target").isNull(), F.lit("UndeclaredRelation")))
+    return found.withColumn("part", F.when(F.coalesce("target_mode", F.lit("")) != "External", percent_decoded(F.array_join(walk, "/")))).withColumn("warning", F.when(F.col("target").isNull(), F.lit("UndeclaredRelation")))
 
 
 def classify_link(target: Column, target_mode: Column, location: Column) -> Column:

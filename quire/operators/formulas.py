@@ -175,10 +175,24 @@ def sort_range(rows: DataFrame, key: str, by: list[str], index: str, desc: bool
 
 
 def table_headers(headers: DataFrame) -> DataFrame:
-    """headers (table_id, position, text) plus name: trimmed, default for blanks, repeats (any case) numbered from 2."""
-    named = headers.withColumn("_n", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.concat(F.lit("Column"), (F.col("position") + 1).cast("string"))).otherwise(F.trim("text")))
-    k = F.row_number().over(W.partitionBy("table_id", F.lower("_n")).orderBy("position"))
-    return named.withColumn("name", F.when(k > 1, F.concat("_n", k.cast("string"))).otherwise(F.col("_n"))).drop("_n")
+    """headers (table_id, position, text) plus name: trimmed, a default for blanks, repeats (any case) with the smallest free number from 2.
+
+    Names depend on those before them in the same table, which is one short row.
+    """
+    import pandas as pd
+
+    def name(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, used, names = frame.sort_values("position"), set(), []
+        for position, text in zip(frame["position"].tolist(), frame["text"].tolist()):
+            base = (text or "").strip() or f"Column{position + 1}"
+            own, k = base, 2
+            while own.lower() in used:
+                own, k = f"{base}{k}", k + 1
+            used.add(own.lower())
+            names.append(own)
+        return frame.assign(name=names)
+
+    return headers.select("table_id", "position", "text").groupBy("table_id").applyInPandas(name, "table_id long, position long, text string, name string")
 
 
 def pivot_summary(rows: DataFrame, group: str, values: list[str], order: str, blank: str = "(blank)") -> DataFrame:

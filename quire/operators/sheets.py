@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,6 +120,44 @@ def shift_cells(cells: DataFrame, origins: DataFrame, mode: str) -> DataFrame:
     return joined.withColumn(axis, F.when(on_line & after, F.col(axis) + (1 if insert else -1)).otherwise(F.col(axis))).drop("o_row", "o_col")
 
 
+_REFERENCE = re.compile(r'"[^"]*"|(?<![A-Za-z0-9_$.])(\$?)([A-Za-z]{1,3})(\$?)([1-9][0-9]{0,6})(?![A-Za-z0-9_(])')
+
+
+def shifted_formula(formula: str, row: int, col: int, across: bool, step: int) -> str:
+    """``formula`` after one cell at (row, col) was inserted (step 1) or deleted (-1): references on its line move, quoted text does not."""
+
+    def move(m: re.Match) -> str:
+        if m[2] is None:
+            return m[0]
+        c = functools.reduce(lambda a, x: a * 26 + ord(x) - 64, m[2].upper(), 0) - 1
+        r = int(m[4]) - 1
+        if across and r == row and c >= col:
+            c += step
+        elif not across and c == col and r >= row:
+            r += step
+        letters, n = "", c + 1
+        while n > 0:
+            n, rest = divmod(n - 1, 26)
+            letters = chr(65 + rest) + letters
+        return f"{m[1]}{letters}{m[3]}{r + 1}" if r >= 0 and c >= 0 else "#REF!"
+
+    return _REFERENCE.sub(move, formula)
+
+
+def shift_formulas(cells: DataFrame, origins: DataFrame, mode: str) -> DataFrame:
+    """cells (with ``formula``) with the references of every formula of the sheet moved as :func:`shift_cells` moves cells."""
+    import pandas as pd
+
+    across, step = mode in ("left", "right"), 1 if mode in ("right", "down") else -1
+
+    def run(frames):
+        for frame in frames:
+            moved = [shifted_formula(f, int(r), int(c), across, step) if isinstance(f, str) and pd.notna(r) else f for f, r, c in zip(frame["formula"], frame["o_row"], frame["o_col"])]
+            yield frame.assign(formula=moved).drop(columns=["o_row", "o_col"])
+
+    return cells.join(origins, SHEET, "left").select(*cells.columns, "o_row", "o_col").mapInPandas(run, cells.schema)
+
+
 def clear_range(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """cells without value inside the ranges; those without a style go altogether."""
     keys = in_ranges(cells.select(*SHEET, "row", "col"), ranges.select(*SHEET, "r0", "c0", "r1", "c1")).select(*SHEET, "row", "col").distinct().withColumn("_hit", F.lit(True))

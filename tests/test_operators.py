@@ -187,3 +187,15 @@ def test_streams_equal_batches(spark, rows, tmp_path):
     jobs.stream_edits(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = jobs.read_latest(spark, str(tmp_path / "out"), CELL)
     assert rows(got, *CELL, "text", "n_edits") == rows(latest_edits(spark.read.parquet(source)), *CELL, "text", "n_edits")
+
+
+def test_shifted_formulas(spark):
+    assert sheets.shifted_formula('=A1+$B$2&"A1"+SUM(A2:A9)+LOG10(A3)', 1, 0, False, 1) == '=A1+$B$2&"A1"+SUM(A3:A10)+LOG10(A4)'
+    c = spark.createDataFrame([("b", "s", 0, 0, "=C1+D2")], "book string, sheet string, row long, col long, formula string")
+    o = spark.createDataFrame([("b", "s", 0, 1)], "book string, sheet string, o_row long, o_col long")
+    assert sheets.shift_formulas(c, o, "left").first()["formula"] == "=B1+D2"
+
+
+def test_header_collisions(spark):
+    h = spark.createDataFrame([(1, i, x) for i, x in enumerate(["A", "A2", "a", "A"])], "table_id long, position long, text string")
+    assert [r["name"] for r in formulas.table_headers(h).orderBy("position").collect()] == ["A", "A2", "a3", "A4"]
