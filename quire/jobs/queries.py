@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
 from quire.functions.number_format import format_number
-from quire.operators import corpus, documents, edits, formulas, rules, sheets
+from quire.operators import edits, rules, sheets
+from quire.schemas import MAX_ROW
 from quire.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,20 +27,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _long(*cols: str):
-    return [F.col(c).cast("long").alias(c) for c in cols]
-
-
 # --- flagship: cells under rules, with visuals ---------------------------------------------------
 
-_RULES_SQL = "rules AS (SELECT book, sheet, min(row) AS r0, max(row) AS r1 FROM cells GROUP BY book, sheet)"
-
+def _rules(spark, d) -> DataFrame:
+    """A rule per numeric column of a sheet, over whole columns; rule and column have one number.
 
-def _rules(cells: DataFrame) -> DataFrame:
-    """A rule per numeric column of a sheet, over all its rows; rule and column have one number."""
-    used = sheets.used_range(cells)
-    one = used.withColumn("rule", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return one.select("book", "sheet", F.col("rule").cast("long").alias("rule"), "r0", "r1", F.col("rule").cast("long").alias("c0"), F.col("rule").cast("long").alias("c1"), F.col("rule").alias("priority"), (F.col("rule") == 2).alias("stop_if_true"))
+    The ranges are cut to the used range when they are matched.
+    """
+    names = A.lines(spark, d).select("book", "sheet").distinct()
+    one = names.withColumn("rule", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    return one.select("book", "sheet", "rule", F.lit(0).cast("long").alias("r0"), F.lit(MAX_ROW).cast("long").alias("r1"), F.col("rule").alias("c0"), F.col("rule").alias("c1"), F.col("rule").alias("priority"), (F.col("rule") == 2).alias("stop_if_true"))
 
 
 def visuals(cells: DataFrame, rule_table: DataFrame) -> DataFrame:
@@ -68,20 +65,20 @@ FROM m"""
 @query("rule_visuals", _VISUALS_SQL)
 def rule_visuals(spark, d):
     cells = A.cells(spark, d)
-    return visuals(cells, _rules(cells))
+    return visuals(cells, _rules(spark, d))
 
 
 @query("d3_rule_thresholds", "WITH " + A.CELLS_SQL + " SELECT book, sheet, col AS rule, min(num) AS low, max(num) AS high, round(quantile_cont(num, 0.25), 6) AS p25, round(quantile_cont(num, 0.9), 6) AS p90 FROM cells GROUP BY book, sheet, col")
 def d3(spark, d):
     cells = A.cells(spark, d)
-    t = rules.rule_thresholds(rules.rule_matches(cells, _rules(cells)), [0.25, 0.9])
+    t = rules.rule_thresholds(rules.rule_matches(cells, _rules(spark, d)), [0.25, 0.9])
     return t.select("book", "sheet", "rule", "low", "high", F.round("p25", 6).alias("p25"), F.round("p90", 6).alias("p90"))
 
 
 @query("d2_rule_matches", "WITH " + A.CELLS_SQL + " SELECT book, sheet, col AS rule, count(*) AS n_cells, CAST(sum(row) AS BIGINT) AS sum_row FROM cells GROUP BY book, sheet, col")
 def d2(spark, d):
     cells = A.cells(spark, d)
-    return rules.rule_matches(cells, _rules(cells)).groupBy("book", "sheet", "rule").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("row").alias("sum_row"))
+    return rules.rule_matches(cells, _rules(spark, d)).groupBy("book", "sheet", "rule").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("row").alias("sum_row"))
 
 
 @query("d1_explode_rules", """WITH u AS (SELECT DISTINCT 'S' || l_suppkey AS book, l_returnflag AS sheet FROM lineitem), r AS (
