@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quire.lineage import checkpoint
+
 
 def joined(parts: Column, sep: str, *order: str) -> Column:
     """Aggregate: texts joined in order."""
@@ -44,7 +46,7 @@ def style_chains(styles: DataFrame, longest: int = 32) -> DataFrame:
     out = level
     for depth in range(1, longest + 1):
         step = level.join(parents, ["doc_id", "ancestor"]).where("next IS NOT NULL AND NOT array_contains(path, next)").select("doc_id", "style_id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
-        level = step.join(styles.select("doc_id", F.col("style_id").alias("ancestor")), ["doc_id", "ancestor"], "left_semi").checkpoint()
+        level = checkpoint(step.join(styles.select("doc_id", F.col("style_id").alias("ancestor")), ["doc_id", "ancestor"], "left_semi"))
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.lineage import checkpoint
 from quire.schemas import MAX_COL, MAX_ROW
 
 SHEET = ["book", "sheet"]
@@ -172,17 +173,17 @@ def regions(cells: DataFrame, rounds: int = 200) -> DataFrame:
     least label of their neighbours until nothing changes.
     """
     runs = content_runs(cells, "col").groupBy(*SHEET, "row", "run_start").agg(F.max("run_end").alias("run_end"))
-    runs = runs.withColumn("label", F.struct("row", "run_start")).checkpoint()
+    runs = checkpoint(runs.withColumn("label", F.struct("row", "run_start")))
     below = runs.select(*SHEET, (F.col("row") - 1).alias("row"), F.col("run_start").alias("b_start"), F.col("run_end").alias("b_end"))
     touch = runs.join(below, [*SHEET, "row"]).where("run_start <= b_end AND b_start <= run_end").select(*SHEET, F.struct("row", "run_start").alias("a"), F.struct((F.col("row") + 1).alias("row"), F.col("b_start").alias("run_start")).alias("b"))
-    links = touch.unionByName(touch.select(*SHEET, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    links = checkpoint(touch.unionByName(touch.select(*SHEET, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = runs.select(*SHEET, F.struct("row", "run_start").alias("a"), "label")
     for _ in range(rounds):
         seen = links.join(labels.select(*SHEET, F.col("a").alias("b"), F.col("label").alias("other")), [*SHEET, "b"]).groupBy(*SHEET, "a").agg(F.min("other").alias("other"))
         # a label's own label is as good: this halves the way that is left
         step = labels.join(seen, [*SHEET, "a"], "left").select(*SHEET, "a", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
         up = step.select(*SHEET, F.col("a").alias("label"), F.col("label").alias("up"))
-        step = step.join(up, [*SHEET, "label"], "left").select(*SHEET, "a", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
+        step = checkpoint(step.join(up, [*SHEET, "label"], "left").select(*SHEET, "a", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         labels = step.drop("old")
         if step.where("old != label").isEmpty():
             break
@@ -193,13 +194,13 @@ def regions(cells: DataFrame, rounds: int = 200) -> DataFrame:
 def expand_merges(ranges: DataFrame, merges: DataFrame, rounds: int = 100) -> DataFrame:
     """ranges (with ``range``) grown to hold every merge that they overlap, until nothing changes."""
     box = ["r0", "c0", "r1", "c1"]
-    out = ranges.select(*SHEET, "range", *box).checkpoint()
+    out = checkpoint(ranges.select(*SHEET, "range", *box))
     m = merges.select(*SHEET, *[F.col(c).alias(f"m_{c}") for c in box])
     for _ in range(rounds):
         hit = out.join(m, SHEET).where("r0 <= m_r1 AND m_r0 <= r1 AND c0 <= m_c1 AND m_c0 <= c1")
         grown = hit.groupBy(*SHEET, "range").agg(F.min("m_r0").alias("m_r0"), F.min("m_c0").alias("m_c0"), F.max("m_r1").alias("m_r1"), F.max("m_c1").alias("m_c1"))
         wider = {c: (F.least if c[1] == "0" else F.greatest)(F.col(c), F.coalesce(f"m_{c}", c)) for c in box}
-        step = out.join(grown, [*SHEET, "range"], "left").select(*SHEET, "range", *[F.col(c).alias(f"o_{c}") for c in box], *[wider[c].alias(c) for c in box]).checkpoint()
+        step = checkpoint(out.join(grown, [*SHEET, "range"], "left").select(*SHEET, "range", *[F.col(c).alias(f"o_{c}") for c in box], *[wider[c].alias(c) for c in box]))
         out = step.select(*SHEET, "range", *box)
         if step.where(" OR ".join(f"{c} != o_{c}" for c in box)).isEmpty():
             break
