@@ -8,24 +8,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.lineage import checkpoint, shared_folder
+
+__all__ = ["arrow_rows", "checkpoint", "documents", "drop_table", "only", "shared_folder", "table", "written"]
+
 #: So many document ids (8 bytes each) are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
 _written: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,12 +33,6 @@ def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small table; Spark deletes it when it is no longer used."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def drop_table(df_or_path, spark: SparkSession | None = None) -> None:
     """Delete a table of :func:`table` that nothing will read again."""
     spark = spark or df_or_path.sparkSession
