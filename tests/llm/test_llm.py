@@ -181,6 +181,28 @@ def test_pieces_round_trip(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in pieces.decode(best, pieces.default_model()).collect()) == collections.Counter((i, t or "") for i, t in EDGES)
 
 
+def test_pieces_are_the_models_own(spark):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = [(1, "the documentation of the library"), (2, "a  b "), (3, "ab\ncd 日本 \x00"), (4, ""), (5, "é▁b"), (6, "internationalisation " * 300)]
+    got = by_id(pieces.digests(table(spark, texts), pieces.default_model()))
+    for i, text in texts:
+        ids = own.encode(text)
+        assert (got[i]["n_pieces"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[i]["round_trip"] == ("▁" not in text) and got[i]["scores"] == sorted(got[i]["scores"], reverse=True)
+
+
+def test_segmentations_are_ranked_by_corpus_counts(spark):
+    docs = table(spark, [(i, "the documentation") for i in range(50)])
+    m = pieces.piece_model(pieces.default_model())
+    best = pieces.encode(docs, pieces.default_model()).first()["segmentations"][0]
+    assert [m.text[i] for i in np.frombuffer(best["ids"], "<u4")] == [b" the", b" documentation"]
+    counts = np.ones(m.processor.get_piece_size())
+    counts[m.processor.encode("the documentation")] += 50
+    assert best["score"] == pytest.approx(2 * np.log(51 / counts.sum()))
+
+
 def test_embedding_edges(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 12))
