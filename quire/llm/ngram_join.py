@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components, roots
 from quire.llm.kernels import U64, shingle_sets, text_buffer
-from quire.llm.shared import BROADCAST_IDS, arrow_rows, checkpoint, documents, only, table
+from quire.llm.shared import BROADCAST_IDS, ROW, arrow_rows, checkpoint, documents, numbered, only, table
 
 WORDS = 5
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -390,8 +390,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's id, with all columns."""
-    return only(docs, table(jaccard_components(docs).where("doc_id = component_id").select("doc_id"), "kept-ids"))[0]
+    """One row of each component, with all columns: the one with the smallest doc_id, a null doc_id last.
+
+    Rows are told apart by a key of their own, so repeated rows, rows that
+    share a doc_id and rows without one are near copies by their texts alone.
+    """
+    rows = numbered(docs)
+    found = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)).alias("first"))
+    return only(rows, table(first.select(f"first.{ROW}"), "kept-rows"), ROW)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

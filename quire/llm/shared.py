@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from quire.lineage import checkpoint, shared_folder
 
-__all__ = ["arrow_rows", "checkpoint", "documents", "drop_table", "only", "shared_folder", "table", "written"]
+__all__ = ["ROW", "arrow_rows", "checkpoint", "documents", "drop_table", "numbered", "only", "shared_folder", "table", "written"]
 
 #: So many document ids (8 bytes each) are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
+#: Column of row keys, see :func:`numbered`.
+ROW = "__quire_row"
+
 _written: list[str] = []
 
 
@@ -48,15 +51,20 @@ def written() -> list[str]:
     return list(_written)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``docs`` whose doc_id is in ``ids``, the other rows).
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``ROW`` of each row, written once, so that a row keeps its key however often it is read."""
+    return table(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose ``key`` is in ``ids``, the other rows).
 
     Up to ``BROADCAST_IDS`` ids are broadcast, so texts stay where they are;
     more are joined by a shuffle.
     """
     ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    same = docs["doc_id"].eqNullSafe(F.col("__id"))
+    same = docs[key].eqNullSafe(F.col("__id"))
     return docs.join(ids, same, "left_semi"), docs.join(ids, same, "left_anti")
 
 

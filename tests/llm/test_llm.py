@@ -272,6 +272,17 @@ def test_ngram_components(spark):
     assert got == jaccard(texts)
 
 
+def test_near_copies_are_judged_by_row(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcde"}
+    near = {c: t + " more" for c, t in text.items()}
+    rows = [(None, text["a"]), (None, text["b"]), (3, text["c"]), (None, near["c"]), (4, text["d"]), (4, text["d"]), (5, text["e"]), (4, near["e"]), (None, None), (None, "")]
+    docs = table(spark, rows)
+    got = ngram_join.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    kept = [(None, text["a"]), (None, text["b"]), (3, text["c"]), (4, text["d"]), (4, near["e"]), (None, None), (None, "")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(kept)
+
+
 def test_signature_trees_lose_no_link():
     rng = np.random.default_rng(3)
     sets = []
