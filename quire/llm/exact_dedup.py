@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.shared import documents, only, table
+from quire.llm.shared import ROW, documents, numbered, only, table
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -28,26 +28,27 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(text, WHITE_SPACE, "")
 
 
-def classes(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5, others: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of equal texts.
 
-    ``members``: doc_id, hash, digest, one row per input row.  ``classes``:
+    ``members``: doc_id, hash, digest, own_best and ``others``, one row per input row.  ``classes``:
     hash, digest, best, group_size, one row per distinct text; ``best`` orders
     rows by most code points, then smallest doc_id, in one fixed-width number,
     which keeps the aggregation hash-based.
     """
     norm = normalise(F.col("text"))
-    rows = documents(docs).select(
+    rows = documents(docs, others=others).select(
         "doc_id",
         content_hash(norm).alias("hash"),
         F.sha2(norm, 256).alias("digest"),
         norm.alias("norm"),
         ((_big(2**31) - F.length("text").cast("decimal(38,0)")) * _big(2**65) + F.coalesce(F.col("doc_id").cast("decimal(38,0)") + _big(2**63), _big(2**64))).cast("decimal(38,0)").alias("best"),
+        *others,
     )
     texts = rows.groupBy("hash", "digest", "norm").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("group_size"))
     one = texts.groupBy("hash", "digest").agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     clash = F.raise_error(F.lit("two texts share both content hash and SHA-256"))
-    return rows.select("doc_id", "hash", "digest"), one.withColumn("best", F.when(F.col("texts") == 1, F.col("best")).otherwise(clash)).drop("texts")
+    return rows.select("doc_id", "hash", "digest", F.col("best").alias("own_best"), *others), one.withColumn("best", F.when(F.col("texts") == 1, F.col("best")).otherwise(clash)).drop("texts")
 
 
 def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
@@ -66,8 +67,15 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all columns."""
-    return only(docs, table(exact_dedup(docs).where("kept").select("doc_id"), "kept-ids"))[0]
+    """One row of each group of equal texts, with all columns: the one that :func:`exact_dedup` keeps.
+
+    Rows are told apart by a key of their own, so of repeated rows one stays,
+    and rows that share a doc_id or have none are judged one by one.
+    """
+    rows = numbered(docs)
+    members, found = classes(rows, others=(ROW,))
+    first = members.join(found, ["hash", "digest"]).where("own_best = best").groupBy("hash", "digest").agg(F.min(ROW).alias(ROW))
+    return only(rows, table(first.select(ROW), "kept-rows"), ROW)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

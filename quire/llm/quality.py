@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import U64, chunks, mix, text_buffer, word_hashes
-from quire.llm.shared import checkpoint, documents, only, table
+from quire.llm.shared import ROW, checkpoint, documents, numbered, only, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
@@ -131,8 +131,8 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id") -> DataFrame:
     return rows.where(F.col(key) > high).unionByName(border)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """doc_id, log_weight, n_grams, key, kept; one row per input row.
+def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, log_weight, n_grams, key, kept and ``others``; one row per input row.
 
     Target: half of the documents labelled quality 1 and not toxic (the other
     half, with the bad ones, sets the cut); of the labels at most
@@ -141,8 +141,10 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     excess of the labelled cut plus Gumbel noise that depends on doc_id and
     seed alone; the k largest keys are kept, k being the number of documents
     above the cut.  Null and empty texts have no n-grams: they weigh nothing
-    and are never kept.  Repeated rows get the same key.  A document labelled
-    more than once counts as good only if all its labels say so.
+    and are never kept.  Repeated rows get the same key and flag; rows that
+    share a doc_id, or have none, with other texts are judged by their own
+    keys.  A document labelled more than once counts as good only if all its
+    labels say so.
     """
     marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     marks = F.broadcast(checkpoint(marks.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(labelled_rows)))
@@ -150,19 +152,20 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     # Half of the good documents make the target model, the other half, unseen by it, the cut.
     unseen = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 1
     ratios = log_ratios(count_grams(rows.select("text", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~unseen).alias("target")), buckets), buckets)
-    scored = table(score(documents(docs), ratios), "scores")
+    scored = table(score(documents(docs, others=others), ratios), "scores")
     cut = best_cut(scored.join(marks, "doc_id").where((F.col("quality") == 0) | unseen))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     margin = F.col("log_weight") - F.col("n_grams") * F.lit(cut)
     keyed = scored.withColumn("key", F.when(F.col("n_grams") > 0, margin - F.log(-F.log(uniform))))
     live = keyed.where("n_grams > 0")
-    kept = top_k(live, "key", live.where(margin >= 0).count()).select(F.col("doc_id").alias("__id"), F.lit(True).alias("__kept")).distinct()
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("__id")), "left").select("doc_id", "log_weight", "n_grams", "key", F.coalesce("__kept", F.lit(False)).alias("kept"))
+    kept = top_k(live, "key", live.where(margin >= 0).count()).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__kept")).distinct()
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["key"] == F.col("__key")), "left").select("doc_id", "log_weight", "n_grams", "key", F.coalesce("__kept", F.lit(False)).alias("kept"), *others)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, with all columns."""
-    return only(docs, table(classify(docs, labels).where("kept").select("doc_id"), "kept-ids"))[0]
+    """The rows of ``docs`` that :func:`classify` keeps, each by its own key, with all columns."""
+    rows = numbered(docs)
+    return only(rows, table(classify(rows, labels, others=(ROW,)).where("kept").select(ROW), "kept-rows"), ROW)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

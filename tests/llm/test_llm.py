@@ -149,6 +149,27 @@ def test_exact_dedup_collisions_and_edges(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()) == [3, 4, 5, 6, 9]
 
 
+def test_copies_are_dropped_by_row(spark):
+    docs = table(spark, [(1, "a b c"), (1, "a b c"), (2, "d e f"), (3, "g h i"), (3, "d e  f"), (None, "j k l"), (None, "a bc"), (None, "m n o"), (None, "m n o"), (4, None), (None, "")])
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    kept = [(1, "a b c"), (3, "d e  f"), (3, "g h i"), (None, "j k l"), (None, "m n o"), (4, None)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(kept)
+
+
+def test_good_documents_are_chosen_by_row(spark):
+    rng = random.Random(4)
+    text = lambda words: " ".join(rng.choices(words, k=200))
+    good, bad = WORDS, [w[::-1] + "x" for w in WORDS]
+    texts = [(i, text(good if i % 2 else bad)) for i in range(60)]
+    extra = [(None, text(good)), (None, text(bad)), (100, text(good)), (100, text(bad)), (1, texts[1][1])]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [*texts, *extra])
+    got = quality.keep_good(docs, labels)
+    assert got.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([t for t in texts if t[0] % 2] + [extra[0], extra[2], extra[4]])
+
+
 @pytest.mark.parametrize("text", ["the cat", "a  b", "  x", "x ", "é▁b", " ", "ab\ncd", "日 q", "hello"])
 def test_piece_search_against_all_paths(text):
     m = pieces.piece_model(pieces.default_model())
