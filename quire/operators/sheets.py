@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.components import components
 from quire.lineage import checkpoint
 from quire.schemas import MAX_COL, MAX_ROW
 
@@ -166,45 +167,49 @@ def clear_range(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     return joined.where("_hit IS NULL OR style IS NOT NULL").withColumn("num", F.when(F.col("_hit").isNull(), F.col("num"))).drop("_hit")
 
 
-def regions(cells: DataFrame, rounds: int = 200) -> DataFrame:
+def regions(cells: DataFrame) -> DataFrame:
     """r0, c0, r1, c1 of each 4-connected block of stored cells.
 
-    Rows are cut into runs first; runs of neighbouring rows that touch take the
-    least label of their neighbours until nothing changes.
+    Rows are cut into runs first; runs of neighbouring rows that touch are
+    linked, and blocks are the components of these links.
     """
     runs = content_runs(cells, "col").groupBy(*SHEET, "row", "run_start").agg(F.max("run_end").alias("run_end"))
-    runs = checkpoint(runs.withColumn("label", F.struct("row", "run_start")))
-    below = runs.select(*SHEET, (F.col("row") - 1).alias("row"), F.col("run_start").alias("b_start"), F.col("run_end").alias("b_end"))
-    touch = runs.join(below, [*SHEET, "row"]).where("run_start <= b_end AND b_start <= run_end").select(*SHEET, F.struct("row", "run_start").alias("a"), F.struct((F.col("row") + 1).alias("row"), F.col("b_start").alias("run_start")).alias("b"))
-    links = checkpoint(touch.unionByName(touch.select(*SHEET, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = runs.select(*SHEET, F.struct("row", "run_start").alias("a"), "label")
-    for _ in range(rounds):
-        seen = links.join(labels.select(*SHEET, F.col("a").alias("b"), F.col("label").alias("other")), [*SHEET, "b"]).groupBy(*SHEET, "a").agg(F.min("other").alias("other"))
-        # a label's own label is as good: this halves the way that is left
-        step = labels.join(seen, [*SHEET, "a"], "left").select(*SHEET, "a", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("label"))
-        up = step.select(*SHEET, F.col("a").alias("label"), F.col("label").alias("up"))
-        step = checkpoint(step.join(up, [*SHEET, "label"], "left").select(*SHEET, "a", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = step.drop("old")
-        if step.where("old != label").isEmpty():
-            break
-    boxed = runs.drop("label").join(labels.select(*SHEET, F.col("a.row").alias("row"), F.col("a.run_start").alias("run_start"), "label"), [*SHEET, "row", "run_start"])
-    return boxed.groupBy(*SHEET, "label").agg(F.min("row").alias("r0"), F.min("run_start").alias("c0"), F.max("row").alias("r1"), F.max("run_end").alias("c1")).drop("label")
-
-
-def expand_merges(ranges: DataFrame, merges: DataFrame, rounds: int = 100) -> DataFrame:
-    """ranges (with ``range``) grown to hold every merge that they overlap, until nothing changes."""
+    runs = checkpoint(runs.withColumn("run", F.monotonically_increasing_id()))
+    below = runs.select(*SHEET, (F.col("row") - 1).alias("row"), F.col("run_start").alias("b_start"), F.col("run_end").alias("b_end"), F.col("run").alias("b"))
+    touch = runs.join(below, [*SHEET, "row"]).where("run_start <= b_end AND b_start <= run_end").select("run", "b")
+    block = components(touch).select(F.col("node").alias("run"), "component")
+    boxed = runs.join(block, "run", "left").withColumn("component", F.coalesce("component", "run"))
+    return boxed.groupBy(*SHEET, "component").agg(F.min("row").alias("r0"), F.min("run_start").alias("c0"), F.max("row").alias("r1"), F.max("run_end").alias("c1")).drop("component")
+
+
+def expand_merges(ranges: DataFrame, merges: DataFrame) -> DataFrame:
+    """ranges (with ``range``) grown to hold every merge that they overlap, until nothing changes.
+
+    The ranges and merges of a sheet meet in one task; each step of a range
+    takes in at least one more merge.
+    """
+    import numpy as np
+    import pandas as pd
+
     box = ["r0", "c0", "r1", "c1"]
-    out = checkpoint(ranges.select(*SHEET, "range", *box))
-    m = merges.select(*SHEET, *[F.col(c).alias(f"m_{c}") for c in box])
-    for _ in range(rounds):
-        hit = out.join(m, SHEET).where("r0 <= m_r1 AND m_r0 <= r1 AND c0 <= m_c1 AND m_c0 <= c1")
-        grown = hit.groupBy(*SHEET, "range").agg(F.min("m_r0").alias("m_r0"), F.min("m_c0").alias("m_c0"), F.max("m_r1").alias("m_r1"), F.max("m_c1").alias("m_c1"))
-        wider = {c: (F.least if c[1] == "0" else F.greatest)(F.col(c), F.coalesce(f"m_{c}", c)) for c in box}
-        step = checkpoint(out.join(grown, [*SHEET, "range"], "left").select(*SHEET, "range", *[F.col(c).alias(f"o_{c}") for c in box], *[wider[c].alias(c) for c in box]))
-        out = step.select(*SHEET, "range", *box)
-        if step.where(" OR ".join(f"{c} != o_{c}" for c in box)).isEmpty():
-            break
-    return out
+    own = ranges.select(*SHEET, "range", *[F.col(c).cast("long").alias(c) for c in box])
+
+    def grow(frame: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        merged, grown = held[box].to_numpy(dtype=np.int64), []
+        for r0, c0, r1, c1 in frame[box].to_numpy(dtype=np.int64).tolist():
+            left = merged
+            while True:
+                hit = (left[:, 0] <= r1) & (left[:, 2] >= r0) & (left[:, 1] <= c1) & (left[:, 3] >= c0)
+                if not hit.any():
+                    break
+                low, high, left = left[hit].min(axis=0), left[hit].max(axis=0), left[~hit]
+                r0, c0, r1, c1 = min(r0, int(low[0])), min(c0, int(low[1])), max(r1, int(high[2])), max(c1, int(high[3]))
+            grown.append((r0, c0, r1, c1))
+        out = frame[[*SHEET, "range"]].copy()
+        out[box] = np.array(grown, dtype=np.int64).reshape(-1, 4)
+        return out
+
+    return own.groupBy(*SHEET).cogroup(merges.select(*SHEET, *box).groupBy(*SHEET)).applyInPandas(grow, own.schema)
 
 
 def print_titles(names: DataFrame) -> DataFrame:

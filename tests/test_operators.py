@@ -39,6 +39,20 @@ def test_expand_merges(spark, rows):
     assert rows(sheets.expand_merges(start, merges), "r0", "c0", "r1", "c1") == [(0, 0, 2, 2)]
 
 
+def test_regions_high_u(spark, rows):
+    u = [(r, c) for r in range(500) for c in (0, 2)] + [(499, 1)]
+    assert rows(sheets.regions(cells(spark, [(*p, 1.0) for p in u])), "r0", "c0", "r1", "c1") == [(0, 0, 499, 2)]
+
+
+def test_expand_long_chains(spark, rows):
+    box = "book string, sheet string, range long, r0 long, c0 long, r1 long, c1 long"
+    chain = [("b", "chain", k, k, k % 2, k + 1, k % 2 + 1) for k in range(300)]
+    bricks = [("b", "bricks", k, k, k % 2, k + 1, k % 2) for k in range(300)]
+    merges = spark.createDataFrame(chain + bricks, box.replace("range", "merge"))
+    start = spark.createDataFrame([("b", "chain", 1, 0, 0, 0, 0), ("b", "bricks", 2, 0, 0, 0, 1), ("b", "bricks", 3, 400, 0, 401, 1), ("b", "bare", 4, 1, 1, 2, 2)], box)
+    assert rows(sheets.expand_merges(start, merges), "range", "r0", "c0", "r1", "c1") == [(1, 0, 0, 300, 2), (2, 0, 0, 300, 1), (3, 400, 0, 401, 1), (4, 1, 1, 2, 2)]
+
+
 def test_page_bands(spark, rows):
     dims = spark.createDataFrame([("b", "s", i, 30.0) for i in range(10)], "book string, sheet string, idx long, size double")
     assert rows(sheets.page_bands(dims, 100.0), "first", "last") == [(0, 2), (3, 5), (6, 8), (9, 9)]
