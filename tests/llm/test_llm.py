@@ -195,6 +195,25 @@ def test_piece_search_against_all_paths(text):
     assert all(m.decode(x).decode() == text for _, x in got)
 
 
+@pytest.mark.parametrize("batched, memory", [(24, 250_000_000), (3, 250_000_000), (24, 0)])
+def test_scores_of_texts_against_the_search(monkeypatch, batched, memory):
+    monkeypatch.setattr(pieces, "_BATCHED", batched)
+    monkeypatch.setattr(pieces, "CACHE_BYTES", memory)
+    monkeypatch.setattr(pieces, "_WORDS", 7)
+    rng = random.Random(1)
+    m = pieces.PieceModel(pieces.default_model())
+    texts = ["".join(rng.choices("abé the in▁ \n日q\U0001f600", k=rng.randrange(1, 60))) for _ in range(60)] + ["", "x" * 400, "日本" * 60]
+    for text, (ids, scores) in zip(texts, m.texts(texts)):
+        want = [s for s, _ in m.search(f" {text}")] if text else [0.0]
+        assert scores == pytest.approx(want) and ids == m.own.whole(text)
+        assert [s for s, _ in m.encode([text])[0]] == pytest.approx(want)
+
+
+def test_decoding_bad_ids(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, bytearray(), 5), (3, bytearray(np.array([70_000, 2**32 - 1], "<u4").tobytes()), 5), (4, bytearray(b"\x01"), 5)], "doc_id long, ids binary, text long")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(rows, pieces.default_model()).collect()} == {1: None, 2: "", 3: "", 4: ""}
+
+
 def test_pieces_round_trip(spark):
     docs = table(spark, EDGES)
     assert all(r["round_trip"] for r in pieces.digests(docs, pieces.default_model()).collect())
@@ -349,6 +368,60 @@ def test_secrets(spark):
     assert clean[1] is None and clean[5] == "see [secret] here" and clean[8] == "Passwd:short1" and "zz/yy" not in clean[7] and clean[3].startswith("é [secret] ")
 
 
+def test_battery_against_numpy(spark):
+    rng = random.Random(9)
+    values = ["".join(rng.choices(a, k=n)) for a in (secret_scan.BASE64, secret_scan.DIGITS, "abcdef0", "ab", "Aa1") for n in (20, 33, 70)] + ["a" * 25, "0123456789" * 3, "ABCDEFGHIJKLMNOPQRSTUVWX", "ab" * 15]
+
+    def tail(z):
+        far = lambda a: np.exp(-a * a / 2) / ((0.661 * a + 0.339 * np.sqrt(a * a + 5.51)) * np.sqrt(2 * np.pi))
+        return far(z) if z >= 0 else 1 - far(-z)
+
+    both = lambda z: min(1.0, 2 * tail(abs(z)))
+    want = []
+    for v in values:
+        alphabet = next(a for p, a in secret_scan.ENCODINGS if re.match(p, v))
+        c = np.array([alphabet.index(x) for x in v], float)
+        n, k = len(c), len(alphabet)
+        x = (np.bincount(c.astype(int), minlength=k) ** 2).sum() * k / n - n
+        d = 9 * (k - 1)
+        p1 = both(((x / (k - 1)) ** (1 / 3) - (1 - 2 / d)) / (2 / d) ** 0.5)
+        high = c >= k / 2
+        n1 = int(high.sum())
+        cross, seen = 2 * n1 * (n - n1), 1 + int((high[1:] != high[:-1]).sum())
+        p2 = both((seen - cross / n - 1) / max(1e-9, cross * (cross - n) / (n * n * (n - 1))) ** 0.5) if cross > n else 2.0 ** (1 - n)
+        m = c - c.mean()
+        p3 = both(((m[1:] * m[:-1]).sum() / (m * m).sum() + 1 / n) * n**0.5) if m.any() else float(k) ** (1 - n)
+        want.append(min(1.0, 3 * min(p1, p2, p3)))
+    got = [r["p"] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", secret_scan.battery(F.col("v")).alias("p")).orderBy("i").collect()]
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_planted_keys_and_look_alikes(spark):
+    """Random keys of every encoding are found, behind paths too; structured strings and the corpus are not."""
+    rng = random.Random(3)
+    rows, place = [], {}
+    for alphabet in (secret_scan.BASE64[:62], "0123456789ABCDEF", secret_scan.BASE64, secret_scan.LOWER, secret_scan.LOWER + secret_scan.DIGITS, secret_scan.UPPER + "234567"):
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(4):
+                before = "see " if alphabet == secret_scan.BASE64 else rng.choice(["see ", "x /account/settings/profile/reset-password/", "password=hunter2hunter2 /v1/"])
+                rows.append((10**6 + len(rows), before + "".join(rng.choices(alphabet, k=n)) + " here"))
+                place[rows[-1][0]] = f"random:{len(before)}:{len(before) + n}"
+    look = "internationalization Donaudampfschifffahrtsgesellschaft my_very_long_identifier_name_here /usr/local/share/applications/default XMLHttpRequestFactoryBeanDefinition 2024-01-31-12-00-00-123456 IMG_20240131_123456789 abcdefghijklmnopqrstuvwxyz0123456789 ============================= THIS_IS_A_CONSTANT_NAME_IN_CODE 1234567890123456789012 abababababababababababab some-long-slug-for-a-blog-post-about-cats QWERTYUIOPASDFGHJKLZXCVBNM"
+    rows += [(2 * 10**6 + i, f"see {x} here") for i, x in enumerate(look.split())]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.secret_scan(docs).where("spans LIKE '%random%'").collect()}
+    # a key that ends up under a base span, or whose whole run is reported, counts too
+    ends = lambda k: any(s.rsplit(":", 1)[1] == place[k].rsplit(":", 1)[1] for s in got.get(k, []))
+    assert np.mean([ends(k) for k in place]) >= 0.9
+    assert not [k for k in got if k not in place]
+
+
+def test_redaction_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x password=abcdefgh1 y", 5, "b", None)], "doc_id long, text string, __base long, __spans string, __merged string")
+    r = secret_scan.redact(docs)
+    assert r.columns == docs.columns and [tuple(x) for x in r.collect()] == [(1, "x [secret] y", 5, "b", None)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
