@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ START, LINE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 _CONTROL = re.compile(rb"<\\*\|")
 _ESCAPED = re.compile(rb"<\\(\\*\|)")
 
+#: Bytes of text formatted at once, or one turn.
+BATCH_BYTES = 128 << 20
+#: First characters of texts that deal out the rows of a tie.
+TIE = 64
+
 PARTS = "conv_id long, part long, n_turns int, formatted binary, loss_starts array<long>, loss_ends array<long>"
 
 
@@ -62,6 +68,16 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, edges[::5], begin[:, 3], begin[:, 3] + widths[:, 3]
 
 
+def bounded(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch (text last) in slices of at most ``most`` bytes of text, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Formatted parts: conv_id, part, n_turns, formatted, loss_starts, loss_ends.
 
@@ -72,15 +88,14 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     written.  Null roles and texts are empty; a null conv_id is a conversation
     of its own.  Other columns are ignored; an empty table gives no rows.
     """
-    role = F.replace(F.replace(F.coalesce("role", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
+    own = F.coalesce("role", F.lit(""))
+    role = F.replace(F.replace(own, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.coalesce("text", F.lit("")).alias("text"), own.alias("own"))
+    order = ["conv_id", "turn", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32  # range partitions are in order, and so are batches
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in bounded(whole)):
             conv = batch.column(0)
             ids, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
@@ -95,7 +110,8 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
             yield pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(part + np.arange(len(first))), pa.array((ends - first).astype(np.int32)), data.cast(pa.binary()), *spans], names=["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"])
             part += len(first)
 
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text").mapInArrow(run, PARTS)
+    # Equal beginnings stay together, so the whole texts order a tie inside one partition.
+    return rows.repartitionByRange(*order, F.substring("text", 1, TIE)).sortWithinPartitions(*order, "text").select("conv_id", "turn", "role", "text").mapInArrow(run, PARTS)
 
 
 def read_turns(formatted: bytes) -> list[tuple[str, str]]:

@@ -25,16 +25,18 @@ SEQUENCE = 2048
 OPEN_BINS = 4096
 #: Pieces of one packer that are looked at together, longest first.
 LOOK_AHEAD = 16384
+#: A column of the packer's number while rows are dealt out.
+_PACKER = "__quire_packer"
 TOKENS_PER_PACKER = 1 << 26
 #: Distinct words kept with their ids during a task (about 200 MB).
 CACHE_WORDS = 1_000_000
 #: White space around a space, where a cut before that space could split a token.
-_ODD = re.compile(r"\s \s|\s $")
+_ODD = r"\s \s|\s $"
 
 # Fixed value: how this byte-level vocabulary cuts a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encoders: dict[str, "_Encoder"] = {}
+_encoders: dict[tuple[str, bool], "_Encoder"] = {}
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -52,9 +54,12 @@ class _Encoder:
     word is encoded once, by tiktoken over the vocabulary of the tokenizers
     file (ids are in merge order there, so the ids are the same, six times as
     fast).  Texts with irregular white space go to tokenizers whole.
+
+    The string of a special token in a text is that token, as tokenizers has
+    it; with ``plain_specials`` it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         import json
         import os
 
@@ -63,10 +68,12 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", [])}
+        #: Texts with one of these go to tokenizers whole.
+        self.odd = re.compile("|".join([_ODD, *([] if plain_specials else map(re.escape, sorted(special)))]))
         symbols = _byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.plain = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -95,7 +102,7 @@ class _Encoder:
             self.words.clear()
         words = self.words
         out: list[bytes] = []
-        cut = [None if _ODD.search(text) else text.split(" ") for text in texts]
+        cut = [None if self.odd.search(text) else text.split(" ") for text in texts]
         need = set().union(*[parts[1:] for parts in cut if parts]) - words.keys()
         if need:
             self.learn(list(need))
@@ -106,22 +113,24 @@ class _Encoder:
         return out
 
 
-def encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain_specials: bool = False) -> _Encoder:
+    key = path, plain_specials
+    if key not in _encoders:
+        _encoders[key] = _Encoder(path, plain_specials)
+    return _encoders[key]
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQUENCE) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 0, longest: int = SEQUENCE, plain_specials: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian uint32), one row per piece.
 
     Every document is its ids and then ``end_id``; null text is empty, so it is
     one piece of length 1.  Only longer ones are cut, into pieces of
-    ``longest`` of which the first may be shorter.
+    ``longest`` of which the first may be shorter.  ``plain_specials``: see
+    :class:`_Encoder`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        own, end = encoder(tokenizer, plain_specials), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -187,14 +196,14 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, to
         packer, held, rows = None, [], 0
 
         def placed() -> pd.DataFrame:
-            frame = pd.concat(held).sort_values("length", ascending=False, kind="stable").drop(columns="__packer")
+            frame = pd.concat(held).sort_values("length", ascending=False, kind="stable").drop(columns=_PACKER)
             places = [packer.place(n) for n in frame["length"].tolist()]
             frame["sequence_id"], frame["offset"] = np.array(places, dtype=np.int64).reshape(-1, 2).T
             return frame
 
         for frame in frames:
             if packer is None and len(frame):
-                packer = Packer(size, open_bins, int(frame["__packer"].iloc[0]) << 40)
+                packer = Packer(size, open_bins, int(frame[_PACKER].iloc[0]) << 40)
             held.append(frame)
             rows += len(frame)
             if rows >= LOOK_AHEAD:
@@ -205,7 +214,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS, to
 
     fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
     # Rows are dealt out evenly and sorted, so a task that runs again packs the same way.
-    dealt = pieces.repartition(packers).sortWithinPartitions(*pieces.columns).withColumn("__packer", F.spark_partition_id())
+    dealt = pieces.repartition(packers).sortWithinPartitions(*pieces.columns).withColumn(_PACKER, F.spark_partition_id())
     return dealt.mapInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
@@ -219,9 +228,13 @@ def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     return pack(table(pieces, "pieces"))
 
 
-def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """sequence_id, ids (binary): the packed sequences, from pieces with ids and their places."""
-    rows = pieces.select("doc_id", "piece", "ids").join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
+def sequences(placed: DataFrame) -> DataFrame:
+    """sequence_id, ids (binary): the packed sequences, from the output of :func:`pack` over pieces with ids.
+
+    An empty table gives no rows; repeated and null doc_ids do no harm, as
+    pieces carry their places.
+    """
+    rows = placed.select("sequence_id", "offset", "ids")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # bounded: a sequence holds SEQUENCE pieces at most
     return rows.groupBy("sequence_id").agg(F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 

@@ -88,13 +88,13 @@ def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def best_cut(scored: DataFrame) -> float:
-    """The log-weight per n-gram that best separates labelled good from bad documents.
+    """The log-weight per n-gram that best separates labelled good from bad documents (one row per doc_id).
 
     Both kinds count the same, however many there are.  Without labels of both
     kinds the cut is 0, where a document is as likely under either model.
     """
-    rows = scored.where("quality IS NOT NULL").select((F.col("log_weight") / F.greatest(F.lit(1), F.col("n_grams"))).alias("w"), (F.col("quality") == 1).alias("good"))
-    rows = rows.toPandas()  # LABELLED_ROWS at most
+    rows = scored.where("quality IS NOT NULL").select("doc_id", (F.col("log_weight") / F.greatest(F.lit(1), F.col("n_grams"))).alias("w"), (F.col("quality") == 1).alias("good"))
+    rows = rows.groupBy("doc_id").agg(F.min("w").alias("w"), F.min("good").alias("good")).toPandas()  # one row per labelled id, LABELLED_ROWS at most
     good = rows["good"].to_numpy(dtype=bool)
     if not good.any() or good.all():
         return 0.0
@@ -107,7 +107,7 @@ def best_cut(scored: DataFrame) -> float:
 
 
 def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id") -> DataFrame:
-    """The k rows with the largest ``key``, ties by smallest ``tie``, by counting.
+    """The k rows with the largest ``key``, ties by smallest ``tie``, by counting; rows repeated at the k-th key come once.
 
     The k-th key is closed in by histograms of fixed size, so nothing is sorted
     as a whole and no row reaches the driver but bin counts.
@@ -127,18 +127,21 @@ def top_k(rows: DataFrame, key: str, k: int, tie: str = "doc_id") -> DataFrame:
         above, low, high = int(total[i] - bins["n"].iloc[i]), float(bins["low"].iloc[i]), float(bins["high"].iloc[i])
         if total[i] == k:
             return rows.where(F.col(key) >= low)
-    border = rows.where(F.col(key).between(low, high)).orderBy(F.desc(key), tie).limit(k - above)
+    border = rows.where(F.col(key).between(low, high)).distinct().orderBy(F.desc(key), tie).limit(k - above)
     return rows.where(F.col(key) > high).unionByName(border)
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int = BUCKETS, labelled_rows: int = LABELLED_ROWS, others: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, log_weight, n_grams, key, kept and ``others``; one row per input row.
 
-    Target: half of the documents labelled quality 1 and not toxic (the other
-    half, with the bad ones, sets the cut); of the labels at most
-    ``labelled_rows`` are used, chosen by hash.  All documents count as raw.  Words are runs of
+    Target: half of the documents labelled quality 1 and not toxic; the other
+    half, against those labelled bad, sets the cut (toxic ones labelled quality
+    1 are in neither).  Of the labels at most ``labelled_rows`` are used,
+    chosen by hash.  All documents count as raw.  Words are runs of
     other than ``[\\x20\\x09-\\x0D]``, A-Z folded.  The key is the log-weight in
-    excess of the labelled cut plus Gumbel noise that depends on doc_id and
+    excess of the labelled cut per n-gram (the target model comes from few
+    documents, so its log-ratio is low by about that much for each n-gram of
+    any text, and long good texts would weigh least) plus Gumbel noise that depends on doc_id and
     seed alone; the k largest keys are kept, k being the number of documents
     above the cut.  Null and empty texts have no n-grams: they weigh nothing
     and are never kept.  Repeated rows get the same key and flag; rows that
@@ -153,7 +156,8 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = SEED, buckets: int
     unseen = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)) == 1
     ratios = log_ratios(count_grams(rows.select("text", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & ~unseen).alias("target")), buckets), buckets)
     scored = table(score(documents(docs, others=others), ratios), "scores")
-    cut = best_cut(scored.join(marks, "doc_id").where((F.col("quality") == 0) | unseen))
+    clean = F.coalesce("toxic", F.lit(0)) == 0
+    cut = best_cut(scored.join(marks, "doc_id").where((F.col("quality") == 0) | (clean & unseen)))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     margin = F.col("log_weight") - F.col("n_grams") * F.lit(cut)
     keyed = scored.withColumn("key", F.when(F.col("n_grams") > 0, margin - F.log(-F.log(uniform))))

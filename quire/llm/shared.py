@@ -62,9 +62,10 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFram
     Up to ``BROADCAST_IDS`` ids are broadcast, so texts stay where they are;
     more are joined by a shuffle.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    own = f"__{uuid.uuid4().hex}"  # no column of docs has this name
+    ids = ids.select(F.col(ids.columns[0]).alias(own)).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    same = docs[key].eqNullSafe(F.col("__id"))
+    same = F.col(key).eqNullSafe(F.col(own))
     return docs.join(ids, same, "left_semi"), docs.join(ids, same, "left_anti")
 
 

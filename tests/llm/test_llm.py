@@ -70,6 +70,20 @@ def test_chat_round_trip(spark):
         assert back[c] == [(["user", "assistant", "a\\n\nb"][k % 3], t or "") for k, t in enumerate(texts) if k % 3 == c]
 
 
+def test_ties_of_a_turn_go_by_text(spark):
+    rows = [(1, 0, "user", t) for t in "hgfedcba"] + [(1, 0, "assistant", "z"), (1, None, "user", "first"), (None, 0, "user", "q" * 100 + "b"), (None, 0, "user", "q" * 100 + "a")]
+    parts = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    got = {c: [t for p in sorted((p for p in parts if p["conv_id"] == c), key=lambda p: p["part"]) for _, t in chat_format.read_turns(bytes(p["formatted"]))] for c in (1, None)}
+    assert got == {1: ["first", "z", *"abcdefgh"], None: ["q" * 100 + "a", "q" * 100 + "b"]}
+
+
+def test_long_batches_are_formatted_in_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a", None, "b" * 50, "c", "d" * 5, "e"])], names=["i", "text"])
+    assert [b.num_rows for b in chat_format.bounded(batch, 6)] == [2, 1, 2, 1]
+
+
 @pytest.mark.parametrize("bits", [1, 2, 12])
 def test_bloom_cascade_is_exact(spark, bits):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
@@ -106,6 +120,39 @@ def test_top_k_by_counting(spark):
         assert {r["doc_id"] for r in quality.top_k(rows, "key", k).collect()} == want
 
 
+def test_sample_against_brute_force(spark):
+    """Ratios, weights, keys and sample from counts in plain Python."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choices(WORDS if i % 3 else [w[::-1] for w in WORDS], k=rng.randrange(3, 40)))) for i in range(90)]
+    marks = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 90, 2)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = by_id(quality.classify(table(spark, docs), labels))
+    hashes = {r["id"]: (r["u"], r["half"]) for r in spark.range(90).select("id", F.pmod(F.xxhash64(F.lit(quality.SEED), "id"), F.lit(1 << 52)).alias("u"), F.pmod(F.xxhash64(F.lit(quality.SEED + 1), "id"), F.lit(2)).alias("half")).collect()}
+    own = {i: quality.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist() for i, t in docs}
+    good = {i for i, q, t in marks if q == 1 and t == 0}
+    raw = collections.Counter(g for v in own.values() for g in v)
+    target = collections.Counter(g for i in good if hashes[i][1] == 0 for g in own[i])
+    p = lambda c, g: np.log((c[g] + 1) / (sum(c.values()) + quality.BUCKETS))
+    weight = {i: sum(p(target, g) - p(raw, g) for g in v) for i, v in own.items()}
+    assert {i: r["log_weight"] for i, r in got.items()} == pytest.approx(weight, abs=1e-6)
+    judged = sorted((weight[i] / len(own[i]), i in good) for i, q, t in marks if q == 0 or (i in good and hashes[i][1] == 1))
+    bad_n, good_n = sum(not g for _, g in judged), sum(g for _, g in judged)
+    rate = [sum(not g for _, g in judged[:k]) / bad_n + sum(g for _, g in judged[k:]) / good_n for k in range(len(judged) + 1)]
+    k = int(np.mean([i for i, x in enumerate(rate) if x == max(rate)]))
+    cut = (judged[max(k - 1, 0)][0] + judged[min(k, len(judged) - 1)][0]) / 2
+    key = {i: weight[i] - len(own[i]) * cut - np.log(-np.log((hashes[i][0] + 0.5) / 2**52)) for i in own}
+    assert {i: r["key"] for i, r in got.items()} == pytest.approx(key, abs=1e-6)
+    n = sum(weight[i] - len(own[i]) * cut >= -1e-9 for i in own)
+    assert {i for i, r in got.items() if r["kept"]} == set(sorted(key, key=key.get, reverse=True)[:n])
+
+
+def test_repeated_rows_do_not_count_in_the_cut(spark):
+    rows = spark.createDataFrame([(1, 0.5 * 10, 10, 1)] + [(2, -4.0, 10, 0)] * 50, "doc_id long, log_weight double, n_grams long, quality int")
+    assert quality.best_cut(rows) == pytest.approx(0.05)
+    tied = spark.createDataFrame([(i % 3, 1.0) for i in range(60)] + [(9, 2.0)], "doc_id long, key double")
+    assert sorted(r["doc_id"] for r in quality.top_k(tied, "key", 2).collect()) == [0, 9]
+
+
 def test_quality_edges(spark):
     got = quality.classify(table(spark, EDGES), spark.createDataFrame([(4, 1, 0), (4, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(EDGES) and not any(r["kept"] for r in got if r["doc_id"] in (1, 2, 3))
@@ -116,8 +163,8 @@ def test_packing(spark):
 
     rng = random.Random(5)
     texts = [(i, t) for i, t in EDGES if i is not None] + [(100 + i, " ".join(rng.choice(WORDS) + rng.choice(["", ".", "  x", "\n", "\t y"]) for _ in range(rng.randrange(3000)))) for i in range(25)]
+    texts += [(200, "a <|endoftext|> b  <|endoftext|>"), (201, "<|endoftext|>")]
     plain = Tokenizer.from_file(packing.default_tokenizer())
-    plain.encode_special_tokens = True
     rows = packing.pack_documents(table(spark, texts), packing.default_tokenizer()).toPandas()
     for doc_id, text in texts:
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
@@ -131,6 +178,23 @@ def test_packing(spark):
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 2048) + 1
 
 
+def test_sequences_hold_the_pieces(spark):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "one two"), (1, "three"), (None, "four <|endoftext|>"), (4, None), (5, "five " * 30)]
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    plain.encode_special_tokens = True
+    pieces_ = packing.tokenise(table(spark, texts), packing.default_tokenizer(), longest=16, plain_specials=True).withColumn("__packer", F.lit("clash"))
+    got = packing.sequences(packing.pack(pieces_, size=16)).collect()
+    assert all(len(r["ids"]) <= 64 for r in got)
+    ids = [np.frombuffer(r["ids"], "<u4").tolist() for r in got]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for _, t in texts]
+    assert sorted(x for s in ids for x in s) == sorted(x for w in want for x in w)
+    flat = [",".join(map(str, s)) for s in ids]
+    assert all(any(",".join(map(str, w)) in f for f in flat) for w in want if len(w) <= 16)
+    assert packing.sequences(packing.pack(pieces_.limit(0), size=16)).count() == 0
+
+
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2, 0)
     assert [p.place(n) for n in (6, 7)] == [(0, 0), (1, 0)]
