@@ -10,16 +10,23 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), the context's folder, or a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, else the folder that was set on the context.
+
+    Where neither is set, a temporary folder serves a Spark that runs in one
+    machine (``local``); on a cluster executors would not share it, so that is
+    an error.
+    """
     context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir().isDefined()
+    already = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (already.get() if already.isDefined() else None)
     if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = context.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quire-shared-")
         folder = _own[app]
-    if not set_already:
+    if not already.isDefined():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
