@@ -19,7 +19,9 @@ CHUNK_BYTES = 1 << 20
 # Worker processes give memory of large batches back at once.
 pa.set_memory_pool(pa.system_memory_pool())
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Multiplier of a second, independent hash.
+OTHER_MULTIPLIER = 0xD6E8FEB86659FD93
+_powers: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
 
 def byte_values(seed: int, fold_case: bool = False) -> np.ndarray:
@@ -30,18 +32,17 @@ def byte_values(seed: int, fold_case: bool = False) -> np.ndarray:
     return values
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``MULTIPLIER**i`` and its inverse for i < n, grown on demand."""
+def powers(n: int, multiplier: int = MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
+    """``multiplier**i`` and its inverse for i < n, grown on demand."""
     size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    if multiplier not in _powers or _powers[multiplier][0] != size:
         pair = []
-        for base in (MULTIPLIER, pow(MULTIPLIER, -1, 2**64)):
+        for base in (multiplier, pow(multiplier, -1, 2**64)):
             steps = np.full(size, base, dtype=U64)
             steps[0] = 1
             pair.append(np.multiply.accumulate(steps))
-        _powers[size] = (pair[0], pair[1])
-    return _powers[size]
+        _powers[multiplier] = (size, pair[0], pair[1])
+    return _powers[multiplier][1:]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -133,6 +134,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[n
 
 
 _BYTE = byte_values(23)
+_OTHER_BYTE = byte_values(29)
 _POSITION_BITS = 21
 #: Bytes of one scan; longer buffers are scanned in overlapping segments.
 SEGMENT = 1 << _POSITION_BITS
@@ -149,14 +151,20 @@ def segments(offsets: np.ndarray, window: int):
                 yield at, min(at + SEGMENT, high), i, j
 
 
-def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which :func:`slice_hash` takes the hash of any slice."""
-    up, down = powers(len(raw) + 1)
+def prefix_sums(raw: np.ndarray, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which :func:`slice_hash` takes the hash of any slice; ``other``: of the second hash."""
+    up, down = powers(len(raw) + 1, OTHER_MULTIPLIER if other else MULTIPLIER)
     sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum((_OTHER_BYTE if other else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
     return sums, down
 
 
+def heads(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that sorts like them."""
+    eight = raw[at[:, None] + np.arange(8)]
+    return (np.ascontiguousarray(eight).view(">u8").ravel().astype(U64) ^ U64(1 << 63)).view(np.int64)
+
+
 def slice_hash(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[begin]) * down[begin]
 
@@ -166,11 +174,11 @@ def anchors(raw: np.ndarray, cuts: np.ndarray, window: int, gram: int) -> tuple[
 
     A window's anchor is its ``gram``-byte string with the least hash, the
     leftmost of equals, so equal windows have equal anchors at equal places.
-    Returns per run of windows with one anchor: hash of the anchor, hash of the
-    run's whole stretch (with the anchor's place in it), first window, number
-    of windows.  ``window - gram + 1`` must be a power of two.
+    Returns per run of windows with one anchor: hash of the anchor, its place,
+    first window, number of windows.  ``window - gram + 1`` must be a power of
+    two.
     """
-    none = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64))
     if len(raw) < window:
         return none
     sums, down = prefix_sums(raw)
@@ -192,7 +200,4 @@ def anchors(raw: np.ndarray, cuts: np.ndarray, window: int, gram: int) -> tuple[
     first = np.flatnonzero(fresh)
     if not len(first):
         return none
-    count = np.add.reduceat(inside.astype(np.int64), first)
-    last = first + count - 1
-    stretch = slice_hash(sums, down, first, last + window)
-    return grams[at[first]], mix(stretch ^ mix((count << 16 | (at[first] - first)).astype(U64))), first, count
+    return grams[at[first]], at[first], first, np.add.reduceat(inside.astype(np.int64), first)

@@ -4,19 +4,27 @@ A byte is removed if a 200-byte string over it starts anywhere else in the
 corpus.  A full suffix array has an entry per byte; here only the suffixes that
 start at *anchors* are kept, about one in 64.  Every 200-byte window has one
 anchor, found from its own bytes alone, so equal windows have equal anchors at
-equal places, and nothing is lost.  Entries are ordered by a 64-bit hash of
-their first 73 bytes.
-
-The corpus comes in batches.  Each batch gets its own array; two arrays of the
-same rank are merge-scanned (equal anchors meet, their counts add up: the
-matches) into one of the next rank, so n batches are merged log n times each.
-Anchors that occur once are done with.  For the others, the *stretch* of bytes
-under all windows of the anchor decides: equal stretches repeat as a whole;
-different stretches of one anchor are compared window by window.
+equal places, and nothing is lost.
+
+The corpus comes in batches.  Each batch gets its own array: one entry for each
+distinct 73-byte beginning of its suffixes, with its number of places and the
+first of them, in the order of the first eight bytes and then of a hash of all
+73.  The array is merge-scanned against every level of the family (a sort-merge
+join of tables that are dealt and sorted alike, so nothing is shuffled):
+suffixes of both that agree in 73 bytes are matches.  Then it becomes a level,
+and two levels of one rank merge into one of the next, so n batches are merged
+log n times each.  Levels are stored tables: a later batch is matched against
+them without reading their texts again.
+
+Places of matched suffixes are looked up in the texts.  The *stretch* of bytes
+under all windows of an anchor decides: equal stretches repeat as a whole;
+different stretches of one anchor are cut out and compared window by window.
+Stretches and windows are equal if two independent 64-bit hashes are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,66 +32,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.kernels import U64, anchors, mix, prefix_sums, segments, slice_hash, text_buffer
-from quire.llm.shared import checkpoint, documents, drop_table, only, table
+from quire.llm.kernels import U64, anchors, heads, mix, prefix_sums, segments, slice_hash, text_buffer
+from quire.llm.shared import BROADCAST_IDS, ROW, checkpoint, documents, drop_table, numbered, only, shared_folder, table
 
 WINDOW = 200
 GRAM = 73
 BATCHES = 4
 #: Anchors with more different stretches than this are compared through sorted rows, one per window.
 STRETCHES_IN_TASK = 4096
+SUFFIX = ["head", "gram"]
 
 
-def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """gram, stretch, doc_id, start, windows: the array entries of ``docs`` (doc_id, text)."""
+def _anchors(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, anchor hash, its place in the bytes, row, first window in the text, windows) of each scanned segment of (row, text)."""
+    raw, offsets = text_buffer(batch.column(1))
+    rows = batch.column(0).to_numpy(zero_copy_only=False)
+    for low, high, i, j in segments(offsets, window):
+        own = raw[low:high]
+        key, at, first, count = anchors(own, offsets[i + 1 : j] - low, window, gram)
+        doc = np.searchsorted(offsets, first + low, side="right") - 1
+        yield own, key, at, first, rows[doc].astype(np.int64), first + low - offsets[doc], count
+
+
+def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """head, gram, n, row, start: sampled suffixes of ``docs`` (row, text), equal ones of a segment as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for low, high, i, j in segments(offsets, window):
-                found = anchors(raw[low:high], offsets[i + 1 : j] - low, window, gram)
-                doc = np.searchsorted(offsets, found[2] + low, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[0].view(np.int64)), pa.array(found[1].view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array(found[2] + low - offsets[doc]), pa.array(found[3].astype(np.int32))], names=["gram", "stretch", "doc_id", "start", "windows"]
-                )
+            for own, key, at, _, row, start, _ in _anchors(batch, window, gram):
+                unique, first, n = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(heads(own, at[first])), pa.array(unique.view(np.int64)), pa.array(n), pa.array(row[first]), pa.array(start[first])], names=["head", "gram", "n", "row", "start"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, stretch long, doc_id long, start long, windows int")
+    return docs.select(ROW, "text").mapInArrow(run, "head long, gram long, n long, row long, start long")
 
 
-class IndexFamily:
-    """Arrays (gram, n) of geometrically growing rank."""
+def stretches_of(docs: DataFrame, matched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """gram, stretch_a, stretch_b, row, start, windows: all places of the suffixes in ``matched`` (gram), with two hashes of their stretch."""
+    few = matched.count() <= BROADCAST_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(matched.toPandas()["gram"].to_numpy(dtype=np.int64))) if few else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, key, at, first, row, start, count in _anchors(batch, window, gram):
+                key = key.view(np.int64)
+                if wanted is not None:
+                    held = wanted.value
+                    hit = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key if len(held) else np.zeros(len(key), bool)
+                    key, at, first, row, start, count = (x[hit] for x in (key, at, first, row, start, count))
+                place = mix((count << 16 | (at - first)).astype(U64))
+                hashes = [mix(slice_hash(*prefix_sums(own, other), first, first + count - 1 + window) ^ place).view(np.int64) for other in (False, True)] if len(key) else [np.zeros(0, np.int64)] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *hashes, row, start, count)], names=["gram", "stretch_a", "stretch_b", "row", "start", "windows"])
+
+    found = docs.select(ROW, "text").mapInArrow(run, "gram long, stretch_a long, stretch_b long, row long, start long, windows long")
+    return found if few else found.join(matched, "gram", "left_semi")
 
-    def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
 
-    def add(self, batch: DataFrame) -> None:
-        """The array of a batch (entries) joins the family; arrays of equal rank merge."""
-        rank, array = 0, self._stored(batch.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+class IndexFamily:
+    """Sampled suffix arrays (head, gram, n, row, start) of geometrically growing rank, as tables bucketed by suffix."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, str] = {}
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """The matches (gram) of a batch (:func:`suffixes`) in itself and with all batches before; its array joins the family."""
+        first = F.min(F.struct("row", "start"))
+        new = self._stored(batch.repartition(self.buckets, *SUFFIX).groupBy(*SUFFIX).agg(F.sum("n").alias("n"), first.alias("x")).select(*SUFFIX, "n", "x.row", "x.start"))
+        array = self.spark.table(new)
+        matches = array.where("n > 1").select("gram")
+        for level in self.levels.values():
+            matches = matches.unionByName(array.join(self.spark.table(level), SUFFIX, "left_semi").select("gram"))
+        matches = checkpoint(matches.distinct())
+        rank = 0
         while rank in self.levels:
             old = self.levels.pop(rank)
-            merged = self._stored(old.unionByName(array).groupBy("gram").agg(F.sum("n").alias("n")))
-            drop_table(old)
-            drop_table(array)
-            rank, array = rank + 1, merged
-        self.levels[rank] = array
+            merged = self._stored(self._merged(self.spark.table(old), self.spark.table(new)))
+            for name in (old, new):
+                self._drop(name)
+            rank, new = rank + 1, merged
+        self.levels[rank] = new
+        return matches
 
     @staticmethod
-    def _stored(array: DataFrame) -> DataFrame:
-        return table(array.sortWithinPartitions("gram"), "suffix-array")
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        left = a.select(*SUFFIX, F.col("n").alias("n_a"), F.struct("row", "start").alias("a"))
+        right = b.select(*SUFFIX, F.col("n").alias("n_b"), F.struct("row", "start").alias("b"))
+        both = left.join(right, SUFFIX, "full_outer")
+        return both.select(*SUFFIX, (F.coalesce("n_a", F.lit(0)) + F.coalesce("n_b", F.lit(0))).alias("n"), F.least("a", "b").alias("x")).select(*SUFFIX, "n", "x.row", "x.start")
+
+    def _stored(self, array: DataFrame) -> str:
+        name = f"quire_suffixes_{uuid.uuid4().hex}"
+        array.write.bucketBy(self.buckets, *SUFFIX).sortBy(*SUFFIX).option("compression", "zstd").option("path", f"{shared_folder(self.spark)}/{name}").saveAsTable(name)
+        return name
 
-    def repeated(self) -> DataFrame:
-        """Anchors that occur more than once, over all arrays."""
-        arrays = list(self.levels.values())
-        if len(arrays) == 1:
-            return arrays[0].where("n > 1").select("gram")
-        both = arrays[0]
-        for other in arrays[1:]:
-            both = both.unionByName(other)
-        return both.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_table(f"{shared_folder(self.spark)}/{name}", self.spark)
 
+    def close(self) -> None:
+        """Drop all levels."""
+        while self.levels:
+            self._drop(self.levels.popitem()[1])
 
-_SPAN = "doc_id long, start long, end long"
+
+_SPAN = "row long, start long, end long"
 
 
 def _runs(doc: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
@@ -93,34 +146,34 @@ def _runs(doc: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, bool))
     last = np.concatenate([first[1:], [len(doc)]]).astype(np.int64) - 1
     last = last[: len(first)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first]), pa.array(at[last] + window)], names=["doc_id", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(at[first]), pa.array(at[last] + window)], names=["row", "start", "end"])
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """gram, n, doc_id, start, bytes of each wanted stretch (doc_id, gram, n, start, windows)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "n", "start", "windows")).alias("asked"))  # at most one per byte of the text
-    rows = docs.dropDuplicates(["doc_id"]).join(lists, "doc_id").select(F.encode("text", "UTF-8").alias("raw"), "doc_id", "asked")
+    """gram, n, row, start, bytes of each wanted stretch (row, gram, n, start, windows)."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "n", "start", "windows")).alias("asked"))  # at most one per byte of the text
+    rows = docs.join(lists, F.col(ROW) == F.col("row")).select(F.encode("text", "UTF-8").alias("raw"), "row", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, doc_id, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                out.extend((x["gram"], x["n"], doc_id, x["start"], raw[x["start"] : x["start"] + x["windows"] + window - 1]) for x in asked)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "n", "doc_id", "start", "bytes"])
+            for raw, row, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                out.extend((x["gram"], x["n"], row, x["start"], raw[x["start"] : x["start"] + x["windows"] + window - 1]) for x in asked)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["gram", "n", "row", "start", "bytes"])
 
-    return rows.mapInArrow(run, "gram long, n long, doc_id long, start long, bytes binary")
+    return rows.mapInArrow(run, "gram long, n long, row long, start long, bytes binary")
 
 
 def _windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """gram, n, doc_id, start and hash of every window of the stretches in a batch."""
+    """gram, n, row, start and two hashes of every window of the stretches in a batch."""
     raw, offsets = text_buffer(batch.column("bytes"))
-    sums, down = prefix_sums(raw)
     count = np.diff(offsets) - window + 1
-    row = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = offsets[:-1][row] + step
-    gram, n, doc, start = (batch.column(c).to_numpy() for c in ("gram", "n", "doc_id", "start"))
-    return gram[row], n[row], doc[row], start[row] + step, mix(slice_hash(sums, down, begin, begin + window))
+    item = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    begin = offsets[:-1][item] + step
+    gram, n, row, start = (batch.column(c).to_numpy() for c in ("gram", "n", "row", "start"))
+    keys = [mix(slice_hash(*prefix_sums(raw, other), begin, begin + window)) for other in (False, True)]
+    return gram[item], n[item], row[item], start[item] + step, *keys
 
 
 def _compare_in_task(stretches: DataFrame, window: int) -> DataFrame:
@@ -131,8 +184,11 @@ def _compare_in_task(stretches: DataFrame, window: int) -> DataFrame:
     """
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gram, n, doc, at, key = _windows(batch, window)
-        _, where = np.unique(key ^ mix(gram.view(U64)), return_inverse=True)
+        gram, n, doc, at, key, other = _windows(batch, window)
+        order = np.lexsort((other, key, gram))
+        fresh = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])])
+        where = np.empty(len(order), np.int64)
+        where[order] = np.cumsum(fresh) - 1
         repeated = (np.bincount(where, n)[where] > 1) & (n == 1)
         return _runs(doc[repeated], at[repeated], window)
 
@@ -160,28 +216,39 @@ def _compare_in_rows(stretches: DataFrame, window: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                gram, n, doc, start, key = _windows(batch.slice(at, 4096), window)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(doc), pa.array(start), pa.array(key.view(np.int64))], names=["gram", "n", "doc_id", "start", "key"])
+                gram, n, row, start, key, other = _windows(batch.slice(at, 4096), window)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, n, row, start, key.view(np.int64), other.view(np.int64))], names=["gram", "n", "row", "start", "key", "other"])
 
-    rows = stretches.mapInArrow(explode, "gram long, n long, doc_id long, start long, key long")
-    repeated = rows.groupBy("gram", "key").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "key")
-    return rows.where("n = 1").join(repeated, ["gram", "key"], "left_semi").select("doc_id", "start", (F.col("start") + window).alias("end"))
+    rows = stretches.mapInArrow(explode, "gram long, n long, row long, start long, key long, other long")
+    window_key = ["gram", "key", "other"]
+    repeated = rows.groupBy(*window_key).agg(F.sum("n").alias("total")).where("total > 1").select(*window_key)
+    return rows.where("n = 1").join(repeated, window_key, "left_semi").select("row", "start", (F.col("start") + window).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, stretches_in_task: int = STRETCHES_IN_TASK) -> DataFrame:
-    """doc_id, start, end: byte spans under repeated windows; they may overlap."""
-    docs = documents(docs).where("doc_id IS NOT NULL")
-    family = IndexFamily()
+def matched_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """gram: suffixes that occur more than once in ``docs`` (row, text), by adding batch after batch to a family."""
+    family = IndexFamily(docs.sparkSession)
+    found = []
     for b in range(batches):
-        family.add(entries(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), window, gram))
-    shared = table(entries(docs, window, gram).join(family.repeated(), "gram", "left_semi"), "shared-anchors")
-    for level in family.levels.values():
-        drop_table(level)
-    stretches = table(shared.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "windows")).alias("x")), "stretches")
-    whole = shared.join(stretches.where("n > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi").select("doc_id", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
+        found.append(family.add(suffixes(docs.where(F.pmod(F.xxhash64(ROW), F.lit(batches)) == b), window, gram)))
+    family.close()
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return checkpoint(out.distinct())
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, stretches_in_task: int = STRETCHES_IN_TASK) -> DataFrame:
+    """row, start, end: byte spans under repeated windows of ``docs`` (row, text); they may overlap."""
+    shared = table(stretches_of(docs, matched_suffixes(docs, window, gram, batches), window, gram), "matched-suffixes")
+    stretch = ["gram", "stretch_a", "stretch_b"]
+    stretches = table(shared.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("x")), "stretches")
+    again = stretches.where("n > 1").select(*stretch)
+    # A passage that very many texts share is one stretch: broadcast, it needs no task of its own.
+    whole = shared.join(F.broadcast(again) if again.count() <= BROADCAST_IDS // 4 else again, stretch, "left_semi").select("row", "start", (F.col("start") + F.col("windows") + window - 1).alias("end"))
     variants = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    several = checkpoint(stretches.join(variants, "gram").select("variants", F.col("x.doc_id").alias("doc_id"), "gram", "n", F.col("x.start").alias("start"), F.col("x.windows").alias("windows")))
-    here = only(docs, several.select("doc_id").distinct())[0]
+    several = checkpoint(stretches.join(variants, "gram").select("variants", F.col("x.row").alias("row"), "gram", "n", F.col("x.start").alias("start"), F.col("x.windows").alias("windows")))
+    here = only(docs, several.select("row").distinct(), ROW)[0]
     few = _compare_in_task(_cut_out(here, several.where(F.col("variants") <= stretches_in_task), window), window)
     found = whole.unionByName(few)
     many = several.where(F.col("variants") > stretches_in_task)
@@ -195,16 +262,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
 
     Texts are UTF-8 bytes, null is empty.  Every byte under a ``window``-byte
     string that starts anywhere else goes, in the same text or another;
-    strings are judged on the input.  Repeated rows (same doc_id and text) are
-    occurrences of their own, so they lose their bytes.  Rows with a null
-    doc_id are kept whole and repeat nothing.  Texts shorter than ``window``
+    strings are judged on the input.  Rows are told apart by a key of their own
+    where doc_ids repeat: rows with the same doc_id, and repeated rows, are
+    texts like any other.  Rows with a null doc_id are kept whole and repeat
+    nothing.  Texts shorter than ``window``
     are kept whole.  Other columns are ignored; an empty table gives no rows.
     """
     rows = documents(docs)
-    spans = repeated_spans(docs, window, gram, batches, stretches_in_task)
-    lists = table(spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "repeat-spans")  # at most one per byte of the text
-    hit, clean = only(rows, lists.select("doc_id"))
-    hit = hit.join(lists, "doc_id").select(F.encode("text", "UTF-8").alias("raw"), "doc_id", "spans")
+    named = rows.where("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = named.withColumn(ROW, F.col("doc_id"))
+    else:
+        named = numbered(named)
+    spans = repeated_spans(named, window, gram, batches, stretches_in_task)
+    lists = table(spans.distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "repeat-spans")  # at most one per byte of the text
+    hit, clean = only(named, lists.select("row"), ROW)
+    clean = clean.select("doc_id", "text").unionByName(rows.where("doc_id IS NULL"))
+    hit = hit.join(lists, F.col(ROW) == F.col("row")).select(F.encode("text", "UTF-8").alias("raw"), "doc_id", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

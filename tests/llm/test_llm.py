@@ -349,6 +349,45 @@ def test_repeated_passages(spark, in_task):
     assert not got[None]["removed"]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdef ", k=n))
+    passage = text(400)
+    rows = [(1, text(300) + passage), (1, text(50)), (2, passage[100:] + text(90)), (3, text(50) + passage + text(50)), (3, text(700)), (4, text(20) + passage[:250])]
+    rows += [(5, rows[4][1]), (6, text(600)), (6, text(10))]
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    want = repeats({i: t.encode() for i, (_, t) in enumerate(rows)}, 200)
+    assert collections.Counter((r["doc_id"], bytes(r["kept"])) for r in got) == collections.Counter((rows[i][0], w[2]) for i, w in want.items())
+
+
+def test_batches_are_matched_against_stored_levels(spark):
+    """Each batch reports the suffixes that it shares with itself or with anything before; levels hold them all in order."""
+    from quire.llm.shared import ROW
+
+    rng = random.Random(13)
+    shared = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(12)]
+    texts = [shared[rng.randrange(12)][rng.randrange(60) :] + "".join(rng.choices("abcdefgh ", k=200)) for _ in range(42)]
+    rows = spark.createDataFrame(list(enumerate(texts)), f"{ROW} long, text string")
+    grams = {i: {r["gram"] for r in suffix_dedup.suffixes(rows.where(F.col(ROW) == i)).collect()} for i in range(len(texts))}
+    twice = {i: {r["gram"] for r in suffix_dedup.suffixes(rows.where(F.col(ROW) == i)).collect() if r["n"] > 1} for i in range(len(texts))}
+    family, before = suffix_dedup.IndexFamily(spark), set()
+    for b in range(7):
+        own = range(b * 6, b * 6 + 6)
+        got = {r["gram"] for r in family.add(suffix_dedup.suffixes(rows.where(F.col(ROW).between(own[0], own[-1])))).collect()}
+        inside = collections.Counter(g for i in own for g in grams[i])
+        assert got == {g for g, n in inside.items() if n > 1 or g in before} | set().union(*(twice[i] for i in own))
+        before |= set(inside)
+        assert len(family.levels) == bin(b + 1).count("1")
+    held = [spark.table(t).toPandas() for t in family.levels.values()]
+    assert set().union(*(set(h["gram"]) for h in held)) == before
+    for h in held:
+        for head, row, start in zip(h["head"], h["row"], h["start"]):
+            at = texts[row].encode().find(int(head + 2**63).to_bytes(8, "big"), start)
+            assert start <= at <= start + 127
+    family.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quire_suffixes")]
+
+
 def jaccard(texts):
     sets = {}
     for i, t in texts:
@@ -376,6 +415,31 @@ def test_ngram_components(spark):
     assert got == jaccard(texts)
 
 
+def test_names_of_sets_that_collide(spark):
+    """Two sets under one name are told apart by the other half of the hash, and named again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def weak(sets, seed):
+        asked.add(seed)
+        out = ngram_join._text_ids(sets, seed).copy()
+        if seed < 2:
+            out[:, 0] &= 3
+        return out
+
+    texts = [(i, " ".join(f"{chr(97 + i // 2)}{k}" for k in range(40)) + " end" * (i % 2)) for i in range(20)]
+    got = {k: r["component_id"] for k, r in by_id(ngram_join.jaccard_components(table(spark, texts), weak)).items()}
+    assert got == {i: i // 2 * 2 for i in range(20)} and asked.value > 0
+
+
+def test_blocks_of_one_family(spark, monkeypatch):
+    """A chain of near copies in blocks of four, over several tasks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    words = [f"w{k}" for k in range(400)]
+    texts = [(i, " ".join(words[i : i + 100])) for i in range(0, 60, 3)] + [(900 + i, " ".join(f"x{i}y{k}" for k in range(50))) for i in range(9)]
+    got = {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(ngram_join.jaccard_components(table(spark, texts).repartition(6))).items()}
+    assert got == jaccard(texts)
+
+
 def test_near_copies_are_judged_by_row(spark):
     text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcde"}
     near = {c: t + " more" for c, t in text.items()}
