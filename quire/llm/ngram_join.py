@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components, roots
 from quire.llm.kernels import U64, shingle_sets, text_buffer
-from quire.llm.shared import BROADCAST_IDS, ROW, arrow_rows, checkpoint, documents, numbered, only, table
+from quire.llm.shared import BROADCAST_IDS, ROW, arrow_rows, checkpoint, documents, drop_table, numbered, only, table
 
 WORDS = 5
 #: Two sets link when 100 * overlap >= PERCENT * union.
@@ -43,7 +43,9 @@ PEELINGS = 3
 #: Texts looked at together when common shingles are counted.
 _TASTE = 2000
 BLOCK = 512
-_FANOUT, _SIGNATURE_WORDS = 8, 32
+_FANOUT = 8
+#: Bits of a signature for each shingle of the largest set of a block, and 64-bit words of a signature at most.
+_BITS_PER_SHINGLE, _MOST_WORDS = 4, 512
 
 
 def linked(overlap, a, b):
@@ -95,25 +97,41 @@ def common_shingles(texts: DataFrame, most: int = COMMON_SHINGLES) -> np.ndarray
     return np.sort(counts.where(F.col("n") >= int(least)).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(U64))
 
 
-def _text_ids(sets: list[np.ndarray]) -> np.ndarray:
+def _text_ids(sets: list[np.ndarray], seed: int) -> np.ndarray:
     """128-bit hashes of sets as two columns; the first names the set in all later steps."""
     import xxhash
 
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), seed) for s in sets), dtype=np.int64).reshape(-1, 2)
 
 
-def shingle_keys(docs: DataFrame) -> DataFrame:
+def named_sets(docs: DataFrame, hashed=_text_ids) -> tuple[DataFrame, int]:
+    """(stored :func:`shingle_keys`, the seed of their names).
+
+    A name is 64 bits of a 128-bit hash, so two sets may get one name.  The
+    other 64 bits tell; then all sets are named again by another seed.
+    """
+    seed = 0
+    while True:
+        keys = table(shingle_keys(docs, seed, hashed), "shingle-keys")
+        twice = keys.groupBy("text_id").agg(F.min("text_id_b").alias("a"), F.max("text_id_b").alias("b")).where("a != b")
+        if twice.isEmpty():
+            return keys, seed
+        drop_table(keys)
+        seed += 1
+
+
+def shingle_keys(docs: DataFrame, seed: int = 0, hashed=_text_ids) -> DataFrame:
     """doc_id, n_shingles, text_id, text_id_b: size and 128-bit hash of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _texts(batches):
-            keys = _text_ids(sets)
+            keys = hashed(sets, seed)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "n_shingles", "text_id", "text_id_b"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, text_id long, text_id_b long")
 
 
-def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def prefix_rows(docs: DataFrame, common: np.ndarray, seed: int = 0, hashed=_text_ids) -> DataFrame:
     """shingle, text_id, place: one row per prefix shingle, copies read together only once.
 
     ``place`` holds the set's size and how many of its shingles come after.
@@ -133,7 +151,7 @@ def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 heads.append(s[:p].view(np.int64))
             counts = np.array([len(x) for x in heads], dtype=np.int64)
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            ids, n = np.repeat(_text_ids(sets)[:, 0], counts), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), counts)
+            ids, n = np.repeat(hashed(sets, seed)[:, 0], counts), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])), pa.array(ids), pa.array((n << 32) | (n - 1 - at))], names=["shingle", "text_id", "place"])
 
     return documents(docs).mapInArrow(run, "shingle long, text_id long, place long")
@@ -166,12 +184,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (*(x[-1] for x in columns), not alone or (sent and len(shingle) == 1))
 
 
-def shingle_blobs(docs: DataFrame) -> DataFrame:
+def shingle_blobs(docs: DataFrame, seed: int = 0, hashed=_text_ids) -> DataFrame:
     """text_id, set (binary: sorted 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_text_ids(sets)[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["text_id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(sets, seed)[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["text_id", "set"])
 
     return documents(docs).mapInArrow(run, "text_id long, set binary")
 
@@ -190,11 +208,16 @@ def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Token bitmaps, one row of 64-bit words per set."""
-    out = np.zeros((len(sets), _SIGNATURE_WORDS), dtype=U64)
+def signature_words(largest: int) -> int:
+    """64-bit words of a signature where the largest set has so many shingles: a power of two."""
+    return min(_MOST_WORDS, 1 << max(0, (_BITS_PER_SHINGLE * largest - 1) >> 6).bit_length())
+
+
+def signatures(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """Token bitmaps, one row of ``words`` 64-bit words per set."""
+    out = np.zeros((len(sets), words), dtype=U64)
     for row, s in zip(out, sets):
-        bit = s & U64(64 * _SIGNATURE_WORDS - 1)
+        bit = s & U64(64 * words - 1)
         np.bitwise_or.at(row, (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
     return out
 
@@ -206,9 +229,9 @@ class SignatureTree:
     (bits that all of them have) and the range of their sizes.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], words: int | None = None):
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        bits = signatures(sets)
+        bits = signatures(sets, words or signature_words(int(sizes.max())))
         self.sets = sets
         self.levels = [(bits, bits, sizes, sizes)]
         while len(self.levels[-1][2]) > 1:
@@ -286,14 +309,15 @@ def tree_links(left: SignatureTree, right: SignatureTree, same: bool, component:
 def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between the two blocks of one pair; rows: side, text_id, component, set.
 
-    Sets go by their least hashes, so that similar sets share nodes.
+    Sets go by their least hashes, so that similar sets share nodes; bitmaps are
+    as wide as the larger sets of both blocks need.
     """
-    sides = []
+    sides, words = [], signature_words(int(frame["n"].max()))
     for side in (0, 1):
         rows = frame[frame["side"] == side]
         sets = [np.frombuffer(x, dtype=U64) for x in rows["set"]]
         order = sorted(range(len(sets)), key=lambda k: sets[k][:4].tolist())
-        sides.append((rows["text_id"].to_numpy()[order], rows["component"].to_numpy()[order], SignatureTree([sets[k] for k in order]) if sets else None))
+        sides.append((rows["text_id"].to_numpy()[order], rows["component"].to_numpy()[order], SignatureTree([sets[k] for k in order], words) if sets else None))
     same = sides[1][2] is None
     (ids, comp, tree), (ids_b, comp_b, tree_b) = sides[0], sides[0] if same else sides[1]
     found = tree_links(tree, tree_b, same, (comp, comp_b))
@@ -318,16 +342,16 @@ def peel(groups: DataFrame, rounds: int = PEELINGS) -> DataFrame:
     return groups
 
 
-def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def links(docs: DataFrame, keys: DataFrame, seed: int = 0, hashed=_text_ids) -> DataFrame:
     """u, v: pairs of text ids that link, enough to connect every two linking texts."""
-    rows = prefix_rows(docs, common_shingles(documents(docs)))
+    rows = prefix_rows(docs, common_shingles(documents(docs)), seed, hashed)
     groups = table(rows.repartition("shingle").sortWithinPartitions("shingle", "text_id").mapInArrow(_groups, "shingle long, text_id long, place long"), "prefix-groups")
     groups = peel(groups)
     groups = groups.select("shingle", "text_id", F.shiftrightunsigned("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("room"))
     # One text's set per candidate; few enough of them are looked up by a broadcast, more by a shuffle.
     asked = checkpoint(groups.select("text_id").distinct().join(keys, "text_id").groupBy("text_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     small = asked.count() <= BROADCAST_IDS
-    sets = table(shingle_blobs(documents(docs).join(F.broadcast(asked) if small else asked, "doc_id", "left_semi")).dropDuplicates(["text_id"]), "prefix-sets")
+    sets = table(shingle_blobs(documents(docs).join(F.broadcast(asked) if small else asked, "doc_id", "left_semi"), seed, hashed).dropDuplicates(["text_id"]), "prefix-sets")
     hub = groups.groupBy("shingle").agg(F.min("text_id").alias("u"))
     center = groups.join(hub, "shingle").where("text_id = u").select("shingle", "u", F.col("n").alias("n_u"), F.col("room").alias("room_u"))
     # Of the shingles that two texts share, the first leaves the most room for an overlap: it decides.
@@ -355,10 +379,10 @@ def _join_families(members: DataFrame, sets: DataFrame) -> DataFrame:
     Blocks hold about ``BLOCK`` texts of similar size; blocks whose sizes are
     too far apart are not compared.
     """
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("family").orderBy("n", "text_id")
-    members = checkpoint(members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)))
+    # Sorted over all tasks by family and size: a block is a stretch of one task's rows, whatever the size of a family.
+    number = F.monotonically_increasing_id()
+    place = F.shiftright(number, 33) * F.lit(1 << 33) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / BLOCK)
+    members = checkpoint(members.repartitionByRange("family", "n", "text_id").sortWithinPartitions("family", "n", "text_id").withColumn("block", place))
     blocks = members.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("family", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     pairs = blocks.join(other, "family").where((F.col("block") <= F.col("block_b")) & (F.col("high") * 100 >= F.col("low_b") * PERCENT)).select("family", "block", "block_b")
@@ -368,7 +392,7 @@ def _join_families(members: DataFrame, sets: DataFrame) -> DataFrame:
     return side_a.unionByName(side_b).groupBy("family", "block", "block_b").applyInPandas(_block_links, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, hashed=_text_ids) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per input row.
 
     Words are runs of other than ``[\\x20\\x09-\\x0D]``, A-Z folded.  Null texts
@@ -378,9 +402,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     null doc_id link with nothing and have a null component.  Other columns are
     ignored; an empty table gives no rows.
     """
-    keys = table(shingle_keys(docs), "shingle-keys")
+    keys, seed = named_sets(docs, hashed)
     filled = keys.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    found = components(links(docs, filled.select("doc_id", "text_id"))).withColumnRenamed("node", "text_id")
+    found = components(links(docs, filled.select("doc_id", "text_id"), seed, hashed)).withColumnRenamed("node", "text_id")
     classes = filled.groupBy("text_id").agg(F.min("doc_id").alias("doc_id")).join(found, "text_id", "left").select("text_id", "doc_id", F.coalesce("component", "text_id").alias("component"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labelled = classes.join(least, "component").select("text_id", "component_id")
