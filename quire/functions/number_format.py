@@ -223,10 +223,25 @@ def render(x: float, code: str, date1904: bool = False) -> str:
 
 
 @F.pandas_udf(StringType())
-def _rendered(num: pd.Series, code: pd.Series) -> pd.Series:
-    return pd.Series([render(float(x), c) if pd.notna(x) else None for x, c in zip(num, code)], dtype=object)
+def _rendered(num: pd.Series, code: pd.Series, date1904: pd.Series) -> pd.Series:
+    return pd.Series([render(float(x), c, bool(d)) if pd.notna(x) else None for x, c, d in zip(num, code, date1904)], dtype=object)
 
 
-def format_number(num: Column, code: Column) -> Column:
-    """Text of a number under any code (a string column); null numbers stay null."""
-    return _rendered(num.cast("double"), F.coalesce(code, F.lit("General")))
+def format_number(num: Column, code: Column, date1904: Column | bool = False) -> Column:
+    """Text of a number under any code (a string column); null numbers stay null.  ``date1904``: the date system, per row or for all."""
+    system = date1904 if isinstance(date1904, Column) else F.lit(date1904)
+    return _rendered(num.cast("double"), F.coalesce(code, F.lit("General")), F.coalesce(system, F.lit(False)))
+
+
+def display_text(kind: Column, num: Column, txt: Column, formula: Column, code: Column, edit: Column | None = None, date1904: Column | bool = False) -> Column:
+    """struct(shown, align) of a cell.
+
+    An edited text is shown as it was written.  An empty cell shows nothing,
+    with a formula too; numbers go through their format, truth values are TRUE
+    or FALSE, texts and errors are themselves.  Numbers stand right, truth
+    values and errors in the middle, the rest left.
+    """
+    edited = edit if edit is not None else F.lit(None).cast("string")
+    shown = F.when(kind == "number", format_number(num, code, date1904)).when(kind == "bool", F.when(num != 0, "TRUE").otherwise("FALSE")).when(kind.isin("text", "error", "shared"), F.coalesce(txt, F.lit(""))).otherwise(F.when(formula.isNotNull(), "").otherwise(""))
+    align = F.when(edited.isNotNull(), "left").when(kind == "number", "right").when(kind.isin("bool", "error"), "center").otherwise("left")
+    return F.struct(F.coalesce(edited, shown).alias("shown"), align.alias("align"))

@@ -52,6 +52,17 @@ def a1_parse(address: Column) -> Column:
     return F.when(F.rlike(address, pattern) & (col <= MAX_COL) & (row <= MAX_ROW), F.struct(row.alias("row"), col.alias("col")))
 
 
+def a1_problem(address: Column) -> Column:
+    """Why :func:`a1_parse` gives null: empty, no address, column or row beyond the sheet; null for good addresses."""
+    shape = r"^\$?([A-Za-z]+)\$?([0-9]+)$"
+    letters, digits = (F.regexp_extract(address, shape, i) for i in (1, 2))
+    row = digits.try_cast("decimal(38,0)")
+    return (
+        F.when(F.coalesce(F.length(address), F.lit(0)) == 0, "empty").when(~F.rlike(address, F.lit(shape)), "no address").when((F.length(letters) > 3) | (letters_to_column(F.upper(F.substring(letters, 1, 3))) > MAX_COL), "column")
+        .when(F.startswith(digits, F.lit("0")) | row.isNull() | (row > MAX_ROW + 1), "row")
+    )
+
+
 def range_parse(text: Column) -> Column:
     """struct(r0, c0, r1, c1) of a range or a single cell, corners put in order."""
     a, b = a1_parse(F.substring_index(text, ":", 1)), a1_parse(F.when(F.locate(":", text) > 0, F.regexp_replace(text, "^[^:]*:", "")).otherwise(text))
@@ -61,7 +72,7 @@ def range_parse(text: Column) -> Column:
 
 def serial_to_date(num: Column, date1904: bool = False) -> Column:
     """Date of a serial number; serial 60 (29 February 1900 in this format) gives the day after 28 February."""
-    days = F.floor(num).cast("int")
+    days = F.floor(num).try_cast("int")
     base = F.date_add(F.lit("1904-01-01").cast("date"), days) if date1904 else F.when(days >= 60, F.date_add(F.lit("1899-12-30").cast("date"), days)).otherwise(F.date_add(F.lit("1899-12-31").cast("date"), days))
     return F.when(num >= 0, base)
 
@@ -73,6 +84,35 @@ def date_to_serial(date: Column, date1904: bool = False) -> Column:
     return F.when(n >= 61, n).when(n >= 2, n - 1).cast("double")
 
 
+def serial_to_timestamp(num: Column, date1904: bool = False) -> Column:
+    """Timestamp (without zone) of a serial number, to the second; null before the first day."""
+    seconds = F.round((num - F.floor(num)) * 86400).cast("long")
+    return F.when(num >= 0, F.timestamp_add("SECOND", seconds, serial_to_date(num, date1904).cast("timestamp_ntz")))
+
+
+def timestamp_to_serial(at: Column, date1904: bool = False) -> Column:
+    """Serial number of a timestamp: days and the fraction of the day."""
+    at = at.cast("timestamp_ntz")
+    return date_to_serial(F.to_date(at), date1904) + (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)) / 86400.0
+
+
+_TIME = r"^(\d+):([0-5]?\d)(?::([0-5]?\d(?:\.\d+)?))?$"
+_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?(?:Z|[+-]\d{2}:?\d{2})?$"
+
+
+def clock_to_fraction(text: Column) -> Column:
+    """Day fraction of ``HH:MM`` or ``HH:MM:SS.f``; null if it is none."""
+    part = lambda i: F.coalesce(F.regexp_extract(text, _TIME, i).try_cast("double"), F.lit(0.0))
+    return F.when(F.rlike(text, F.lit(_TIME)), part(1) / 24 + part(2) / 1440 + part(3) / 86400)
+
+
+def iso_to_serial(text: Column, date1904: bool = False) -> Column:
+    """Serial number of an ISO date with or without time; zones are not read; null if it is none."""
+    day = F.regexp_extract(text, _ISO, 1).try_cast("date")
+    clock = F.coalesce(clock_to_fraction(F.regexp_extract(text, _ISO, 2)), F.lit(0.0))
+    return F.when(F.rlike(text, F.lit(_ISO)), date_to_serial(day, date1904) + clock)
+
+
 _DURATION = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
 
 
@@ -98,28 +138,30 @@ def excel_compare(kind_a: Column, num_a: Column, txt_a: Column, kind_b: Column,
     return F.when((kind_a == "error") | (kind_b == "error"), F.lit(None)).when(ka != kb, order(value_rank(ka), value_rank(kb))).otherwise(same).cast("int")
 
 
-def _grouped(digits: Column) -> Column:
-    return F.regexp_replace(digits, r"\B(?=(\d{3})+(?!\d))", ",")
-
-
 def half_up(num: Column, places: int) -> Column:
-    """Absolute value rounded half away from zero on its shortest decimal form, as text."""
-    return F.round(F.abs(num).cast("string").cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string")
+    """Absolute value rounded half away from zero on its shortest decimal form, as a decimal; null from 1e26 (0 places: 1e38) on."""
+    small = F.round(F.abs(num).cast("string").try_cast("decimal(38,12)"), places).try_cast(f"decimal(38,{places})")
+    return small if places else F.coalesce(small, F.abs(num).try_cast("decimal(38,0)"))
+
 
+def format_plain(num: Column, code: Column, date1904: bool = False) -> Column:
+    """Text of a number under the plain codes 0, 0.00, #,##0, #,##0.00, 0%, 0.00% and yyyy-mm-dd; null under others.
 
-def format_plain(num: Column, code: Column) -> Column:
-    """Text of a number under the plain codes 0, 0.00, #,##0, #,##0.00, 0%, 0.00% and yyyy-mm-dd; null under others."""
-    whole = lambda t: F.substring_index(t, ".", 1)
+    NaN, infinities and numbers too large for the code (from 1e26 on with
+    decimals, else from 1e38) are ``#NUM!``.
+    """
     two, none = half_up(num, 2), half_up(num, 0)
+    text = lambda d: d.cast("string")
+    finite = lambda t: F.when(num.isNotNull(), F.coalesce(t, F.lit("#NUM!")))
     sign = lambda t: F.when((num < 0) & F.rlike(t, F.lit("[1-9]")), F.concat(F.lit("-"), t)).otherwise(t)
     return (
-        F.when(code == "0", sign(none))
-        .when(code == "0.00", sign(two))
-        .when(code == "#,##0", sign(_grouped(none)))
-        .when(code == "#,##0.00", sign(F.concat(_grouped(whole(two)), F.lit("."), F.substring_index(two, ".", -1))))
-        .when(code == "0%", F.concat(sign(half_up(num * 100, 0)), F.lit("%")))
-        .when(code == "0.00%", F.concat(sign(half_up(num * 100, 2)), F.lit("%")))
-        .when(code == "yyyy-mm-dd", F.when(num < 0, F.lit("#####")).when(F.floor(num) == 60, F.lit("1900-02-29")).otherwise(F.date_format(serial_to_date(num), "yyyy-MM-dd")))
+        F.when(code == "0", finite(sign(text(none))))
+        .when(code == "0.00", finite(sign(text(two))))
+        .when(code == "#,##0", finite(sign(F.format_number(none, 0))))
+        .when(code == "#,##0.00", finite(sign(F.format_number(two, 2))))
+        .when(code == "0%", finite(F.concat(sign(text(half_up(num * 100, 0))), F.lit("%"))))
+        .when(code == "0.00%", finite(F.concat(sign(text(half_up(num * 100, 2))), F.lit("%"))))
+        .when(code == "yyyy-mm-dd", F.when(num < 0, F.lit("#####")).when(~(num < 2958466), F.lit("#NUM!")).when((F.floor(num) == 60) & F.lit(not date1904), F.lit("1900-02-29")).otherwise(F.date_format(serial_to_date(num, date1904), "yyyy-MM-dd")))
     )
 
 

@@ -35,29 +35,45 @@ def e2(spark, d):
     return out.select("book", "sheet", F.round("SUM", 2).alias("total"), F.round("AVERAGE", 6).alias("average"), F.col("COUNT").alias("n_cells"), F.col("MIN").alias("low"), F.col("MAX").alias("high"))
 
 
-@query("e2_running_totals", "WITH " + A.CELLS_SQL + " SELECT book, sheet, row, CAST(round(sum(num) OVER (PARTITION BY book, sheet, col ORDER BY row), 2) AS DOUBLE) AS total FROM cells WHERE col = 0")
+@query("e2_running_totals", "WITH " + A.CELLS_SQL + " SELECT book, sheet, row, col, CAST(round(sum(num) OVER (PARTITION BY book, sheet, col ORDER BY row), 2) AS DOUBLE) AS total FROM cells")
 def e2b(spark, d):
-    return formulas.running_totals(A.cells(spark, d).where("col = 0")).select("book", "sheet", "row", F.round("total", 2).alias("total"))
+    return formulas.running_totals(A.cells(spark, d)).select("book", "sheet", "row", "col", F.round("total", 2).alias("total"))
 
 
-@query("e3_evaluate", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS net, l_quantity > 10 AND true AS big, round(-(l_quantity ^ 2) / 4 + 10 * 0.5, 6) AS mixed, l_returnflag || '-' || l_linestatus AS label, CAST(NULL AS DOUBLE) AS nothing FROM lineitem")
+@query("e3_evaluate", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS net, l_quantity > 10 AND true AS big, round(-(l_quantity ^ 2) / 4 + 10 * 0.5, 6) AS mixed, CAST(l_quantity AS BIGINT) || '-' || CASE WHEN l_discount = 0 THEN '0' ELSE CAST(l_discount AS VARCHAR) END AS label, CAST(NULL AS DOUBLE) AS nothing, CAST(NULL AS DOUBLE) AS no_number FROM lineitem")
 def e3(spark, d):
     t = A.read(spark, d, "lineitem")
-    env = {"A1": F.col("l_quantity"), "B1": F.col("l_extendedprice"), "C1": F.col("l_discount"), "D1": F.col("l_tax")}
-    ev = lambda f: formulas.evaluate(f, env)
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.round(ev("=B1*(1-$C$1)*(1+D1)"), 6).alias("net"), ev("=A1>10").alias("big"), F.round(ev("=0-A1^2/4+10*50%"), 6).alias("mixed"), F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("label"), ev("=A1/0").alias("nothing"))
+    env = {"A1": F.col("l_quantity"), "B1": F.col("l_extendedprice"), "C1": F.col("l_discount"), "D1": F.col("l_tax"), "E1": F.col("l_returnflag")}
+    ev = lambda f: formulas.evaluate(f, env, ("E1",))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.round(ev("=B1*(1-$C$1)*(1+D1)"), 6).alias("net"), ev("=A1>10").alias("big"), F.round(ev("=0-A1^2/4+10*50%"), 6).alias("mixed"), ev('=A1&"-"&C1').alias("label"), ev("=A1/0").alias("nothing"), ev("=E1+1").alias("no_number"))
 
 
-@query("e4_autosum", "WITH " + A.SPARSE_SQL + ", i AS (SELECT *, row - row_number() OVER (PARTITION BY book, sheet ORDER BY row) AS g FROM sparse), e AS (SELECT book, sheet, min(row) AS r0, max(row) AS r1 FROM i GROUP BY book, sheet, g), t AS (SELECT book, sheet, row FROM cells WHERE col = 0 AND num % 5 = 0) SELECT t.book, t.sheet, t.row, e.r0, e.r1 FROM t LEFT JOIN e ON e.book = t.book AND e.sheet = t.sheet AND e.r1 = t.row - 1")
+_CELL_FORMULAS = ('=SUM(A1:A3)&"x"', "=AVERAGE(A1:B2)+C2*2", "=A1/0", "=A1>10", "=ROUND(A2/3;2)", "=FOO(1)", '=A1&"-"&A2', "=COUNT(A1:D99999)", "=A1:A2", "=MAX(A1:A3;7)-MIN(Z1:Z2)", "=-A1^2+10%", "=PMT(0;10;A1)", '="a"<"b"', "=1 ?")
+
+
+@query("e3_evaluate_formulas", "WITH " + A.CELLS_SQL + """, k AS (SELECT book, sheet, coalesce(max(num) FILTER (row = 0 AND col = 0), 0) AS a1, coalesce(max(num) FILTER (row = 1 AND col = 0), 0) AS a2, coalesce(max(num) FILTER (row = 2 AND col = 0), 0) AS a3, coalesce(max(num) FILTER (row = 0 AND col = 1), 0) AS b1, coalesce(max(num) FILTER (row = 1 AND col = 1), 0) AS b2, coalesce(max(num) FILTER (row = 1 AND col = 2), 0) AS c2, count(*) FILTER (row > 2) > 0 AS three FROM cells GROUP BY book, sheet),
+f AS (SELECT book, sheet, unnest(range(14)) AS formula_id, unnest(['text', 'number', 'error', 'bool', 'number', 'error', 'text', 'number', 'error', 'number', 'number', 'number', 'bool', 'error']) AS kind,
+  unnest([NULL, (a1 + a2 + b1 + b2) / 4 + c2 * 2, NULL, CAST(a1 > 10 AS INT), floor(a2 / 3 * 100 + 0.5) / 100, NULL, NULL, 399996, NULL, greatest(a1, a2, a3, 7), a1 * a1 + 0.1, -a1 / 10, 1, NULL]) AS num,
+  unnest([CAST(a1 + a2 + a3 AS BIGINT) || 'x', NULL, 'division by zero', NULL, NULL, 'unsupported function FOO', CAST(a1 AS BIGINT) || '-' || CAST(a2 AS BIGINT), NULL, 'a range is no result', NULL, NULL, NULL, NULL, 'cannot read ' || chr(39) || '?' || chr(39)]) AS txt FROM k)
+SELECT book, sheet, CAST(formula_id AS BIGINT) AS formula_id, kind, round(num, 6) AS num, txt FROM f""")
+def e3b(spark, d):
+    f = A.sheet_names(spark, d).select("book", "sheet", F.posexplode(F.array(*map(F.lit, _CELL_FORMULAS))).alias("formula_id", "formula"))
+    return formulas.evaluate_formulas(f.withColumn("formula_id", F.col("formula_id").cast("long")), A.cells(spark, d)).select("book", "sheet", "formula_id", "kind", F.round("num", 6).alias("num"), "txt")
+
+
+@query("e4_autosum", "WITH " + A.SPARSE_SQL + """, t AS (SELECT book, sheet, row, col FROM cells WHERE num = 0), i AS (SELECT *, row - row_number() OVER (PARTITION BY book, sheet, col ORDER BY row) AS g, col - row_number() OVER (PARTITION BY book, sheet, row ORDER BY col) AS h FROM sparse),
+v AS (SELECT book, sheet, col, min(row) AS a, max(row) AS b FROM i GROUP BY book, sheet, col, g), w AS (SELECT book, sheet, row, min(col) AS a, max(col) AS b FROM i GROUP BY book, sheet, row, h)
+SELECT t.book, t.sheet, t.row, t.col, CASE WHEN v.a IS NOT NULL THEN v.a WHEN w.a IS NOT NULL THEN t.row END AS r0, CASE WHEN v.a IS NOT NULL THEN t.col ELSE w.a END AS c0, CASE WHEN v.a IS NOT NULL THEN v.b WHEN w.a IS NOT NULL THEN t.row END AS r1, CASE WHEN v.a IS NOT NULL THEN t.col ELSE w.b END AS c1
+FROM t LEFT JOIN v ON v.book = t.book AND v.sheet = t.sheet AND v.col = t.col AND v.b = t.row - 1 LEFT JOIN w ON w.book = t.book AND w.sheet = t.sheet AND w.row = t.row AND w.b = t.col - 1""")
 def e4(spark, d):
-    targets = A.cells(spark, d).where("col = 0 AND num % 5 = 0").select("book", "sheet", "row", "col")
-    return formulas.autosum_ranges(targets, A.sparse_cells(spark, d)).select("book", "sheet", "row", "r0", "r1")
+    targets = A.cells(spark, d).where("num = 0").select("book", "sheet", "row", "col")
+    return formulas.autosum_ranges(targets, A.sparse_cells(spark, d))
 
 
-@query("e5_sort_range", "WITH " + A.CELLS_SQL + " SELECT book, sheet, row, row_number() OVER (PARTITION BY book, sheet ORDER BY CASE WHEN row % 9 = 0 THEN 1 ELSE 0 END, CASE WHEN row % 9 = 0 OR row % 4 = 1 THEN 1 ELSE 0 END, CASE WHEN row % 9 <> 0 AND row % 4 <> 1 THEN num END, CASE WHEN row % 9 <> 0 AND row % 4 = 1 THEN lpad(CAST(CAST(num AS BIGINT) AS VARCHAR), 20, '0') END, row) - 1 AS position FROM cells WHERE col = 0")
+@query("e5_sort_range", "WITH " + A.CELLS_SQL + " SELECT book, sheet, row, col, row_number() OVER (PARTITION BY book, sheet, col ORDER BY CASE WHEN row % 9 = 0 THEN 1 ELSE 0 END, CASE WHEN row % 9 = 0 OR row % 4 = 1 THEN 1 ELSE 0 END, CASE WHEN row % 9 <> 0 AND row % 4 <> 1 THEN num END, CASE WHEN row % 9 <> 0 AND row % 4 = 1 THEN lpad(CAST(CAST(floor(num) AS BIGINT) AS VARCHAR), 20, '0') END, row) - 1 AS position FROM cells")
 def e5(spark, d):
-    key = F.when(F.col("row") % 9 == 0, "").when(F.col("row") % 4 == 1, F.concat(F.lit("B"), F.col("num").cast("long").cast("string"))).otherwise(F.col("num").cast("string"))
-    return formulas.sort_range(A.cells(spark, d).where("col = 0").withColumn("k", key), "k", ["book", "sheet"], "row").select("book", "sheet", "row", "position")
+    key = F.when(F.col("row") % 9 == 0, "").when(F.col("row") % 4 == 1, F.concat(F.lit("B"), F.floor("num").cast("string"))).otherwise(F.col("num").cast("string"))
+    return formulas.sort_range(A.cells(spark, d).withColumn("k", key), "k", ["book", "sheet", "col"], "row").select("book", "sheet", "row", "col", "position")
 
 
 @query("e6_table_headers", """WITH h AS (SELECT c_nationkey AS table_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS t FROM customer),
@@ -79,7 +95,7 @@ def e7(spark, d):
     return formulas.pivot_summary(c, "g", ["balance", "names"], "c_custkey").withColumn("balance", F.round("balance", 2))
 
 
-_SERIES_SQL = "series AS (SELECT book, sheet, row AS idx, CASE WHEN row % 5 = 0 THEN 0 ELSE num - 20 END AS value FROM cells WHERE col = 0 AND row < 40)"
+_SERIES_SQL = "series AS (SELECT book, sheet, row AS idx, CASE WHEN row % 5 = 0 THEN 0 ELSE num - 20 END AS value FROM cells WHERE col = 0)"
 
 
 def _series(spark, d):

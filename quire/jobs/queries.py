@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import scalars as S
-from quire.functions.number_format import format_number
+from quire.functions.number_format import display_text, format_number
 from quire.operators import edits, rules, sheets
 from quire.schemas import MAX_ROW
 from quire.sources import adapters as A
@@ -34,15 +35,14 @@ def _rules(spark, d) -> DataFrame:
 
     The ranges are cut to the used range when they are matched.
     """
-    names = A.lines(spark, d).select("book", "sheet").distinct()
-    one = names.withColumn("rule", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    one = A.sheet_names(spark, d).withColumn("rule", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return one.select("book", "sheet", "rule", F.lit(0).cast("long").alias("r0"), F.lit(MAX_ROW).cast("long").alias("r1"), F.col("rule").alias("c0"), F.col("rule").alias("c1"), F.col("rule").alias("priority"), (F.col("rule") == 2).alias("stop_if_true"))
 
 
 def visuals(cells: DataFrame, rule_table: DataFrame) -> DataFrame:
-    matches = rules.rule_matches(cells, rule_table)
-    limits = rules.rule_thresholds(matches, [0.5])
-    m = matches.join(limits, ["book", "sheet", "rule"])
+    # Cells are dealt by sheet already, so a window per rule sorts them but shuffles nothing.
+    own = W.partitionBy("book", "sheet", "rule")
+    m = rules.rule_matches(cells, rule_table).withColumns({"low": F.min("num").over(own), "high": F.max("num").over(own), "p50": F.percentile("num", F.lit(0.5)).over(own)})
     bar = rules.data_bar(F.col("num"), F.col("low"), F.col("high"))
     third = lambda p: rules.percent_threshold(F.col("low"), F.col("high"), p)
     return m.select(
@@ -88,37 +88,77 @@ SELECT book, sheet, row_number() OVER (PARTITION BY book, sheet ORDER BY priorit
 def d1(spark, d):
     box = lambda a, b: F.struct(F.lit(a).cast("long").alias("r0"), F.lit(0).cast("long").alias("c0"), F.lit(b).cast("long").alias("r1"), F.lit(3).cast("long").alias("c1"))
     rule = lambda p, kind, n, c: F.struct(F.lit(p).alias("priority"), F.lit(kind).alias("kind"), F.array(*[F.lit(i) for i in range(n)]).cast("array<int>").alias("thresholds"), F.array(*[F.lit(i) for i in range(c)]).cast("array<int>").alias("colors"))
-    blocks = A.lines(spark, d).select("book", "sheet").distinct().select("book", "sheet", F.lit(0).alias("block"), F.array(box(9, 0), box(20, 29)).alias("ranges"), F.array(rule(2, "cellIs", 1, 0), rule(1, "colorScale", 2, 2), rule(3, "colorScale", 3, 2), rule(4, "dataBar", 1, 0)).alias("rules"))
+    blocks = A.sheet_names(spark, d).select("book", "sheet", F.lit(0).alias("block"), F.array(box(9, 0), box(20, 29)).alias("ranges"), F.array(rule(2, "cellIs", 1, 0), rule(1, "colorScale", 2, 2), rule(3, "colorScale", 3, 2), rule(4, "dataBar", 1, 0)).alias("rules"))
     return rules.explode_rules(blocks).select("book", "sheet", "rule", "kind", "r0", "r1")
 
 
-@query("d4_cell_is", "WITH " + A.CELLS_SQL + " SELECT book, sheet, count(*) FILTER (num BETWEEN 10 AND 20) AS n_between, count(*) FILTER (NOT num BETWEEN 10 AND 20) AS n_not_between, count(*) FILTER (num > 25) AS n_greater, count(*) FILTER (num <> 7) AS n_not_equal FROM cells WHERE col = 0 GROUP BY book, sheet")
+@query("d4_cell_is", "WITH " + A.CELLS_SQL + " SELECT book, sheet, count(*) FILTER (num BETWEEN 10 AND 20) AS n_between, count(*) FILTER (NOT num BETWEEN 10 AND 20) AS n_not_between, count(*) FILTER (num > 25) AS n_greater, count(*) FILTER (num <> 7) AS n_not_equal FROM cells GROUP BY book, sheet")
 def d4(spark, d):
-    cells = A.cells(spark, d).where("col = 0")
+    cells = A.cells(spark, d)
     n = lambda op, a, b, name: F.count(F.when(rules.cell_is(F.lit(op), F.col("num"), F.lit(a), F.lit(b)), 1)).alias(name)
     return cells.groupBy("book", "sheet").agg(n("between", 20.0, 10.0, "n_between"), n("notBetween", 10.0, 20.0, "n_not_between"), n("greaterThan", 25.0, None, "n_greater"), n("notEqual", 7.0, None, "n_not_equal"))
 
 
-@query("d5_expression", "WITH " + A.CELLS_SQL + " SELECT book, sheet, count(*) FILTER ((row + 1) % 3 = 1) AS n_mod, count(*) FILTER (num >= 25) AS n_ge, count(*) FILTER (length(CAST(CAST(num AS BIGINT) AS VARCHAR)) > 1) AS n_len, CAST(0 AS BIGINT) AS n_unknown FROM cells WHERE col = 0 GROUP BY book, sheet")
+@query("d4_cell_is_values", """SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag >= 'n' AND l_returnflag <= 'r' AS between_n, NOT (l_returnflag >= 'n' AND l_returnflag <= 'r') AS not_between FROM (SELECT * REPLACE (lower(l_returnflag) AS l_returnflag) FROM lineitem)""")
+def d4b(spark, d):
+    value = lambda kind, num, txt: F.struct(F.lit(kind).alias("kind"), num.cast("double").alias("num"), txt.cast("string").alias("txt"))
+    none = F.lit(None)
+    cell, a, b = value("text", none, F.col("l_returnflag")), value("text", none, F.lit("R")), value("text", none, F.lit("n"))
+    fired = lambda op: rules.cell_is_value(F.lit(op), cell, a, b)
+    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", fired("between").alias("between_n"), fired("notBetween").alias("not_between"))
+
+
+#: Rule formulas over whole sheets.
+FORMULAS = ("=MOD(ROW(),3)=1", "=$A1>=25", "=LEN(A1)>4", "=B1>$B$1", "=FOO(1)", "=A1", "=MOD(A1;0)=1", '="b">A1')
+
+
+@query("d5_expression", "WITH " + A.CELLS_SQL + """, x AS (SELECT c.book, c.sheet, c.row, c.col, c.num, a.num AS first, coalesce(n.num, 0) AS next, t.num AS top FROM cells c JOIN cells a ON a.book = c.book AND a.sheet = c.sheet AND a.row = c.row AND a.col = 0 JOIN cells t ON t.book = c.book AND t.sheet = c.sheet AND t.row = 0 AND t.col = 1
+  LEFT JOIN cells n ON n.book = c.book AND n.sheet = c.sheet AND n.row = c.row AND n.col = c.col + 1),
+f AS (SELECT book, sheet, unnest(range(8)) AS rule, unnest([(row + 1) % 3 = 1, first >= 25, length(CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE CAST(num AS VARCHAR) END) > 4, next > top, false, num <> 0, false, true]) AS fired FROM x)
+SELECT book, sheet, rule, count(*) FILTER (fired) AS n_fired FROM f GROUP BY book, sheet, rule""")
 def d5(spark, d):
-    m = A.cells(spark, d).where("col = 0")
-    for name, f in (("a", "=MOD(ROW(),3)=1"), ("b", "cell>=25"), ("c", "LEN(cell)>1"), ("e", "FOO(1)")):
-        m = rules.expression_rule(m, f).withColumnRenamed("fired", name)
-    n = lambda c, name: F.count(F.when(F.col(c), 1)).alias(name)
-    return m.groupBy("book", "sheet").agg(n("a", "n_mod"), n("b", "n_ge"), n("c", "n_len"), n("e", "n_unknown"))
+    cells = A.cells(spark, d)
+    long = lambda v: F.lit(v).cast("long")
+    rule = A.sheet_names(spark, d).select("book", "sheet", F.posexplode(F.array(*map(F.lit, FORMULAS))).alias("rule", "formula1"), long(0).alias("r0"), long(0).alias("c0"), long(MAX_ROW).alias("r1"), long(3).alias("c1"))
+    fired = rules.expression_rules(rules.rule_matches(cells, rule.withColumn("rule", F.col("rule").cast("long"))), cells)
+    return fired.groupBy("book", "sheet", "rule").agg(F.count(F.when(F.col("fired"), 1)).alias("n_fired"))
+
+
+@query("d3_rule_limits", "WITH " + A.CELLS_SQL + " SELECT book, sheet, col AS rule, round(min(num), 6) AS low, round(min(num) + (max(num) - min(num)) * 0.33, 6) AS third, round(quantile_cont(num, 0.9), 6) AS p90, 5.0::DOUBLE AS five, CAST(NULL AS DOUBLE) AS formula FROM cells GROUP BY book, sheet, col")
+def d3b(spark, d):
+    kinds = (("min", None), ("percent", 33.0), ("percentile", 90.0), ("num", 5.0), ("formula", 1.0))
+    rule = _rules(spark, d).withColumn("thresholds", F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).cast("double").alias("value")) for k, v in kinds]))
+    limits = rules.rule_limits(rules.rule_matches(A.cells(spark, d), rule.drop("thresholds")), rule)
+    return limits.select("book", "sheet", "rule", *[F.round(F.get("limits", F.lit(i)), 6).alias(n) for i, n in enumerate(("low", "third", "p90", "five", "formula"))])
+
 
+@query("d6_color_scale", "WITH " + A.CELLS_SQL + """, t AS (SELECT book, sheet, col, min(num) AS lo, max(num) AS hi FROM cells GROUP BY ALL)
+SELECT book, sheet, row, col, CASE WHEN num >= hi THEN 16711680 ELSE CAST(floor(255 * ((num - lo) / (hi - lo)) + 0.5) AS INTEGER) * 65536 END AS color,
+  CASE WHEN num <= 0 THEN 255 WHEN num >= 30 THEN 0 WHEN num >= 20 THEN CAST(floor(255 + (0 - 255) * ((num - 20) / 10) + 0.5) AS INTEGER) * 256 WHEN num >= 10 THEN CAST(floor(255 * ((num - 10) / 10) + 0.5) AS INTEGER) * 256 ELSE CAST(floor(255 + (0 - 255) * (num / 10) + 0.5) AS INTEGER) END AS steps
+FROM cells JOIN t USING (book, sheet, col)""")
+def d6(spark, d):
+    own = W.partitionBy("book", "sheet", "rule")
+    m = rules.rule_matches(A.cells(spark, d), _rules(spark, d)).withColumns({"low": F.min("num").over(own), "high": F.max("num").over(own)})
+    colors = lambda *c: F.array(*[F.lit(x) for x in c])
+    steps = rules.scale_color(F.col("num"), colors(30.0, 0.0, 20.0, 10.0), colors(0x000000, 0x0000FF, 0x00FF00, 0x000000))
+    return m.select("book", "sheet", "row", "col", rules.scale_color(F.col("num"), F.array("high", "low"), colors(0xFF0000, 0x000000)).alias("color"), steps.alias("steps"))
 
-_STYLE_SQL = "WITH " + A.CELLS_SQL + """, q AS (SELECT book, sheet, row, col, num, num > 40 AS f1, num > 20 AS f2, num > 10 AS f3 FROM cells WHERE col = 0)
-SELECT book, sheet, row, CASE WHEN f1 THEN 'red' WHEN f2 THEN 'blue' END AS fill, CASE WHEN f3 AND NOT f1 THEN '0.00' END AS num_fmt, f1 AS bold, CAST(CASE WHEN f1 THEN 1 WHEN f2 THEN 2 ELSE 1 END AS BIGINT) AS n_rules
-FROM q WHERE f1 OR f2 OR f3"""
+
+_STYLE_SQL = "WITH " + A.CELLS_SQL + """, q AS (SELECT book, sheet, row, col, num > 40 AS f1, num > 20 AS f2, num > 10 AS f3, num > 0 AS f4 FROM cells)
+SELECT book, sheet, row, col, CASE WHEN f1 THEN 'red' WHEN f2 THEN 'blue' END AS fill, CASE WHEN f3 AND NOT f1 THEN '0.00' END AS num_fmt, f1 AS bold, f3 AND NOT f1 AS italic, CASE WHEN f1 THEN 'white' WHEN f4 THEN 'black' END AS font_color, CASE WHEN f2 AND NOT f1 THEN 'thin' END AS border_left, CASE WHEN f4 AND NOT f1 THEN 'thick' END AS border_top,
+  CASE WHEN f4 AND NOT f1 AND NOT f2 THEN 'colorScale' END AS visual, CAST(CASE WHEN f1 THEN 1 ELSE f2::INT + f3::INT + f4::INT END AS BIGINT) AS n_rules
+FROM q WHERE f4"""
 
 
 @query("d9_effective_style", _STYLE_SQL)
 def d9(spark, d):
-    cells = A.cells(spark, d).where("col = 0")
-    rule = lambda k, limit, stop, fill, fmt, bold: F.struct(F.lit(k).alias("rule"), (F.col("num") > limit).alias("fired"), F.lit(stop).alias("stop_if_true"), F.lit(fill).cast("string").alias("fill"), F.lit(fmt).cast("string").alias("num_fmt"), F.lit(bold).alias("bold"), F.lit(None).cast("string").alias("visual"))
-    fired = cells.select("book", "sheet", "row", "col", F.explode(F.array(rule(1, 40, True, "red", None, True), rule(2, 20, False, "blue", None, False), rule(3, 10, False, None, "0.00", False))).alias("x")).select("book", "sheet", "row", "col", "x.*")
-    return rules.effective_style(fired).select("book", "sheet", "row", "fill", "num_fmt", "bold", "n_rules")
+    def rule(k, limit, **style):
+        text = lambda c: F.lit(style.get(c)).cast("string").alias(c)
+        return F.struct(F.lit(k).alias("rule"), (F.col("num") > limit).alias("fired"), F.lit(k == 1).alias("stop_if_true"), *[text(c) for c in ("fill", "num_fmt", "font_color", "border_left", "border_top", "visual")], F.lit(style.get("bold", False)).alias("bold"), F.lit(style.get("italic", False)).alias("italic"))
+
+    styles = [rule(1, 40, fill="red", font_color="white", bold=True), rule(2, 0, visual="colorScale", font_color="black", border_top="thick"), rule(3, 20, fill="blue", border_left="thin"), rule(4, 10, num_fmt="0.00", italic=True)]
+    fired = A.cells(spark, d).select("book", "sheet", "row", "col", F.explode(F.array(*styles)).alias("x")).select("book", "sheet", "row", "col", "x.*")
+    return rules.effective_style(fired)
 
 
 # --- scalars --------------------------------------------------------------------------------------
@@ -181,11 +221,28 @@ def b6_any(spark, d):
     return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", format_number(num, code).alias("shown"))
 
 
-@query("b7_display_text", "WITH " + A.CELLS_SQL + ", shown AS (SELECT book, sheet, row, format('{:.2f}', CAST(num AS DECIMAL(38,2))) AS t FROM cells WHERE col = 1) SELECT s.book, s.sheet, s.row, CASE WHEN s.row % 5 = 0 THEN 'edited' ELSE t END AS shown FROM shown s")
+@query("b7_display_text", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 11 = 0 THEN 'edited' WHEN l_linenumber % 5 = 0 THEN format('{:.2f}', CAST(l_extendedprice AS DECIMAL(38,2))) WHEN l_linenumber % 5 = 1 THEN CASE WHEN l_returnflag = 'A' THEN 'TRUE' ELSE 'FALSE' END WHEN l_linenumber % 5 = 2 THEN '#N/A' WHEN l_linenumber % 5 = 3 THEN '' ELSE l_returnflag END AS shown,
+  CASE WHEN l_partkey % 11 = 0 OR l_linenumber % 5 > 2 THEN 'left' WHEN l_linenumber % 5 = 0 THEN 'right' ELSE 'center' END AS align FROM lineitem""")
 def b7(spark, d):
-    cells = A.cells(spark, d).where("col = 1").withColumn("shown", S.format_plain(F.col("num"), F.lit("0.00")))
+    k = F.col("l_linenumber") % 5
+    kind = F.when(k == 0, "number").when(k == 1, "bool").when(k == 2, "error").when(k == 3, "empty").otherwise("text")
+    num = F.when(k == 0, F.col("l_extendedprice")).when(k == 1, (F.col("l_returnflag") == "A").cast("double"))
+    txt = F.when(k == 2, "#N/A").when(k == 4, F.col("l_returnflag"))
+    shown = display_text(kind, num, txt, F.when(k == 3, "=A1"), F.lit("0.00"), F.when(F.col("l_partkey") % 11 == 0, "edited"))
+    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", shown.alias("x")).select("l_orderkey", "l_linenumber", "l_partkey", "x.*")
+
+
+@query("b7_edited_cells", "WITH " + A.CELLS_SQL + ", shown AS (SELECT book, sheet, row, col, format('{:.2f}', CAST(num AS DECIMAL(38,2))) AS t FROM cells) SELECT s.book, s.sheet, s.row, s.col, CASE WHEN s.row % 5 = 0 THEN 'edited' ELSE t END AS shown FROM shown s")
+def b7b(spark, d):
+    cells = A.cells(spark, d).withColumn("shown", S.format_plain(F.col("num"), F.lit("0.00")))
     latest = cells.where("row % 5 = 0").select("book", "sheet", "row", "col", F.lit("edited").alias("text"))
-    return edits.apply_edits(cells, latest).select("book", "sheet", "row", "shown")
+    return edits.apply_edits(cells, latest).select("book", "sheet", "row", "col", "shown")
+
+
+@query("b5_timestamps", "SELECT event_id, round(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) + (extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts))) / 86400.0, 9) AS serial, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS back, round(date_diff('day', DATE '1899-12-30', CAST(ts AS DATE)) + (extract(hour FROM ts) * 60 + extract(minute FROM ts)) / 1440.0, 9) AS iso FROM events")
+def b5b(spark, d):
+    serial = S.timestamp_to_serial(F.col("ts"))
+    return A.read(spark, d, "events").select("event_id", F.round(serial, 9).alias("serial"), F.date_format(S.serial_to_timestamp(serial), "yyyy-MM-dd HH:mm:ss").alias("back"), F.round(S.iso_to_serial(F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")), 9).alias("iso"))
 
 
 @query("b8_compare", "SELECT l_orderkey, l_linenumber, CAST(sign(l_quantity - 25) AS INTEGER) AS numbers, -1 AS number_text, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS texts, CAST(NULL AS INTEGER) AS error FROM lineitem")
@@ -210,29 +267,43 @@ def c1(spark, d):
     return sheets.used_range(A.sparse_cells(spark, d))
 
 
-@query("c2_visible_used_range", "WITH " + A.CELLS_SQL + " SELECT book, sheet, min(row) AS r0, max(row) AS r1 FROM cells WHERE col = 0 AND (num % 5 <> 0 OR row < 3) GROUP BY book, sheet")
+@query("c2_visible_used_range", "WITH " + A.CELLS_SQL + " SELECT book, sheet, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1 FROM cells WHERE num <> 0 AND col > 1 OR col = 1 AND row % 2 = 0 OR col = 0 AND row BETWEEN 3 AND 5 OR row = 7 AND col = 3 GROUP BY book, sheet")
 def c2(spark, d):
-    cells = A.cells(spark, d).where("col = 0").withColumn("num", F.when(F.col("num") % 5 != 0, F.col("num")))
-    paint = cells.select("book", "sheet").distinct().select("book", "sheet", *[F.lit(v).cast("long").alias(c) for c, v in (("r0", 0), ("c0", 0), ("r1", 2), ("c1", 9))])
-    return sheets.visible_used_range(cells, paint).select("book", "sheet", "r0", "r1")
+    cells = A.cells(spark, d).select("book", "sheet", "row", "col", F.when((F.col("col") > 1) & (F.col("num") != 0), F.col("num")).alias("num"), F.when((F.col("row") == 7) & (F.col("col") == 3), "=A1").alias("formula"), F.when((F.col("col") == 1) & (F.col("row") % 2 == 0), 1).otherwise(0).alias("style"))
+    paint = A.sheet_names(spark, d).select("book", "sheet", *[F.lit(v).cast("long").alias(c) for c, v in (("r0", 3), ("c0", 0), ("r1", 5), ("c1", 0))])
+    visible = spark.range(2).select(F.col("id").cast("int").alias("style"), (F.col("id") == 1).alias("visible"))
+    return sheets.visible_used_range(cells, paint, visible)
 
 
-@query("c3_neighbours", "WITH " + A.SPARSE_SQL + " SELECT book, sheet, row, lag(row) OVER w AS up, lead(row) OVER w AS down FROM sparse WINDOW w AS (PARTITION BY book, sheet, col ORDER BY row)")
+@query("c3_neighbours", "WITH " + A.SPARSE_SQL + " SELECT book, sheet, row, col, lag(row) OVER w AS up, lead(row) OVER w AS down, lag(col) OVER v AS left_, lead(col) OVER v AS right_ FROM sparse WINDOW w AS (PARTITION BY book, sheet, col ORDER BY row), v AS (PARTITION BY book, sheet, row ORDER BY col)")
 def c3(spark, d):
-    return sheets.neighbour_content(A.sparse_cells(spark, d)).select("book", "sheet", "row", "up", "down")
+    return sheets.neighbour_content(A.sparse_cells(spark, d)).select("book", "sheet", "row", "col", "up", "down", F.col("left").alias("left_"), F.col("right").alias("right_"))
 
 
 @query("c4_content_runs", "WITH " + A.SPARSE_SQL + """, i AS (SELECT *, row - row_number() OVER (PARTITION BY book, sheet, col ORDER BY row) AS g FROM sparse),
 e AS (SELECT *, min(row) OVER (PARTITION BY book, sheet, col, g) AS run_start, max(row) OVER (PARTITION BY book, sheet, col, g) AS run_end, lead(row) OVER (PARTITION BY book, sheet, col ORDER BY row) AS nxt FROM i)
-SELECT book, sheet, row, run_start, run_end, CAST(CASE WHEN row < run_end THEN run_end ELSE coalesce(nxt, 1048575) END AS BIGINT) AS jump FROM e""")
+SELECT book, sheet, row, col, run_start, run_end, CAST(CASE WHEN row < run_end THEN run_end ELSE coalesce(nxt, 1048575) END AS BIGINT) AS jump FROM e""")
 def c4(spark, d):
-    return sheets.content_runs(A.sparse_cells(spark, d)).select("book", "sheet", "row", "run_start", "run_end", "jump")
+    return sheets.content_runs(A.sparse_cells(spark, d)).select("book", "sheet", "row", "col", "run_start", "run_end", "jump")
+
+
+@query("c4_hidden_targets", "WITH " + A.SPARSE_SQL + """, hidden AS (SELECT book, sheet, row FROM lines WHERE l_linenumber = 1), i AS (SELECT *, row - row_number() OVER (PARTITION BY book, sheet, col ORDER BY row) AS g FROM sparse),
+e AS (SELECT *, max(row) OVER (PARTITION BY book, sheet, col, g) AS run_end, lead(row) OVER (PARTITION BY book, sheet, col ORDER BY row) AS nxt FROM i),
+j AS (SELECT book, sheet, row, col, CAST(CASE WHEN row < run_end THEN run_end ELSE coalesce(nxt, 1048575) END AS BIGINT) AS jump FROM e),
+s AS (SELECT book, sheet, row, lead(row) OVER (PARTITION BY book, sheet ORDER BY row) AS nxt FROM lines WHERE l_linenumber <> 1 OR row < 0), n AS (SELECT book, sheet, max(row) AS last FROM lines GROUP BY ALL)
+SELECT j.book, j.sheet, j.row, j.col, CASE WHEN h.row IS NULL THEN j.jump ELSE coalesce((SELECT min(l.row) FROM lines l WHERE l.book = j.book AND l.sheet = j.sheet AND l.row > j.row AND l.l_linenumber <> 1), n.last + 1) END AS jump
+FROM j JOIN n ON n.book = j.book AND n.sheet = j.sheet LEFT JOIN hidden h ON h.book = j.book AND h.sheet = j.sheet AND h.row = j.jump""")
+def c4b(spark, d):
+    hidden = A.lines(spark, d).where("l_linenumber = 1").select("book", "sheet", F.col("row").alias("idx"))
+    return sheets.visible_jumps(sheets.content_runs(A.sparse_cells(spark, d)), hidden).select("book", "sheet", "row", "col", "jump")
 
 
-@query("c5_regions")
+@query("c5_regions", "WITH RECURSIVE " + A.SPARSE_SQL + """, p AS (SELECT book, sheet, row, col * (col + 1) // 2 AS col FROM sparse), i AS (SELECT *, row - row_number() OVER (PARTITION BY book, sheet, col ORDER BY row) AS g FROM p),
+v AS (SELECT book, sheet, col, min(row) AS a, max(row) AS b FROM i GROUP BY book, sheet, col, g), w AS (SELECT *, CASE WHEN col = 0 THEN 1 ELSE col END AS strip FROM v)
+SELECT book, sheet, min(a) AS r0, CAST(min(col) AS BIGINT) AS c0, max(b) AS r1, CAST(max(col) AS BIGINT) AS c1 FROM w GROUP BY book, sheet, strip, CASE WHEN strip = 1 THEN 0 ELSE a END""")
 def c5(spark, d):
-    spread = A.sparse_cells(spark, d).withColumns({"col": F.col("row") % 6, "row": F.floor(F.col("row") / 6)})
-    return sheets.regions(spread)
+    """Columns 0 and 1 touch, 2 and 3 stand apart, so a sheet has a region of two columns and one of each run of the others."""
+    return sheets.regions(A.sparse_cells(spark, d).withColumn("col", F.floor(F.col("col") * (F.col("col") + 1) / 2)))
 
 
 def _merges(spark, d):
@@ -248,13 +319,15 @@ def c6(spark, d):
     return sheets.merge_covering(A.cells(spark, d), _merges(spark, d)).select("book", "sheet", "row", "col", "merge", "hidden")
 
 
-@query("c7_expand_merges")
+@query("c7_expand_merges", "WITH " + A.LINES_SQL + ", " + _MERGES_SQL + """, o AS (SELECT *, max(r1) OVER (PARTITION BY book, sheet ORDER BY r0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM merges),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR before < r0 THEN 1 ELSE 0 END) OVER (PARTITION BY book, sheet ORDER BY r0) AS g FROM o), islands AS (SELECT book, sheet, g, min(r0) AS a, max(r1) AS b FROM i GROUP BY ALL)
+SELECT m.book, m.sheet, m.merge AS range, least(m.r0, min(a)) AS r0, 0::BIGINT AS c0, greatest(m.r1 + 1, max(b)) AS r1, 1::BIGINT AS c1 FROM merges m JOIN islands s ON s.book = m.book AND s.sheet = m.sheet AND s.a <= m.r1 + 1 AND s.b >= m.r0 GROUP BY m.book, m.sheet, m.merge, m.r0, m.r1""")
 def c7(spark, d):
     m = _merges(spark, d)
     return sheets.expand_merges(m.withColumnRenamed("merge", "range").withColumn("r1", F.col("r1") + 1), m)
 
 
-@query("c8_merge_conflicts", "WITH " + A.CELLS_SQL + ", " + _MERGES_SQL + " SELECT a.book, a.sheet, a.merge AS a, b.merge AS b FROM merges a JOIN merges b USING (book, sheet) WHERE a.merge < b.merge AND a.r0 <= b.r1 AND b.r0 <= a.r1")
+@query("c8_merge_conflicts", "WITH " + A.LINES_SQL + ", " + _MERGES_SQL + " SELECT a.book, a.sheet, a.merge AS a, b.merge AS b FROM merges a JOIN merges b USING (book, sheet) WHERE a.merge < b.merge AND a.r0 <= b.r1 AND b.r0 <= a.r1")
 def c8(spark, d):
     return sheets.merge_conflicts(_merges(spark, d))
 
@@ -301,7 +374,9 @@ def c13(spark, d):
     return sheets.print_titles(c.select(F.concat(F.lit("B"), F.col("c_custkey").cast("string")).alias("book"), refers.alias("refers_to"))).select("book", "sheet", "r0", "r1", "c0", "c1")
 
 
-@query("c14_page_bands")
+@query("c14_page_bands", "WITH RECURSIVE " + A.LINES_SQL + """, z AS MATERIALIZED (SELECT book, sheet, row AS idx, l_quantity AS size FROM lines),
+g AS (SELECT book, sheet, idx, 0::BIGINT AS band, size AS used FROM z WHERE idx = 0 UNION ALL SELECT z.book, z.sheet, z.idx, CASE WHEN g.used + z.size > 300 THEN g.band + 1 ELSE g.band END, CASE WHEN g.used + z.size > 300 THEN z.size ELSE g.used + z.size END FROM g JOIN z ON z.book = g.book AND z.sheet = g.sheet AND z.idx = g.idx + 1)
+SELECT book, sheet, band, min(idx) AS first, max(idx) AS last FROM g GROUP BY book, sheet, band""")
 def c14(spark, d):
     return sheets.page_bands(A.lines(spark, d).select("book", "sheet", F.col("row").alias("idx"), F.col("l_quantity").alias("size")), 300.0)
 

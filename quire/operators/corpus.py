@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.ordering import in_order
+
 # File extensions by kind, and the output formats each kind may become.
 EXTENSIONS = {"xlsx": "sheet", "xlsm": "sheet", "ods": "sheet", "xlsb": "sheet", "docx": "document", "odt": "document", "pptx": "deck", "odp": "deck"}
 OUTPUTS = {"sheet": ("pdf",), "document": ("html", "md", "txt"), "deck": ("html", "md", "txt")}
@@ -73,9 +75,9 @@ def compare_engines(stats: DataFrame, a: str, b: str) -> DataFrame:
     side = lambda e, name: stats.where(F.col("engine") == e).select("file", F.col("median").alias(name), F.col("out_bytes").alias(f"o_{name}"))
     both = side(a, "a").join(side(b, "b"), "file").where("least(o_a, o_b) * 2 >= greatest(o_a, o_b)")
     ranked = both.select("file", (F.col("a") / F.col("b")).alias("speedup"))
-    n = ranked.count()
-    k = F.row_number().over(W.orderBy("speedup", "file"))  # one row per file of a benchmark
-    return ranked.withColumn("is_median", k == n // 2 + 1)
+    placed = in_order(ranked, "speedup", "file", name="_k")
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return placed.crossJoin(F.broadcast(n)).select("file", "speedup", (F.col("_k") == F.floor(F.col("_n") / 2)).alias("is_median"))
 
 
 # Layer of each diagnostic code, and whether a retry can help.

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import excel_compare
+from quire.functions.expressions import FormulaError, parse, references
 from quire.operators.sheets import SHEET, clamp_ranges, in_ranges
+from quire.schemas import MAX_COL, MAX_ROW
 
 KEY = [*SHEET, "row", "col"]
 
@@ -28,8 +30,19 @@ def explode_rules(blocks: DataFrame) -> DataFrame:
 
 
 def rule_matches(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Cells inside the range of each rule."""
-    return in_ranges(cells, clamp_ranges(rules, cells))
+    """Cells inside the range of each rule.
+
+    Rules over whole columns meet the cells of their sheet, which shuffles
+    cells by sheet alone; the others are cut to the used range and met by bands
+    of rows.
+    """
+    tall = (F.col("r0") <= 0) & (F.col("r1") >= MAX_ROW)
+    whole = cells.join(rules.where(tall), SHEET).where("col BETWEEN c0 AND c1")
+    rest = rules.where(~tall)
+    if rest.isEmpty():
+        return whole
+    banded_ = in_ranges(cells, clamp_ranges(rest, cells))
+    return whole.unionByName(banded_.select(*whole.columns))
 
 
 def rule_thresholds(matches: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
@@ -54,26 +67,137 @@ def cell_is(operator: Column, num: Column, a: Column, b: Column) -> Column:
     return F.coalesce(fired, F.lit(False))
 
 
-def expression_rule(matches: DataFrame, formula: str) -> DataFrame:
-    """matches plus fired, for formulas ``MOD(ROW(),n)=k``, ``LEN(cell)>n`` and ``cell<op>number``; others never fire.
+def rule_limits(matches: DataFrame, rules: DataFrame) -> DataFrame:
+    """book, sheet, rule, limits: the value of each of a rule's thresholds (kind, value), in their order.
 
-    The formula is read once, on the driver, into one Column; ``cell`` stands
-    for the cell itself (a relative reference to the range's corner).
+    Kinds are min, max, num, percent (linear) and percentile (linearly
+    interpolated, 0 to 100); a formula, a kind without numbers to go by, or a
+    missing value gives null, and the rule paints nothing.  The numbers of a
+    rule are sorted in one buffer only where a percentile asks for them.
     """
-    import re
+    asked = F.exists("thresholds", lambda t: t["kind"] == "percentile")
+    wanted = rules.select(*SHEET, "rule", "thresholds", asked.alias("_sorted"))
+    numbers = matches.select(*SHEET, "rule", "num").where("num IS NOT NULL").join(wanted.select(*SHEET, "rule", "_sorted"), [*SHEET, "rule"])
+    stats = numbers.groupBy(*SHEET, "rule").agg(F.min("num").alias("_low"), F.max("num").alias("_high"), F.sort_array(F.collect_list(F.when(F.col("_sorted"), F.col("num")))).alias("_all"))
+    low, high, held = F.col("_low"), F.col("_high"), F.col("_all")
+
+    def percentile(p: Column) -> Column:
+        rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p / 100)) * (F.size(held) - 1)
+        at = F.floor(rank).cast("int")
+        below = F.get(held, at)
+        return below + (F.coalesce(F.get(held, at + 1), below) - below) * (rank - at)
+
+    value = lambda t: F.when(t["kind"] == "num", t["value"]).when(t["kind"] == "min", low).when(t["kind"] == "max", high).when(t["kind"] == "percent", low + (high - low) * t["value"] / 100).when((t["kind"] == "percentile") & (F.size(held) > 0), percentile(t["value"]))
+    return wanted.join(stats, [*SHEET, "rule"], "left").select(*SHEET, "rule", F.transform("thresholds", value).alias("limits"))
+
+
+def tagged(cells: DataFrame) -> Column:
+    """struct(kind, num, txt) of a cell; numbers and nulls where the table has no kinds."""
+    kind = F.col("kind") if "kind" in cells.columns else F.when(F.col("num").isNull(), "empty").otherwise("number")
+    txt = F.col("txt") if "txt" in cells.columns else F.lit(None).cast("string")
+    return F.struct(kind.cast("string").alias("kind"), F.col("num").cast("double").alias("num"), txt.alias("txt"))
+
+
+def cell_is_value(operator: Column, cell: Column, a: Column, b: Column) -> Column:
+    """:func:`cell_is` on tagged values: numbers before texts before truth values, errors never."""
+    cmp = lambda x, y: excel_compare(x["kind"], x["num"], x["txt"], y["kind"], y["num"], y["txt"])
+    swapped = cmp(a, b) > 0
+    low, high = F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
+    inside = (cmp(cell, low) >= 0) & (cmp(cell, high) <= 0)
+    to = cmp(cell, a)
+    fired = (
+        F.when(operator == "equal", to == 0).when(operator == "notEqual", to != 0).when(operator == "lessThan", to < 0).when(operator == "lessThanOrEqual", to <= 0)
+        .when(operator == "greaterThan", to > 0).when(operator == "greaterThanOrEqual", to >= 0).when(operator == "between", inside).when(operator == "notBetween", ~inside)
+    )
+    return F.coalesce(fired, F.lit(False))
+
 
-    ops = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-    text = formula.replace(" ", "").lstrip("=")
+def _value(kind: str | Column, num: Column | None = None, txt: Column | None = None) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (num if num is not None else F.lit(None)).cast("double").alias("num"), (txt if txt is not None else F.lit(None)).cast("string").alias("txt"))
+
+
+def number_as_text(num: Column) -> Column:
+    """Shortest text of a number: whole ones without a point."""
+    return F.when((num == F.floor(num)) & (F.abs(num) < 1e15), num.try_cast("long").cast("string")).otherwise(num.cast("string"))
+
+
+def _compiled(tree: tuple, cells_at: dict[tuple, Column]) -> Column:
+    """A rule formula as a tagged value; what the rule language does not know raises FormulaError."""
+    kind = tree[0]
+    if kind == "num":
+        return _value("number", F.lit(tree[1]))
+    if kind == "neg" and tree[1][0] == "num":
+        return _value("number", F.lit(-tree[1][1]))
+    if kind == "text":
+        return _value("text", None, F.lit(tree[1]))
+    if kind == "bool":
+        return _value("bool", F.lit(float(tree[1])))
+    if kind == "cell":
+        return cells_at[tree]
+    if kind == "op" and tree[1] in ("=", "<>", "<", "<=", ">", ">="):
+        a, b = (_compiled(t, cells_at) for t in tree[2:])
+        c = excel_compare(a["kind"], a["num"], a["txt"], b["kind"], b["num"], b["txt"])
+        holds = {"=": c == 0, "<>": c != 0, "<": c < 0, "<=": c <= 0, ">": c > 0, ">=": c >= 0}[tree[1]]
+        return _value(F.when(c.isNull(), "error").otherwise("bool"), holds.cast("double"))
+    if kind == "call":
+        name, arguments = tree[1], [_compiled(t, cells_at) for t in tree[2]]
+        number = lambda v: F.when(v["kind"] == "empty", 0.0).when(v["kind"].isin("number", "bool"), v["num"]).when(v["kind"] == "text", F.trim(v["txt"]).try_cast("double"))
+        if name == "ROW" and not arguments:
+            return _value("number", F.col("row") + 1)
+        if name == "MOD" and len(arguments) == 2:
+            a, b = map(number, arguments)
+            left = F.when(b != 0, a - b * F.floor(a / F.nullif(b, F.lit(0.0))))
+            return _value(F.when(left.isNull(), "error").otherwise("number"), left)
+        if name == "LEN" and len(arguments) == 1:
+            v = arguments[0]
+            text = F.when(v["kind"] == "text", v["txt"]).when(v["kind"] == "empty", "").when(v["kind"] == "number", number_as_text(v["num"])).when(v["kind"] == "bool", F.when(v["num"] != 0, "TRUE").otherwise("FALSE"))
+            return _value(F.when(text.isNull(), "error").otherwise("number"), F.length(text))
+    raise FormulaError(f"{kind} is not part of rule formulas")
+
+
+#: Distinct rule formulas that one call reads.
+MOST_FORMULAS = 10_000
+
+
+def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formula1") -> DataFrame:
+    """matches (row, col, the range's r0 and c0, a formula) plus fired.
+
+    Formulas hold constants, cells (absolute, or relative to the range's
+    corner), comparisons, MOD, LEN and ROW().  Each distinct one is read once,
+    on the driver; its cells come by joins on their addresses, one per place of
+    a reference in a formula.  True or a number other than 0 fires; texts,
+    blanks, errors and formulas outside the language never do.
+    """
+    texts = [r[0] for r in matches.select(formula).where(F.col(formula).isNotNull()).distinct().limit(MOST_FORMULAS + 1).collect()]
+    if len(texts) > MOST_FORMULAS:
+        raise ValueError(f"over {MOST_FORMULAS} distinct rule formulas")
+    trees = {}
+    for text in texts:
+        try:
+            tree = parse(text)
+            _compiled(tree, {ref: _value("empty") for ref in references(tree)})
+            trees[text] = (tree, references(tree))
+        except (FormulaError, KeyError):
+            continue  # never fires
+    places = max((len(refs) for _, refs in trees.values()), default=0)
+    out, values = matches, []
+    for k in range(places):
+        at = {"row": F.lit(None).cast("long"), "col": F.lit(None).cast("long")}
+        for text, (_, refs) in trees.items():
+            if k < len(refs):
+                _, row, col, fixed_row, fixed_col = refs[k]
+                own = F.col(formula) == text
+                at["row"] = F.when(own, F.lit(row) if fixed_row else F.lit(row) + F.col("row") - F.col("r0")).otherwise(at["row"])
+                at["col"] = F.when(own, F.lit(col) if fixed_col else F.lit(col) + F.col("col") - F.col("c0")).otherwise(at["col"])
+        held = cells.select(*SHEET, F.col("row").alias(f"_row{k}"), F.col("col").alias(f"_col{k}"), tagged(cells).alias(f"_cell{k}"))
+        out = out.withColumns({f"_row{k}": at["row"].cast("long"), f"_col{k}": at["col"].cast("long")}).join(held, [*SHEET, f"_row{k}", f"_col{k}"], "left")
+        beyond = (F.col(f"_row{k}") < 0) | (F.col(f"_row{k}") > MAX_ROW) | (F.col(f"_col{k}") < 0) | (F.col(f"_col{k}") > MAX_COL)
+        values.append(F.when(beyond, _value("error")).otherwise(F.coalesce(f"_cell{k}", _value("empty"))))
     fired: Column = F.lit(False)
-    if m := re.fullmatch(r"MOD\(ROW\(\),(-?\d+)\)(=|<>|<=|>=|<|>)(-?\d+)", text, re.I):
-        n = int(m[1])
-        mod = F.pmod(F.col("row") + 1, F.lit(abs(n))) if n > 0 else -F.pmod(-(F.col("row") + 1), F.lit(abs(n)))
-        fired = ops[m[2]](mod, F.lit(int(m[3]))) if n else fired
-    elif m := re.fullmatch(r"LEN\(cell\)(=|<>|<=|>=|<|>)(\d+)", text, re.I):
-        fired = ops[m[1]](F.length(F.regexp_replace(F.col("num").cast("string"), r"\.0$", "")), F.lit(int(m[2])))
-    elif m := re.fullmatch(r"cell(=|<>|<=|>=|<|>)(-?\d+(?:\.\d+)?)", text, re.I):
-        fired = ops[m[1]](F.coalesce(F.col("num"), F.lit(0.0)), F.lit(float(m[2])))
-    return matches.withColumn("fired", F.coalesce(fired, F.lit(False)))
+    for text, (tree, refs) in trees.items():
+        v = _compiled(tree, dict(zip(refs, values)))
+        fired = F.when(F.col(formula) == text, v["kind"].isin("bool", "number") & (v["num"] != 0)).otherwise(fired)
+    return out.withColumn("fired", F.coalesce(fired, F.lit(False))).drop(*[f"_{x}{k}" for k in range(places) for x in ("row", "col", "cell")])
 
 
 def _channel(color: Column, shift: int) -> Column:
@@ -94,6 +218,20 @@ def color_scale(num: Column, low: Column, middle: Column, high: Column, colors:
     return F.when(num.isNotNull() & low.isNotNull(), F.when(num <= low, a).when(num >= high, c).when(num < middle, color_between(t1, a, b)).otherwise(color_between(t2, b, c)))
 
 
+def scale_color(num: Column, limits: Column, colors: Column) -> Column:
+    """Colour of a number on a scale of any number of points (arrays of values and colours), sorted by value, clamped outside.
+
+    Null without number, or where a point has no value.
+    """
+    points = F.array_sort(F.arrays_zip(limits.alias("v"), colors.alias("c")))
+    below = F.filter(points, lambda p: p["v"] <= num)
+    above = F.filter(points, lambda p: p["v"] > num)
+    a, b = F.element_at(below, -1), F.element_at(above, 1)
+    mixed = color_between((num - a["v"]) / (b["v"] - a["v"]), a["c"], b["c"])
+    color = F.when(F.size(below) == 0, F.element_at(points, 1)["c"]).when(F.size(above) == 0, F.element_at(points, -1)["c"]).otherwise(mixed)
+    return F.when(num.isNotNull() & (F.size(limits) > 1) & (F.size(limits) == F.size(colors)) & ~F.exists(limits, lambda v: v.isNull()), color)
+
+
 def data_bar(num: Column, low: Column, high: Column) -> Column:
     """struct(start, end) of a bar as fractions; a negative low puts the axis at zero; a flat scale is a full bar."""
     at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
@@ -111,16 +249,22 @@ def icon_level(num: Column, thresholds: list[Column], gte: list[bool] | None = N
     return F.when(num.isNotNull() & thresholds[0].isNotNull(), (len(thresholds) - 1 - level) if reverse else level)
 
 
+#: Columns of which the last value wins, and flags that only switch on.
+LAST, FLAGS = ("fill", "num_fmt", "font_color", "border_left", "border_right", "border_top", "border_bottom", "visual"), ("bold", "italic", "underline", "strike")
+
+
 def effective_style(fired: DataFrame) -> DataFrame:
-    """One row per cell from its fired rules (rule, fired, stop_if_true, fill, num_fmt, bold, visual).
+    """One row per cell from its fired rules (rule, fired, stop_if_true, and what the table has of ``LAST`` and ``FLAGS``).
 
     Rules go in order of ``rule`` up to the first fired one that stops.  The
-    last fill, format and visual win, bold only switches on, and a fill after a
-    colour scale takes the scale's background away.
+    last fill, format, font colour, side of a border and visual win, each by
+    itself; flags only switch on; a fill after a colour scale takes the scale's
+    background away.
     """
     before = W.partitionBy(*KEY).orderBy("rule").rowsBetween(W.unboundedPreceding, -1)
     live = fired.where("fired").withColumn("_stopped", F.coalesce(F.max(F.col("stop_if_true").cast("int")).over(before), F.lit(0))).where("_stopped = 0")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rule")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rule"))).alias(c)
     at = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("rule")))
-    out = live.groupBy(*KEY).agg(last("fill").alias("fill"), last("num_fmt").alias("num_fmt"), F.bool_or(F.coalesce("bold", F.lit(False))).alias("bold"), last("visual").alias("visual"), at("fill").alias("_f"), at("visual").alias("_v"), F.count(F.lit(1)).alias("n_rules"))
+    has = set(fired.columns)
+    out = live.groupBy(*KEY).agg(*[last(c) for c in LAST if c in has], *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in FLAGS if c in has], at("fill").alias("_f"), at("visual").alias("_v"), F.count(F.lit(1)).alias("n_rules"))
     return out.withColumn("visual", F.when((F.col("visual") == "colorScale") & (F.col("_f") > F.col("_v")), F.lit(None)).otherwise(F.col("visual"))).drop("_f", "_v")

@@ -23,10 +23,15 @@ def used_range(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*SHEET).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
 
 
-def visible_used_range(cells: DataFrame, painting: DataFrame) -> DataFrame:
-    """used_range of cells with a value and of cells under a painting range (r0, c0, r1, c1)."""
-    under = in_ranges(cells.where("num IS NULL"), painting).select(*SHEET, "row", "col").distinct()
-    return used_range(cells.where("num IS NOT NULL").select(*SHEET, "row", "col").unionByName(under))
+def visible_used_range(cells: DataFrame, painting: DataFrame, styles: DataFrame | None = None) -> DataFrame:
+    """used_range of cells with a value, a formula or a visible style (style, visible), and of stored cells under a painting range (r0, c0, r1, c1)."""
+    has = set(cells.columns)
+    filled = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in ("num", "txt", "formula") if c in has], F.lit(False))
+    rows = cells.withColumn("_shown", filled)
+    if styles is not None:
+        rows = rows.join(styles.where("visible").select("style", F.lit(True).alias("_painted")).distinct(), "style", "left").withColumn("_shown", F.col("_shown") | F.coalesce("_painted", F.lit(False)))
+    under = in_ranges(rows.where("NOT _shown").select(*SHEET, "row", "col"), painting).select(*SHEET, "row", "col").distinct()
+    return used_range(rows.where("_shown").select(*SHEET, "row", "col").unionByName(under))
 
 
 def neighbour_content(cells: DataFrame) -> DataFrame:
@@ -50,6 +55,19 @@ def content_runs(cells: DataFrame, axis: str = "row") -> DataFrame:
     return out.withColumn("jump", jump.cast("long")).drop("_block", "_next")
 
 
+def visible_jumps(runs: DataFrame, hidden: DataFrame, axis: str = "row") -> DataFrame:
+    """:func:`content_runs` with a jump onto a hidden row or column (idx) turned into one step to the next visible one."""
+    edge = MAX_ROW if axis == "row" else MAX_COL
+    h = hidden.select(*SHEET, F.col("idx").cast("long").alias("_h")).distinct()
+    # A stretch of hidden ones ends at the first visible one after it.
+    stretch = h.withColumn("_g", F.col("_h") - F.row_number().over(W.partitionBy(*SHEET).orderBy("_h")))
+    ends = stretch.withColumn("_after", F.max("_h").over(W.partitionBy(*SHEET, "_g")) + 1).select(*SHEET, "_h", "_after")
+    at_target = runs.join(h.select(*SHEET, F.col("_h").alias("jump"), F.lit(True).alias("_lost")), [*SHEET, "jump"], "left")
+    stepped = at_target.withColumn("_h", F.col(axis) + 1).join(ends, [*SHEET, "_h"], "left")
+    step = F.least(F.coalesce("_after", "_h"), F.lit(edge))
+    return stepped.withColumn("jump", F.when(F.coalesce("_lost", F.lit(False)), step).otherwise(F.col("jump")).cast("long")).select(*runs.columns)
+
+
 def banded(ranges: DataFrame, band: int = BAND) -> DataFrame:
     """ranges, one row for each band of rows that they cross."""
     return ranges.withColumn("_band", F.explode(F.sequence(F.floor(F.col("r0") / band), F.floor(F.col("r1") / band))))

@@ -21,8 +21,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with book, sheet and row."""
-    row = F.row_number().over(W.partitionBy("l_suppkey", "l_returnflag").orderBy(*_ORDER))
-    return read(spark, sf_dir, "lineitem").withColumns({"book": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), "sheet": F.col("l_returnflag"), "row": row.cast("long") - 1})
+    row = F.row_number().over(W.partitionBy("book", "sheet").orderBy(*_ORDER))
+    return named(spark, sf_dir).withColumn("row", row.cast("long") - 1)
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with book and sheet."""
+    return read(spark, sf_dir, "lineitem").withColumns({"book": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), "sheet": F.col("l_returnflag")})
+
+
+def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, sheet of all sheets."""
+    return named(spark, sf_dir).select("book", "sheet").distinct()
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +41,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of the quantity column, a fifth of them missing."""
-    return cells(spark, sf_dir).where((F.col("col") == 0) & (F.col("num") % 5 != 0))
+    """The cells that hold something: no discount and no tax are blanks."""
+    return cells(spark, sf_dir).where("num != 0")
 
 
 LINES_SQL = """lines AS (
@@ -41,7 +51,7 @@ LINES_SQL = """lines AS (
 CELLS_SQL = LINES_SQL + """, cells AS (
   SELECT book, sheet, row, 0::BIGINT AS col, l_quantity AS num FROM lines UNION ALL SELECT book, sheet, row, 1, l_extendedprice FROM lines
   UNION ALL SELECT book, sheet, row, 2, l_discount FROM lines UNION ALL SELECT book, sheet, row, 3, l_tax FROM lines)"""
-SPARSE_SQL = CELLS_SQL + ", sparse AS (SELECT * FROM cells WHERE col = 0 AND num % 5 <> 0)"
+SPARSE_SQL = CELLS_SQL + ", sparse AS (SELECT * FROM cells WHERE num <> 0)"
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
