@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.jobs.queries import ORACLES, query
-from quire.operators import corpus, documents, edits, formulas
+from quire.operators import corpus, documents, edits, exports, formulas
 from quire.sources import adapters as A
 
 
@@ -168,6 +168,18 @@ def f5(spark, d):
     return documents.cascade(items, documents.style_chains(s), s, ["size", "font"]).select("doc_id", "style_id", "size", "font")
 
 
+@query("f5_layers", "WITH RECURSIVE " + _CHAINS_SQL + """, l AS (SELECT c.style_id AS item, 2000 - c.depth AS k, s.size, s.font, NULL::DOUBLE AS fl FROM chain c JOIN styles s ON s.style_id = c.ancestor UNION ALL SELECT s.style_id, 3000 - c.depth, a.size, NULL, NULL FROM styles s JOIN chain c ON c.style_id = s.style_id - 50 AND c.doc_id = s.doc_id JOIN styles a ON a.style_id = c.ancestor WHERE s.style_id % 9 = 0
+  UNION ALL SELECT style_id, 4000, NULL, CASE WHEN style_id % 10 = 0 THEN 'auto' END, CASE WHEN style_id % 4 = 1 THEN -3.0 WHEN style_id % 4 < 3 THEN 5.0 END FROM styles UNION ALL SELECT style_id, 0, 11, 'base', 1.0 FROM styles)
+SELECT item, arg_max(size, k) FILTER (size IS NOT NULL) AS size, nullif(arg_max(font, k) FILTER (font IS NOT NULL), 'auto') AS color, arg_max(fl, k) FILTER (fl IS NOT NULL) AS first_line FROM l GROUP BY item""")
+def f5b(spark, d):
+    s = _styles(spark, d)
+    k = F.col("style_id")
+    items = s.select("doc_id", k.alias("item"), "style_id", F.when(k % 9 == 0, k - 50).alias("char_style"), F.when(k % 10 == 0, "auto").alias("color"), F.when(k % 4 < 3, 5.0).alias("first_line"), F.when(k % 4 == 1, 3.0).alias("hanging"))
+    defaults = s.select("doc_id").distinct().select("doc_id", _n(11).alias("size"), F.lit("base").alias("color"), F.lit(1.0).alias("first_line"))
+    styles = s.select("doc_id", "style_id", "based_on", "size", F.col("font").alias("color"))
+    return documents.cascade_layers(items, documents.style_chains(s), styles, ["size", "color", "first_line"], defaults, "char_style").select("item", "size", "color", "first_line")
+
+
 @query("f6_validate_styles", "WITH " + _STYLES_SQL + " SELECT doc_id, style_id, 'MissingParent' AS warning FROM styles s WHERE style_id % 7 = 0 UNION ALL SELECT 999, 1, 'CyclicBasedOn'")
 def f6(spark, d):
     s = _styles(spark, d).select("doc_id", "style_id", F.when(F.col("style_id") % 7 == 0, _n(-5)).otherwise(F.col("based_on")).alias("based_on"))
@@ -207,18 +219,123 @@ def f9(spark, d):
     return documents.place_table_cells(cells).select("doc_id", "row", F.col("start_col").cast("long").alias("start_col"), F.coalesce("continuation", F.lit(False)).alias("continuation"))
 
 
-@query("f10_to_markdown", "WITH " + A.PARAGRAPHS_SQL + r""", b AS (SELECT doc_id, ord, ord = 0 AS head, ord % 4 = 2 AS item, regexp_replace(regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g'), '^(#{1,6} |[-+] |\d+[.)] )', '\\\1') AS t FROM paragraphs WHERE trim(text, ' ') <> ''),
+@query("f10_to_markdown", "WITH " + A.PARAGRAPHS_SQL + r""", b AS (SELECT doc_id, ord, ord = 0 AS head, ord % 4 = 2 AS item, regexp_replace(text, '([\\`*_\[\]<>|~])', '\\\1', 'g') AS t FROM paragraphs WHERE trim(text, ' ') <> ''),
 l AS (SELECT *, CASE WHEN lag(item) OVER w IS NULL THEN '' WHEN item AND lag(item) OVER w THEN chr(10) ELSE chr(10) || chr(10) END AS gap FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
-SELECT doc_id, string_agg(gap || CASE WHEN head THEN '# ' WHEN item THEN '- ' ELSE '' END || t, '' ORDER BY ord) AS md FROM l GROUP BY doc_id""")
+SELECT doc_id, string_agg(gap || CASE WHEN head THEN '# ' || t WHEN item THEN '- ' || t ELSE regexp_replace(t, '^([#+>=-]|\d+[.)](?:[ \t]|$))', '\\\1') END, '' ORDER BY ord) AS md FROM l GROUP BY doc_id""")
 def f10(spark, d):
     b = A.paragraphs(spark, d).select("doc_id", "ord", "text", F.when(F.col("ord") == 0, 1).alias("level"), F.when(F.col("ord") % 4 == 2, "- ").alias("marker"), _n(0).alias("ilvl"))
     return documents.to_markdown(b)
 
 
-@query("f11_to_html")
+def _rich(spark, d):
+    """Conversations as documents: a paragraph per three turns, marks and links by turn, an image and a break now and then."""
+    t = F.col("turn")
+    kind = F.when(t % 7 == 6, "break").when(t % 11 == 10, "image").otherwise("text")
+    return A.read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.floor(t / 3).alias("ord"), t.alias("run_ord"), kind.alias("kind"), F.when(kind != "break", F.concat(F.lit(" "), "text")).alias("text"), F.when(kind == "image", F.lit("a (1).png")).alias("part"), F.when(t % 5 == 4, F.lit("http://x y/&")).alias("link_target"), (F.col("role") == "assistant").alias("bold"), (t % 4 > 1).alias("italic"), F.lit(None).cast("boolean").alias("underline"), (t % 9 == 8).alias("strike"))
+
+
+def _rich_sql(escape, marks, image, br, link):
+    """The same in SQL; the pieces' text is built by the given expressions."""
+    return f"""WITH t AS (SELECT conv_id AS doc_id, turn // 3 AS ord, turn AS run_ord, CASE WHEN turn % 7 = 6 THEN 'break' WHEN turn % 11 = 10 THEN 'image' ELSE 'text' END AS kind, ' ' || text AS text, CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS lk, role = 'assistant' AS bold, turn % 4 > 1 AS italic, turn % 9 = 8 AS strike FROM conversations),
+c AS (SELECT *, CASE WHEN lag(lk) OVER w = lk AND lag(bold) OVER w = bold AND lag(italic) OVER w = italic AND lag(strike) OVER w = strike AND kind = 'text' AND lag(kind) OVER w = 'text' THEN 0 ELSE 1 END AS fresh, CASE WHEN lag(lk) OVER w = lk THEN 0 ELSE 1 END AS fresh_link FROM t WINDOW w AS (PARTITION BY doc_id, ord ORDER BY run_ord)),
+g AS (SELECT *, sum(fresh) OVER w AS g, sum(fresh_link) OVER w AS lg FROM c WINDOW w AS (PARTITION BY doc_id, ord ORDER BY run_ord)),
+m AS (SELECT doc_id, ord, lg, lk, kind, bold, italic, strike, min(run_ord) AS run_ord, string_agg(text, '' ORDER BY run_ord) AS text FROM g GROUP BY doc_id, ord, g, lg, lk, kind, bold, italic, strike),
+e AS (SELECT *, {escape} AS e FROM m), p AS (SELECT *, CASE kind WHEN 'break' THEN {br} WHEN 'image' THEN {image} ELSE {marks} END AS s FROM e),
+l AS (SELECT doc_id, ord, lg, lk, string_agg(s, '' ORDER BY run_ord) AS s FROM p GROUP BY ALL)
+SELECT doc_id, ord, string_agg(CASE WHEN lk = 1 THEN {link} ELSE s END, '' ORDER BY lg) AS body FROM l GROUP BY doc_id, ord"""
+
+
+_MD_MARKS = "CASE WHEN trim(e, ' ' || chr(10)) = '' THEN e ELSE regexp_extract(e, '^\\s*') || CASE WHEN bold THEN '**' ELSE '' END || CASE WHEN italic THEN '*' ELSE '' END || CASE WHEN strike THEN '~~' ELSE '' END || regexp_replace(regexp_replace(e, '^\\s+', ''), '\\s+$', '') || CASE WHEN strike THEN '~~' ELSE '' END || CASE WHEN italic THEN '*' ELSE '' END || CASE WHEN bold THEN '**' ELSE '' END || regexp_extract(e, '\\s*$') END"
+_HTML_ESCAPE = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query("f10_inline_markdown", _rich_sql(r"regexp_replace(text, '([\\`*_\[\]<>|~])', '\\\1', 'g')", _MD_MARKS, "'![' || e || '](a%20%281%29.png)'", "'\\' || chr(10)", "'[' || s || '](http://x%20y/&)'"))
+def f10b(spark, d):
+    return exports.inline(_rich(spark, d), "markdown")
+
+
+@query("f11_inline_html", _rich_sql(_HTML_ESCAPE, "CASE WHEN bold THEN '<strong>' ELSE '' END || CASE WHEN italic THEN '<em>' ELSE '' END || CASE WHEN strike THEN '<del>' ELSE '' END || e || CASE WHEN strike THEN '</del>' ELSE '' END || CASE WHEN italic THEN '</em>' ELSE '' END || CASE WHEN bold THEN '</strong>' ELSE '' END", "'<img src=\"a (1).png\" alt=\"' || e || '\">'", "'<br>'", "'<a href=\"http://x y/&amp;\">' || s || '</a>'"))
+def f11b(spark, d):
+    return exports.inline(_rich(spark, d), "html")
+
+
+def _order_tables(spark, d):
+    """Orders as tables: a row per line, the first column merged down by return flag of equal neighbours, the second spans two."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.row_number().over(w) - 1).cast("long").alias("row"), "l_returnflag", "l_linestatus", F.lag("l_returnflag").over(w).alias("_before"), F.col("l_quantity").cast("long").cast("string").alias("q"))
+    cell = lambda k, span, merge, jc, text: F.struct(F.lit(k).alias("cell_ord"), F.lit(span).alias("grid_span"), merge.cast("string").alias("v_merge"), F.lit(jc).cast("string").alias("jc"), text.alias("text"))
+    merge = F.when(F.col("_before") == F.col("l_returnflag"), "continue").otherwise("restart")
+    cells = F.array(cell(0, 1, merge, "center", F.col("l_returnflag")), cell(1, 2, F.lit(None), "left,right", F.concat("l_linestatus", F.lit("\n"), "l_linestatus")), cell(2, 1, F.lit(None), "end", F.col("q")))
+    return t.select("doc_id", F.lit(0).alias("table_id"), "row", (F.col("row") == 0).alias("header"), F.explode(cells).alias("x")).select("doc_id", "table_id", "row", "header", "x.*")
+
+
+_TABLES_SQL = """WITH t AS (SELECT l_orderkey AS doc_id, row_number() OVER w - 1 AS row, l_returnflag AS f, l_linestatus AS s, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CASE WHEN lag(l_returnflag) OVER w = l_returnflag THEN 0 ELSE 1 END AS fresh FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY row) AS g FROM t), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS span FROM g) """
+
+
+@query("f10_table_markdown", _TABLES_SQL + "SELECT doc_id, 0 AS table_id, string_agg('| ' || CASE WHEN fresh = 1 THEN f ELSE '' END || ' | ' || s || '<br>' || s || ' | ' || q || ' |  |' || CASE WHEN row = 0 THEN chr(10) || '| :---: | --- | --- | ---: |' ELSE '' END, chr(10) ORDER BY row) AS md FROM n GROUP BY doc_id")
+def f10c(spark, d):
+    return exports.table_markdown(_order_tables(spark, d))
+
+
+@query("f11_table_html", _TABLES_SQL + """, r AS (SELECT doc_id, row, CASE WHEN row = 0 THEN 'th' ELSE 'td' END AS tag, * EXCLUDE (doc_id, row) FROM n)
+SELECT doc_id, 0 AS table_id, '<table>' || string_agg('<tr>' || CASE WHEN fresh = 1 THEN '<' || tag || CASE WHEN span > 1 THEN ' rowspan="' || span || '"' ELSE '' END || '>' || f || '</' || tag || '>' ELSE '' END || '<' || tag || ' colspan="2">' || s || chr(10) || s || '</' || tag || '><' || tag || '>' || q || '</' || tag || '></tr>', '' ORDER BY row) || '</table>' AS html FROM r GROUP BY doc_id""")
+def f11c(spark, d):
+    return exports.table_html(_order_tables(spark, d))
+
+
+@query("f9_table_columns", _TABLES_SQL + "SELECT DISTINCT doc_id, 0 AS table_id, 4::BIGINT AS width, 'center,left,left,right' AS aligns FROM n")
+def f9b(spark, d):
+    placed = documents.place_table_cells(_order_tables(spark, d)).withColumn("start_col", F.col("start_col").cast("long"))
+    return exports.table_columns(placed).withColumn("aligns", F.array_join("aligns", ","))
+
+
+@query("f2_text_with_tables", _TABLES_SQL + "SELECT doc_id, 'before' || chr(10) || string_agg(f || chr(9) || s || ' ' || s || chr(9) || q, chr(10) ORDER BY row) || chr(10) || 'after' || chr(10) AS text FROM n GROUP BY doc_id")
+def f2b(spark, d):
+    cells = _order_tables(spark, d)
+    key = ["doc_id", "row", "cell_ord"]
+    texts = documents.cell_text(cells.select(*key, F.posexplode(F.split("text", "\n")).alias("ord", "text")), key).withColumn("ord", _n(1))
+    around = cells.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.struct(_n(o).alias("ord"), F.lit(t).alias("text")) for o, t in ((0, "before"), (2, "after"), (3, ""))])).alias("x")).select("doc_id", "x.*")
+    return documents.document_text(around, texts)
+
+
+@query("f11_to_html", "WITH " + A.PARAGRAPHS_SQL + f""", b AS (SELECT doc_id, ord, {_HTML_ESCAPE} AS t, CASE WHEN ord % 4 > 1 AND ord > 0 THEN ord % 4 - 2 END AS lv FROM paragraphs WHERE trim(text, ' ') <> ''),
+r AS (SELECT *, sum(CASE WHEN lv IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS part FROM b),
+s AS (SELECT *, CASE WHEN lv IS NULL THEN '' WHEN lv = 0 THEN '0' WHEN bool_or(lv = 0) OVER (PARTITION BY doc_id, part ORDER BY ord) THEN '01' ELSE '1' END AS st FROM r),
+p AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY doc_id ORDER BY ord), '') AS was, lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) IS NULL AS final FROM s)
+SELECT doc_id, string_agg(CASE WHEN lv IS NULL THEN repeat('</li></ul>', length(was)) || CASE WHEN ord = 0 THEN '<h1>' || t || '</h1>' ELSE '<p>' || t || '</p>' END
+  ELSE CASE WHEN lv = 0 THEN CASE was WHEN '' THEN '<ul>' WHEN '0' THEN '</li>' WHEN '1' THEN '</li></ul><ul>' ELSE '</li></ul></li>' END ELSE CASE WHEN was IN ('', '0') THEN '<ul>' ELSE '</li>' END END || '<li>' || t END || CASE WHEN final THEN repeat('</li></ul>', length(st)) ELSE '' END, '' ORDER BY ord) AS html FROM p GROUP BY doc_id""")
 def f11(spark, d):
-    b = A.paragraphs(spark, d).select("doc_id", "ord", "text", F.when(F.col("ord") == 0, 1).alias("level"), F.when(F.col("ord") % 4 > 1, "- ").alias("marker"), (F.col("ord") % 4 - 2).alias("ilvl"))
-    return documents.to_html(b.where("ilvl IS NULL OR level IS NULL OR level = 1").withColumn("ilvl", F.greatest("ilvl", _n(0))))
+    item = (F.col("ord") % 4 > 1) & (F.col("ord") > 0)
+    b = A.paragraphs(spark, d).select("doc_id", "ord", "text", F.when(F.col("ord") == 0, 1).alias("level"), F.when(item, "- ").alias("marker"), F.when(item, F.col("ord") % 4 - 2).alias("ilvl"))
+    return documents.to_html(b)
+
+
+def _slides(spark, d):
+    c = A.read(spark, d, "conversations")
+    slide = F.floor(F.col("turn") / 3)
+    return c.select(F.col("conv_id").alias("deck"), slide.alias("slide"), F.concat(F.lit("Slide & "), slide.cast("string")).alias("name"), F.col("turn").alias("pos"), (F.col("turn") % 3).alias("ilvl"), F.when(F.col("turn") % 4 == 1, "char").when(F.col("turn") % 4 == 2, "auto").alias("bullet"), "text")
+
+
+_SLIDES_SQL = "WITH c AS (SELECT conv_id AS deck, turn // 3 AS slide, 'Slide & ' || (turn // 3) AS name, turn, turn % 3 AS ilvl, CASE turn % 4 WHEN 1 THEN 'char' WHEN 2 THEN 'auto' END AS bullet, text FROM conversations) "
+
+
+@query("f12_deck_markdown", _SLIDES_SQL + ", s AS (SELECT deck, slide, '## ' || name || chr(10) || string_agg(CASE WHEN bullet IS NULL THEN '' ELSE repeat('  ', ilvl) || CASE bullet WHEN 'auto' THEN '1. ' ELSE '- ' END END || text, chr(10) ORDER BY turn) || chr(10) AS t FROM c GROUP BY deck, slide, name) SELECT deck, string_agg(t, chr(10) ORDER BY slide) AS out FROM s GROUP BY deck")
+def f12b(spark, d):
+    return exports.deck_text(_slides(spark, d), "markdown")
+
+
+@query("f12_deck_text", _SLIDES_SQL + ", s AS (SELECT deck, slide, name || chr(10) || string_agg(CASE bullet WHEN 'auto' THEN '  1. ' WHEN 'char' THEN '  - ' ELSE '  ' END || text, chr(10) ORDER BY turn) || chr(10) AS t FROM c GROUP BY deck, slide, name) SELECT deck, string_agg(t, chr(10) ORDER BY slide) AS out FROM s GROUP BY deck")
+def f12c(spark, d):
+    return exports.deck_text(_slides(spark, d), "text")
+
+
+@query("f12_deck_html", _SLIDES_SQL + f""", e AS (SELECT *, {_HTML_ESCAPE} AS t, lag(bullet) OVER w IS NULL AS first, lead(bullet) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY deck, slide ORDER BY turn)),
+s AS (SELECT deck, slide, '<h1>' || replace(name, '&', '&amp;') || '</h1>' || string_agg(CASE WHEN bullet IS NULL THEN '<p>' || t || '</p>' ELSE CASE WHEN first THEN '<ul>' ELSE '' END || '<li>' || t || '</li>' || CASE WHEN last THEN '</ul>' ELSE '' END END, '' ORDER BY turn) AS t FROM e GROUP BY deck, slide, name) SELECT deck, string_agg(t, '' ORDER BY slide) AS out FROM s GROUP BY deck""")
+def f12d(spark, d):
+    return exports.deck_text(_slides(spark, d), "html")
 
 
 @query("f12_deck_export", "WITH s AS (SELECT conv_id AS deck, turn // 2 AS slide, string_agg(CASE WHEN turn % 2 = 0 THEN '## ' || text ELSE '  - ' || text END, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id, turn // 2) SELECT deck, string_agg(t, chr(10) || chr(10) ORDER BY slide) AS md FROM s GROUP BY deck")
@@ -255,7 +372,9 @@ def f16(spark, d):
     return documents.attach_comments(c, authors).select("doc_id", "turn", "author")
 
 
-@query("f17_media_registry")
+@query("f17_media_registry", """WITH RECURSIVE p AS (SELECT CAST(page_id % 20 AS VARCHAR) AS book, 'media/i' || (page_id % 500) || '.png' AS part, min(page_id) AS ord, CAST(max(length(html)) * 4000 AS BIGINT) AS size FROM pages GROUP BY ALL), q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ord) AS k FROM p),
+r AS (SELECT book, part, ord, k, size <= 33554432 AS kept, CASE WHEN size <= 33554432 THEN size ELSE 0 END AS used FROM q WHERE k = 1 UNION ALL SELECT q.book, q.part, q.ord, q.k, q.size <= 33554432 AND r.used + q.size <= 134217728, CASE WHEN q.size <= 33554432 AND r.used + q.size <= 134217728 THEN r.used + q.size ELSE r.used END FROM r JOIN q ON q.book = r.book AND q.k = r.k + 1)
+SELECT book, part, ord, 'image/png' AS mime, kept FROM r""")
 def f17(spark, d):
     p = A.read(spark, d, "pages").select((F.col("page_id") % 20).cast("string").alias("book"), F.concat(F.lit("media/i"), (F.col("page_id") % 500).cast("string"), F.lit(".png")).alias("part"), F.col("page_id").alias("ord"), (F.length("html") * 4000).cast("long").alias("size"))
     return documents.media_registry(p)
@@ -272,25 +391,32 @@ def f19(spark, d):
     return documents.node_counts(A.read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("kind"), "text"), ["user", "assistant"])
 
 
+@query("f19_node_categories", "SELECT role AS category, conv_id AS doc_id, count(*) FILTER (turn % 2 = 0) AS even, count(*) FILTER (turn % 2 = 1) AS odd, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes FROM conversations GROUP BY ROLLUP (role, conv_id)")
+def f19b(spark, d):
+    nodes = A.read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("category"), F.when(F.col("turn") % 2 == 0, "even").otherwise("odd").alias("kind"), "text")
+    return documents.node_counts(nodes, ["even", "odd"], "category")
+
+
 @query("f20_reading_order", "WITH o AS (SELECT conv_id AS doc_id, turn // 2 AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations WHERE turn % 5 <> 3) SELECT doc_id, page, min(r) AS start, count(*) AS n FROM o GROUP BY doc_id, page")
 def f20(spark, d):
     i = A.read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).alias("page"), F.col("turn").alias("pos"), (F.col("turn") % 5 == 3).alias("covered"))
     return documents.page_slices(documents.reading_order(i))
 
 
-@query("f21_base_direction", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN 'rtl' ELSE 'ltr' END AS dir FROM documents")
+@query("f21_base_direction", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN 'rtl' ELSE 'ltr' END AS dir, 'ltr' AS digits FROM documents")
 def f21(spark, d):
     text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("12 שלום "), F.col("text"))).otherwise(F.concat(F.lit("1 x "), "text"))
-    return A.read(spark, d, "documents").select("doc_id", documents.base_direction(text, F.col("doc_id") % 9 == 0).alias("dir"))
+    return A.read(spark, d, "documents").select("doc_id", documents.base_direction(text, F.col("doc_id") % 9 == 0).alias("dir"), documents.base_direction(F.concat(F.lit("\u0661\u0662 x"), "text"), F.lit(False)).alias("digits"))
 
 
-@query("f22_placeholders", "SELECT conv_id AS deck, turn AS shape, CASE WHEN turn = 0 THEN 'own' WHEN turn < 3 THEN 'idx' || turn WHEN role <> 'system' THEN 'type-' || role END AS frame FROM conversations")
+@query("f22_placeholders", "SELECT conv_id AS deck, turn AS shape, CASE WHEN turn = 0 THEN 'own' WHEN turn < 3 THEN 'idx' || turn WHEN role <> 'system' THEN 'type-' || role ELSE 'master' END AS frame FROM conversations")
 def f22(spark, d):
     c = A.read(spark, d, "conversations")
     shapes = c.select(F.col("conv_id").alias("deck"), F.col("turn").alias("shape"), F.col("turn").alias("idx"), F.col("role").alias("type"), F.when(F.col("turn") == 0, "own").alias("frame"))
     decks = c.select(F.col("conv_id").alias("deck")).distinct()
     lay = decks.select("deck", F.explode(F.array(*[F.struct(_n(i).alias("idx"), F.lit("none").alias("type"), F.lit(f"idx{i}").alias("frame")) for i in (1, 2)], *[F.struct(F.lit(None).cast("long").alias("idx"), F.lit(r).alias("type"), F.lit(f"type-{r}").alias("frame")) for r in ("user", "assistant")])).alias("x")).select("deck", "x.*")
-    return documents.inherit_placeholders(shapes, lay).select("deck", "shape", "frame")
+    masters = decks.select("deck", F.lit(None).cast("long").alias("idx"), F.explode(F.array(*map(F.lit, ("user", "system")))).alias("type"), F.lit("master").alias("frame"))
+    return documents.inherit_placeholders(shapes, lay, masters).select("deck", "shape", "frame")
 
 
 @query("f22_level_styles", "SELECT conv_id AS deck, turn AS ilvl, last_value(CASE WHEN turn % 2 = 0 THEN length(text) END IGNORE NULLS) OVER w AS size, bool_or(role = 'assistant') OVER w AS bold FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -299,11 +425,11 @@ def f22b(spark, d):
     return documents.level_styles(c)
 
 
-@query("f23_resolve_formats", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'base' || (l_linenumber % 5) ELSE l_linestatus END AS num_fmt FROM lineitem")
+@query("f23_resolve_formats", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'base' || (l_linenumber % 5) ELSE l_linestatus END AS num_fmt, CASE WHEN l_linenumber = 1 THEN 'font' || (l_linenumber % 5) ELSE l_returnflag END AS font FROM lineitem")
 def f23(spark, d):
-    xf = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 5).cast("long").alias("base_id"), F.col("l_linestatus").alias("num_fmt"), F.when(F.col("l_returnflag") == "N", False).when(F.col("l_returnflag") == "A", True).alias("apply_num_fmt"))
-    base = spark.range(5).select(F.col("id").alias("xf_id"), F.concat(F.lit("base"), F.col("id").cast("string")).alias("num_fmt"))
-    return documents.resolve_formats(xf, base).select("l_orderkey", "l_linenumber", "num_fmt")
+    xf = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 5).cast("long").alias("base_id"), F.col("l_linestatus").alias("num_fmt"), F.when(F.col("l_returnflag") == "N", False).when(F.col("l_returnflag") == "A", True).alias("apply_num_fmt"), F.col("l_returnflag").alias("font"), F.when(F.col("l_linenumber") == 1, False).alias("apply_font"))
+    base = spark.range(5).select(F.col("id").alias("xf_id"), F.concat(F.lit("base"), F.col("id").cast("string")).alias("num_fmt"), F.concat(F.lit("font"), F.col("id").cast("string")).alias("font"))
+    return documents.resolve_formats(xf, base).select("l_orderkey", "l_linenumber", "num_fmt", "font")
 
 
 @query("f24_lines_text", "WITH l AS (SELECT conv_id, turn // 4 AS par, turn // 2 AS line, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY ALL), p AS (SELECT conv_id, par, string_agg(t, ' ' ORDER BY line) AS t FROM l GROUP BY ALL) SELECT conv_id AS doc_id, string_agg(t, chr(10) ORDER BY par) AS text FROM p GROUP BY conv_id")
@@ -349,6 +475,22 @@ def g4(spark, d):
     return edits.reject_revisions(*_revised(spark, d))
 
 
+@query("g3_table_revisions", """WITH t AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row, unnest(range(3)) AS cell_ord FROM lineitem), a AS (SELECT *, 'accept' AS how FROM t WHERE row % 3 <> 1 AND NOT (cell_ord = 2 AND row % 2 = 0)), r AS (SELECT *, 'reject' AS how FROM t WHERE row % 3 <> 2 AND NOT (cell_ord = 1 AND row % 5 = 0)), u AS (SELECT * FROM a UNION ALL SELECT * FROM r)
+SELECT how, doc_id, CAST(cell_ord AS BIGINT) AS cell_ord, dense_rank() OVER (PARTITION BY how, doc_id ORDER BY row) - 1 AS row FROM u""")
+def g3b(spark, d):
+    k, c = F.col("row"), F.col("cell_ord")
+    cells = _order_tables(spark, d).select("doc_id", "table_id", "row", c.cast("long").alias("cell_ord"), F.when(k % 3 == 1, "del").when(k % 3 == 2, "ins").alias("row_rev_kind"), F.when((c == 2) & (k % 2 == 0), "moveFrom").when((c == 1) & (k % 5 == 0), "moveTo").alias("rev_kind"))
+    both = [edits.resolve_table_revisions(cells, accept).withColumn("how", F.lit("accept" if accept else "reject")) for accept in (True, False)]
+    return both[0].unionByName(both[1]).select("how", "doc_id", "cell_ord", "row")
+
+
+@query("g4_property_changes", "SELECT conv_id AS doc_id, turn, CASE WHEN turn % 3 = 0 THEN 'was' ELSE role END AS before, role AS after FROM conversations")
+def g4b(spark, d):
+    items = A.read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("role").alias("style"), (F.col("turn") % 3 == 0).alias("changed"), F.lit("was").alias("prev_style"))
+    before = edits.resolve_property_changes(items, ["style"], False).withColumnRenamed("style", "before")
+    return before.join(edits.resolve_property_changes(items, ["style"], True).withColumnRenamed("style", "after"), ["doc_id", "turn"])
+
+
 @query("g5_find_text", "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), h AS (SELECT conv_id, (length(t) - length(replace(t, 'en', ''))) // 2 AS hits, instr(t, 'en') - 1 AS p FROM t), s AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, length(text) AS n FROM conversations) SELECT h.conv_id AS doc_id, hits, turn AS first_run FROM h JOIN s ON s.conv_id = h.conv_id AND f <= p AND p < f + n WHERE hits > 0")
 def g5(spark, d):
     return edits.find_text(A.runs(spark, d), "en").select("doc_id", "hits", "first_run")
@@ -359,6 +501,11 @@ def g6(spark, d):
     return edits.replace_text(A.runs(spark, d), "en", "<en>").select("doc_id", F.array_join("texts", "").alias("text"))
 
 
+@query("g6_replace_first", "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id AS doc_id, CASE WHEN instr(t, 'en') > 0 THEN substr(t, 1, instr(t, 'en') - 1) || '<en>' || substr(t, instr(t, 'en') + 2) ELSE t END AS text FROM t")
+def g6b(spark, d):
+    return edits.replace_text(A.runs(spark, d), "en", "<en>", every=False).select("doc_id", F.array_join("texts", "").alias("text"))
+
+
 @query("g7_mail_merge", "SELECT c_custkey, c_name || ' of ' || c_mktsegment || ' (' || c_mktsegment || '), {{other}}' AS merged FROM customer")
 def g7(spark, d):
     return edits.mail_merge("{{c_name}} of «c_mktsegment» ({{c_mktsegment}}), {{other}}", A.read(spark, d, "customer"), ["c_name", "c_mktsegment"]).select("c_custkey", "merged")
@@ -448,6 +595,13 @@ def h7(spark, d):
     return corpus.batch_summary(e).withColumn("ms", F.round("ms", 2))
 
 
+@query("h7_diagnostics", "SELECT event_type AS format, CAST(0 AS BIGINT) AS n_ok, count(*) AS n_failed, count(*) FILTER (event_id % 4 = 0 OR event_id % 4 = 3) AS n_retryable, CAST(sum(user_id) AS BIGINT) AS bytes, round(sum(value), 2) AS ms FROM events GROUP BY ROLLUP (event_type)")
+def h7b(spark, d):
+    code = F.element_at(F.array(*map(F.lit, ("cancelled", "encrypted", "no such code", "transport-unavailable"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = A.read(spark, d, "events").select(F.col("event_type").alias("format"), F.lit(False).alias("ok"), code.alias("code"), F.col("user_id").alias("bytes"), F.col("value").alias("ms"))
+    return corpus.batch_summary(e).withColumn("ms", F.round("ms", 2))
+
+
 @query("j1_cell_set_diff", "SELECT o_orderkey, 'left' AS side FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, 'right' FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 10 <> 0")
 def j1(spark, d):
     o = A.read(spark, d, "orders").select("o_orderkey")

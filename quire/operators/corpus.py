@@ -80,17 +80,26 @@ def compare_engines(stats: DataFrame, a: str, b: str) -> DataFrame:
     return placed.crossJoin(F.broadcast(n)).select("file", "speedup", (F.col("_k") == F.floor(F.col("_n") / 2)).alias("is_median"))
 
 
-# Layer of each diagnostic code, and whether a retry can help.
-DIAGNOSTICS = {"click": ("input", False), "view": ("engine", True), "error": ("engine", False)}
+# The layer that each diagnostic code belongs to, and the codes after which a retry can help.
+LAYERS = {
+    "malformed-package": "parse", "encrypted": "parse", "limit-exceeded": "parse", "layout-failed": "layout", "render-failed": "render", "transport-unavailable": "transport", "export-failed": "export", "io-failed": "export",
+    "unsupported-format": "orchestration", "cancelled": "orchestration", "internal": "internal",
+}
+RETRYABLE = ("cancelled", "transport-unavailable")
 
 
-def diagnostic_layer(code: Column) -> Column:
-    return F.coalesce(*[F.when(code == c, F.lit(v[0])) for c, v in DIAGNOSTICS.items()], F.lit("unknown"))
+def diagnostics(results: DataFrame) -> DataFrame:
+    """results (code) plus layer and retryable; an unknown code is internal, no code has neither."""
+    code = F.when(F.col("code").isin(*LAYERS), F.col("code")).when(F.col("code").isNotNull(), "internal")
+    layer = F.coalesce(*[F.when(code == c, F.lit(x)) for c, x in LAYERS.items()])
+    return results.withColumns({"layer": layer, "retryable": code.isin(*RETRYABLE)})
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
-    """Totals by format, and over all (null): ok, failed, bytes and milliseconds."""
-    return results.rollup("format").agg(F.count(F.when(F.col("ok"), 1)).alias("n_ok"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed"), F.sum("bytes").alias("bytes"), F.sum("ms").alias("ms"))
+    """Totals by format, and over all (null): ok, failed, those of the failed that a retry can help (where results have codes), bytes and milliseconds."""
+    again = [F.count(F.when(~F.col("ok") & F.col("retryable"), 1)).alias("n_retryable")] if "code" in results.columns else []
+    rows = diagnostics(results) if again else results
+    return rows.rollup("format").agg(F.count(F.when(F.col("ok"), 1)).alias("n_ok"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed"), *again, F.sum("bytes").alias("bytes"), F.sum("ms").alias("ms"))
 
 
 def cell_set_diff(left: DataFrame, right: DataFrame) -> DataFrame:

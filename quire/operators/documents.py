@@ -26,17 +26,39 @@ def paragraph_text(runs: DataFrame, mode: str = "export") -> DataFrame:
     return out
 
 
-def document_text(paragraphs: DataFrame) -> DataFrame:
-    """doc_id, text: paragraphs one per line, line breaks at the end taken off, one put back."""
-    return paragraphs.groupBy("doc_id").agg(F.concat(F.regexp_replace(joined(F.coalesce("text", F.lit("")), "\n", "ord"), "\n+$", ""), F.lit("\n")).alias("text"))
+def cell_text(paragraphs: DataFrame, key: list[str]) -> DataFrame:
+    """key, text: the paragraphs (ord, text) of each table cell that are not blank, joined by spaces, line breaks as spaces."""
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    return paragraphs.groupBy(*key).agg(joined(F.when(F.trim(line) != "", line), " ", "ord").alias("text"))
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Adjacent runs with equal marks as one: doc_id, ord, run_ord (of the first), bold, text."""
+def document_text(paragraphs: DataFrame, table_cells: DataFrame | None = None) -> DataFrame:
+    """doc_id, text: paragraphs one per line, line breaks at the end taken off, one put back.
+
+    ``table_cells`` (doc_id, ord of the table, row, cell_ord, text) stand at
+    their place, a row per line, cells between tabs.
+    """
+    lines = paragraphs.select("doc_id", "ord", F.lit(0).cast("long").alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    if table_cells is not None:
+        rows = table_cells.groupBy("doc_id", "ord", F.col("row").cast("long").alias("_row")).agg(joined(F.coalesce("text", F.lit("")), "\t", "cell_ord").alias("text"))
+        lines = lines.unionByName(rows)
+    return lines.groupBy("doc_id").agg(F.concat(F.regexp_replace(joined(F.col("text"), "\n", "ord", "_row"), "\n+$", ""), F.lit("\n")).alias("text"))
+
+
+def merge_runs(runs: DataFrame, marks: tuple[str, ...] = ("bold",), same: tuple[str, ...] = (), apart: Column | None = None) -> DataFrame:
+    """Adjacent runs with equal ``marks`` and equal ``same`` columns as one: doc_id, ord, run_ord (of the first), those columns, text.
+
+    Rows where ``apart`` holds (images, tabs, breaks) stay alone.
+    """
     w = W.partitionBy("doc_id", "ord").orderBy("run_ord")
-    changed = runs.withColumn("_c", F.when(F.lag("bold").over(w).eqNullSafe(F.col("bold")) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    grouped = changed.withColumn("_g", F.sum("_c").over(w))
-    return grouped.groupBy("doc_id", "ord", "_g", "bold").agg(F.min("run_ord").alias("run_ord"), joined(F.col("text"), "", "run_ord").alias("text")).drop("_g")
+    kept = [*marks, *same]
+    alone = F.coalesce(apart, F.lit(False)) if apart is not None else F.lit(False)
+    equal = F.row_number().over(w) > 1
+    for c in kept:
+        equal = equal & F.lag(c).over(w).eqNullSafe(F.col(c))
+    equal = equal & ~F.col("_alone") & ~F.coalesce(F.lag("_alone").over(w), F.lit(False))
+    grouped = runs.withColumn("_alone", alone).withColumn("_c", F.when(equal, 0).otherwise(1)).withColumn("_g", F.sum("_c").over(w))
+    return grouped.groupBy("doc_id", "ord", "_g", *kept).agg(F.min("run_ord").alias("run_ord"), joined(F.col("text"), "", "run_ord").alias("text")).drop("_g")
 
 
 def style_chains(styles: DataFrame, longest: int = 32) -> DataFrame:
@@ -61,16 +83,68 @@ def cascade(items: DataFrame, chains: DataFrame, styles: DataFrame, props: list[
     return out.withColumns({p: F.coalesce(p, f"_{p}") for p in props}).drop(*[f"_{p}" for p in props])
 
 
-def validate_styles(styles: DataFrame, chains: DataFrame) -> DataFrame:
-    """doc_id, style_id, warning: missing parents, cycles (once each, at the least id) and duplicate ids."""
-    ids = styles.select("doc_id", F.col("style_id").alias("based_on")).distinct()
-    missing = styles.where("based_on IS NOT NULL").join(ids, ["doc_id", "based_on"], "left_anti").select("doc_id", "style_id", F.lit("MissingParent").alias("warning"))
-    ends = chains.join(styles.select("doc_id", F.col("style_id").alias("ancestor"), "based_on"), ["doc_id", "ancestor"])
-    loops = ends.where("based_on = style_id").select("doc_id", "style_id")
-    members = chains.join(loops, ["doc_id", "style_id"], "left_semi").groupBy("doc_id", "style_id").agg(F.min("ancestor").alias("least"))
-    cycles = members.where("least = style_id").select("doc_id", "style_id", F.lit("CyclicBasedOn").alias("warning"))
-    twice = styles.groupBy("doc_id", "style_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "style_id", F.lit("DuplicateStyle").alias("warning"))
-    return missing.unionByName(cycles).unionByName(twice)
+def _layer(df: DataFrame, key: list[str], strength: Column, props: list[str]) -> DataFrame:
+    """key, _strength and the props that ``df`` has; a hanging indent takes the first line's place inside its layer."""
+    has = set(df.columns)
+    first = (F.col("first_line") if "first_line" in has else F.lit(None)).cast("double")
+    if "hanging" in has:
+        first = F.coalesce(-F.col("hanging").cast("double"), first)
+    value = lambda p: first if p == "first_line" else F.col(p) if p in has else F.lit(None)
+    return df.select(*key, strength.cast("long").alias("_strength"), *[value(p).alias(p) for p in props])
+
+
+def cascade_layers(items: DataFrame, chains: DataFrame, styles: DataFrame, props: list[str], defaults: DataFrame | None = None, char_style: str | None = None) -> DataFrame:
+    """items (doc_id, item, style_id, own props) with each of ``props`` resolved by itself.
+
+    Weakest first: the document's defaults (doc_id, props), the chain of the
+    paragraph style, the chain of the character style (column ``char_style``),
+    the item's own values.  A value that is set, ``false`` and 0 too, overrides;
+    an absent one keeps what is below.  ``first_line`` is negative where a layer
+    has a ``hanging`` indent.  The colour ``auto`` takes the colour away.
+    """
+    key = ["doc_id", "item"]
+    held = styles.select("doc_id", F.col("style_id").alias("ancestor"), *[c for c in styles.columns if c not in ("doc_id", "style_id", "based_on")])
+
+    def of_style(column: str, base: int) -> DataFrame:
+        used = items.select(*key, F.col(column).alias("style_id")).where("style_id IS NOT NULL")
+        rows = used.join(chains, ["doc_id", "style_id"]).join(held, ["doc_id", "ancestor"])
+        return _layer(rows, key, F.lit(base) - F.col("depth"), props)
+
+    layers = _layer(items, key, F.lit(4000), props).unionByName(of_style("style_id", 2000))
+    if char_style is not None:
+        layers = layers.unionByName(of_style(char_style, 3000))
+    if defaults is not None:
+        layers = layers.unionByName(_layer(items.select(*key).join(defaults, "doc_id"), key, F.lit(0), props))
+    out = layers.groupBy(*key).agg(*[F.max_by(p, F.when(F.col(p).isNotNull(), F.col("_strength"))).alias(p) for p in props])
+    if "color" in props:
+        out = out.withColumn("color", F.when(F.col("color") != "auto", F.col("color")))
+    return out
+
+
+def validate_styles(styles: DataFrame, chains: DataFrame, longest: int = 32) -> DataFrame:
+    """doc_id, style_id, warning: missing parents, cycles (once each, at the least id), chains over ``longest`` links and duplicate ids.
+
+    With a column ``kind`` each kind of style is looked at by itself (chains
+    have it too); it stays in the result.
+    """
+    key = ["doc_id", *[c for c in ("kind",) if c in styles.columns]]
+    ids = styles.select(*key, F.col("style_id").alias("based_on")).distinct()
+    missing = styles.where("based_on IS NOT NULL").join(ids, [*key, "based_on"], "left_anti").select(*key, "style_id", F.lit("MissingParent").alias("warning"))
+    ends = chains.join(styles.select(*key, F.col("style_id").alias("ancestor"), "based_on"), [*key, "ancestor"])
+    loops = ends.where("based_on = style_id").select(*key, "style_id")
+    members = chains.join(loops, [*key, "style_id"], "left_semi").groupBy(*key, "style_id").agg(F.min("ancestor").alias("least"))
+    cycles = members.where("least = style_id").select(*key, "style_id", F.lit("CyclicBasedOn").alias("warning"))
+    deep = ends.where((F.col("depth") >= longest) & F.col("based_on").isNotNull()).select(*key, "style_id", F.lit("TooDeep").alias("warning"))
+    twice = styles.groupBy(*key, "style_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "style_id", F.lit("DuplicateStyle").alias("warning"))
+    return missing.unionByName(cycles).unionByName(deep).unionByName(twice)
+
+
+def validate_numbering(nums: DataFrame, abstracts: DataFrame, used: DataFrame) -> DataFrame:
+    """doc_id, num_id, warning: lists without an abstract list, and lists that blocks use (doc_id, num_id) but nobody defines."""
+    known = abstracts.select("doc_id", "abstract_id").distinct()
+    bare = nums.join(known, ["doc_id", "abstract_id"], "left_anti").select("doc_id", "num_id", F.lit("MissingAbstractNum").alias("warning"))
+    lost = used.where("num_id != 0").select("doc_id", "num_id").distinct().join(nums.select("doc_id", "num_id"), ["doc_id", "num_id"], "left_anti").withColumn("warning", F.lit("MissingNum"))
+    return bare.unionByName(lost)
 
 
 def heading_level(outline: Column, style_id: Column) -> Column:
@@ -136,16 +210,25 @@ def place_table_cells(cells: DataFrame) -> DataFrame:
     return at.withColumn("row_span", F.when(F.col("continuation"), 0).when(F.col("v_merge") == "restart", F.count(F.lit(1)).over(one)).otherwise(1).cast("long")).drop("_linked", "_chain")
 
 
+def escape_inline(text: Column) -> Column:
+    """Characters that mean something in Markdown escaped."""
+    return F.regexp_replace(text, r"([\\`*_\[\]<>|~])", r"\\$1")
+
+
+def escape_line_start(text: Column) -> Column:
+    """A start that would open a heading, list, quote or underline escaped."""
+    return F.regexp_replace(text, r"^([#+>=-]|\d+[.)](?:[ \t]|$))", r"\\$1")
+
+
 def escape_markdown(text: Column) -> Column:
     """Inline marks escaped, and a line start that would open a heading, list or quote."""
-    inline = F.regexp_replace(text, r"([\\`*_\[\]<>])", r"\\$1")
-    return F.regexp_replace(inline, r"^(#{1,6} |[-+] |\d+[.)] )", r"\\$1")
+    return escape_line_start(escape_inline(text))
 
 
 def markdown_blocks(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, md: headings (``level``), list items (``marker``, ``ilvl``) and paragraphs; empty ones are left out."""
-    body = escape_markdown(F.col("text"))
-    line = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(6)).cast("int")), F.lit(" "), body)).when(F.col("marker").isNotNull(), F.concat(F.repeat(F.lit("  "), F.col("ilvl").cast("int")), F.when(F.endswith("marker", F.lit(" ")), F.col("marker")).otherwise(F.concat("marker", F.lit(" "))), body)).otherwise(body)
+    body = escape_inline(F.col("text"))
+    line = F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), body)).when(F.col("marker").isNotNull(), F.concat(F.repeat(F.lit("  "), F.col("ilvl").cast("int")), F.when(F.endswith("marker", F.lit(" ")), F.col("marker")).otherwise(F.concat("marker", F.lit(" "))), body)).otherwise(escape_line_start(body))
     return blocks.where("trim(text) != ''").select("doc_id", "ord", line.alias("md"), F.col("marker").isNotNull().alias("item"))
 
 
@@ -162,44 +245,10 @@ def escape_html(text: Column) -> Column:
 
 
 def to_html(blocks: DataFrame) -> DataFrame:
-    """doc_id, html: headings, paragraphs and nested lists (a stack, closed down to the item's level)."""
-    tagged = blocks.where("trim(text) != ''").select("doc_id", F.struct("ord", "level", F.col("marker").isNotNull().alias("item"), F.coalesce("ilvl", F.lit(0).cast("long")).alias("ilvl"), (F.trim(F.coalesce("marker", F.lit("-"))) != "-").alias("ordered"), escape_html(F.col("text")).alias("html")).alias("b"))
-    docs = tagged.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-
-    @F.pandas_udf("string")
-    def render(column: pd.Series) -> pd.Series:
-        def one(rows) -> str:
-            out, stack = [], []
-
-            def close(depth: int) -> None:
-                while len(stack) > depth:
-                    out.append(f"</li></{stack.pop()}>")
-
-            for b in rows:
-                if not b["item"]:
-                    close(0)
-                    tag = f"h{min(int(b['level']), 6)}" if b["level"] is not None and b["level"] == b["level"] else "p"
-                    out.append(f"<{tag}>{b['html']}</{tag}>")
-                    continue
-                tag = "ol" if b["ordered"] else "ul"
-                depth = int(b["ilvl"]) + 1
-                close(depth)
-                if len(stack) == depth and stack[-1] != tag:
-                    close(depth - 1)
-                if len(stack) == depth:
-                    out.append("</li>")
-                while len(stack) < depth:
-                    stack.append(tag)
-                    out.append(f"<{tag}>")
-                    if len(stack) < depth:
-                        out.append("<li>")
-                out.append(f"<li>{b['html']}")
-            close(0)
-            return "".join(out)
-
-        return column.map(one)
-
-    return docs.select("doc_id", render("blocks").alias("html"))
+    """doc_id, html: headings, paragraphs and nested lists of plain texts, see :func:`quire.operators.exports.document_html`."""
+    from quire.operators.exports import document_html
+
+    return document_html(blocks.withColumn("body", escape_html(F.col("text"))), None)
 
 
 def sections(blocks: DataFrame) -> DataFrame:
@@ -267,10 +316,14 @@ def bookmark_orphans(marks: DataFrame) -> DataFrame:
     return t.withColumn("_f", F.coalesce(floor, F.lit(0))).where("kind = 'end' AND _t < _f").drop("_t", "_f")
 
 
-def node_counts(nodes: DataFrame, kinds: list[str]) -> DataFrame:
-    """doc_id and one column per kind with the number of nodes (doc_id, kind), and text bytes; a total row has a null doc_id."""
+def node_counts(nodes: DataFrame, kinds: list[str], category: str | None = None) -> DataFrame:
+    """doc_id and one column per kind with the number of nodes (doc_id, kind), and text bytes; a total row has a null doc_id.
+
+    With a ``category`` column there is a row per document, per category
+    (doc_id null) and in total (both null).
+    """
     aggs = [F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds]
-    return nodes.rollup("doc_id").agg(*aggs, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("text_bytes"))
+    return nodes.rollup(*([category] if category else []), "doc_id").agg(*aggs, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("text_bytes"))
 
 
 def reading_order(items: DataFrame) -> DataFrame:
@@ -283,21 +336,29 @@ def page_slices(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("doc_id", "page").agg(F.min("reading").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
-#: Letters that run right to left (Hebrew, Arabic and their presentation forms) and left to right.
-RTL, LTR = "֐-׿؀-ۿ܀-ࣿיִ-﷽ﹰ-ﻼ", "A-Za-zªµºÀ-ÖØ-öø-ʸͰ-ԯ぀-鿿"
+#: Letters that run right to left (Hebrew, Arabic without its digits, marks and signs, and their presentation forms) and left to right.
+RTL, LTR = r"\u05BE\u05C0\u05C3\u05C6\u05D0-\u05F4\u0608\u060B\u060D\u061B-\u064A\u066D-\u066F\u0671-\u06D5\u06E5\u06E6\u06EE\u06EF\u06FA-\u070D\u070F\u0710\u0712-\u072F\u074D-\u07A5\u07B1-\u07EA\u07F4\u07F5\u07FA\u0800-\u0815\u0840-\u0858\u0860-\u088E\u08A0-\u08C9\u200F\uFB1D\uFB1F-\uFB28\uFB2A-\uFD3D\uFD50-\uFDFC\uFE70-\uFEFC", r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02B8\u0370-\u0373\u0376-\u037D\u037F-\u03F5\u03F7-\u0482\u048A-\u0589\u0900-\u1FFF\u200E\u2C00-\u2DFF\u3041-\uD7FF\uF900-\uFAFF\uFF21-\uFF3A\uFF41-\uFF5A"
 
 
 def base_direction(text: Column, forced: Column) -> Column:
-    """rtl if forced or if the first strong character is a right-to-left letter."""
+    """rtl if forced or if the first strong character is a right-to-left letter; digits and marks of any script are not strong."""
     first = F.regexp_extract(text, f"[{RTL}{LTR}]", 0)
     return F.when(F.coalesce(forced, F.lit(False)) | F.rlike(first, F.lit(f"[{RTL}]")), "rtl").otherwise("ltr")
 
 
-def inherit_placeholders(shapes: DataFrame, layouts: DataFrame) -> DataFrame:
-    """shapes (deck, shape, idx, type, frame) with frame from the layout, by idx, else by type."""
-    by_idx = layouts.select("deck", "idx", F.col("frame").alias("_i")).where("idx IS NOT NULL")
-    by_type = layouts.groupBy("deck", "type").agg(F.min("frame").alias("_t"))
-    return shapes.join(by_idx, ["deck", "idx"], "left").join(by_type, ["deck", "type"], "left").withColumn("frame", F.coalesce("frame", "_i", "_t")).drop("_i", "_t")
+def inherit_placeholders(shapes: DataFrame, layouts: DataFrame, masters: DataFrame | None = None) -> DataFrame:
+    """shapes (deck, shape, idx, type, frame) with frame from the layout, by idx, else by type, else from the master (deck, idx, type, frame) likewise.
+
+    Of several placeholders of a type the one with the least frame counts.
+    """
+    out = shapes
+    for name, table in (("l", layouts), ("m", masters)):
+        if table is None:
+            continue
+        by_idx = table.where("idx IS NOT NULL AND frame IS NOT NULL").groupBy("deck", "idx").agg(F.min("frame").alias(f"_i{name}"))
+        by_type = table.where("frame IS NOT NULL").groupBy("deck", "type").agg(F.min("frame").alias(f"_t{name}"))
+        out = out.join(by_idx, ["deck", "idx"], "left").join(by_type, ["deck", "type"], "left").withColumn("frame", F.coalesce("frame", f"_i{name}", f"_t{name}")).drop(f"_i{name}", f"_t{name}")
+    return out
 
 
 def level_styles(levels: DataFrame) -> DataFrame:
@@ -306,10 +367,16 @@ def level_styles(levels: DataFrame) -> DataFrame:
     return levels.withColumns({"size": F.last("size", ignorenulls=True).over(w), "bold": F.max(F.coalesce("bold", F.lit(False))).over(w)})
 
 
+#: Parts of a format and the flags that say whether a format's own one applies.
+FORMAT_PARTS = {"num_fmt": "apply_num_fmt", "font": "apply_font", "fill": "apply_fill", "border": "apply_border"}
+
+
 def resolve_formats(xf: DataFrame, base: DataFrame) -> DataFrame:
-    """xf (base_id, num_fmt, apply_num_fmt, ...) with the base's value where its apply flag is explicitly false."""
-    b = base.select(F.col("xf_id").alias("base_id"), F.col("num_fmt").alias("_n"))
-    return xf.join(F.broadcast(b) if base.count() <= 100_000 else b, "base_id", "left").withColumn("num_fmt", F.when(F.col("apply_num_fmt") == F.lit(False), F.coalesce("_n", "num_fmt")).otherwise(F.col("num_fmt"))).drop("_n")
+    """xf (base_id, parts of ``FORMAT_PARTS`` with their flags) with the base's (xf_id) part where its apply flag is explicitly false."""
+    parts = [p for p in FORMAT_PARTS if p in xf.columns and p in base.columns]
+    b = base.select(F.col("xf_id").alias("base_id"), *[F.col(p).alias(f"_{p}") for p in parts])
+    out = xf.join(F.broadcast(b) if base.count() <= 100_000 else b, "base_id", "left")
+    return out.withColumns({p: F.when(F.col(FORMAT_PARTS[p]) == F.lit(False), F.coalesce(f"_{p}", p)).otherwise(F.col(p)) for p in parts}).drop(*[f"_{p}" for p in parts])
 
 
 def lines_text(runs: DataFrame) -> DataFrame:

@@ -51,6 +51,26 @@ def reject_revisions(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     return paragraphs.select("doc_id", "ord").join(live, ["doc_id", "ord"], "left").groupBy("doc_id", "ord").agg(joined(F.coalesce("text", F.lit("")), "", "run_ord").alias("text"))
 
 
+def resolve_table_revisions(cells: DataFrame, accept: bool) -> DataFrame:
+    """table cells (rev_kind of the cell, row_rev_kind of its row) after all revisions are taken, or as before them.
+
+    Deleted rows and cells go when revisions are accepted, inserted ones when
+    they are rejected; the rows that are left are numbered anew from 0.
+    """
+    gone = ("del", "moveFrom") if accept else ("ins", "moveTo")
+    live = cells.where(~F.coalesce("rev_kind", F.lit("")).isin(*gone) & ~F.coalesce("row_rev_kind", F.lit("")).isin(*gone))
+    row = F.dense_rank().over(W.partitionBy("doc_id", "table_id").orderBy("row")) - 1
+    return live.withColumn("row", row.cast("long")).drop("rev_kind", "row_rev_kind")
+
+
+def resolve_property_changes(items: DataFrame, props: list[str], accept: bool) -> DataFrame:
+    """items with ``props`` as they are, or as recorded in ``prev_<prop>`` where ``changed``; the records are dropped."""
+    out = items
+    if not accept:
+        out = out.withColumns({p: F.when(F.coalesce("changed", F.lit(False)), F.col(f"prev_{p}")).otherwise(F.col(p)) for p in props})
+    return out.drop("changed", *[f"prev_{p}" for p in props])
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """Non-overlapping, case-sensitive count."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
@@ -66,19 +86,19 @@ def find_text(runs: DataFrame, needle: str) -> DataFrame:
     return at.groupBy("doc_id", "ord", "hits").agg(F.min("run_ord").alias("first_run"))
 
 
-def replace_text(runs: DataFrame, needle: str, replacement: str) -> DataFrame:
-    """doc_id, ord, texts: run texts after replacing all hits.
+def replace_text(runs: DataFrame, needle: str, replacement: str, every: bool = True) -> DataFrame:
+    """doc_id, ord, texts: run texts after replacing all hits of a paragraph, or only the first of a document (``every`` false).
 
     The replacement goes to the run where the hit starts (on a border: the
     earlier run), the runs below it lose their part.
     """
     pars = runs.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_ord", "text"))), lambda x: x["text"]).alias("texts"))
 
-    @F.pandas_udf("array<string>")
-    def run(column: pd.Series) -> pd.Series:
+    def replaced(column: pd.Series, most: int) -> pd.Series:
         def one(texts) -> list[str]:
-            texts, start = list(texts), 0
-            while True:
+            texts, start, done_ = list(texts), 0, 0
+            while done_ < most:
+                done_ += 1
                 at = "".join(texts).find(needle, start)
                 if at < 0:
                     return texts
@@ -97,10 +117,24 @@ def replace_text(runs: DataFrame, needle: str, replacement: str) -> DataFrame:
                         left -= 0 if done else len(t)
                         out.append(t)
                 texts, start = out, at + len(replacement)
+            return texts
 
         return column.map(one)
 
-    return pars.select("doc_id", "ord", run("texts").alias("texts"))
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return replaced(column, 2**31)
+
+    @F.pandas_udf("array<string>")
+    def once(column: pd.Series) -> pd.Series:
+        return replaced(column, 1)
+
+    if every:
+        return pars.select("doc_id", "ord", run("texts").alias("texts"))
+    hit = F.locate(needle, F.array_join("texts", "")) > 0
+    first = F.min(F.when(hit, F.col("ord"))).over(W.partitionBy("doc_id"))
+    marked = pars.withColumn("_first", first)
+    return marked.select("doc_id", "ord", F.when(F.col("ord") == F.col("_first"), once("texts")).otherwise(F.col("texts")).alias("texts"))
 
 
 def mail_merge(template: str, records: DataFrame, fields: list[str]) -> DataFrame:
