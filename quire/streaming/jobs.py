@@ -11,16 +11,16 @@ from quire.sources.packages import check_parts, parts_of
 
 
 def _upsert(path: str):
-    """Each batch's state rows as a new version of the sink; the last version of a key is its value."""
+    """Each batch's state rows as a new version of the sink, written anew when a batch runs again; the last version of a key is its value."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 
 
 def stream_edits(edits: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The last text per cell, kept as state.  The sequence decides, so late rows are right without a watermark."""
+    """The last text per cell by time, then sequence, kept as state; both are in the row, so late rows are right without a watermark."""
     state = edits.groupBy(*CELL).agg(F.max_by("text", F.struct("ts", "seq")).alias("text"), F.count(F.lit(1)).alias("n_edits"))
     return state.writeStream.outputMode("update").foreachBatch(_upsert(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,12 +46,14 @@ def warning_totals(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Packages that arrive in a folder, each once, as checked parts; a bad file becomes a diagnostic row."""
+    """Packages that arrive in a folder, each once, as checked parts; a bad file becomes a diagnostic row.
+
+    A batch has a folder of its own that is written anew when the batch runs
+    again, so nothing is there twice.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        check_parts(parts_of(batch.select("path", "content"))).drop("bytes").write.mode("append").parquet(out)
+        check_parts(parts_of(batch.select("path", "content"))).drop("bytes").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

@@ -1,12 +1,8 @@
 """Operators on the small cases of FIXTURES.md."""
 
-import io
-import zipfile
-
 from pyspark.sql import functions as F
 
 from quire.operators import corpus, documents, edits, formulas, rules, sheets
-from quire.sources import packages
 
 
 def cells(spark, rows):
@@ -159,28 +155,6 @@ def test_warnings(spark):
     assert got == {1: (1, 1500, False, False), 2: (101, 101, True, False), 3: (1001, 1001, True, True)}
 
 
-def test_packages(spark, rows, tmp_path):
-    def package(name, parts):
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w") as z:
-            for part, text in parts.items():
-                z.writestr(part, text)
-        (tmp_path / name).write_bytes(buffer.getvalue())
-
-    types = {"[Content_Types].xml": "<Types/>"}
-    package("a.xlsx", types | {"xl/worksheets/sheet1.xml": "<w><c r='A1'><v>1</v></c><c r='B2' t='s'><v>0</v><f>A1</f></c></w>", "xl/sharedStrings.xml": "<sst><si><t>hi</t></si></sst>"})
-    package("b.docx", types | {"word/document.xml": "<d><p><r><b/><t>x</t></r><r><tab/><t>y</t></r></p></d>"})
-    package("c.pptx", {"../evil": "x"})
-    (tmp_path / "d.xlsx").write_bytes(b"no package")
-    assert packages.discover_inputs(spark, [str(tmp_path)]).count() == 4
-    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
-    parts = packages.check_parts(packages.parts_of(files))
-    assert rows(parts.where("error IS NOT NULL"), "error") == [("BadZipFile",), ("name",)]
-    assert rows(packages.read_cells(parts), "ref", "vtype", "raw", "formula") == [("A1", "n", "1", None), ("B2", "s", "0", "A1")]
-    assert rows(packages.read_shared_strings(parts), "idx", "txt") == [(0, "hi")]
-    assert rows(packages.read_runs(parts), "text", "bold") == [("\ty", False), ("x", True)]
-
-
 def test_delimited(spark, tmp_path):
     from quire.sources.delimited import read_delimited, sniff_separator
 
