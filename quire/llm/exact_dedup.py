@@ -5,7 +5,10 @@ A group is found by a 128-bit hash (MD5); the texts themselves are the rest of
 the grouping key, so bytes are compared inside each hash group and a collision
 makes two classes.  Copies collapse before the shuffle (partial aggregation
 with fixed-width buffers), so a group that holds a third of all rows sends one
-row per map task.  Membership is joined back on digests, never on texts.
+row per map task.  A text without copies needs no join.  The groups of several
+rows are joined back to their members on digests, never on texts: broadcast up
+to ``BROADCAST_GROUPS`` of them, so that no task gets all rows of a large
+group, else by a shuffle whose large partitions are split at run time.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import ROW, documents, numbered, only, table
 
+#: So many groups (about 200 bytes each) are broadcast at most.
+BROADCAST_GROUPS = 200_000
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -51,6 +56,14 @@ def classes(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5, o
     return rows.select("doc_id", "hash", "digest", F.col("best").alias("own_best"), *others), one.withColumn("best", F.when(F.col("texts") == 1, F.col("best")).otherwise(clash)).drop("texts")
 
 
+def _grouped(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members plus best and group_size of their class."""
+    several = table(found.where("group_size > 1"), "copy-groups")
+    held = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
+    out = members.join(held, ["hash", "digest"], "left")
+    return out.withColumns({"best": F.coalesce("best", "own_best"), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+
+
 def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
 
@@ -63,7 +76,7 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md
     members, found = classes(docs, content_hash)
     keep = F.col("best") % _big(2**65)
     keep_id = F.when(keep == _big(2**64), F.lit(None)).otherwise((keep - _big(2**63)).cast("long"))
-    return members.join(found, ["hash", "digest"]).select("doc_id", keep_id.cast("long").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.col("digest").alias("text_sha256"))
+    return _grouped(members, found).select("doc_id", keep_id.cast("long").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     rows = numbered(docs)
     members, found = classes(rows, others=(ROW,))
-    first = members.join(found, ["hash", "digest"]).where("own_best = best").groupBy("hash", "digest").agg(F.min(ROW).alias(ROW))
+    first = _grouped(members, found).where("own_best = best").groupBy("hash", "digest").agg(F.min(ROW).alias(ROW))
     return only(rows, table(first.select(ROW), "kept-rows"), ROW)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
