@@ -351,6 +351,16 @@ def c10(spark, d):
     return sheets.locate(points, _dims(spark, d), 20.0).select("book", "sheet", "point", "idx")
 
 
+@query("c10_visible_window", "WITH " + A.LINES_SQL + """, n AS (SELECT book, sheet, row, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_quantity END AS h, l_linenumber = 1 AS hidden FROM lines), o AS (SELECT *, sum(h) OVER (PARTITION BY book, sheet ORDER BY row) - h AS a FROM n),
+v AS (SELECT book, sheet, max(row) AS top, max(a + h) AS total, unnest(range(3)) AS view FROM o GROUP BY book, sheet), w AS (SELECT *, view * 100 AS f, view * 100 + 60 AS t FROM v)
+SELECT w.book, w.sheet, w.view, coalesce(min(o.row) FILTER (NOT hidden AND a + h > f), any_value(top) + 1 + CAST(floor((any_value(f) - any_value(total)) / 20) AS BIGINT)) AS first, coalesce(CASE WHEN any_value(t) > any_value(total) THEN any_value(top) + 1 + CAST(floor((any_value(t) - 0.000001 - any_value(total)) / 20) AS BIGINT) END, max(o.row) FILTER (NOT hidden AND a < t)) AS last
+FROM w JOIN o ON o.book = w.book AND o.sheet = w.sheet GROUP BY w.book, w.sheet, w.view""")
+def c10b(spark, d):
+    dims = A.lines(spark, d).select("book", "sheet", F.col("row").alias("idx"), F.col("l_quantity").alias("width"), (F.col("l_linenumber") == 1).alias("hidden"))
+    views = A.sheet_names(spark, d).select("book", "sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("view")).withColumns({"from_px": F.col("view") * 100, "to_px": F.col("view") * 100 + 60})
+    return sheets.visible_window(views, dims, 20.0).select("book", "sheet", "view", "first", "last")
+
+
 @query("c11_shift_cells", "WITH " + A.CELLS_SQL + " SELECT book, sheet, CASE WHEN col = 1 AND row > 5 THEN row - 1 ELSE row END AS row, CAST(col AS BIGINT) AS col, num FROM cells WHERE NOT (col = 1 AND row = 5)")
 def c11(spark, d):
     cells = A.cells(spark, d)
@@ -389,3 +399,15 @@ def c15(spark, d):
     rows = last.select("book", "sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("r1") / 50))).alias("band")).withColumns({"r0": F.col("band") * 50, "r1": F.col("band") * 50 + 49})
     cols = names.select("book", "sheet", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("band")).withColumns({"c0": F.col("band") * 2, "c1": F.col("band") * 2 + 1})
     return sheets.cells_to_pages(cells, rows, cols).select("book", "sheet", "row", "col", F.col("page").cast("long").alias("page"))
+
+
+@query("c15_merges_and_headers", "WITH " + A.CELLS_SQL + """, m AS (SELECT book, sheet, row AS r0, row + 2 AS r1 FROM lines WHERE row % 48 = 47), c AS (SELECT c.book, c.sheet, c.row, c.col, coalesce(m.r1, c.row) AS r1, CASE WHEN m.r0 IS NULL THEN c.col ELSE 2 END AS c1 FROM cells c LEFT JOIN m ON m.book = c.book AND m.sheet = c.sheet AND c.row BETWEEN m.r0 AND m.r1 AND c.col BETWEEN 1 AND 2 WHERE m.r0 IS NULL OR c.row = m.r0 AND c.col = 1),
+b AS (SELECT book, sheet, unnest(range(max(row) // 50 + 1)) AS rb FROM cells GROUP BY book, sheet), k AS (SELECT unnest(range(2)) AS cb), own AS (SELECT c.*, rb, cb, false AS repeated FROM c JOIN b ON b.book = c.book AND b.sheet = c.sheet AND c.row <= rb * 50 + 49 AND c.r1 >= rb * 50 JOIN k ON c.col <= cb * 2 + 1 AND c.c1 >= cb * 2),
+pages AS (SELECT DISTINCT book, sheet, rb, cb FROM own), again AS (SELECT c.*, p.rb, p.cb, true AS repeated FROM c JOIN pages p ON p.book = c.book AND p.sheet = c.sheet WHERE (c.row < 1 OR c.col < 1) AND (c.row < 1 OR c.row <= rb * 50 + 49 AND c.r1 >= rb * 50) AND (c.col < 1 OR c.col <= cb * 2 + 1 AND c.c1 >= cb * 2) AND NOT (c.row <= rb * 50 + 49 AND c.r1 >= rb * 50 AND c.col <= cb * 2 + 1 AND c.c1 >= cb * 2)),
+u AS (SELECT * FROM own UNION ALL SELECT * FROM again) SELECT book, sheet, row, CAST(col AS BIGINT) AS col, repeated, CAST(dense_rank() OVER (PARTITION BY book, sheet ORDER BY cb, rb) AS BIGINT) AS page FROM u""")
+def c15b(spark, d):
+    cells, last = A.cells(spark, d), sheets.used_range(A.cells(spark, d))
+    rows = last.select("book", "sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("r1") / 50))).alias("band")).withColumns({"r0": F.col("band") * 50, "r1": F.col("band") * 50 + 49})
+    cols = A.sheet_names(spark, d).select("book", "sheet", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("band")).withColumns({"c0": F.col("band") * 2, "c1": F.col("band") * 2 + 1})
+    merges = A.lines(spark, d).where("row % 48 = 47").select("book", "sheet", F.col("row").alias("merge"), F.col("row").alias("r0"), F.lit(1).cast("long").alias("c0"), (F.col("row") + 2).alias("r1"), F.lit(2).cast("long").alias("c1"))
+    return sheets.cells_to_pages(cells, rows, cols, merges, header_rows=1, header_cols=1).select("book", "sheet", "row", "col", "repeated", F.col("page").cast("long").alias("page"))

@@ -128,6 +128,18 @@ def locate(points: DataFrame, dims: DataFrame, default: float) -> DataFrame:
     return seen.select(*SHEET, "point", "pos", idx.cast("long").alias("idx"))
 
 
+def visible_window(views: DataFrame, dims: DataFrame, default: float) -> DataFrame:
+    """views (view, from_px, to_px) plus first and last: the shown rows or columns that lie in [from, to), hidden ones skipped."""
+    numbered = views.withColumn("_v", F.col("view").cast("long"))
+    starts = numbered.select(*SHEET, (F.col("_v") * 2).alias("point"), F.col("from_px").cast("double").alias("pos"))
+    # The last one starts before the end of the window: the one at the largest position below it.
+    ends = numbered.select(*SHEET, (F.col("_v") * 2 + 1).alias("point"), F.greatest(F.lit(0.0), F.col("to_px").cast("double") - 1e-6).alias("pos"))
+    found = locate(starts.unionByName(ends), dims, default)
+    first = found.where("point % 2 = 0").select(*SHEET, (F.col("point") / 2).cast("long").alias("_v"), F.col("idx").alias("first"))
+    last = found.where("point % 2 != 0").select(*SHEET, F.floor(F.col("point") / 2).cast("long").alias("_v"), F.col("idx").alias("last"))
+    return numbered.join(first, [*SHEET, "_v"]).join(last, [*SHEET, "_v"]).drop("_v")
+
+
 def shift_cells(cells: DataFrame, origins: DataFrame, mode: str) -> DataFrame:
     """Insert (``right``, ``down``) or delete (``left``, ``up``) the cell at each sheet's origin (o_row, o_col)."""
     across, insert = mode in ("left", "right"), mode in ("right", "down")
@@ -243,12 +255,33 @@ def print_titles(names: DataFrame) -> DataFrame:
     return p.select("book", sheet.alias("sheet"), row(a).alias("ra"), row(b).alias("rb"), col(a).alias("ca"), col(b).alias("cb")).groupBy(*SHEET).agg(F.min("ra").alias("r0"), F.max("rb").alias("r1"), F.min("ca").alias("c0"), F.max("cb").alias("c1"))
 
 
-def cells_to_pages(cells: DataFrame, row_bands: DataFrame, col_bands: DataFrame) -> DataFrame:
-    """cells with every page that they lie on; pages count down first, then over, empty ones are left out."""
-    on_rows = in_ranges(cells, row_bands.withColumns({"c0": F.lit(0), "c1": F.lit(MAX_COL)}).select(*SHEET, "r0", "c0", "r1", "c1", "band")).drop("r0", "r1", "c0", "c1")
-    cols = col_bands.select(*SHEET, F.col("band").alias("col_band"), "c0", "c1")
-    placed = on_rows.join(cols, SHEET).where("col BETWEEN c0 AND c1").drop("c0", "c1")
-    return placed.withColumn("page", F.dense_rank().over(W.partitionBy(*SHEET).orderBy("col_band", "band"))).withColumnRenamed("band", "row_band")
+def cells_to_pages(cells: DataFrame, row_bands: DataFrame, col_bands: DataFrame, merges: DataFrame | None = None, header_rows: int = 0, header_cols: int = 0) -> DataFrame:
+    """cells with every page that they lie on; pages count down first, then over, empty ones are left out.
+
+    The cell at the corner of a merge lies on all pages that the merge crosses,
+    the cells that it hides on none.  The first ``header_rows`` rows and
+    ``header_cols`` columns are on every band, which alone makes no page.
+    """
+    boxed = cells.withColumns({"_r1": F.col("row"), "_c1": F.col("col")})
+    if merges is not None:
+        covered = merge_covering(cells.select(*SHEET, "row", "col"), merges).select(*SHEET, "row", "col", "hidden", F.col("r1").alias("_mr"), F.col("c1").alias("_mc"))
+        boxed = cells.join(covered, [*SHEET, "row", "col"], "left").where("NOT coalesce(hidden, false)").withColumns({"_r1": F.coalesce("_mr", "row"), "_c1": F.coalesce("_mc", "col")}).drop("hidden", "_mr", "_mc")
+    rows = row_bands.select(*SHEET, F.col("band").alias("row_band"), F.col("r0").alias("_b0"), F.col("r1").alias("_b1"))
+    cols = col_bands.select(*SHEET, F.col("band").alias("col_band"), F.col("c0").alias("_d0"), F.col("c1").alias("_d1"))
+    # Boxes and bands meet by stretches of rows, each pair in the first stretch that both have.
+    at = boxed.withColumn("_band", F.explode(F.sequence(F.floor(F.col("row") / BAND), F.floor(F.col("_r1") / BAND))))
+    cut = rows.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_b0") / BAND), F.floor(F.col("_b1") / BAND))))
+    once = F.col("_band") == F.floor(F.greatest("row", "_b0") / BAND)
+    on_rows = at.join(cut, [*SHEET, "_band"]).where(once & (F.col("row") <= F.col("_b1")) & (F.col("_r1") >= F.col("_b0"))).drop("_band", "_b0", "_b1")
+    placed = on_rows.join(cols, SHEET).where("col <= _d1 AND _c1 >= _d0").drop("_d0", "_d1").withColumn("repeated", F.lit(False))
+    if header_rows or header_cols:
+        pages = placed.select(*SHEET, "row_band", "col_band").distinct()
+        heads = boxed.where((F.col("row") < header_rows) | (F.col("col") < header_cols))
+        again = heads.join(pages, SHEET).join(rows, [*SHEET, "row_band"]).join(cols, [*SHEET, "col_band"])
+        in_rows, in_cols = (F.col("row") <= F.col("_b1")) & (F.col("_r1") >= F.col("_b0")), (F.col("col") <= F.col("_d1")) & (F.col("_c1") >= F.col("_d0"))
+        seen = (in_rows | (F.col("row") < header_rows)) & (in_cols | (F.col("col") < header_cols)) & ~(in_rows & in_cols)
+        placed = placed.unionByName(again.where(seen).drop("_b0", "_b1", "_d0", "_d1").withColumn("repeated", F.lit(True)))
+    return placed.drop("_r1", "_c1").withColumn("page", F.dense_rank().over(W.partitionBy(*SHEET).orderBy("col_band", "row_band")))
 
 
 def page_bands(dims: DataFrame, page: float) -> DataFrame:

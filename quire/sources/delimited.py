@@ -22,6 +22,40 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, drop_
     return rows
 
 
+class UnclosedQuote(ValueError):
+    """A file ends inside a quoted field."""
+
+
+def delimited_cells(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """path, row, col, raw: each delimited file under ``path`` as the cells of a sheet; only a blank last row goes.
+
+    A file is one table, read as a whole by one task, as its rows are known
+    only from its start.  A file that ends inside quotes raises
+    :class:`UnclosedQuote` when it is read.
+    """
+    sep = {"tab": "\t", r"\t": "\t"}.get(sep, sep) if sep else None
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+
+    def run(frames):
+        import csv
+
+        import pandas as pd
+
+        for frame in frames:
+            for name, text in zip(frame["path"], frame["value"]):
+                if text.count('"') % 2:
+                    raise UnclosedQuote(name)
+                first = text.split("\n", 1)[0]
+                own = sep or (";" if first.count(";") > first.count(",") else ",")
+                rows = list(csv.reader(text.splitlines(keepends=True), delimiter=own))
+                if rows and not any(x.strip() for x in rows[-1]):
+                    rows.pop()
+                cells = [(name, r, c, x) for r, row in enumerate(rows) for c, x in enumerate(row)]
+                yield pd.DataFrame(cells, columns=["path", "row", "col", "raw"])
+
+    return files.mapInPandas(run, "path string, row long, col long, raw string")
+
+
 def header_records(rows: DataFrame, fields: str = "fields", order: str = "line") -> DataFrame:
     """Rows with an array of fields as columns named by the first row (least ``order``).
 
