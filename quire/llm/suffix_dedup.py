@@ -68,23 +68,16 @@ def suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
 
 def stretches_of(docs: DataFrame, matched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """gram, stretch_a, stretch_b, row, start, windows: all places of the suffixes in ``matched`` (gram), with two hashes of their stretch."""
-    few = matched.count() <= BROADCAST_IDS
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(matched.toPandas()["gram"].to_numpy(dtype=np.int64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, key, at, first, row, start, count in _anchors(batch, window, gram):
-                key = key.view(np.int64)
-                if wanted is not None:
-                    held = wanted.value
-                    hit = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key if len(held) else np.zeros(len(key), bool)
-                    key, at, first, row, start, count = (x[hit] for x in (key, at, first, row, start, count))
                 place = mix((count << 16 | (at - first)).astype(U64))
-                hashes = [mix(slice_hash(*prefix_sums(own, other), first, first + count - 1 + window) ^ place).view(np.int64) for other in (False, True)] if len(key) else [np.zeros(0, np.int64)] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *hashes, row, start, count)], names=["gram", "stretch_a", "stretch_b", "row", "start", "windows"])
+                hashes = [mix(slice_hash(*prefix_sums(own, other), first, first + count - 1 + window) ^ place) for other in (False, True)] if len(key) else [key, key]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, *hashes, row, start, count)], names=["gram", "stretch_a", "stretch_b", "row", "start", "windows"])
 
     found = docs.select(ROW, "text").mapInArrow(run, "gram long, stretch_a long, stretch_b long, row long, start long, windows long")
-    return found if few else found.join(matched, "gram", "left_semi")
+    return found.join(F.broadcast(matched) if matched.count() <= BROADCAST_IDS else matched, "gram", "left_semi")
 
 
 class IndexFamily:
