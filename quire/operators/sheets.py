@@ -284,22 +284,66 @@ def cells_to_pages(cells: DataFrame, row_bands: DataFrame, col_bands: DataFrame,
     return placed.drop("_r1", "_c1").withColumn("page", F.dense_rank().over(W.partitionBy(*SHEET).orderBy("col_band", "row_band")))
 
 
-def page_bands(dims: DataFrame, page: float) -> DataFrame:
-    """book, sheet, band, first, last: greedy packing of rows (idx, size) into pages; a row larger than a page is alone."""
+def _moved_break(end: int, start: int, first: int, stop: int, orphans: int, widows: int) -> int:
+    """Where a page that begins at ``start`` really ends, if it would end at ``end`` inside the block [first, stop).
+
+    Too few rows of the block at the foot of the page (orphans) send the whole
+    block to the next page; too few at the head of the next one (widows) pull
+    rows over from this page.  A page keeps one row at least.
+    """
+    here, after, movable = end - first, stop - end, first > start
+    if here <= 0:
+        return end
+    if here < orphans and movable:
+        return first
+    if after >= widows:
+        return end
+    pulled = stop - widows
+    if pulled <= first:
+        return first if movable else end
+    if pulled - first < orphans and movable:
+        return first
+    return max(pulled, start + 1)
+
+
+def page_bands(dims: DataFrame, page: float, header: float = 0.0, default: float = 0.0, orphans: int = 0, widows: int = 0, split: bool = False) -> DataFrame:
+    """book, sheet, band, first, last: greedy packing of rows (idx, size) into pages; a row larger than a page is alone.
+
+    ``header`` (repeated rows) takes its room from every page; rows that are
+    not listed take ``default`` each.  Rows with consecutive numbers are a
+    block, see :func:`_moved_break` for ``orphans`` and ``widows``.  With
+    ``split`` a row that does not fit is on two pages, cut at the foot of the
+    first.  The rows of a sheet are packed by one task, as every page begins
+    where the one before ends.
+    """
+    import numpy as np
     import pandas as pd
 
+    room = max(page - header, 0.0)
+
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx")
-        rows, start, used, last = [], None, 0.0, None
-        for idx, size in zip(frame["idx"].tolist(), frame["size"].tolist()):
-            if start is not None and used + size > page:
-                rows.append((start, last))
-                start = None
-            if start is None:
-                start, used = idx, 0.0
-            used, last = used + size, idx
-        if start is not None:
-            rows.append((start, last))
-        return pd.DataFrame({"book": frame["book"].iloc[0], "sheet": frame["sheet"].iloc[0], "band": range(len(rows)), "first": [a for a, _ in rows], "last": [b for _, b in rows]})
+        idx, size = frame["idx"].to_numpy(), frame["size"].to_numpy(dtype=float)
+        missing = np.concatenate([[0], np.cumsum(np.diff(idx) - 1)])
+        bottom = np.cumsum(size) + missing * default
+        top = bottom - size
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(idx) != 1]))
+        stops = np.concatenate([heads[1:], [len(idx)]])
+        bands, start, offset = [], 0, float(top[0])
+        while start < len(idx):
+            limit = offset + room
+            end = max(start, int(np.searchsorted(bottom, limit + 1e-9, side="right")))
+            if end < len(idx) and split and room > 0 and top[end] < limit and size[end] <= room:
+                bands.append((idx[start], idx[end]))
+                start, offset = end, limit
+                continue
+            end = max(end, start + 1)
+            if end < len(idx):
+                block = int(np.searchsorted(heads, end, side="right")) - 1
+                end = _moved_break(end, start, int(heads[block]), int(stops[block]), orphans, widows)
+            bands.append((idx[start], idx[end - 1]))
+            start = end
+            offset = float(top[end]) if end < len(idx) else limit
+        return pd.DataFrame({"book": frame["book"].iloc[0], "sheet": frame["sheet"].iloc[0], "band": range(len(bands)), "first": [a for a, _ in bands], "last": [b for _, b in bands]})
 
     return dims.groupBy(*SHEET).applyInPandas(pack, "book string, sheet string, band long, first long, last long")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import corpus, documents, edits, formulas, rules, sheets
+from quire.operators import corpus, documents, edits, exports, formulas, rules, sheets
 
 
 def cells(spark, rows):
@@ -54,6 +54,114 @@ def test_page_bands(spark, rows):
     assert rows(sheets.page_bands(dims, 100.0), "first", "last") == [(0, 2), (3, 5), (6, 8), (9, 9)]
 
 
+def test_page_breaks(spark, rows):
+    dims = lambda idx, size=10.0: spark.createDataFrame([("b", "s", i, size) for i in idx], "book string, sheet string, idx long, size double")
+    bands = lambda *a, **k: rows(sheets.page_bands(*a, **k), "first", "last")
+    two = [*range(8), *range(10, 16)]
+    assert bands(dims(two), 100.0) == [(0, 11), (12, 15)]
+    assert bands(dims(two), 100.0, header=20.0) == [(0, 7), (10, 15)]
+    assert bands(dims(two), 100.0, default=10.0) == [(0, 7), (10, 15)]
+    assert bands(dims(two), 100.0, orphans=3) == [(0, 7), (10, 15)]
+    assert bands(dims(two), 100.0, widows=5) == [(0, 10), (11, 15)]
+    assert bands(dims(two), 100.0, orphans=2, widows=5) == [(0, 7), (10, 15)]
+    assert bands(dims(range(12)), 100.0, widows=25) == [(0, 9), (10, 11)]
+    assert bands(dims(range(5), 30.0), 50.0) == [(k, k) for k in range(5)]
+    assert bands(dims(range(5), 30.0), 50.0, split=True) == [(0, 1), (1, 3), (3, 4)]
+    assert bands(dims(range(3), 90.0), 50.0, split=True) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_rule_formulas(spark):
+    from quire.functions.expressions import FormulaError, parse
+
+    c = spark.createDataFrame([("b", "s", r, k, n, kind, t) for r, k, n, kind, t in ((0, 0, 5.0, "number", None), (0, 1, None, "text", "Abc"), (1, 0, None, "error", "#N/A"), (1, 1, 1.0, "bool", None))], "book string, sheet string, row long, col long, num double, kind string, txt string")
+    fired = {}
+    for f in ("=A1>4", "=B1=\"aBC\"", "=LEN($B$1)=3", "=A2=1", "=B2", "=C9=0", "=C9=\"\"", "=A1<\"x\"", "=B2>\"z\"", "=MOD(0-7,3)=2", "=MOD(-7,3)=2", "=XFD1048576>0"):
+        m = c.where("row = 0 AND col = 0").withColumns({"r0": F.lit(0), "c0": F.lit(0), "formula1": F.lit(f)})
+        fired[f] = rules.expression_rules(m, c).first()["fired"]
+    assert [f for f, x in fired.items() if x] == ["=A1>4", "=B1=\"aBC\"", "=LEN($B$1)=3", "=B2", "=C9=0", "=C9=\"\"", "=A1<\"x\"", "=B2>\"z\"", "=MOD(-7,3)=2"]
+    for bad in ("", "=", "=1+", "=(1", "=1 1", "=A1:", "=FOO", "=#"):
+        try:
+            parse(bad)
+        except FormulaError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_formula_table(spark, rows):
+    c = spark.createDataFrame([("b", "s", 1, 1, 10.0, None), ("b", "s", 4, 1, None, "oops"), ("b", "s", 5, 1, None, "12,5")], "book string, sheet string, row long, col long, num double, txt string")
+    f = ["=SUM(B2:B4)+AVERAGE(2;4)", "=B2&\"x\"", "=B5+1", "=SUM(B2:B5)", "=B6*2", "=ROUND(-2.5,0)", "=PMT(0.05/12,60,10000)", "=B2/0", "=COUNT(B2:B4)", "=NOPE(1)", "=B2:B3", "=(2", "", "=FV(0.1;2;-100;0;1)", "=PV(0.1;2;-100)", "=\"a\"&TRUE", "=1=\"1\"", "=2^0.5^2"]
+    table = spark.createDataFrame([("b", "s", i, x) for i, x in enumerate(f)], "book string, sheet string, formula_id long, formula string")
+    got = {r["formula_id"]: (r["kind"], r["num"] if r["num"] is None else round(r["num"], 4), r["txt"]) for r in formulas.evaluate_formulas(table, c).collect()}
+    assert [got[i] for i in range(len(f))] == [
+        ("number", 13.0, None), ("text", None, "10x"), ("error", None, "'oops' is no number"), ("error", None, "'oops' is no number"), ("number", 25.0, None), ("number", -2.0, None), ("number", -188.7123, None), ("error", None, "division by zero"), ("number", 3.0, None),
+        ("error", None, "unsupported function NOPE"), ("error", None, "a range is no result"), ("error", None, "expected ) at 'the end'"), ("error", None, "empty formula"), ("number", 231.0, None), ("number", 173.5537, None), ("text", None, "atrue"), ("bool", 0.0, None), ("number", 1.1892, None),
+    ]
+
+
+def test_range_aggregate_with_texts(spark, rows):
+    c = spark.createDataFrame([("b", "s", 0, 0, 1.0, None), ("b", "s", 1, 0, None, "x")], "book string, sheet string, row long, col long, num double, txt string")
+    f = spark.createDataFrame([("b", "s", "ok", "SUM", 0, 0, 0, 1), ("b", "s", "bad", "SUM", 0, 0, 1, 0)], "book string, sheet string, formula_id string, fn string, r0 long, c0 long, r1 long, c1 long")
+    assert rows(formulas.range_aggregate(f, c), "formula_id", "value", "error") == [("bad", None, "x"), ("ok", 1.0, None)]
+
+
+def test_rule_limits(spark):
+    m = spark.createDataFrame([("b", "s", 1, i, 0, float(i + 1)) for i in range(4)] + [("b", "s", 2, 0, 0, None)], "book string, sheet string, rule long, row long, col long, num double")
+    t = "array<struct<kind:string,value:double>>"
+    r = spark.createDataFrame([("b", "s", 1, [("min", None), ("percentile", 25.0), ("percentile", 150.0), ("percent", 50.0), ("num", 9.0), ("formula", 1.0), ("percent", None)]), ("b", "s", 2, [("max", None), ("num", 3.0)])], f"book string, sheet string, rule long, thresholds {t}")
+    assert {x["rule"]: x["limits"] for x in rules.rule_limits(m, r).collect()} == {1: [1.0, 1.75, 4.0, 2.5, 9.0, None, None], 2: [None, 3.0]}
+
+
+def test_numbers_in_order(spark):
+    from quire.ordering import in_order
+
+    got = in_order(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7), "k").collect()
+    assert all(r["k"] == r["position"] for r in got) and len(got) == 1000
+
+
+def test_rich_documents(spark):
+    runs = spark.createDataFrame(
+        [(1, 0, 0, "text", "Head_", None, None, True, False), (1, 1, 0, "text", " a", None, None, True, False), (1, 1, 1, "text", "b ", None, None, True, False), (1, 1, 2, "text", "c", None, "http://x (1)", False, True), (1, 1, 3, "image", "al|t", "i 1.png", "http://x (1)", None, None), (1, 1, 4, "tab", None, None, None, None, None), (1, 2, 0, "text", "# no", None, None, None, None), (1, 3, 0, "text", "one", None, None, None, None), (1, 4, 0, "text", "two", None, None, None, None), (1, 5, 0, "text", "three", None, None, None, None), (1, 7, 0, "text", "  ", None, None, None, None)],
+        "doc_id long, ord long, run_ord long, kind string, text string, part string, link_target string, bold boolean, italic boolean",
+    ).withColumns({"underline": F.lit(None).cast("boolean"), "strike": F.lit(None).cast("boolean")})
+    blocks = spark.createDataFrame([(1, 0, 2, None, None, None, None), (1, 1, None, None, None, None, None), (1, 2, None, None, None, None, None), (1, 3, None, 5, 0, "3. ", None), (1, 4, None, 5, 1, "- ", None), (1, 5, None, 6, 0, "- ", None), (1, 6, None, None, None, None, 0), (1, 7, None, None, None, None, None)], "doc_id long, ord long, level int, num_id long, ilvl long, marker string, table_id int").withColumn("start", F.when(F.col("ord") == 3, 3))
+    cells = spark.createDataFrame([(1, 0, 0, 0, 2, None, "h"), (1, 0, 1, 0, 1, None, "x\ny"), (1, 0, 1, 1, 1, None, "z")], "doc_id long, table_id int, row long, cell_ord long, grid_span int, v_merge string, text string").withColumn("jc", F.lit("right"))
+    md = exports.document_markdown(blocks, runs, exports.table_markdown(cells)).first()["md"]
+    assert md == "## **Head\\_**\n\n **ab** [*c*![al\\|t](i%201.png)](http://x%20%281%29)\t\n\n\\# no\n\n3. one\n  - two\n\n- three\n\n| h |  |\n| ---: | ---: |\n| x<br>y | z |"
+    html = exports.document_html(blocks, runs, exports.table_html(cells)).first()["html"]
+    assert html == '<h2><strong>Head_</strong></h2><p><strong> ab </strong><a href="http://x (1)"><em>c</em><img src="i 1.png" alt="al|t"></a><span class="tab"></span></p><p># no</p><ol start="3"><li>one<ul><li>two</li></ul></li></ol><ul><li>three</li></ul><table><tr><td colspan="2">h</td></tr><tr><td>x\ny</td><td>z</td></tr></table>'
+
+
+def test_style_faults(spark, rows):
+    long = [("d", "p", str(i), str(i + 1)) for i in range(40)] + [("d", "p", "40", None)]
+    s = spark.createDataFrame([*long, ("d", "p", "a", "b"), ("d", "p", "b", "a"), ("d", "c", "a", "gone"), ("d", "c", "x", None), ("d", "c", "x", None)], "doc_id string, kind string, style_id string, based_on string")
+    chains = documents.style_chains(s.where("kind = 'p'")).withColumn("kind", F.lit("p"))
+    got = rows(documents.validate_styles(s, chains), "kind", "style_id", "warning")
+    assert [g for g in got if g[2] != "TooDeep"] == [("c", "a", "MissingParent"), ("c", "x", "DuplicateStyle"), ("p", "a", "CyclicBasedOn")] and {g[1] for g in got if g[2] == "TooDeep"} == {str(i) for i in range(8)}
+    n = spark.createDataFrame([("d", 7, 1), ("d", 8, 2)], "doc_id string, num_id long, abstract_id long")
+    a = spark.createDataFrame([("d", 1)], "doc_id string, abstract_id long")
+    u = spark.createDataFrame([("d", 7), ("d", 9), ("d", 0)], "doc_id string, num_id long")
+    assert rows(documents.validate_numbering(n, a, u), "num_id", "warning") == [(8, "MissingAbstractNum"), (9, "MissingNum")]
+
+
+def test_directions(spark):
+    texts = ["abc", "שלום", "123 שלום", "\u0661\u0662 abc", "\u064Babc", "\u06F1x", "", None, "١٢٣ سلام"]
+    got = [r[1] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", documents.base_direction(F.col("t"), F.lit(False)).alias("d")).orderBy("i").collect()]
+    assert got == ["ltr", "rtl", "rtl", "ltr", "ltr", "ltr", "ltr", "ltr", "rtl"]
+
+
+def test_unclosed_quotes(spark, tmp_path):
+    import pytest
+
+    from quire.sources.delimited import delimited_cells
+
+    (tmp_path / "good.csv").write_text('a;"b;c"\r\n\r\n"x ""y""";z\r\n\r\n')
+    got = delimited_cells(spark, str(tmp_path / "good.csv"))
+    assert sorted((r["row"], r["col"], r["raw"]) for r in got.collect()) == [(0, 0, "a"), (0, 1, "b;c"), (2, 0, 'x "y"'), (2, 1, "z")]
+    (tmp_path / "bad.csv").write_text('a,"b\n')
+    with pytest.raises(Exception, match="bad.csv"):
+        delimited_cells(spark, str(tmp_path / "bad.csv")).count()
+
+
 def test_rules(spark):
     m = spark.createDataFrame([("b", "s", 1, i, 0, float(i + 1)) for i in range(4)] + [("b", "s", 1, 4, 0, None)], "book string, sheet string, rule long, row long, col long, num double")
     t = rules.rule_thresholds(m, [0.25, 0.5, 1.0]).first()

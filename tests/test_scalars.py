@@ -47,3 +47,33 @@ def test_comparison(spark):
 def test_durations(spark, text, want):
     got = one(spark, S.duration_to_fraction(F.lit(text)))
     assert got == want if want is None else abs(got - want) < 1e-12
+
+
+def test_formats_of_any_double(spark):
+    codes = ["0", "0.00", "#,##0", "#,##0.00", "0%", "0.00%", "yyyy-mm-dd"]
+    values = [float("nan"), float("inf"), -float("inf"), 1e30, -1e300, 1234567.125, -0.004, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {c: [r[1] for r in table.select("i", S.format_plain(F.col("v"), F.lit(c)).alias("t")).orderBy("i").collect()] for c in codes}
+    assert got["#,##0.00"] == ["#NUM!"] * 5 + ["1,234,567.13", "0.00", None]
+    assert got["0"][:3] == ["#NUM!"] * 3 and got["0"][3] == "1000000000000000000000000000000" or got["0"][3].startswith("10000000000000000")
+    assert got["yyyy-mm-dd"][:4] == ["#NUM!", "#NUM!", "#####", "#NUM!"] and all(got[c][-1] is None for c in codes)
+
+
+def test_times_and_addresses(spark):
+    one = spark.range(1)
+    v = one.select(
+        S.iso_to_serial(F.lit("1900-03-01T12:00:00Z")).alias("a"), S.iso_to_serial(F.lit("2020-13-01")).alias("b"), S.clock_to_fraction(F.lit("36:00")).alias("c"), S.clock_to_fraction(F.lit("1:2:3.5")).alias("d"), S.serial_to_timestamp(F.lit(45002.5)).cast("string").alias("e"), S.serial_to_timestamp(F.lit(0.5), True).cast("string").alias("f"),
+        *[S.a1_problem(F.lit(x)).alias(f"p{i}") for i, x in enumerate(("A1", "", "1A", "XFE1", "A0", "A1048577", "AAAA1"))],
+    ).first()
+    assert (v["a"], v["b"], v["c"], round(v["d"] * 86400, 6), v["e"], v["f"]) == (61.5, None, 1.5, 3723.5, "2023-03-17 12:00:00", "1904-01-01 12:00:00")
+    assert [v[f"p{i}"] for i in range(7)] == [None, "empty", "no address", "column", "row", "row", "column"]
+
+
+def test_display(spark):
+    from quire.functions.number_format import display_text, format_number
+
+    rows = [("number", 2.5, None, None, "0", None), ("bool", 0.0, None, None, None, None), ("error", None, "#N/A", None, None, None), ("empty", None, None, "=A1", None, None), ("text", None, "t", None, None, None), ("number", 1.0, None, None, "0", "")]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, n double, t string, f string, c string, e string")
+    got = [tuple(r["x"]) for r in t.select("i", display_text(F.col("k"), F.col("n"), F.col("t"), F.col("f"), F.col("c"), F.col("e")).alias("x")).orderBy("i").collect()]
+    assert got == [("3", "right"), ("FALSE", "center"), ("#N/A", "center"), ("", "left"), ("t", "left"), ("", "left")]
+    assert spark.range(1).select(format_number(F.lit(45000.0), F.lit("yyyy-mm-dd"), True).alias("x")).first()["x"] == "2027-03-16"
