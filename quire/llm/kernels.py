@@ -135,9 +135,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[n
 
 _BYTE = byte_values(23)
 _OTHER_BYTE = byte_values(29)
-_POSITION_BITS = 21
+_POSITION_BITS = 20
 #: Bytes of one scan; longer buffers are scanned in overlapping segments.
-SEGMENT = 1 << _POSITION_BITS
+SEGMENT = (1 << _POSITION_BITS) - 2
 
 
 def segments(offsets: np.ndarray, window: int):
@@ -189,7 +189,7 @@ def anchors(raw: np.ndarray, cuts: np.ndarray, window: int, gram: int) -> tuple[
         least = np.minimum(least[:-step], least[step:])
         step *= 2
     windows = len(raw) - window + 1
-    at = (least[:windows] & U64(SEGMENT - 1)).astype(np.int64)
+    at = (least[:windows] & U64((1 << _POSITION_BITS) - 1)).astype(np.int64)
     # windows that cross a cut (a border between documents) are nobody's
     crossing = np.zeros(windows + 1, dtype=np.int32)
     np.add.at(crossing, np.clip(cuts - window + 1, 0, windows), 1)

@@ -188,8 +188,8 @@ def _compare_in_task(stretches: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 if held is not None:
                     part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 gram = part.column("gram").to_numpy()

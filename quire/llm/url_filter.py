@@ -5,7 +5,8 @@ takes for listed, level 3 the listed keys that level 2 takes for those, and so
 on until nobody is mistaken.  For every key of the corpus the parity of the
 first level that refuses it is then the exact answer, so pages are judged in
 one pass without a join.  The filters follow the number of *rules*, not of
-pages; beyond ``max_filter_bytes`` the same answer comes from a shuffled join.
+pages; beyond ``max_filter_bytes``, or ``most_shapes`` shapes of rules, the same
+answer comes from a shuffled join.
 
 A url's keys are host suffixes (at label borders) joined to path prefixes, one
 for each shape (labels, path length) that occurs among the rules.
@@ -141,7 +142,7 @@ def url_keys(urls: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     return urls.withColumn("keys", order)
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", bits_per_key: int = BITS_PER_KEY, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", bits_per_key: int = BITS_PER_KEY, max_filter_bytes: int = MAX_FILTER_BYTES, most_shapes: int = MAX_SHAPES) -> DataFrame:
     """page_id, host, path, rule, verdict; one row per page.
 
     ``rules`` has host, path, verdict (``block`` or ``allow``).  A rule fits
@@ -155,25 +156,24 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", bits_per_k
     spark = pages.sparkSession
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     listed = rule_keys(rules)
-    shapes = sorted((r["labels"], r["prefix"]) for r in listed.select("labels", "prefix").distinct().limit(MAX_SHAPES + 1).collect())
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have over {MAX_SHAPES} shapes of labels and path length")
-    keyed = url_keys(urls, shapes)
     n_rules = listed.count()
-    if 2 * n_rules * bits_per_key // 8 > max_filter_bytes:
-        return _judge_by_join(keyed, listed, default)
+    shapes = sorted((r["labels"], r["prefix"]) for r in listed.select("labels", "prefix").distinct().limit(most_shapes + 1).collect())
+    if 2 * n_rules * bits_per_key // 8 > max_filter_bytes or len(shapes) > most_shapes:
+        return _judge_by_join(urls, rules, default)
+    keyed = url_keys(urls, shapes)
     seen = keyed.select(F.explode("keys").alias("k")).select("k.key", "k.a", "k.b")
-    universe = seen.unionByName(listed.select("key", "a", "b"))
-    held = spark.sparkContext.broadcast([cascade(listed.where(F.col("verdict") == v), universe, bits_per_key) for v in VERDICTS])
+    known = listed.select("key", "a", "b")
+    # One cascade over the keys of all urls tells the rules; which of those block is told by one over the rules alone.
+    filters = [cascade(known, seen.unionByName(known), bits_per_key), cascade(listed.where("verdict = 'block'"), known, bits_per_key)]
+    held = spark.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keys = x.column("keys")
             flat = keys.flatten()
             a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
-            verdict = np.full(len(a), -1)
-            for i in reversed(range(len(VERDICTS))):
-                verdict[contains(held.value[i], a, b)] = i
+            every, block = held.value
+            verdict = np.where(contains(every, a, b), np.where(contains(block, a, b), 0, 1), -1)
             row = np.repeat(np.arange(len(x)), keys.value_lengths().fill_null(0).to_numpy())
             hits = np.flatnonzero(verdict >= 0)
             rows, first = np.unique(row[hits], return_index=True)
@@ -187,13 +187,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", bits_per_k
     return keyed.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
-def _judge_by_join(keyed: DataFrame, listed: DataFrame, default: str) -> DataFrame:
-    """The same for lists too long to send to every task."""
-    rules = listed.groupBy("key").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict"))["verdict"].alias("verdict"))
-    rows = keyed.withColumn("__row", F.monotonically_increasing_id()).select("__row", "page_id", "host", "path", F.explode_outer("keys").alias("k")).select("__row", "page_id", "host", "path", F.col("k.n").alias("n"), F.col("k.key").alias("key"))
-    best = F.min(F.when(F.col("verdict").isNotNull(), F.struct("n", "key", "verdict"))).alias("best")
-    found = rows.join(rules, "key", "left").groupBy("__row", "page_id", "host", "path").agg(best)
-    return found.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+def _judge_by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same for lists too long, or of too many shapes, to send to every task: rules meet the urls of their host."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    rows = urls.withColumn("__row", F.monotonically_increasing_id())
+    listed = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max((F.col("verdict") == "block").cast("int")).alias("blocks"))
+    met = rows.select("__row", "path", F.explode(suffixes).alias("rule_host")).join(listed, "rule_host").where(F.startswith("path", F.col("rule_path")))
+    key = F.concat("rule_host", "rule_path")
+    best = met.groupBy("__row").agg(F.min(F.struct((-F.length(key)).alias("n"), key.alias("key"), (1 - F.col("blocks")).alias("allowed"))).alias("best"))
+    verdict = F.when(F.col("best.allowed") == 0, "block").when(F.col("best.allowed") == 1, "allow").otherwise(default)
+    return rows.join(best, "__row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

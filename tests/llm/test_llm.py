@@ -99,9 +99,14 @@ def test_url_rules(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
     want = {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("org/fr/", "allow"), 7: ("org/fr/", "allow"), 8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "allow")}
-    for limit in (1 << 20, 0):  # filters, and the join that replaces them
-        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, max_filter_bytes=limit).collect()}
+    for limit, shapes in ((1 << 20, 10_000), (0, 10_000), (1 << 20, 1)):  # filters, and the join that replaces them
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules, max_filter_bytes=limit, most_shapes=shapes).collect()}
         assert got == want
+    both = rules.unionByName(spark.createDataFrame([("org", "/fr/", "block")], rules.schema))
+    for limit in (1 << 20, 0):
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, both, max_filter_bytes=limit).collect()}
+        assert got[6] == got[7] == "block" and got[0] == "allow"
+    assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, rules.limit(0)).where("rule IS NOT NULL").count() == 0
 
 
 def test_quality_held_out(spark):
