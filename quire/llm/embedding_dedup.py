@@ -2,7 +2,8 @@
 
 Vectors are turned onto the principal axes of the whole table, widest first,
 and dealt into tiles by their first coordinate.  Pairs of tiles whose boxes and
-suffix norms cannot reach the threshold are left out.  For the others one task
+suffix norms cannot reach the threshold are left out, groups of neighbouring
+tiles against groups first, so far groups never list their tiles.  For the others one task
 per pair of tiles adds up the products of the leading axes for all vectors of
 both, bounds the rest by the product of suffix norms, drops what cannot reach
 the threshold, and goes on with the next axes for the survivors only.  What is
@@ -24,6 +25,8 @@ from quire.llm.shared import checkpoint, table
 
 THRESHOLD = 0.9
 TILE = 4096
+#: Neighbouring tiles whose pairs are pruned together first.
+FAN = 64
 #: Axes added at a time.
 STEP = 16
 #: Axes whose ranges bound a pair of tiles.
@@ -92,7 +95,34 @@ def tile_links(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float,
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def embedding_links(reps: DataFrame, width: int, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def _pairs(box: DataFrame, threshold: float) -> DataFrame:
+    """tile, other, dim: pairs of boxes (tile, dim, rest, box) whose vectors can reach the threshold."""
+    last = box.agg(F.max("tile")).first()[0] or 0
+    other = box.select(F.col("tile").alias("other"), "dim", F.col("rest").alias("rest_b"), F.col("box").alias("box_b"))
+    asked = box.select("tile", "dim", "rest", "box", F.explode(F.sequence("tile", F.lit(last).cast("long"))).alias("other")).join(other, ["other", "dim"])
+    return asked.where(_most() >= threshold - _SLACK).select("tile", "other", "dim")
+
+
+def _most() -> Column:
+    """The largest product that vectors of two boxes can have."""
+    corner = lambda p, q: F.greatest(p[0] * q[0], p[0] * q[1], p[1] * q[0], p[1] * q[1])
+    return F.aggregate(F.zip_with("box", "box_b", corner), F.col("rest") * F.col("rest_b"), lambda s, x: s + x)
+
+
+def tile_pairs(box: DataFrame, threshold: float, fan: int = FAN) -> DataFrame:
+    """:func:`_pairs` of tiles, found by pairs of groups of ``fan`` neighbouring tiles that can reach the threshold."""
+    axes = box.select(F.max(F.size("box"))).first()[0] or 0
+    side = lambda f, k, i: f(F.get(F.get("box", F.lit(k)), F.lit(i)))
+    group = F.floor(F.col("tile") / fan).cast("long")
+    wide = F.array(*[F.array(side(F.min, k, 0), side(F.max, k, 1)) for k in range(axes)])
+    groups = checkpoint(box.groupBy(group.alias("tile"), "dim").agg(F.max("rest").alias("rest"), wide.alias("box")))
+    near = _pairs(groups, threshold).select(F.col("tile").alias("g"), F.col("other").alias("h"), "dim")
+    left = box.select(group.alias("g"), "tile", "dim", "rest", "box")
+    right = box.select(group.alias("h"), F.col("tile").alias("other"), "dim", F.col("rest").alias("rest_b"), F.col("box").alias("box_b"))
+    return near.join(left, ["g", "dim"]).join(right, ["h", "dim"]).where((F.col("tile") <= F.col("other")) & (_most() >= threshold - _SLACK)).select("tile", "other", "dim")
+
+
+def embedding_links(reps: DataFrame, width: int, threshold: float = THRESHOLD, tile: int = TILE, fan: int = FAN) -> DataFrame:
     """u, v, n: link counts (v null) and links enough to connect all (n 0).
 
     ``reps`` has vec_id, copies, vector: distinct valid vectors, read several times.
@@ -110,15 +140,11 @@ def embedding_links(reps: DataFrame, width: int, threshold: float = THRESHOLD, t
                 yield frame
 
     led = reps.mapInPandas(lead, reps.schema.simpleString()[7:-1].replace(":", " ") + ", lead array<double>, rest double, first double")
-    tiles = table(led.repartitionByRange(number, "first", "vec_id").withColumn("tile", F.spark_partition_id()), "tiles")
+    tiles = table(led.repartitionByRange(number, "first", "vec_id").withColumn("tile", F.spark_partition_id().cast("long")), "tiles")
     size = F.size("vector")
     box = tiles.groupBy("tile", size.alias("dim")).agg(*[F.struct(F.min(F.col("lead")[k]), F.max(F.col("lead")[k])).alias(f"b{k}") for k in range(min(BOX, width))], F.max("rest").alias("rest"))
     box = checkpoint(box.select("tile", "dim", "rest", F.array(*[F.array(F.col(f"b{k}.col1"), F.col(f"b{k}.col2")) for k in range(min(BOX, width))]).alias("box")))
-    other = box.select(F.col("tile").alias("other"), "dim", F.col("rest").alias("rest_b"), F.col("box").alias("box_b"))
-    corner = lambda p, q: F.greatest(p[0] * q[0], p[0] * q[1], p[1] * q[0], p[1] * q[1])
-    most = F.aggregate(F.zip_with("box", "box_b", corner), F.col("rest") * F.col("rest_b"), lambda s, x: s + x)
-    asked = box.select("tile", "dim", "rest", "box", F.explode(F.sequence("tile", F.lit(number - 1))).alias("other")).join(other, ["other", "dim"])
-    asked = checkpoint(asked.where(most >= threshold - _SLACK).select("tile", "other", "dim"))
+    asked = checkpoint(tile_pairs(box, threshold, fan))
     rows = tiles.select("tile", size.alias("dim"), "vec_id", "copies", "vector")
     left = asked.join(rows, ["tile", "dim"]).select("tile", "other", "dim", F.lit(0).alias("side"), "vec_id", "copies", "vector")
     right = asked.where("tile != other").join(rows.withColumnRenamed("tile", "other"), ["other", "dim"]).select("tile", "other", "dim", F.lit(1).alias("side"), "vec_id", "copies", "vector")
@@ -142,7 +168,7 @@ def embedding_links(reps: DataFrame, width: int, threshold: float = THRESHOLD, t
     return left.unionByName(right).groupBy("tile", "other", "dim").applyInPandas(compare, "u long, v long, n long")
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per input row.
 
     ``vectors`` has vec_id and embedding (array of numbers).  Vectors that are
@@ -163,7 +189,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     out = rows.select("vec_id")
     if width is None:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = table(embedding_links(reps, width, threshold, tile), "embedding-links")
+    found = table(embedding_links(reps, width, threshold, tile, fan), "embedding-links")
     counts = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     named = components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "rep")
     labelled = members.distinct().join(counts, "rep", "left").join(named, "rep", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))

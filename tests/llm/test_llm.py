@@ -312,12 +312,13 @@ def test_segmentations_are_ranked_by_corpus_counts(spark):
     assert best["score"] == pytest.approx(2 * np.log(51 / counts.sum()))
 
 
-def test_embedding_edges(spark):
+@pytest.mark.parametrize("fan", [64, 2])
+def test_embedding_edges(spark, fan):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 12))
     vectors = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[:10] + rng.normal(scale=0.1, size=(10, 12)), base[:5], base[:3] * 1e30]))]
     vectors += [(90, None), (91, [0.0] * 12), (92, [float("nan")] * 12), (93, [None] * 12), (94, [1.0, 2.0]), (95, [1.0, 2.0]), (96, [])]
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), tile=16).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), tile=8, fan=fan).collect()}
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors if i < 90}
     near = {i: {j for j in unit if j != i and unit[i] @ unit[j] >= 0.9} for i in unit}
     root = components.roots(np.array([i for i in near for _ in near[i]]), np.array([j for i in near for j in near[i]]), len(unit))
