@@ -185,13 +185,16 @@ def number_lists(blocks: DataFrame, levels: DataFrame, deepest: int = 9, parent:
     reset = F.coalesce(*[F.when(F.col("ilvl") == k, F.col(f"_r{k}")) for k in range(deepest)])
     counts = counts.withColumn("_reset", reset)
     counts = counts.withColumn("number", F.row_number().over(W.partitionBy("doc_id", "num_id", "ilvl", "_reset").orderBy("ord")) + F.col("start") - 1)
-    marker = F.col("lvl_text")
+    shown = []
     for k in range(deepest):
         last = F.last(F.when(F.col("ilvl") == k, F.struct(F.col("number").alias("n"), F.col(f"_r{k}").alias("r"), F.col("num_fmt").alias("f"))), ignorenulls=True).over(upto)
         counts = counts.withColumn(f"_p{k}", last)
         seen = F.col(f"_p{k}")
         n = F.when(seen["r"] == F.col(f"_r{k}"), seen["n"] + (F.when(F.col("ilvl") > k, 1).otherwise(0) if parent == "next" else 0)).otherwise(1)
-        marker = F.replace(marker, F.lit(f"%{k + 1}"), number_text(F.coalesce(n, F.lit(1)), F.coalesce(seen["f"], F.lit("decimal"))))
+        shown.append(F.struct(F.lit(f"%{k + 1}").alias("place"), F.coalesce(n, F.lit(1)).cast("long").alias("n"), F.coalesce(seen["f"], F.lit("decimal")).alias("f")))
+    # Only placeholders that the text has are written out, by one expression for all levels.
+    asked = F.filter(F.array(*shown), lambda x: F.contains(F.col("lvl_text"), x["place"]))
+    marker = F.aggregate(asked, F.col("lvl_text"), lambda text, x: F.replace(text, x["place"], number_text(x["n"], x["f"])))
     counts = counts.withColumn("marker", marker).select("doc_id", "ord", "number", "marker")
     return known.join(counts, ["doc_id", "ord"], "left").select("doc_id", "ord", "num_id", "ilvl", F.col("number").cast("long").alias("number"), F.coalesce("marker", F.lit("- ")).alias("marker"), "text")
 
