@@ -88,6 +88,13 @@ def e6(spark, d):
     return formulas.table_headers(c.select(F.col("c_nationkey").cast("long").alias("table_id"), pos.cast("long").alias("position"), text.alias("text"))).select("table_id", "position", "name")
 
 
+@query("e6_table_names", r"""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'Table' || c_custkey WHEN c_custkey % 5 = 0 THEN NULL ELSE 'é.' || regexp_replace(c_name, '[^\p{L}\p{N}_.]', '_', 'g') || '_' || lower(c_mktsegment) END AS name FROM customer""")
+def e6b(spark, d):
+    k = F.col("c_custkey")
+    text = F.when(k % 7 == 0, " \n ").when(k % 5 == 0, F.concat(k.cast("string"), F.lit(" x"))).otherwise(F.concat(F.lit("  é."), "c_name", F.lit("-"), F.lower("c_mktsegment"), F.lit(" ")))
+    return A.read(spark, d, "customer").select(k.alias("c_custkey"), formulas.table_name(text, k).alias("name"))
+
+
 @query("e7_pivot_summary", """WITH g AS (SELECT c_mktsegment AS grp, count(*) AS n_rows, round(sum(c_acctbal), 2) AS balance, CAST(count(*) AS DOUBLE) AS names, min(c_custkey) AS o FROM customer GROUP BY c_mktsegment)
 SELECT grp, n_rows, balance, names, row_number() OVER (ORDER BY o) - 1 AS position FROM g UNION ALL SELECT NULL, count(*), round(sum(c_acctbal), 2), CAST(count(*) AS DOUBLE), -1 FROM customer""")
 def e7(spark, d):

@@ -365,6 +365,14 @@ def table_headers(headers: DataFrame) -> DataFrame:
     return headers.select("table_id", "position", "text").groupBy("table_id").applyInPandas(name, "table_id long, position long, text string, name string")
 
 
+def table_name(text: Column, table_id: Column) -> Column:
+    """Name of a table: trimmed, TableN for a blank one, ``_`` for all but letters, digits, ``_`` and ``.``; null if it would start with a digit."""
+    given = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)^\s+|\s+$", "")
+    base = F.when(given == "", F.concat(F.lit("Table"), table_id.cast("string"))).otherwise(given)
+    name = F.regexp_replace(base, r"[^\p{L}\p{N}_.]", "_")
+    return F.when(~F.rlike(name, F.lit(r"^[0-9]")), name)
+
+
 def pivot_summary(rows: DataFrame, group: str, values: list[str], order: str, blank: str = "(blank)") -> DataFrame:
     """Per group and in total: rows, and per value column the sum if *every* row of it is a number, else the row count.
 
