@@ -175,7 +175,7 @@ def f5(spark, d):
     return documents.cascade(items, documents.style_chains(s), s, ["size", "font"]).select("doc_id", "style_id", "size", "font")
 
 
-@query("f5_layers", "WITH RECURSIVE " + _CHAINS_SQL + """, l AS (SELECT c.style_id AS item, 2000 - c.depth AS k, s.size, s.font, NULL::DOUBLE AS fl FROM chain c JOIN styles s ON s.style_id = c.ancestor UNION ALL SELECT s.style_id, 3000 - c.depth, a.size, NULL, NULL FROM styles s JOIN chain c ON c.style_id = s.style_id - 50 AND c.doc_id = s.doc_id JOIN styles a ON a.style_id = c.ancestor WHERE s.style_id % 9 = 0
+@query("f5_layers", "WITH RECURSIVE " + _CHAINS_SQL + """, l AS (SELECT c.style_id AS item, 2000 - c.depth AS k, s.size, s.font, NULL::DOUBLE AS fl FROM chain c JOIN styles s ON s.style_id = c.ancestor UNION ALL SELECT s.style_id, 3000 - c.depth, a.size, a.font, NULL FROM styles s JOIN chain c ON c.style_id = s.style_id - 50 AND c.doc_id = s.doc_id JOIN styles a ON a.style_id = c.ancestor WHERE s.style_id % 9 = 0
   UNION ALL SELECT style_id, 4000, NULL, CASE WHEN style_id % 10 = 0 THEN 'auto' END, CASE WHEN style_id % 4 = 1 THEN -3.0 WHEN style_id % 4 < 3 THEN 5.0 END FROM styles UNION ALL SELECT style_id, 0, 11, 'base', 1.0 FROM styles)
 SELECT item, arg_max(size, k) FILTER (size IS NOT NULL) AS size, nullif(arg_max(font, k) FILTER (font IS NOT NULL), 'auto') AS color, arg_max(fl, k) FILTER (fl IS NOT NULL) AS first_line FROM l GROUP BY item""")
 def f5b(spark, d):

@@ -37,10 +37,12 @@ def range_aggregate(formulas: DataFrame, cells: DataFrame, count_blanks: bool =
     stored cells, never rows of their own.  A text (``txt``, where cells have
     it) that is no number makes the value null and is the ``error``.
     """
-    text = F.col("txt") if "txt" in cells.columns else F.lit(None).cast("string")
-    own = F.coalesce("num", coerce_number(text))
-    hit = in_ranges(cells.select(*SHEET, "row", "col", own.alias("num"), F.when(own.isNull() & (F.trim(text) != ""), text).alias("_bad")), formulas)
-    got = hit.groupBy(*SHEET, "formula_id").agg(F.sum("num").alias("s"), F.count("num").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), F.min("_bad").alias("_bad"))
+    texts = "txt" in cells.columns
+    own = F.coalesce("num", coerce_number(F.col("txt"))) if texts else F.col("num")
+    bad = [F.when(own.isNull() & (F.trim("txt") != ""), F.col("txt")).alias("_bad")] if texts else []
+    hit = in_ranges(cells.select(*SHEET, "row", "col", own.alias("num"), *bad), formulas)
+    worst = (F.min("_bad") if texts else F.max(F.lit(None).cast("boolean")).cast("string")).alias("_bad")
+    got = hit.groupBy(*SHEET, "formula_id").agg(F.sum("num").alias("s"), F.count("num").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), worst)
     out = formulas.join(got, [*SHEET, "formula_id"], "left")
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
     n = F.coalesce("n", F.lit(0))

@@ -46,10 +46,21 @@ def rule_matches(cells: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_thresholds(matches: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
-    """low, high and linearly interpolated percentiles of the numbers under each rule; without numbers none."""
-    ps = percentiles or [0.5]
-    aggs = [F.min("num").alias("low"), F.max("num").alias("high"), *[F.percentile("num", F.lit(min(1.0, max(0.0, p)))).alias(f"p{round(p * 100)}") for p in ps]]
-    return matches.where("num IS NOT NULL").groupBy(*SHEET, "rule").agg(*aggs)
+    """low, high and linearly interpolated percentiles of the numbers under each rule; without numbers none.
+
+    Percentiles come from places in a sort that can spill, not from a buffer of
+    all numbers.
+    """
+    key = [*SHEET, "rule"]
+    own = W.partitionBy(*key)
+    ranked = matches.where("num IS NOT NULL").select(*key, "num", (F.row_number().over(own.orderBy("num")) - 1).alias("_k"), F.count(F.lit(1)).over(own).alias("_n"))
+    aggs = [F.min("num").alias("low"), F.max("num").alias("high")]
+    for p in percentiles or [0.5]:
+        at = (F.col("_n") - 1) * min(1.0, max(0.0, p))
+        value = lambda place: F.max(F.when(F.col("_k") == place, F.col("num")))
+        below, above, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        aggs.append((below + (above - below) * part).alias(f"p{round(p * 100)}"))
+    return ranked.groupBy(*key).agg(*aggs)
 
 
 def percent_threshold(low: Column, high: Column, percent: float) -> Column:
@@ -159,8 +170,8 @@ def _compiled(tree: tuple, cells_at: dict[tuple, Column]) -> Column:
 MOST_FORMULAS = 10_000
 
 
-def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formula1") -> DataFrame:
-    """matches (row, col, the range's r0 and c0, a formula) plus fired.
+def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formula1", rules: DataFrame | None = None) -> DataFrame:
+    """matches (row, col, the range's r0 and c0, a formula) plus fired; the distinct formulas are read from ``rules`` where it is given.
 
     Formulas hold constants, cells (absolute, or relative to the range's
     corner), comparisons, MOD, LEN and ROW().  Each distinct one is read once,
@@ -168,7 +179,7 @@ def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formu
     a reference in a formula.  True or a number other than 0 fires; texts,
     blanks, errors and formulas outside the language never do.
     """
-    texts = [r[0] for r in matches.select(formula).where(F.col(formula).isNotNull()).distinct().limit(MOST_FORMULAS + 1).collect()]
+    texts = [r[0] for r in (matches if rules is None else rules).select(formula).where(F.col(formula).isNotNull()).distinct().limit(MOST_FORMULAS + 1).collect()]
     if len(texts) > MOST_FORMULAS:
         raise ValueError(f"over {MOST_FORMULAS} distinct rule formulas")
     trees = {}
@@ -192,7 +203,9 @@ def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formu
         held = cells.select(*SHEET, F.col("row").alias(f"_row{k}"), F.col("col").alias(f"_col{k}"), tagged(cells).alias(f"_cell{k}"))
         out = out.withColumns({f"_row{k}": at["row"].cast("long"), f"_col{k}": at["col"].cast("long")}).join(held, [*SHEET, f"_row{k}", f"_col{k}"], "left")
         beyond = (F.col(f"_row{k}") < 0) | (F.col(f"_row{k}") > MAX_ROW) | (F.col(f"_col{k}") < 0) | (F.col(f"_col{k}") > MAX_COL)
-        values.append(F.when(beyond, _value("error")).otherwise(F.coalesce(f"_cell{k}", _value("empty"))))
+        # a column of its own, so that it is worked out once however often a formula looks at it
+        out = out.withColumn(f"_cell{k}", F.when(beyond, _value("error")).otherwise(F.coalesce(f"_cell{k}", _value("empty"))))
+        values.append(F.col(f"_cell{k}"))
     fired: Column = F.lit(False)
     for text, (tree, refs) in trees.items():
         v = _compiled(tree, dict(zip(refs, values)))
