@@ -31,7 +31,7 @@ TOKENS_PER_PACKER = 1 << 26
 #: Distinct words kept with their ids during a task (about 200 MB).
 CACHE_WORDS = 1_000_000
 #: White space around a space, where a cut before that space could split a token.
-_ODD = r"\s \s|\s $"
+_ODD = re.compile(r"\s \s|\s $")
 
 # Fixed value: how this byte-level vocabulary cuts a text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,7 +73,7 @@ class _Encoder:
             spec = json.load(f)
         special = {x["content"] for x in spec.get("added_tokens", [])}
         #: Texts with one of these go to tokenizers whole.
-        self.odd = re.compile("|".join([_ODD, *([] if plain_specials else map(re.escape, sorted(special)))]))
+        self.apart = () if plain_specials else tuple(sorted(special))
         symbols = _byte_symbols()
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.plain = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -102,7 +102,7 @@ class _Encoder:
             self.words.clear()
         words = self.words
         out: list[bytes] = []
-        cut = [None if self.odd.search(text) else text.split(" ") for text in texts]
+        cut = [None if _ODD.search(text) or any(s in text for s in self.apart) else text.split(" ") for text in texts]
         need = set().union(*[parts[1:] for parts in cut if parts]) - words.keys()
         if need:
             self.learn(list(need))
