@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, url_filter
+from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, target_sampling, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_target_resampling": target_sampling.op11_target_resampling,
 }
 ORACLES = {
     "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_target_resampling": target_sampling.ORACLE_SQL,
 }

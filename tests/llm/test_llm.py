@@ -36,7 +36,7 @@ EDGES = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "ONE  two"), (6, "
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "embeddings"):
+    for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, DIR)
