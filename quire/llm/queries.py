@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, target_sampling, url_filter
+from quire.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, target_sampling, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_target_resampling": target_sampling.op11_target_resampling,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 ORACLES = {
     "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_target_resampling": target_sampling.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
 }

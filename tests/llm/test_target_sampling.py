@@ -69,7 +69,7 @@ def test_edges(spark):
     assert same[0]["score"] == same[1]["score"] and same[0]["weight"] == by[7]["weight"]
 
 
-def test_ties_go_to_the_smaller_id(spark, monkeypatch):
+def test_ties_without_ids(spark, monkeypatch):
     monkeypatch.setattr(op, "weigh", lambda docs, gain, longest: docs.selectExpr("doc_id", "30L AS n_words", "1L AS n_features", "-CAST(0 AS LONG) AS weight"))
     docs = spark.createDataFrame([(None, "x")] * 3, "doc_id long, text string")
     assert sorted(r["rank"] or 0 for r in op.resample(docs, docs, percent=70).collect()) == [0, 1, 2]
