@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, target_sampling, url_filter
+from quire.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, lattice_score, ngram_join, packing, pieces, quality, secret_scan, suffix_dedup, target_sampling, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_target_resampling": target_sampling.op11_target_resampling,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_lattice_score": lattice_score.op13_lattice_score,
 }
 ORACLES = {
     "op7_embedding_dedup": embedding_dedup.ORACLE_SQL,
