@@ -120,10 +120,28 @@ def d5(spark, d):
     cells = A.cells(spark, d)
     long = lambda v: F.lit(v).cast("long")
     rule = A.sheet_names(spark, d).select("book", "sheet", F.posexplode(F.array(*map(F.lit, FORMULAS))).alias("rule", "formula1"), long(0).alias("r0"), long(0).alias("c0"), long(MAX_ROW).alias("r1"), long(3).alias("c1"))
-    fired = rules.expression_rules(rules.rule_matches(cells, rule.withColumn("rule", F.col("rule").cast("long"))), cells, rules=spark.createDataFrame([(f,) for f in FORMULAS], "formula1 string"))
+    fired = rules.expression_rules(rules.rule_matches(cells, rule.withColumn("rule", F.col("rule").cast("long"))), cells)
     return fired.groupBy("book", "sheet", "rule").agg(F.count(F.when(F.col("fired"), 1)).alias("n_fired"))
 
 
+@query("d5_distinct_formulas", "WITH " + A.CELLS_SQL + """, o AS (SELECT o_orderkey, o_custkey, 'S' || (o_orderkey % (SELECT count(*) FROM supplier) + 1) AS book, o_orderkey % 40 AS at FROM orders),
+m AS (SELECT o.*, c.sheet, c.num, coalesce(b.num, 0) AS beside FROM o JOIN cells c ON c.book = o.book AND c.row BETWEEN o.at AND o.at + 4 AND c.col = 0 LEFT JOIN cells b ON b.book = c.book AND b.sheet = c.sheet AND b.row = c.row + 1 AND b.col = 1)
+SELECT o_orderkey AS rule, count(*) AS n_cells, count(*) FILTER (num > o_custkey % 50) AS n_above, count(*) FILTER (beside - o_custkey * floor(beside / o_custkey) < o_orderkey % 1000) AS n_below FROM m GROUP BY o_orderkey""")
+def d5b(spark, d):
+    """Two formulas of its own for each order, over five rows of a book's sheets."""
+    cells = A.cells(spark, d)
+    orders, n = A.read(spark, d, "orders"), A.read(spark, d, "supplier").count()
+    book, at = F.concat(F.lit("S"), (F.col("o_orderkey") % n + 1).cast("string")), F.col("o_orderkey") % 40
+    text = lambda c: c.cast("string")
+    first = F.concat(F.lit("=A"), text(at + 1), F.lit(">"), text(F.col("o_custkey") % 50))
+    second = F.concat(F.lit("=MOD(B"), text(at + 2), F.lit(","), text(F.col("o_custkey")), F.lit(")<"), text(F.col("o_orderkey") % 1000))
+    box = [at.cast("long").alias("r0"), F.lit(0).cast("long").alias("c0"), (at + 4).cast("long").alias("r1"), F.lit(0).cast("long").alias("c1")]
+    rule = orders.select(book.alias("book"), F.col("o_orderkey").alias("rule"), *box, F.posexplode(F.array(first, second)).alias("part", "formula1"))
+    fired = rules.expression_rules(rules.rule_matches(cells, rule.join(A.sheet_names(spark, d), "book")), cells)
+    n_fired = lambda part: F.count(F.when(F.col("fired") & (F.col("part") == part), 1))
+    return fired.groupBy("rule").agg(F.count(F.when(F.col("part") == 0, 1)).alias("n_cells"), n_fired(0).alias("n_above"), n_fired(1).alias("n_below"))
+
+
 @query("d3_rule_limits", "WITH " + A.CELLS_SQL + " SELECT book, sheet, col AS rule, round(min(num), 6) AS low, round(min(num) + (max(num) - min(num)) * 0.33, 6) AS third, round(quantile_cont(num, 0.9), 6) AS p90, 5.0::DOUBLE AS five, CAST(NULL AS DOUBLE) AS formula FROM cells GROUP BY book, sheet, col")
 def d3b(spark, d):
     kinds = (("min", None), ("percent", 33.0), ("percentile", 90.0), ("num", 5.0), ("formula", 1.0))

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import excel_compare
-from quire.functions.expressions import FormulaError, parse, references
+from quire.operators.rule_formulas import expression_rules, tagged  # noqa: F401
 from quire.operators.sheets import SHEET, clamp_ranges, in_ranges
-from quire.schemas import MAX_COL, MAX_ROW
+from quire.schemas import MAX_ROW
 
 KEY = [*SHEET, "row", "col"]
 
@@ -102,13 +102,6 @@ def rule_limits(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return wanted.join(stats, [*SHEET, "rule"], "left").select(*SHEET, "rule", F.transform("thresholds", value).alias("limits"))
 
 
-def tagged(cells: DataFrame) -> Column:
-    """struct(kind, num, txt) of a cell; numbers and nulls where the table has no kinds."""
-    kind = F.col("kind") if "kind" in cells.columns else F.when(F.col("num").isNull(), "empty").otherwise("number")
-    txt = F.col("txt") if "txt" in cells.columns else F.lit(None).cast("string")
-    return F.struct(kind.cast("string").alias("kind"), F.col("num").cast("double").alias("num"), txt.alias("txt"))
-
-
 def cell_is_value(operator: Column, cell: Column, a: Column, b: Column) -> Column:
     """:func:`cell_is` on tagged values: numbers before texts before truth values, errors never."""
     cmp = lambda x, y: excel_compare(x["kind"], x["num"], x["txt"], y["kind"], y["num"], y["txt"])
@@ -123,96 +116,6 @@ def cell_is_value(operator: Column, cell: Column, a: Column, b: Column) -> Colum
     return F.coalesce(fired, F.lit(False))
 
 
-def _value(kind: str | Column, num: Column | None = None, txt: Column | None = None) -> Column:
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (num if num is not None else F.lit(None)).cast("double").alias("num"), (txt if txt is not None else F.lit(None)).cast("string").alias("txt"))
-
-
-def number_as_text(num: Column) -> Column:
-    """Shortest text of a number: whole ones without a point."""
-    return F.when((num == F.floor(num)) & (F.abs(num) < 1e15), num.try_cast("long").cast("string")).otherwise(num.cast("string"))
-
-
-def _compiled(tree: tuple, cells_at: dict[tuple, Column]) -> Column:
-    """A rule formula as a tagged value; what the rule language does not know raises FormulaError."""
-    kind = tree[0]
-    if kind == "num":
-        return _value("number", F.lit(tree[1]))
-    if kind == "neg" and tree[1][0] == "num":
-        return _value("number", F.lit(-tree[1][1]))
-    if kind == "text":
-        return _value("text", None, F.lit(tree[1]))
-    if kind == "bool":
-        return _value("bool", F.lit(float(tree[1])))
-    if kind == "cell":
-        return cells_at[tree]
-    if kind == "op" and tree[1] in ("=", "<>", "<", "<=", ">", ">="):
-        a, b = (_compiled(t, cells_at) for t in tree[2:])
-        c = excel_compare(a["kind"], a["num"], a["txt"], b["kind"], b["num"], b["txt"])
-        holds = {"=": c == 0, "<>": c != 0, "<": c < 0, "<=": c <= 0, ">": c > 0, ">=": c >= 0}[tree[1]]
-        return _value(F.when(c.isNull(), "error").otherwise("bool"), holds.cast("double"))
-    if kind == "call":
-        name, arguments = tree[1], [_compiled(t, cells_at) for t in tree[2]]
-        number = lambda v: F.when(v["kind"] == "empty", 0.0).when(v["kind"].isin("number", "bool"), v["num"]).when(v["kind"] == "text", F.trim(v["txt"]).try_cast("double"))
-        if name == "ROW" and not arguments:
-            return _value("number", F.col("row") + 1)
-        if name == "MOD" and len(arguments) == 2:
-            a, b = map(number, arguments)
-            left = F.when(b != 0, a - b * F.floor(a / F.nullif(b, F.lit(0.0))))
-            return _value(F.when(left.isNull(), "error").otherwise("number"), left)
-        if name == "LEN" and len(arguments) == 1:
-            v = arguments[0]
-            text = F.when(v["kind"] == "text", v["txt"]).when(v["kind"] == "empty", "").when(v["kind"] == "number", number_as_text(v["num"])).when(v["kind"] == "bool", F.when(v["num"] != 0, "TRUE").otherwise("FALSE"))
-            return _value(F.when(text.isNull(), "error").otherwise("number"), F.length(text))
-    raise FormulaError(f"{kind} is not part of rule formulas")
-
-
-#: Distinct rule formulas that one call reads.
-MOST_FORMULAS = 10_000
-
-
-def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formula1", rules: DataFrame | None = None) -> DataFrame:
-    """matches (row, col, the range's r0 and c0, a formula) plus fired; the distinct formulas are read from ``rules`` where it is given.
-
-    Formulas hold constants, cells (absolute, or relative to the range's
-    corner), comparisons, MOD, LEN and ROW().  Each distinct one is read once,
-    on the driver; its cells come by joins on their addresses, one per place of
-    a reference in a formula.  True or a number other than 0 fires; texts,
-    blanks, errors and formulas outside the language never do.
-    """
-    texts = [r[0] for r in (matches if rules is None else rules).select(formula).where(F.col(formula).isNotNull()).distinct().limit(MOST_FORMULAS + 1).collect()]
-    if len(texts) > MOST_FORMULAS:
-        raise ValueError(f"over {MOST_FORMULAS} distinct rule formulas")
-    trees = {}
-    for text in texts:
-        try:
-            tree = parse(text)
-            _compiled(tree, {ref: _value("empty") for ref in references(tree)})
-            trees[text] = (tree, references(tree))
-        except (FormulaError, KeyError):
-            continue  # never fires
-    places = max((len(refs) for _, refs in trees.values()), default=0)
-    out, values = matches, []
-    for k in range(places):
-        at = {"row": F.lit(None).cast("long"), "col": F.lit(None).cast("long")}
-        for text, (_, refs) in trees.items():
-            if k < len(refs):
-                _, row, col, fixed_row, fixed_col = refs[k]
-                own = F.col(formula) == text
-                at["row"] = F.when(own, F.lit(row) if fixed_row else F.lit(row) + F.col("row") - F.col("r0")).otherwise(at["row"])
-                at["col"] = F.when(own, F.lit(col) if fixed_col else F.lit(col) + F.col("col") - F.col("c0")).otherwise(at["col"])
-        held = cells.select(*SHEET, F.col("row").alias(f"_row{k}"), F.col("col").alias(f"_col{k}"), tagged(cells).alias(f"_cell{k}"))
-        out = out.withColumns({f"_row{k}": at["row"].cast("long"), f"_col{k}": at["col"].cast("long")}).join(held, [*SHEET, f"_row{k}", f"_col{k}"], "left")
-        beyond = (F.col(f"_row{k}") < 0) | (F.col(f"_row{k}") > MAX_ROW) | (F.col(f"_col{k}") < 0) | (F.col(f"_col{k}") > MAX_COL)
-        # a column of its own, so that it is worked out once however often a formula looks at it
-        out = out.withColumn(f"_cell{k}", F.when(beyond, _value("error")).otherwise(F.coalesce(f"_cell{k}", _value("empty"))))
-        values.append(F.col(f"_cell{k}"))
-    fired: Column = F.lit(False)
-    for text, (tree, refs) in trees.items():
-        v = _compiled(tree, dict(zip(refs, values)))
-        fired = F.when(F.col(formula) == text, v["kind"].isin("bool", "number") & (v["num"] != 0)).otherwise(fired)
-    return out.withColumn("fired", F.coalesce(fired, F.lit(False))).drop(*[f"_{x}{k}" for k in range(places) for x in ("row", "col", "cell")])
-
-
 def _channel(color: Column, shift: int) -> Column:
     return F.shiftright(color, shift).bitwiseAND(F.lit(255)).cast("double")
 

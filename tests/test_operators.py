@@ -295,3 +295,27 @@ def test_shifted_formulas(spark):
 def test_header_collisions(spark):
     h = spark.createDataFrame([(1, i, x) for i, x in enumerate(["A", "A2", "a", "A"])], "table_id long, position long, text string")
     assert [r["name"] for r in formulas.table_headers(h).orderBy("position").collect()] == ["A", "A2", "a3", "A4"]
+
+
+def test_rule_programs_share_shapes_and_keep_copies(spark, rows):
+    from quire.operators import rule_formulas as R
+
+    assert R.compiled("=A1>5")[0] == R.compiled("=$Q$77>0.25")[0] and R.compiled("=SUM(A1)") is None and R.compiled(None) is None and R.compiled("=A1:B2") is None and R.compiled("(" * 5000) is None
+    assert [R.number_text(x) for x in (5.0, -0.0, 1e21, 1.5e-7, 12345678.25, 0.1)] == ["5", "0", "1" + "0" * 21, "0.00000015", "12345678.25", "0.1"]
+    c = spark.createDataFrame([("b", "s", 0, 0, 5.0), ("b", "s", 0, 1, 7.0), ("b", "s", 9, 9, None)], "book string, sheet string, row long, col long, num double")
+    f = ["=A1<B1", "=A1<B1", "=B1=A1", "=A1", None, "=J10=0", "=A1=$A$1", "=LEN(Z9)", "=\"1\"", "=MOD(\"x\",2)=0", "=MOD(\" 7 \",4)=3", "=ROW()"]
+    m = spark.createDataFrame([("b", "s", 0, 0, 0, 0, x, 1.0) for x in f], "book string, sheet string, row long, col long, r0 long, c0 long, formula1 string, _n2 double")
+    assert rows(R.expression_rules(m, c), "formula1", "fired") == sorted([("=A1<B1", True), ("=A1<B1", True), ("=B1=A1", False), ("=A1", True), (None, False), ("=J10=0", True), ("=A1=$A$1", True), ("=LEN(Z9)", False), ("=\"1\"", False), ("=MOD(\"x\",2)=0", False), ("=MOD(\" 7 \",4)=3", True), ("=ROW()", True)], key=repr)
+    assert R.expression_rules(m.limit(0), c).count() == 0 and R.expression_rules(m, c.limit(0)).where("fired").count() == 5
+
+
+def test_ten_thousand_distinct_rule_formulas(spark):
+    import time
+
+    from quire.operators import rule_formulas as R
+
+    c = spark.range(100).selectExpr("'b' AS book", "'s' AS sheet", "id AS row", "0L AS col", "CAST(id AS DOUBLE) AS num")
+    m = spark.range(20_000).selectExpr("'b' AS book", "'s' AS sheet", "id % 100 AS row", "0L AS col", "id % 100 AS r0", "0L AS c0", "concat('=A', id % 100 + 1, '>', id) AS formula1")
+    began = time.perf_counter()
+    assert R.expression_rules(m, c).where("fired").count() == 0  # no number exceeds its own formula's
+    assert time.perf_counter() - began < 60
