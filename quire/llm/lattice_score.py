@@ -204,12 +204,12 @@ def marked(words: list[bytes]) -> list[str]:
     return [SPACE + w.decode("utf-8", "surrogateescape") for w in words]
 
 
-_BLOCK = "block long, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_words array<long>, words array<binary>, trained array<long>, ats binary, counts binary"
-_BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-
-
-def _one_row(values: tuple, types: list[pa.DataType], schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[c.split()[0] for c in schema.split(", ")])
+#: Documents of a block.
+_DOC = np.dtype([("id", "<i8"), ("no_id", "?"), ("held", "?"), ("tokens", "<i8"), ("words", "<i8")])
+#: What goes along with single rows is packed: Arrow writers look through the empty lists of a batch again for each row.
+_MATRIX = ["docs", "ats", "counts"]
+_BLOCK = "block long, docs binary, ats binary, counts binary, ends long, words array<binary>, trained array<long>"
+_BLOCK_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
 
 def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -222,11 +222,11 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ats, counts = array("I"), array("I")
 
         def closed() -> pa.RecordBatch:
-            at, n = np.array(ats, np.int64), np.array(counts, np.int64)
-            train = np.repeat([not d[1] for d in docs], [d[3] for d in docs])
+            at, n, own = np.array(ats, np.int64), np.array(counts, np.int64), np.array(docs, _DOC)
+            train = np.repeat(~own["held"], own["words"])
             trained = np.bincount(at[train], n[train], minlength=len(index)).astype(np.int64)
-            ids, held, n_tokens, n_words = map(list, zip(*docs))
-            return _one_row((block, ids, held, n_tokens, n_words, list(index), trained, ats.tobytes(), counts.tobytes()), _BLOCK_TYPES, _BLOCK)
+            values = (block, own.tobytes(), ats.tobytes(), counts.tobytes(), int((~own["held"]).sum()), list(index), trained)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _BLOCK_TYPES)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary())):
@@ -236,7 +236,7 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     block, size, docs, index, ats, counts = block + 1, 0, [], {}, array("I"), array("I")
                 found = text.lower().split()
                 own = Counter(found)
-                docs.append((doc_id, held, len(found) + 1, len(own)))
+                docs.append((doc_id or 0, doc_id is None, held, len(found) + 1, len(own)))
                 ats.extend([index.setdefault(w, len(index)) for w in own])
                 counts.extend(own.values())
                 size += len(text)
@@ -295,7 +295,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     blocks = table(count_blocks(rows.select("doc_id", held.alias("held_out"), "text"), block_bytes), "blocks")
     words = blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.trained").alias("n"))
     words = table(words, "words")
-    ends = blocks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = blocks.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
     n, v, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
     n, v, escape = n + ends, v + (ends > 0), once + 1
     model = spark.sparkContext.broadcast(fit_pieces(words.where("n > 0").select("word"), path, rounds))
@@ -319,13 +319,13 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         matrix, parts = None, []
 
         def closed() -> pa.RecordBatch:
-            ids, held, n_tokens, n_words, at, counts = (matrix[c] for c in _MATRIX)
+            docs, at, counts = (np.frombuffer(x, t) for x, t in zip(matrix, (_DOC, np.uint32, np.uint32)))
             known, low, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
-            at, counts = np.frombuffer(at, np.uint32), np.frombuffer(counts, np.uint32)
-            doc = np.repeat(np.arange(len(ids)), n_words)
-            total = lambda x: np.bincount(doc, counts * x[at], minlength=len(ids))
-            out = [ids, held, n_tokens, np.rint(total(known)).astype(np.int64) + end[0], [n] * len(ids), total(low) + end[1], total(score) + end[2]]
-            return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else pa.array(x, t) for x, t in zip(out, _OUT_TYPES)], names=_OUT_NAMES)
+            doc = np.repeat(np.arange(len(docs)), docs["words"])
+            total = lambda x: np.bincount(doc, counts * x[at], minlength=len(docs))
+            ids = pa.array(docs["id"], mask=docs["no_id"])
+            out = [docs["held"], docs["tokens"], np.rint(total(known)).astype(np.int64) + end[0], np.full(len(docs), n), total(low) + end[1], total(score) + end[2]]
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names=[c.split()[0] for c in _OUT.split(", ")])
 
         for batch in batches:
             pos = batch.column(1).to_numpy()
@@ -334,7 +334,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 if a < b and pos[a] < 0:
                     if matrix is not None:
                         yield closed()
-                    matrix, parts = batch.slice(a, 1).to_pylist()[0], []
+                    matrix, parts = [batch.column(c)[a].as_py() for c in _MATRIX], []
                     a += 1
                 if a < b:
                     parts.append([batch.column(c).slice(a, b - a).cast(pa.float64()).to_numpy() for c in ("known", "base", "log10")])
@@ -344,10 +344,5 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     return stream.mapInArrow(add_up, _OUT)
 
 
-_MATRIX = ["doc_ids", "held", "n_tokens", "n_words", "ats", "counts"]
-_OUT_NAMES = [c.split()[0] for c in _OUT.split(", ")]
-_OUT_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-
 def op13_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model())
