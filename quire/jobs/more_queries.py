@@ -35,6 +35,21 @@ def e2(spark, d):
     return out.select("book", "sheet", F.round("SUM", 2).alias("total"), F.round("AVERAGE", 6).alias("average"), F.col("COUNT").alias("n_cells"), F.col("MIN").alias("low"), F.col("MAX").alias("high"))
 
 
+@query("e2_growing_ranges", "WITH " + A.CELLS_SQL + """, w AS (SELECT book, sheet, row, col, sum(num) OVER t AS s, min(num) OVER t AS lo, max(num) OVER t AS hi, count(num) OVER t AS n, sum(num) OVER (PARTITION BY book, sheet, col ORDER BY row ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ten FROM cells WINDOW t AS (PARTITION BY book, sheet, col ORDER BY row))
+SELECT a.book, a.sheet, a.row, CAST(round(a.s, 2) AS DOUBLE) AS total, b.lo AS low, b.hi AS high, CAST(a.row + 1 AS DOUBLE) AS n_cells, round(CAST(c.s + d.s AS DOUBLE) / (2 * (a.row + 1)) + 1e-9, 6) AS average, CAST(round(b.ten, 2) AS DOUBLE) AS last_ten
+FROM w a JOIN w b USING (book, sheet, row) JOIN w c USING (book, sheet, row) JOIN w d USING (book, sheet, row) WHERE a.col = 0 AND b.col = 1 AND c.col = 2 AND d.col = 3""")
+def e2c(spark, d):
+    """In each row of a sheet: totals of all rows down to it, which overlap all others, and of the last ten."""
+    cells = A.cells(spark, d)
+    f = cells.where("col = 0").select("book", "sheet", "row", F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("fn"), _n(c).alias("c0"), _n(e).alias("c1")) for a, b, c, e in _GROWING])).alias("f")).select("book", "sheet", "row", "f.*")
+    f = f.withColumns({"r0": F.when(F.col("name") == "last_ten", F.greatest(_n(0), F.col("row") - 9)).otherwise(_n(0)), "r1": F.col("row"), "formula_id": F.concat_ws("!", "row", "name")})
+    out = formulas.range_aggregate(f, cells).groupBy("book", "sheet", "row").pivot("name", [a for a, *_ in _GROWING]).agg(F.first("value"))
+    return out.select("book", "sheet", "row", F.round("total", 2).alias("total"), "low", "high", "n_cells", F.round(F.col("average") + 1e-9, 6).alias("average"), F.round("last_ten", 2).alias("last_ten"))
+
+
+_GROWING = (("total", "SUM", 0, 0), ("low", "MIN", 1, 1), ("high", "MAX", 1, 1), ("n_cells", "COUNT", 0, 0), ("average", "AVERAGE", 2, 3), ("last_ten", "SUM", 1, 1))
+
+
 @query("e2_running_totals", "WITH " + A.CELLS_SQL + " SELECT book, sheet, row, col, CAST(round(sum(num) OVER (PARTITION BY book, sheet, col ORDER BY row), 2) AS DOUBLE) AS total FROM cells")
 def e2b(spark, d):
     return formulas.running_totals(A.cells(spark, d)).select("book", "sheet", "row", "col", F.round("total", 2).alias("total"))

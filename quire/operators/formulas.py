@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quire.functions.expressions import FormulaError, parse, references
 from quire.functions.scalars import coerce_number, range_parse
 from quire.lineage import checkpoint
-from quire.operators.sheets import SHEET, in_ranges
+from quire.operators.sheets import SHEET
+from quire.operators.totals import BOX, box_totals
 from quire.ordering import in_order
 
 #: References to more cells than this stay one range.
@@ -30,6 +31,13 @@ def formula_refs(formulas: DataFrame) -> DataFrame:
     return small.unionByName(large).distinct()
 
 
+def _numbers_of(cells: DataFrame) -> DataFrame:
+    """book, sheet, row, col, num and bad (a text that is no number); a text of a number is one, a blank text is 0."""
+    txt = (F.col("txt") if "txt" in cells.columns else F.lit(None)).cast("string")
+    num = F.coalesce(F.col("num").cast("double"), F.when(F.trim(txt) == "", F.lit(None)).otherwise(coerce_number(txt)))
+    return cells.select(*SHEET, "row", "col", num.alias("num"), F.when(num.isNull() & (F.trim(txt) != ""), txt).alias("bad"))
+
+
 def range_aggregate(formulas: DataFrame, cells: DataFrame, count_blanks: bool = True) -> DataFrame:
     """formulas (formula_id, fn, box) with value and error: SUM, AVERAGE, MIN, MAX or COUNT over their range.
 
@@ -37,13 +45,8 @@ def range_aggregate(formulas: DataFrame, cells: DataFrame, count_blanks: bool =
     stored cells, never rows of their own.  A text (``txt``, where cells have
     it) that is no number makes the value null and is the ``error``.
     """
-    texts = "txt" in cells.columns
-    own = F.coalesce("num", coerce_number(F.col("txt"))) if texts else F.col("num")
-    bad = [F.when(own.isNull() & (F.trim("txt") != ""), F.col("txt")).alias("_bad")] if texts else []
-    hit = in_ranges(cells.select(*SHEET, "row", "col", own.alias("num"), *bad), formulas)
-    worst = (F.min("_bad") if texts else F.max(F.lit(None).cast("boolean")).cast("string")).alias("_bad")
-    got = hit.groupBy(*SHEET, "formula_id").agg(F.sum("num").alias("s"), F.count("num").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), worst)
-    out = formulas.join(got, [*SHEET, "formula_id"], "left")
+    got = box_totals(formulas, _numbers_of(cells)).select(*SHEET, *BOX, F.col("total").alias("s"), F.col("stored").alias("n"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("bad").alias("_bad"))
+    out = formulas.join(got, [*SHEET, *BOX], "left")
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
     n = F.coalesce("n", F.lit(0))
     blanks = (area - n) if count_blanks else F.lit(0)
@@ -265,12 +268,8 @@ def evaluate_formulas(formulas: DataFrame, cells: DataFrame) -> DataFrame:
         return column.map(lambda text: one(text or ""))
 
     asked = formulas.select(*key, F.explode(refs_of("formula")).alias("x")).select(*key, "x.*")
-    stored = cells.select(*SHEET, "row", "col", F.col("num").cast("double").alias("num"), (F.col("txt") if "txt" in cells.columns else F.lit(None)).cast("string").alias("txt"))
-    value = F.when(F.col("num").isNotNull(), F.col("num")).when(F.trim("txt") == "", F.lit(0.0)).otherwise(coerce_number(F.col("txt")))
-    bad = F.when(F.col("num").isNull() & F.col("txt").isNotNull() & value.isNull(), F.col("txt"))
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
-    got = in_ranges(stored, asked).withColumns({"_v": value, "_bad": bad}).groupBy(*key, "ref").agg(F.sum("_v").alias("total"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("_v").alias("stored"), F.min("_bad").alias("bad"))
-    known = asked.withColumn("area", area).join(got, [*key, "ref"], "left")
+    known = asked.withColumn("area", area).join(box_totals(asked, _numbers_of(cells)), [*SHEET, *BOX], "left")
     held = known.groupBy(*key).agg(F.collect_list(F.struct("ref", "total", "low", "high", F.coalesce("stored", F.lit(0)).alias("stored"), "area", "bad")).alias("_held"))  # the references of one formula
 
     @F.pandas_udf("struct<kind:string,num:double,txt:string>")

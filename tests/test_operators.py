@@ -319,3 +319,26 @@ def test_ten_thousand_distinct_rule_formulas(spark):
     began = time.perf_counter()
     assert R.expression_rules(m, c).where("fired").count() == 0  # no number exceeds its own formula's
     assert time.perf_counter() - began < 60
+
+
+def test_box_totals_against_every_cell(spark):
+    import random
+
+    from quire.operators import totals
+
+    rng = random.Random(3)
+    cells = [(b, "s", r, c, rng.choice([None, float(rng.randrange(-50, 50))]), rng.choice([None] * 30 + ["x", "w"])) for b, h, w, n in (("a", 300, 40, 700), ("b", 5, 3, 9), ("c", 1, 1, 1)) for r, c in {(rng.randrange(h), rng.randrange(w)) for _ in range(n)}]
+    boxes = []
+    for _ in range(150):
+        b, h, w = rng.choice([("a", 310, 45), ("b", 8, 5), ("c", 3, 3), ("none", 2, 2)])
+        (r0, r1), (c0, c1) = sorted((rng.randrange(h), rng.randrange(h))), sorted((rng.randrange(w), rng.randrange(w)))
+        boxes.append((b, "s", r0, c0, r1, c1))
+    boxes += [("a", "s", 0, 0, 1_048_575, 16_383), ("a", "s", 0, 0, 255, 15), *boxes[:9]]
+    got = totals.box_totals(spark.createDataFrame(boxes, "book string, sheet string, r0 long, c0 long, r1 long, c1 long"), spark.createDataFrame(cells, "book string, sheet string, row long, col long, num double, bad string")).collect()
+    have = {tuple(r)[:6]: tuple(r)[6:] for r in got}
+    assert len(have) == len(got)
+    for box in set(boxes):
+        inside = [c for c in cells if c[0] == box[0] and box[2] <= c[2] <= box[4] and box[3] <= c[3] <= box[5]]
+        n = [c[4] for c in inside if c[4] is not None]
+        want = (sum(n) if n else None, min(n, default=None), max(n, default=None), len(n), min((c[5] for c in inside if c[5]), default=None))
+        assert have.get(box) == (want if inside else None), box
