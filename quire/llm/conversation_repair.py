@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.shared import table
 
 #: Rows of one block, and the characters after which it ends.
-BLOCK_ROWS, BLOCK_CHARS = 64, 4_000_000
+BLOCK_ROWS, BLOCK_CHARS = 32, 4_000_000
 #: First characters of texts that deal out the rows of a tie.
 TIE = 64
 SPACE = " \t\n\r\x0b\x0c"
@@ -85,19 +85,24 @@ class Lattice:
         for at in range(n, -1, -1):  # what the rows cost whatever is done with them
             self.prices[:0] = [rest] * 4
             rest += {"b": DELETE, "d": DELETE, "t": UNFINISHED}.get(faults[at - 1], 0) if at else 0
+        ways = {_GOAL}
+        for node in (4 * at + state for at in range(n, -1, -1) for _ in range(3) for state in range(4)):  # inserts go through three states at most
+            if any(j in ways for _, _, j in self.arcs[node]):
+                ways.add(node)
+        self.prices = [p if node in ways else _FAR for node, p in enumerate(self.prices)]  # dead ends
         self.prices.append(0)  # the goal's, at index -1
         self.exact = {_GOAL}
 
     def distance(self, start: int) -> int:
         """Least cost from a node to the goal, ``_FAR`` if there is no way; prices on the way are exact afterwards."""
         prices, path = self.prices, [start]
+        if prices[start] >= _FAR:
+            return _FAR
         while path[-1] not in self.exact:
             i = path[-1]
-            best, to = min(((cost + prices[j], j) for _, cost, j in self.arcs[i]), default=(_FAR, None))
+            best, to = min((cost + prices[j], j) for _, cost, j in self.arcs[i])
             if prices[i] < best:
                 prices[i] = best
-                if best >= _FAR and i == start:
-                    return _FAR
                 if len(path) > 1:
                     path.pop()
             else:
@@ -119,27 +124,11 @@ class Lattice:
             i = j
 
 
-def _reach(kinds: str, faults: str, closing: bool, state: int) -> set[int]:
-    """States that some edits of the rows lead to."""
-    now = {state}
-    for kind, fault in zip(kinds, faults):
-        for _ in range(2):
-            now |= {_TURN[s] for s in now}
-        now |= {_NEXT[s, kind] for s in now if fault not in "bd" and (s, kind) in _NEXT}
-    for _ in range(2 if closing else 0):
-        now |= {_TURN[s] for s in now}
-    return now
-
-
 @lru_cache(maxsize=50_000)
 def costs_between(kinds: str, faults: str, closing: bool) -> tuple[int, ...]:
     """Least cost of a block from each state to each state, 16 numbers."""
-    out = []
-    for begin in range(4):
-        reached = _reach(kinds, faults, closing, begin)
-        for end in range(4):
-            out.append(Lattice(kinds, faults, tuple(0 if s == end else _FAR for s in range(4)), closing).distance(begin) if end in reached else _FAR)
-    return tuple(out)
+    to = [Lattice(kinds, faults, tuple(0 if s == end else _FAR for s in range(4)), closing) for end in range(4)]
+    return tuple(to[end].distance(begin) for begin in range(4) for end in range(4))
 
 
 @lru_cache(maxsize=50_000)
