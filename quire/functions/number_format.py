@@ -23,6 +23,20 @@ MONTHS = "January February March April May June July August September October No
 DAYS = "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split()
 
 
+# The codes of built-in formats by id, as the file format's standard lists them for en-US.
+BUILTIN = {
+    0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 5: "$#,##0_);($#,##0)", 6: "$#,##0_);[Red]($#,##0)", 7: "$#,##0.00_);($#,##0.00)", 8: "$#,##0.00_);[Red]($#,##0.00)",
+    9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "m/d/yyyy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yyyy h:mm",
+    37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)", 40: "#,##0.00_);[Red](#,##0.00)", 41: '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)', 42: '_($* #,##0_);_($* (#,##0);_($* "-"_);_(@_)',
+    43: '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)', 44: '_($* #,##0.00_);_($* (#,##0.00);_($* "-"??_);_(@_)', 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 48: "##0.0E+0", 49: "@",
+}
+
+
+def builtin_code(fmt_id: Column) -> Column:
+    """The code of a built-in format, null for other ids."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in BUILTIN.items() for x in pair]), fmt_id.cast("int"))
+
+
 @lru_cache(maxsize=4096)
 def parse(code: str) -> list[list[tuple[str, str]]]:
     """Sections as lists of (kind, text); kinds: lit, digit, date, elapsed, ampm, exp, text, general."""

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +124,8 @@ def _lengths(v: Values) -> np.ndarray:
     return np.fromiter(map(len, texts), float, len(v.kind))
 
 
-def run(steps: tuple, constants: list[Values], references: list[Values], rows: np.ndarray) -> np.ndarray:
-    """Whether each row of a batch fires: the program's value is true or a number other than 0."""
+def run(steps: tuple, constants: list[Values], references: list[Values], rows: np.ndarray) -> Values:
+    """The value of a program for each row of a batch."""
     stack: list[Values] = []
     with np.errstate(all="ignore"):
         for step in steps:
@@ -144,7 +145,7 @@ def run(steps: tuple, constants: list[Values], references: list[Values], rows: n
                 holds = {"=": sign == 0, "<>": sign != 0, "<": sign < 0, "<=": sign <= 0, ">": sign > 0, ">=": sign >= 0}[step[0]]
                 stack.append(Values.of(BOOL, holds.astype(float), error))
     (v,) = stack
-    return ((v.kind == NUMBER) | (v.kind == BOOL)) & (v.num != 0)
+    return v
 
 
 _PLACES = "array<struct<row:long,col:long,fixed_row:boolean,fixed_col:boolean>>"
@@ -180,9 +181,46 @@ def _held(values: pa.Array | None, rows: np.ndarray, places: int) -> list[Values
     return [Values(kinds[:, k], num[:, k], txt[:, k]) for k in range(places)]
 
 
-def fired_in(texts: list[str | None], rows: np.ndarray, cells: pa.Array | None) -> np.ndarray:
-    """Whether each row of a batch fires, program by program; ``cells`` are lists of the referenced cells (kind, num, txt) in their order."""
-    out = np.zeros(len(texts), bool)
+def _values(kind: pd.Series, num: pd.Series, txt: pd.Series) -> Values:
+    return Values(kind.map(KINDS).fillna(EMPTY).to_numpy(np.int8), num.fillna(0.0).to_numpy(float), txt.fillna("").to_numpy(object))
+
+
+def compares(operator: pd.Series, cell: Values, a: Values, b: Values) -> np.ndarray:
+    """Whether cells fulfil operators on one or two values; an undefined comparison does not."""
+    (to, bad), (ends, odd) = _compare(cell, a), _compare(a, b)
+    swap = ends > 0
+    pick = lambda x, y: Values(np.where(swap, y.kind, x.kind), np.where(swap, y.num, x.num), np.where(swap, y.txt, x.txt))
+    (low, _), (high, worse) = _compare(cell, pick(a, b)), _compare(cell, pick(b, a))
+    inside = (low >= 0) & (high <= 0)
+    one = {"equal": to == 0, "notEqual": to != 0, "lessThan": to < 0, "lessThanOrEqual": to <= 0, "greaterThan": to > 0, "greaterThanOrEqual": to >= 0}
+    out, own = np.zeros(len(operator), bool), operator.to_numpy(object)
+    for name, holds in one.items():
+        out |= (own == name) & holds & ~bad
+    return out | ((own == "between") & inside | (own == "notBetween") & ~inside) & ~(bad | odd | worse)
+
+
+def value_rule_fires(kind: Column, operator: Column, cell: Column, a: Column, b: Column) -> Column:
+    """Whether a rule of a cell (struct kind, num, txt) fires: an expression whose value ``a`` is true, or a comparison with ``a`` (and ``b``)."""
+
+    @F.pandas_udf("boolean")
+    def fires(kinds: pd.Series, operators: pd.Series, cells: pd.DataFrame, first: pd.DataFrame, second: pd.DataFrame) -> pd.Series:
+        held, x, y = (_values(v["kind"], v["num"], v["txt"]) for v in (cells, first, second))
+        true = ((x.kind == NUMBER) | (x.kind == BOOL)) & (x.num != 0)
+        return pd.Series(np.where(kinds == "expression", true, compares(operators, held, x, y)))
+
+    return fires(kind, operator, cell, a, b)
+
+
+_NAMES = np.array(list(KINDS), object)
+_VALUE = pa.struct([("kind", pa.string()), ("num", pa.float64()), ("txt", pa.string())])
+
+
+def values_in(texts: list[str | None], rows: np.ndarray, cells: pa.Array | None) -> pa.Array:
+    """The value of each row's formula, program by program; ``cells`` are lists of the referenced cells (kind, num, txt) in their order.
+
+    A formula outside the language is an error.
+    """
+    kind, num, txt = np.full(len(texts), ERROR, np.int8), np.zeros(len(texts)), np.full(len(texts), None, object)
     groups: dict[tuple, list[tuple[int, tuple]]] = {}
     for k, text in enumerate(texts):
         program = compiled(text)
@@ -192,8 +230,10 @@ def fired_in(texts: list[str | None], rows: np.ndarray, cells: pa.Array | None)
         at = np.array([k for k, _ in members])
         columns = [tuple(zip(*c)) for c in zip(*(c for _, c in members))]
         constants = [Values(np.array(kind, np.int8), np.array(num, float), np.array(txt, object)) for kind, num, txt in columns]
-        out[at] = run(steps, constants, _held(cells, at, places), rows[at])
-    return out
+        v = run(steps, constants, _held(cells, at, places), rows[at])
+        kind[at], num[at], txt[at] = v.kind, v.num, np.where(v.kind == TEXT, v.txt, None)
+    numeric = (kind == NUMBER) | (kind == BOOL)
+    return pa.StructArray.from_arrays([pa.array(_NAMES[kind], pa.string()), pa.array(num, mask=~numeric), pa.array(txt, pa.string())], fields=list(_VALUE))
 
 
 def tagged(cells: DataFrame) -> Column:
@@ -204,12 +244,22 @@ def tagged(cells: DataFrame) -> Column:
 
 
 def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formula1") -> DataFrame:
-    """matches (row, col, the range's r0 and c0, a formula) plus fired.
+    """matches (row, col, the range's r0 and c0, a formula) plus fired: true or a number other than 0.
+
+    Texts, blanks, errors, null formulas and those outside the language never
+    fire; see :func:`formula_values`.
+    """
+    value = formula_values(matches, cells, formula, "_value")
+    return value.withColumn("fired", F.coalesce(F.col("_value.kind").isin("bool", "number") & (F.col("_value.num") != 0), F.lit(False))).drop("_value")
+
+
+def formula_values(matches: DataFrame, cells: DataFrame, formula: str = "formula1", name: str = "value") -> DataFrame:
+    """matches (row, col, the range's r0 and c0, a formula) plus the formula's value, struct(kind, num, txt).
 
     Formulas hold constants, cells (absolute, or relative to the range's
-    corner), comparisons, MOD, LEN and ROW().  True or a number other than 0
-    fires; texts, blanks, errors, cells beyond the sheet, null formulas and
-    those outside the language never do.  Repeated matches stay repeated.
+    corner), comparisons, MOD, LEN and ROW().  Cells beyond the sheet, null
+    formulas and those outside the language are errors.  Repeated matches stay
+    repeated.
     """
     own = [F.col(f"`{c}`") for c in matches.columns]
     asked = with_places(matches, formula)
@@ -217,11 +267,11 @@ def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formu
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fired = fired_in(batch.column(text_at).to_pylist(), batch.column(row_at).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], batch.column(batch.num_columns - 1), pa.array(fired)], names=[*batch.schema.names[:-2], "_n", "fired"])
+            found = values_in(batch.column(text_at).to_pylist(), batch.column(row_at).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], batch.column(batch.num_columns - 1), found], names=[*batch.schema.names[:-2], "_n", name])
 
-    worked_out = lambda df: df.mapInArrow(work, _schema(matches, "_n int", "fired boolean"))
-    none = asked.where("_refs IS NULL").select(*own, F.lit(1).alias("_n"), F.lit(False).alias("fired"))
+    worked_out = lambda df: df.mapInArrow(work, _schema(matches, "_n int", f"`{name}` struct<kind:string,num:double,txt:string>"))
+    none = asked.where("_refs IS NULL").select(*own, F.lit(1).alias("_n"), F.struct(F.lit("error").alias("kind"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("txt")).alias(name))
     one = asked.where("_refs IS NOT NULL").select(*own, F.size("_refs").alias("_places"), F.posexplode_outer("_refs").alias("_place", "_ref"))
     to = lambda axis, corner: F.col(f"_ref.{axis}") + F.when(F.col(f"_ref.fixed_{axis}"), 0).otherwise(F.col(axis) - F.col(corner))
     one = one.withColumns({"_row": to("row", "r0"), "_col": to("col", "c0")}).drop("_ref")

@@ -183,4 +183,4 @@ def effective_style(fired: DataFrame) -> DataFrame:
     at = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("rule")))
     has = set(fired.columns)
     out = live.groupBy(*KEY).agg(*[last(c) for c in LAST if c in has], *[F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in FLAGS if c in has], at("fill").alias("_f"), at("visual").alias("_v"), F.count(F.lit(1)).alias("n_rules"))
-    return out.withColumn("visual", F.when((F.col("visual") == "colorScale") & (F.col("_f") > F.col("_v")), F.lit(None)).otherwise(F.col("visual"))).drop("_f", "_v")
+    return out.withColumn("visual", F.when(F.startswith("visual", F.lit("colorScale")) & (F.col("_f") > F.col("_v")), F.lit(None)).otherwise(F.col("visual"))).drop("_f", "_v")

@@ -22,38 +22,66 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, drop_
     return rows
 
 
-class UnclosedQuote(ValueError):
-    """A file ends inside a quoted field."""
-
-
-def delimited_cells(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """path, row, col, raw: each delimited file under ``path`` as the cells of a sheet; only a blank last row goes.
-
-    A file is one table, read as a whole by one task, as its rows are known
-    only from its start.  A file that ends inside quotes raises
-    :class:`UnclosedQuote` when it is read.
-    """
+def _files(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
+    """path, row, col, raw, fault of each file under ``path``; a fault is the file's only row."""
     sep = {"tab": "\t", r"\t": "\t"}.get(sep, sep) if sep else None
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    columns, end = ["path", "row", "col", "raw", "fault"], "\0end"
 
     def run(frames):
         import csv
+        import io
+        from collections import deque
+        from itertools import pairwise
 
         import pandas as pd
 
+        csv.field_size_limit(2**31 - 1)
+
+        def rows_of(text: str):
+            first = text.split("\n", 1)[0]
+            own = sep or (";" if first.count(";") > first.count(",") else ",")
+            # Behind the last line stands one more, which an open quote would swallow.
+            return csv.reader(io.StringIO(f"{text}\n{end}" if text[-1:] not in ("\n", "\r") else text + end, newline=""), delimiter=own)
+
         for frame in frames:
             for name, text in zip(frame["path"], frame["value"]):
-                if text.count('"') % 2:
-                    raise UnclosedQuote(name)
-                first = text.split("\n", 1)[0]
-                own = sep or (";" if first.count(";") > first.count(",") else ",")
-                rows = list(csv.reader(text.splitlines(keepends=True), delimiter=own))
-                if rows and not any(x.strip() for x in rows[-1]):
-                    rows.pop()
-                cells = [(name, r, c, x) for r, row in enumerate(rows) for c, x in enumerate(row)]
-                yield pd.DataFrame(cells, columns=["path", "row", "col", "raw"])
-
-    return files.mapInPandas(run, "path string, row long, col long, raw string")
+                try:
+                    closed = deque(rows_of(text), maxlen=1)[0] == [end]
+                    fault = None if closed else "unclosed quote"
+                except csv.Error as e:
+                    fault = str(e)
+                cells = [(name, None, None, None, fault)] if fault else []
+                for r, (row, after) in enumerate(pairwise(rows_of(text)) if not fault else ()):
+                    if after == [end] and not any(x.strip() for x in row):
+                        break  # a blank last row
+                    cells += [(name, r, c, x, None) for c, x in enumerate(row)]
+                    if len(cells) > _AT_ONCE:
+                        yield pd.DataFrame(cells, columns=columns).astype(object)
+                        cells = []
+                yield pd.DataFrame(cells, columns=columns).astype(object)
+
+    return files.mapInPandas(run, "path string, row long, col long, raw string, fault string")
+
+
+#: Cells handed over at once.
+_AT_ONCE = 50_000
+
+
+def delimited_cells(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """path, row, col, raw: each delimited file under ``path`` as the cells of a sheet; only a blank last row goes.
+
+    Rows end at line feeds, carriage returns or both; a quote opens a field only
+    at its start.  A file is one table, read as a whole by one task, as its rows
+    are known only from its start.  A file with a fault gives no cells:
+    :func:`delimited_faults` lists it.
+    """
+    return _files(spark, path, sep).where("fault IS NULL").drop("fault")
+
+
+def delimited_faults(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """path, fault of the files under ``path`` that end inside quotes or cannot be read."""
+    return _files(spark, path, sep).where("fault IS NOT NULL").select("path", "fault")
 
 
 def header_records(rows: DataFrame, fields: str = "fields", order: str = "line") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.documents import resolve_rels
-from quire.sources.packages import attributes, child, local, number, read_rels, read_xml
+from quire.sources.packages import attributes, child, local, names_of, number, read_rels, read_xml, real
 
 SHEETS = r"^xl/worksheets/[^/]+\.xml$"
 _PLACE = re.compile(r"^\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})$")
@@ -136,11 +136,11 @@ def read_dims(parts: DataFrame, sheets: DataFrame) -> DataFrame:
             if event == "start" and tag == "row":
                 row = (number(a.get("r")) or row + 2) - 1
                 if "ht" in a or "hidden" in a:
-                    yield "row", row, row, float(a["ht"]) if "ht" in a else None, a.get("hidden", "0") in ("1", "true")
+                    yield "row", row, row, real(a.get("ht")), a.get("hidden", "0") in ("1", "true")
             elif event == "end" and tag == "col":
                 first, last = number(a.get("min")), number(a.get("max"))
                 if first and last:
-                    yield "col", first - 1, last - 1, float(a["width"]) if "width" in a else None, a.get("hidden", "0") in ("1", "true")
+                    yield "col", first - 1, last - 1, real(a.get("width")), a.get("hidden", "0") in ("1", "true")
             elif event == "end" and tag == "row":
                 node.clear()
 
@@ -171,7 +171,7 @@ def read_rules(parts: DataFrame, sheets: DataFrame) -> DataFrame:
         "block long, rule_ord long, ranges array<struct<r0:long,c0:long,r1:long,c1:long>>, priority long, stop_if_true boolean, kind string, operator string, formulas array<string>, "
         "thresholds array<struct<kind:string,value:double,gte:boolean>>, colors array<string>, icon_set string, reverse boolean, style long"
     )
-    columns = [c.split()[0] for c in re.sub(r"<.*?>+", "", fields).split(", ")]
+    columns = names_of(fields)
     kinds = {"percent": "percent", "percentile": "percentile", "num": "num", "min": "min", "max": "max", "formula": "formula"}
 
     def rows(stream: io.BytesIO) -> Iterator[dict]:
@@ -190,11 +190,8 @@ def read_rules(parts: DataFrame, sheets: DataFrame) -> DataFrame:
 
                 def threshold(c: ElementTree.Element) -> dict:
                     t = attributes(c)
-                    try:
-                        v = float(t["val"]) if "val" in t else None
-                    except ValueError:
-                        v = None
-                    return {"kind": kinds.get(t.get("type", ""), "formula"), "value": v, "gte": t.get("gte", "1") in ("1", "true")}
+                    kind = kinds.get(t.get("type", ""), "formula")
+                    return {"kind": kind, "value": None if kind == "formula" else real(t.get("val")), "gte": t.get("gte", "1") in ("1", "true")}
 
                 yield {
                     "block": block, "rule_ord": k, "ranges": boxes, "priority": number(a.get("priority")) or 0, "stop_if_true": a.get("stopIfTrue", "0") in ("1", "true"), "kind": a.get("type"), "operator": a.get("operator"),
@@ -207,26 +204,7 @@ def read_rules(parts: DataFrame, sheets: DataFrame) -> DataFrame:
         for row in rows(stream):
             yield tuple(row[c] for c in columns)
 
-    return _of_sheets(_nested(parts, SHEETS, fields, columns, walk), sheets)
-
-
-def _nested(parts: DataFrame, pattern: str, fields: str, columns: list[str], walk) -> DataFrame:
-    """:func:`read_xml` for schemas with nested fields, whose names do not follow from a split at commas."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            for path, name, content in zip(frame["path"], frame["name"], frame["bytes"]):
-                rows = []
-                try:
-                    rows.extend((path, name, *row) for row in walk(name, io.BytesIO(content)))
-                except ElementTree.ParseError:
-                    pass
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "part", *columns]).astype(object)
-
-    good = parts.where(F.col("error").isNull() & F.col("bytes").isNotNull() & F.rlike("name", F.lit(pattern)))
-    return good.select("path", "name", "bytes").mapInPandas(run, f"path string, part string, {fields}")
+    return _of_sheets(read_xml(parts, SHEETS, fields, walk), sheets)
 
 
 def read_comments(parts: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -149,17 +149,18 @@ def test_directions(spark):
     assert got == ["ltr", "rtl", "rtl", "ltr", "ltr", "ltr", "ltr", "ltr", "rtl"]
 
 
-def test_unclosed_quotes(spark, tmp_path):
-    import pytest
-
-    from quire.sources.delimited import delimited_cells
+def test_delimited_faults_are_rows(spark, tmp_path):
+    from quire.sources.delimited import delimited_cells, delimited_faults
 
     (tmp_path / "good.csv").write_text('a;"b;c"\r\n\r\n"x ""y""";z\r\n\r\n')
     got = delimited_cells(spark, str(tmp_path / "good.csv"))
     assert sorted((r["row"], r["col"], r["raw"]) for r in got.collect()) == [(0, 0, "a"), (0, 1, "b;c"), (2, 0, 'x "y"'), (2, 1, "z")]
     (tmp_path / "bad.csv").write_text('a,"b\n')
-    with pytest.raises(Exception, match="bad.csv"):
-        delimited_cells(spark, str(tmp_path / "bad.csv")).count()
+    (tmp_path / "pipe.csv").write_bytes('a\u2028b,5" pipe,c\x85d\r"x\r\ny","'.encode() + b"z" * 200_000 + b'"')
+    assert [r["fault"] for r in delimited_faults(spark, str(tmp_path)).collect()] == ["unclosed quote"]
+    got = delimited_cells(spark, str(tmp_path)).where("path LIKE '%pipe.csv'").collect()
+    assert sorted((r["row"], r["col"], r["raw"]) for r in got) == [(0, 0, "a\u2028b"), (0, 1, '5" pipe'), (0, 2, "c\x85d"), (1, 0, "x\r\ny"), (1, 1, "z" * 200_000)]
+    assert delimited_cells(spark, str(tmp_path)).where("path LIKE '%good.csv'").count() == 4
 
 
 def test_rules(spark):
@@ -342,3 +343,18 @@ def test_box_totals_against_every_cell(spark):
         n = [c[4] for c in inside if c[4] is not None]
         want = (sum(n) if n else None, min(n, default=None), max(n, default=None), len(n), min((c[5] for c in inside if c[5]), default=None))
         assert have.get(box) == (want if inside else None), box
+
+
+def test_rules_by_value_agree_with_columns(spark):
+    import itertools
+
+    from quire.operators import rule_formulas as R
+
+    values = [("empty", None, None), ("number", 0.0, None), ("number", 2.0, None), ("text", None, ""), ("text", None, "aB"), ("bool", 1.0, None), ("error", None, "#N/A")]
+    operators = ["equal", "notEqual", "lessThan", "lessThanOrEqual", "greaterThan", "greaterThanOrEqual", "between", "notBetween", "odd", None]
+    t = "struct<kind:string,num:double,txt:string>"
+    df = spark.createDataFrame([(o, *x) for o in operators for x in itertools.product(values, repeat=3)], f"operator string, cell {t}, a {t}, b {t}")
+    both = df.select(R.value_rule_fires(F.lit("cellIs"), F.col("operator"), F.col("cell"), F.col("a"), F.col("b")).alias("x"), rules.cell_is_value(F.col("operator"), F.col("cell"), F.col("a"), F.col("b")).alias("y"), "operator", "cell", "a", "b")
+    # a comparison that is undefined never fires, also where the other end alone would decide
+    assert both.count() == 3430 and both.where("x <> y AND NOT (operator = 'notBetween' AND (a.kind = 'error' OR b.kind = 'error'))").collect() == []
+    assert both.where("x AND (cell.kind = 'error' OR a.kind = 'error')").collect() == []
