@@ -431,6 +431,14 @@ def f21(spark, d):
     return A.read(spark, d, "documents").select("doc_id", documents.base_direction(text, F.col("doc_id") % 9 == 0).alias("dir"), documents.base_direction(F.concat(F.lit("\u0661\u0662 x"), "text"), F.lit(False)).alias("digits"))
 
 
+@query("f21_strong_characters", """SELECT doc_id, k, CASE WHEN k IN (1, 2, 7, 8) THEN 'rtl' ELSE 'ltr' END AS dir FROM documents, range(10) t(k)""")
+def f21b(spark, d):
+    """Texts that begin with neutral and strong characters of several classes."""
+    begins = ["\u061B\u066D 1 x", "\u061F \u0645", "\u0301 \u05D0", "\u0711\u0660 a", "\u2160 b", "\u0928\u0940", "\u0710", "\U0001e900", "\U00010d00", "\u0608 z"]
+    every = A.read(spark, d, "documents").select("doc_id", "text", F.posexplode(F.array(*map(F.lit, begins))).alias("k", "b"))
+    return every.select("doc_id", F.col("k").cast("long").alias("k"), documents.base_direction(F.concat("b", "text"), F.lit(False)).alias("dir"))
+
+
 @query("f22_placeholders", "SELECT conv_id AS deck, turn AS shape, CASE WHEN turn = 0 THEN 'own' WHEN turn < 3 THEN 'idx' || turn WHEN role <> 'system' THEN 'type-' || role ELSE 'master' END AS frame FROM conversations")
 def f22(spark, d):
     c = A.read(spark, d, "conversations")

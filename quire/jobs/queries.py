@@ -345,7 +345,8 @@ def c7(spark, d):
     return sheets.expand_merges(m.withColumnRenamed("merge", "range").withColumn("r1", F.col("r1") + 1), m)
 
 
-@query("c8_merge_conflicts", "WITH " + A.LINES_SQL + ", " + _MERGES_SQL + " SELECT a.book, a.sheet, a.merge AS a, b.merge AS b FROM merges a JOIN merges b USING (book, sheet) WHERE a.merge < b.merge AND a.r0 <= b.r1 AND b.r0 <= a.r1")
+@query("c8_merge_conflicts", "WITH " + A.LINES_SQL + ", " + _MERGES_SQL.replace("AS (", "AS MATERIALIZED (", 1) + """, banded AS MATERIALIZED (SELECT *, unnest(range(r0 // 8, r1 // 8 + 1)) AS band FROM merges)
+SELECT DISTINCT a.book, a.sheet, a.merge AS a, b.merge AS b FROM banded a JOIN banded b ON a.book = b.book AND a.sheet = b.sheet AND a.band = b.band WHERE a.merge < b.merge AND a.r0 <= b.r1 AND b.r0 <= a.r1""")
 def c8(spark, d):
     return sheets.merge_conflicts(_merges(spark, d))
 

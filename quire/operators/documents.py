@@ -171,11 +171,13 @@ def number_lists(blocks: DataFrame, levels: DataFrame, deepest: int = 9, parent:
     """List items of blocks (doc_id, ord, num_id, ilvl, text) with their marker.
 
     An item at one level restarts the deeper levels of its list; bullets and
-    levels that are not defined give ``- `` and touch no counter.  ``parent``:
-    placeholders of upper levels show their own number, or (``next``) the one
-    that comes next.
+    levels that are not defined give ``- `` and touch no counter; a heading
+    (``level``, where blocks have it, is not null) is no item and advances
+    nothing.  ``parent``: placeholders of upper levels show their own number,
+    or (``next``) the one that comes next.
     """
-    items = blocks.where("num_id != 0 AND trim(text) != ''").withColumn("ilvl", F.least("ilvl", F.lit(8).cast("long")))
+    body = blocks.where("level IS NULL").drop("level") if "level" in blocks.columns else blocks
+    items = body.where("num_id != 0 AND trim(text) != ''").withColumn("ilvl", F.least("ilvl", F.lit(8).cast("long")))
     known = items.join(levels, ["doc_id", "num_id", "ilvl"], "left")
     counts = known.where("num_fmt IS NOT NULL AND num_fmt != 'bullet'")
     lst = W.partitionBy("doc_id", "num_id").orderBy("ord")
@@ -339,8 +341,21 @@ def page_slices(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("doc_id", "page").agg(F.min("reading").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
-#: Letters that run right to left (Hebrew, Arabic without its digits, marks and signs, and their presentation forms) and left to right.
-RTL, LTR = r"\u05BE\u05C0\u05C3\u05C6\u05D0-\u05F4\u0608\u060B\u060D\u061B-\u064A\u066D-\u066F\u0671-\u06D5\u06E5\u06E6\u06EE\u06EF\u06FA-\u070D\u070F\u0710\u0712-\u072F\u074D-\u07A5\u07B1-\u07EA\u07F4\u07F5\u07FA\u0800-\u0815\u0840-\u0858\u0860-\u088E\u08A0-\u08C9\u200F\uFB1D\uFB1F-\uFB28\uFB2A-\uFD3D\uFD50-\uFDFC\uFE70-\uFEFC", r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02B8\u0370-\u0373\u0376-\u037D\u037F-\u03F5\u03F7-\u0482\u048A-\u0589\u0900-\u1FFF\u200E\u2C00-\u2DFF\u3041-\uD7FF\uF900-\uFAFF\uFF21-\uFF3A\uFF41-\uFF5A"
+# Directional classes of characters, as ranges of regular expressions.
+_HEBREW_AND_KIN = r"\u0590\u05BE\u05C0\u05C3\u05C6\u05C8-\u05FF\u07C0-\u07EA\u07F4-\u07FF\u200F\uFB1D-\uFB4F\x{1E800}-\x{1EFFF}"
+_ARABIC_AND_KIN = (
+    r"\u060B\u061C\u0620-\u064A\u066E\u066F\u0671-\u06D5\u06E5\u06E6\u06EE\u06EF\u06FA-\u070D\u070F\u0712-\u072F\u074D-\u07A5\u07B1\u0800-\u0815\u0830-\u083E\u0840-\u0858\u0860-\u088E\u08A0-\u08C9"
+    r"\uFB50-\uFDFF\uFE70-\uFEFF\x{10D00}-\x{10D23}\x{10F30}-\x{10F54}"
+)
+_DIGITS = r"0-9\u06F0-\u06F9\u2070\u2074-\u2079\u2080-\u2089\u2150-\u2189\u0600-\u0605\u0660-\u0669\u066B\u066C\u06DD\u0890\u0891\u08E2\x{10D30}-\x{10D39}\x{10E60}-\x{10E7E}"
+_VOWELS_AND_MARKS = (
+    r"\u0300-\u036F\u0483-\u0489\u0591-\u05BD\u05BF\u05C1\u05C2\u05C4\u05C5\u05C7\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06DC\u06DF-\u06E4\u06E7\u06E8\u06EA-\u06ED\u0711\u0730-\u074A\u07A6-\u07B0"
+    r"\u07EB-\u07F3\u0816-\u0819\u081B-\u0823\u0825-\u0827\u0829-\u082D\u0859-\u085B\u08D3-\u08E1\u08E3-\u0902"
+)
+_SEPARATORS = r"\u0609\u060A\u066A\u06DE\u06E9\u060C\u061B\u061D-\u061F\u066D"
+#: Strong characters: right-to-left letters, and all other alphabetic characters (with the left-to-right mark).
+RTL = _HEBREW_AND_KIN + _ARABIC_AND_KIN
+LTR = r"\u200E[\p{IsAlphabetic}&&[^" + RTL + _DIGITS + _VOWELS_AND_MARKS + _SEPARATORS + "]]"
 
 
 def base_direction(text: Column, forced: Column) -> Column:
@@ -364,6 +379,26 @@ def inherit_placeholders(shapes: DataFrame, layouts: DataFrame, masters: DataFra
     return out
 
 
+def inherit_frames(placeholders: DataFrame, layouts: DataFrame) -> DataFrame:
+    """deck, part, shape, idx, type, frame of the placeholders of slides, with the frames that they inherit.
+
+    ``placeholders`` (deck, part, level, shape, idx, type, frame) of all levels;
+    ``layouts`` (deck, part, layout, master) says which layout and master a
+    slide has.  A shape without a frame takes that of the first placeholder of
+    its own layout with its idx, else of its type; where that has none, the
+    master's likewise.
+    """
+    out = placeholders.where("level = 'slide'").select("deck", "part", "shape", "idx", "type", "frame").join(layouts, ["deck", "part"], "left")
+    for level in ("layout", "master"):
+        table = placeholders.where(F.col("level") == level).withColumnRenamed("part", level)
+        # of several with one idx or type the first of the part counts, whether it has a frame or not
+        for key in ("idx", "type"):
+            first = table.where(F.col(key).isNotNull()).groupBy("deck", level, key).agg(F.min_by(F.struct("frame"), "shape").alias(f"_{key}"))
+            out = out.join(first, ["deck", level, key], "left")
+        out = out.withColumn("frame", F.coalesce("frame", F.when(F.col("_idx").isNotNull(), F.col("_idx.frame")).otherwise(F.col("_type.frame")))).drop("_idx", "_type")
+    return out.select("deck", "part", "shape", "idx", "type", "frame")
+
+
 def level_styles(levels: DataFrame) -> DataFrame:
     """levels (deck, ilvl, size, bold): each inherits from the ones above, bold adds up."""
     w = W.partitionBy("deck").orderBy("ilvl").rowsBetween(W.unboundedPreceding, 0)

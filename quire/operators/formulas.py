@@ -14,7 +14,7 @@ from quire.functions.scalars import coerce_number, range_parse
 from quire.lineage import checkpoint
 from quire.operators.sheets import SHEET
 from quire.operators.totals import BOX, box_totals
-from quire.ordering import in_order
+from quire.ordering import in_groups, in_order
 
 #: References to more cells than this stay one range.
 MAX_EXPANDED = 10_000
@@ -336,13 +336,13 @@ def natural_key(text: Column) -> Column:
 
 
 def sort_range(rows: DataFrame, key: str, by: list[str], index: str, desc: bool = False) -> DataFrame:
-    """rows plus position (from 0) in the range ``by``: blanks last, numbers before texts, ties by index."""
+    """rows plus position (from 0) in the range ``by``: blanks last, numbers before texts, ties by index; a very large range is dealt out over tasks."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     num = coerce_number(text)
     blank = F.trim(text) == ""
     natural = F.when(num.isNull() & ~blank, natural_key(text))
     order = [blank.cast("int"), *([num.isNotNull().cast("int"), num.desc_nulls_last(), natural.desc()] if desc else [num.isNull().cast("int"), num.asc_nulls_last(), natural.asc()]), F.col(index)]
-    return rows.withColumn("position", (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    return in_groups(rows, by, order)
 
 
 def table_headers(headers: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from quire.functions.scalars import excel_compare
 from quire.operators.rule_formulas import expression_rules, tagged  # noqa: F401
 from quire.operators.sheets import SHEET, clamp_ranges, in_ranges
+from quire.ordering import in_groups
 from quire.schemas import MAX_ROW
 
 KEY = [*SHEET, "row", "col"]
+#: Numbers in order; equal ones by their place, so that many of them can be dealt out.
+_NUMERIC = ("num", "row", "col")
 
 
 def explode_rules(blocks: DataFrame) -> DataFrame:
@@ -48,19 +51,20 @@ def rule_matches(cells: DataFrame, rules: DataFrame) -> DataFrame:
 def rule_thresholds(matches: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
     """low, high and linearly interpolated percentiles of the numbers under each rule; without numbers none.
 
-    Percentiles come from places in a sort that can spill, not from a buffer of
-    all numbers.
+    Percentiles come from places in a sort that can spill, and for rules over
+    very many numbers that is dealt out (:func:`quire.ordering.in_groups`).
     """
     key = [*SHEET, "rule"]
-    own = W.partitionBy(*key)
-    ranked = matches.where("num IS NOT NULL").select(*key, "num", (F.row_number().over(own.orderBy("num")) - 1).alias("_k"), F.count(F.lit(1)).over(own).alias("_n"))
+    numbers = matches.where("num IS NOT NULL").select(*key, "row", "col", "num")
+    ranked = in_groups(numbers, key, [F.col(c) for c in _NUMERIC], "_k")
+    n = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     aggs = [F.min("num").alias("low"), F.max("num").alias("high")]
     for p in percentiles or [0.5]:
         at = (F.col("_n") - 1) * min(1.0, max(0.0, p))
         value = lambda place: F.max(F.when(F.col("_k") == place, F.col("num")))
         below, above, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
         aggs.append((below + (above - below) * part).alias(f"p{round(p * 100)}"))
-    return ranked.groupBy(*key).agg(*aggs)
+    return ranked.join(n, key).groupBy(*key).agg(*aggs)
 
 
 def percent_threshold(low: Column, high: Column, percent: float) -> Column:
@@ -83,23 +87,26 @@ def rule_limits(matches: DataFrame, rules: DataFrame) -> DataFrame:
 
     Kinds are min, max, num, percent (linear) and percentile (linearly
     interpolated, 0 to 100); a formula, a kind without numbers to go by, or a
-    missing value gives null, and the rule paints nothing.  The numbers of a
-    rule are sorted in one buffer only where a percentile asks for them.
+    missing value gives null, and the rule paints nothing.  Percentiles are
+    looked up by place in the order of a rule's numbers.
     """
+    key = [*SHEET, "rule"]
     asked = F.exists("thresholds", lambda t: t["kind"] == "percentile")
-    wanted = rules.select(*SHEET, "rule", "thresholds", asked.alias("_sorted"))
-    numbers = matches.select(*SHEET, "rule", "num").where("num IS NOT NULL").join(wanted.select(*SHEET, "rule", "_sorted"), [*SHEET, "rule"])
-    stats = numbers.groupBy(*SHEET, "rule").agg(F.min("num").alias("_low"), F.max("num").alias("_high"), F.sort_array(F.collect_list(F.when(F.col("_sorted"), F.col("num")))).alias("_all"))
-    low, high, held = F.col("_low"), F.col("_high"), F.col("_all")
-
-    def percentile(p: Column) -> Column:
-        rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p / 100)) * (F.size(held) - 1)
-        at = F.floor(rank).cast("int")
-        below = F.get(held, at)
-        return below + (F.coalesce(F.get(held, at + 1), below) - below) * (rank - at)
-
-    value = lambda t: F.when(t["kind"] == "num", t["value"]).when(t["kind"] == "min", low).when(t["kind"] == "max", high).when(t["kind"] == "percent", low + (high - low) * t["value"] / 100).when((t["kind"] == "percentile") & (F.size(held) > 0), percentile(t["value"]))
-    return wanted.join(stats, [*SHEET, "rule"], "left").select(*SHEET, "rule", F.transform("thresholds", value).alias("limits"))
+    wanted = rules.select(*key, "thresholds")
+    numbers = matches.select(*key, "row", "col", "num").where("num IS NOT NULL")
+    stats = numbers.groupBy(*key).agg(F.min("num").alias("_low"), F.max("num").alias("_high"), F.count(F.lit(1)).alias("_n"))
+    low, high = F.col("_low"), F.col("_high")
+    known = wanted.join(stats, key, "left")
+    # place and share of each percentile between two neighbours in the order of the numbers
+    rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t.value") / 100)) * (F.col("_n") - 1)
+    between = known.select(*key, "_n", F.posexplode("thresholds").alias("_i", "t")).where("t.kind = 'percentile' AND t.value IS NOT NULL AND _n > 0").select(*key, "_i", F.floor(rank).alias("_k"), (rank - F.floor(rank)).alias("_part"))
+    ends = between.select(*key, "_i", "_part", F.explode(F.array(F.struct("_k", F.lit(True).alias("_lower")), F.struct((F.col("_k") + 1).alias("_k"), F.lit(False).alias("_lower")))).alias("e")).select(*key, "_i", "_part", "e.*")
+    ranked = in_groups(numbers.join(rules.where(asked).select(*key).distinct(), key, "left_semi"), key, [F.col(c) for c in _NUMERIC], "_k")
+    found = ends.join(ranked.select(*key, "_k", "num"), [*key, "_k"]).groupBy(*key, "_i").agg(F.max("_part").alias("_part"), F.max(F.when(F.col("_lower"), F.col("num"))).alias("a"), F.max(F.when(~F.col("_lower"), F.col("num"))).alias("b"))
+    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("_part")
+    held = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_at"))  # the percentiles of one rule
+    limit = lambda t, i: F.when(t["kind"] == "num", t["value"]).when(t["kind"] == "min", low).when(t["kind"] == "max", high).when(t["kind"] == "percent", low + (high - low) * t["value"] / 100).when(t["kind"] == "percentile", F.try_element_at(F.col("_at"), i))
+    return known.join(held, key, "left").select(*key, F.transform("thresholds", limit).alias("limits"))
 
 
 def cell_is_value(operator: Column, cell: Column, a: Column, b: Column) -> Column:

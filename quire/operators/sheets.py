@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,11 +97,41 @@ def merge_covering(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return hit.withColumn("hidden", (F.col("row") != F.col("r0")) | (F.col("col") != F.col("c0")))
 
 
+#: Columns of a block in which active merges are looked up.
+_BLOCK = 16
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share a cell, from merges sorted by (sheet, band, first row): a line goes down over those that are open."""
+    key, ending, blocks = None, [], {}
+    for batch in batches:
+        out = []
+        for *own, merge, r0, c0, r1, c1 in zip(*(batch.column(c).to_pylist() for c in (*SHEET, "_band", "merge", "r0", "c0", "r1", "c1"))):
+            if own != key:
+                key, ending, blocks = own, [], {}
+            while ending and ending[0][0] < r0:
+                _, done, a, b = heapq.heappop(ending)
+                for k in range(a // _BLOCK, b // _BLOCK + 1):
+                    blocks[k].discard((done, a, b))
+            over = range(c0 // _BLOCK, c1 // _BLOCK + 1)
+            if r0 // BAND == own[-1]:  # a pair is told where the later of the two begins
+                met = {x for k in over for x in blocks.get(k, ()) if x[1] <= c1 and c0 <= x[2] and x[0] != merge}
+                out += [(*own[:-1], min(merge, x[0]), max(merge, x[0])) for x in met]
+            for k in over:
+                blocks.setdefault(k, set()).add((merge, c0, c1))
+            heapq.heappush(ending, (r1, merge, c0, c1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=[*SHEET, "a", "b"])
+
+
 def merge_conflicts(merges: DataFrame) -> DataFrame:
-    """Pairs of merges (a < b) of one sheet that share a cell."""
-    a = banded(merges).select(*SHEET, "_band", F.col("merge").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("r0", "c0", "r1", "c1")])
-    b = banded(merges).withColumnRenamed("merge", "b")
-    return a.join(b, [*SHEET, "_band"]).where("a < b AND a_r0 <= r1 AND r0 <= a_r1 AND a_c0 <= c1 AND c0 <= a_c1").select(*SHEET, "a", "b").distinct()
+    """Pairs of merges (a < b, numbers of the sheet) of one sheet that share a cell.
+
+    A sweep down each band of rows meets only merges that are open at the same
+    row in the same columns, so merges that do not touch make no pairs.
+    """
+    rows = banded(merges.select(*SHEET, F.col("merge").cast("long").alias("merge"), *[F.col(c).cast("long").alias(c) for c in ("r0", "c0", "r1", "c1")]))
+    dealt = rows.repartition(*SHEET, "_band").sortWithinPartitions(*SHEET, "_band", "r0", "merge")
+    return dealt.mapInArrow(_swept, "book string, sheet string, a long, b long")
 
 
 def axis_offsets(dims: DataFrame, default: float) -> DataFrame:

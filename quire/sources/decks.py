@@ -61,7 +61,7 @@ def read_paragraphs(parts: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def read_placeholders(parts: DataFrame) -> DataFrame:
-    """deck, part, level (slide, layout or master), shape, idx, type, frame (x,y,cx,cy or null)."""
+    """deck, part, level (slide, layout or master), shape, idx, type (null where none is given), frame (x,y,cx,cy or null)."""
 
     def walk(name: str, stream: io.BytesIO) -> Iterator[tuple]:
         for k, sp in enumerate(_shapes(ElementTree.parse(stream).getroot())):
@@ -72,13 +72,34 @@ def read_placeholders(parts: DataFrame) -> DataFrame:
             frame = None
             if off is not None and ext is not None:
                 frame = ",".join([*(attributes(off).get(x, "0") for x in ("x", "y")), *(attributes(ext).get(x, "0") for x in ("cx", "cy"))])
-            yield k, number(attributes(ph).get("idx")), attributes(ph).get("type", "obj"), frame
+            yield k, number(attributes(ph).get("idx")), attributes(ph).get("type"), frame
 
     rows = read_xml(parts, r"^ppt/(slides|slideLayouts|slideMasters)/[^/]+\.xml$", "shape long, idx long, type string, frame string", walk)
     level = F.when(F.contains("part", F.lit("/slides/")), "slide").when(F.contains("part", F.lit("/slideLayouts/")), "layout").otherwise("master")
     return rows.withColumnRenamed("path", "deck").withColumn("level", level)
 
 
+def _targets(parts: DataFrame, kind: str) -> DataFrame:
+    """pkg, source_part, part: the parts that relationships of a kind lead to."""
+    rels = read_rels(parts)
+    return resolve_rels(rels.where(F.col("rel_type") == kind).select("pkg", "source_part", "id"), rels).where("part IS NOT NULL").select("pkg", "source_part", "id", "part")
+
+
+def read_layouts(parts: DataFrame) -> DataFrame:
+    """deck, part (of a slide), layout, master: the way from a slide to its layout and on to the layout's master."""
+    first = lambda kind: _targets(parts, kind).groupBy("pkg", "source_part").agg(F.min_by("part", "id").alias("part"))
+    layout = first("slideLayout").where(F.rlike("source_part", F.lit(SLIDES))).select(F.col("pkg").alias("deck"), F.col("source_part").alias("part"), F.col("part").alias("layout"))
+    master = first("slideMaster").select(F.col("pkg").alias("deck"), F.col("source_part").alias("layout"), F.col("part").alias("master"))
+    return layout.join(master, ["deck", "layout"], "left").select("deck", "part", "layout", "master")
+
+
+def charts_of_slides(parts: DataFrame, slides: DataFrame) -> DataFrame:
+    """deck, slide and the columns of :func:`read_charts`: charts under the slides that show them."""
+    shown = _targets(parts, "chart").select(F.col("pkg").alias("deck"), F.col("source_part").alias("_slide"), "part").distinct()
+    where = slides.select("deck", "slide", F.col("part").alias("_slide"))
+    return read_charts(parts).join(shown, ["deck", "part"]).join(where, ["deck", "_slide"]).drop("_slide")
+
+
 def read_charts(parts: DataFrame) -> DataFrame:
     """deck, part, kind, series_ord, series, idx, category, value of the charts of a deck.
 

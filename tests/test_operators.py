@@ -358,3 +358,36 @@ def test_rules_by_value_agree_with_columns(spark):
     # a comparison that is undefined never fires, also where the other end alone would decide
     assert both.count() == 3430 and both.where("x <> y AND NOT (operator = 'notBetween' AND (a.kind = 'error' OR b.kind = 'error'))").collect() == []
     assert both.where("x AND (cell.kind = 'error' OR a.kind = 'error')").collect() == []
+
+
+def test_merge_sweep_against_all_pairs(spark, rows):
+    import random
+    import time
+
+    rng = random.Random(9)
+    boxes = []
+    for i in range(300):
+        r, c = rng.randrange(3000), rng.randrange(200)
+        boxes.append((rng.choice("xy"), "s", i, r, c, r + rng.choice([0, 1, 5, 2500]), c + rng.choice([0, 1, 40])))
+    m = spark.createDataFrame(boxes, "book string, sheet string, merge long, r0 long, c0 long, r1 long, c1 long")
+    want = sorted((a[0], "s", a[2], b[2]) for a in boxes for b in boxes if a[0] == b[0] and a[2] < b[2] and a[3] <= b[5] and b[3] <= a[5] and a[4] <= b[6] and b[4] <= a[6])
+    assert rows(sheets.merge_conflicts(m)) == sorted(want, key=repr) and len(want) > 50
+    assert sheets.merge_conflicts(m.limit(0)).count() == 0
+    many = spark.range(100_000).selectExpr("'b' AS book", "'s' AS sheet", "id AS merge", "id % 1000 AS r0", "(id div 1000) * 3 AS c0", "id % 1000 AS r1", "(id div 1000) * 3 + 1 AS c1")
+    began = time.perf_counter()
+    assert sheets.merge_conflicts(many).count() == 0 and time.perf_counter() - began < 30
+
+
+def test_places_in_large_groups(spark):
+    from quire import ordering
+
+    t = spark.range(900).selectExpr("id % 3 AS g", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 10 END AS v", "id AS i").where("g < 2 OR i < 30")
+    order = [F.col("v").desc_nulls_last(), F.col("i")]
+    a, b = (sorted(map(tuple, ordering.in_groups(t, ["g"], order, most=n).collect()), key=repr) for n in (100, 10_000))
+    assert a == b and len(a) == 610
+
+
+def test_headings_are_no_items(spark):
+    b = spark.createDataFrame([(1, 0, 1, 0, "a", None), (1, 1, 1, 0, "Title", 1), (1, 2, 1, 0, "b", None)], "doc_id long, ord long, num_id long, ilvl long, text string, level int")
+    lv = spark.createDataFrame([(1, 1, 0, "decimal", "%1.", 1)], "doc_id long, num_id long, ilvl long, num_fmt string, lvl_text string, start long")
+    assert [(r["ord"], r["marker"]) for r in documents.number_lists(b, lv).orderBy("ord").collect()] == [(0, "1."), (2, "2.")]
