@@ -56,15 +56,14 @@ def rule_thresholds(matches: DataFrame, percentiles: list[float] | None = None)
     """
     key = [*SHEET, "rule"]
     numbers = matches.where("num IS NOT NULL").select(*key, "row", "col", "num")
-    ranked = in_groups(numbers, key, [F.col(c) for c in _NUMERIC], "_k")
-    n = numbers.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = in_groups(numbers, key, [F.col(c) for c in _NUMERIC], "_k", "_n")
     aggs = [F.min("num").alias("low"), F.max("num").alias("high")]
     for p in percentiles or [0.5]:
         at = (F.col("_n") - 1) * min(1.0, max(0.0, p))
         value = lambda place: F.max(F.when(F.col("_k") == place, F.col("num")))
         below, above, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
         aggs.append((below + (above - below) * part).alias(f"p{round(p * 100)}"))
-    return ranked.join(n, key).groupBy(*key).agg(*aggs)
+    return ranked.groupBy(*key).agg(*aggs)
 
 
 def percent_threshold(low: Column, high: Column, percent: float) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.sheets import SHEET, used_range
+from quire.operators.sheets import SHEET
 
 BOX = ["r0", "c0", "r1", "c1"]
 #: Rows and columns of a block of the next level.
@@ -51,19 +51,25 @@ def box_totals(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     ``cells`` are (book, sheet, row, col, num, bad); ``bad`` is the least text
     that is no number.  Boxes without cells are left out.
     """
-    used = used_range(cells).select(*SHEET, *[F.col(c).alias(f"_{c}") for c in BOX])
-    last = used.agg(F.max("_r1"), F.max("_c1")).first()
-    n_rows, n_cols = (_levels(x or 0, radix) for x, radix in zip(last, (ROWS, COLS)))
-    asked = boxes.select(*SHEET, *BOX).distinct().join(used, SHEET)
-    top, bottom = F.greatest("r0", "_r0"), F.least("r1", "_r1")
-    left, right = F.greatest("c0", "_c0"), F.least("c1", "_c1")
-    asked = asked.select(*SHEET, *BOX, F.explode(pieces(top, bottom, ROWS, n_rows)).alias("_y"), left.alias("_left"), right.alias("_right"))
-    asked = asked.select(*SHEET, *BOX, "_y", F.explode(pieces(F.col("_left"), F.col("_right"), COLS, n_cols)).alias("_x"))
+    tall, wide = boxes.agg(F.max(F.col("r1") - F.col("r0")), F.max(F.col("c1") - F.col("c0"))).first()
+    n_rows, n_cols = _levels(tall or 0, ROWS), _levels(wide or 0, COLS)
+    asked = boxes.select(*SHEET, *BOX).distinct()
+    asked = asked.select(*SHEET, *BOX, F.explode(pieces(F.col("r0"), F.col("r1"), ROWS, n_rows)).alias("_y"))
+    asked = asked.select(*SHEET, *BOX, "_y", F.explode(pieces(F.col("c0"), F.col("c1"), COLS, n_cols)).alias("_x"))
     key = ["_ky", "_y", "_kx", "_x"]
     asked = asked.select(*SHEET, *BOX, F.col("_y.level").alias("_ky"), F.col("_y.block").alias("_y"), F.col("_x.level").alias("_kx"), F.col("_x.block").alias("_x"))
-    grid = F.array(*[F.struct(F.lit(a).alias("_ky"), F.lit(b).alias("_kx"), F.lit(ROWS**a).alias("h"), F.lit(COLS**b).alias("w")) for a in range(n_rows) for b in range(n_cols)])
-    block = cells.select(*SHEET, "row", "col", "num", "bad", F.explode(grid).alias("_g"))
-    block = block.select(*SHEET, "_g._ky", F.floor(F.col("row") / F.col("_g.h")).alias("_y"), "_g._kx", F.floor(F.col("col") / F.col("_g.w")).alias("_x"), "num", "bad")
-    block = block.groupBy(*SHEET, *key).agg(F.sum("num").alias("total"), F.min("num").alias("low"), F.max("num").alias("high"), F.count("num").alias("stored"), F.min("bad").alias("bad"))
+    sums = lambda df: df.groupBy(*SHEET, *key).agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("stored").alias("stored"), F.min("bad").alias("bad"))
+    values = ["total", "low", "high", "stored", "bad"]
+
+    def grown(df: DataFrame, first: int, last: int) -> DataFrame:
+        """Blocks of some levels of rows and all of columns from those of level ``first`` of rows."""
+        grid = F.array(*[F.struct(F.lit(a).alias("_ky"), F.lit(b).alias("_kx"), F.lit(ROWS ** (a - first)).alias("h"), F.lit(COLS**b).alias("w")) for a in range(first, last) for b in range(n_cols)])
+        wide = df.select(*SHEET, "_y", "_x", *values, F.explode(grid).alias("_g"))
+        return wide.select(*SHEET, "_g._ky", F.floor(F.col("_y") / F.col("_g.h")).alias("_y"), "_g._kx", F.floor(F.col("_x") / F.col("_g.w")).alias("_x"), *values)
+
+    one = cells.select(*SHEET, F.lit(0).alias("_ky"), F.col("row").alias("_y"), F.lit(0).alias("_kx"), F.col("col").alias("_x"), F.col("num").alias("total"), F.col("num").alias("low"), F.col("num").alias("high"), F.when(F.col("num").isNotNull(), 1).otherwise(0).alias("stored"), "bad")
+    block = sums(grown(one, 0, 1)) if n_cols > 1 else one
+    if n_rows > 1:  # the blocks of the first level are a quarter of the cells, and all others come from them
+        block = block.unionByName(sums(grown(sums(one.withColumn("_y", F.floor(F.col("_y") / ROWS))), 1, n_rows)))
     met = asked.join(block, [*SHEET, *key])
     return met.groupBy(*SHEET, *BOX).agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("stored").alias("stored"), F.min("bad").alias("bad"))

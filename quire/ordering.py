@@ -26,20 +26,21 @@ def in_order(df: DataFrame, *columns: str | Column, name: str = "position") -> D
 IN_ONE_TASK = 4_000_000
 
 
-def in_groups(df: DataFrame, by: list[str], order: list[Column], name: str = "position", most: int = IN_ONE_TASK) -> DataFrame:
-    """``df`` plus ``name``: each row's place (from 0) in its group ``by`` in the order of ``order``.
+def in_groups(df: DataFrame, by: list[str], order: list[Column], name: str = "position", size: str = "", most: int = IN_ONE_TASK) -> DataFrame:
+    """``df`` plus ``name``: each row's place (from 0) in its group ``by`` in the order of ``order``, and ``size``, if asked: the group's rows.
 
     Groups of more than ``most`` rows, of which there are few, are put in order
     by ranges of (group, order), so that no task sees a whole one.
     """
     plain = (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long")
+    added = {name: plain, **({size: F.count(F.lit(1)).over(W.partitionBy(*by))} if size else {})}
     large = df.groupBy(*by).count().where(F.col("count") > most).select(*[F.col(c).alias(f"_{c}_") for c in by])
     large = large.sparkSession.createDataFrame(large.collect(), large.schema)  # one row for each ``most`` rows at most
     if large.isEmpty():
-        return df.withColumn(name, plain)
+        return df.withColumns(added)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by]
-    rest = df.join(F.broadcast(large), same, "left_anti").withColumn(name, plain)
+    rest = df.join(F.broadcast(large), same, "left_anti").withColumns(added)
     placed = in_order(df.join(F.broadcast(large), same, "left_semi"), *by, *order, name="_place")
-    first = placed.groupBy(*by).agg(F.min("_place").alias("_first")).select(*[F.col(c).alias(f"_{c}_") for c in by], "_first")
-    split = placed.join(F.broadcast(first), same).withColumn(name, F.col("_place") - F.col("_first"))
-    return rest.unionByName(split.select(*df.columns, name))
+    first = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size")).select(*[F.col(c).alias(f"_{c}_") for c in by], "_first", "_size")
+    split = placed.join(F.broadcast(first), same).withColumns({name: F.col("_place") - F.col("_first"), **({size: F.col("_size")} if size else {})})
+    return rest.unionByName(split.select(*df.columns, *added))
