@@ -11,6 +11,7 @@ of tokens, so the loss by bins left open at the end keeps its share.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ OPEN_BINS = 4096
 #: Pieces of one packer that are looked at together, longest first.
 LOOK_AHEAD = 16384
 #: A column of the packer's number while rows are dealt out.
-_PACKER = "__quire_packer"
+_PACKER = f"__packer_{uuid.uuid4().hex}"  # no column of a table has this name
 TOKENS_PER_PACKER = 1 << 26
 #: Distinct words kept with their ids during a task (about 200 MB).
 CACHE_WORDS = 1_000_000

@@ -15,8 +15,8 @@ __all__ = ["ROW", "arrow_rows", "checkpoint", "documents", "drop_table", "number
 #: So many document ids (8 bytes each) are broadcast at most.
 BROADCAST_IDS = 2_000_000
 
-#: Column of row keys, see :func:`numbered`.
-ROW = "__quire_row"
+#: Column of row keys, see :func:`numbered`; made for each process, so that no table has it.
+ROW = f"__row_{uuid.uuid4().hex}"
 
 _written: list[str] = []
 
