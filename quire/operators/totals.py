@@ -17,6 +17,8 @@ from quire.operators.sheets import SHEET
 BOX = ["r0", "c0", "r1", "c1"]
 #: Rows and columns of a block of the next level.
 ROWS, COLS = 4, 16
+#: So many pieces of boxes (about 100 bytes each) are broadcast at most, so that cells stay where they are.
+BROADCAST_PIECES = 200_000
 
 
 def _levels(last: int, radix: int) -> int:
@@ -51,12 +53,13 @@ def box_totals(boxes: DataFrame, cells: DataFrame) -> DataFrame:
     ``cells`` are (book, sheet, row, col, num, bad); ``bad`` is the least text
     that is no number.  Boxes without cells are left out.
     """
-    tall, wide = boxes.agg(F.max(F.col("r1") - F.col("r0")), F.max(F.col("c1") - F.col("c0"))).first()
+    tall, wide, n = boxes.agg(F.max(F.col("r1") - F.col("r0")), F.max(F.col("c1") - F.col("c0")), F.count(F.lit(1))).first()
     n_rows, n_cols = _levels(tall or 0, ROWS), _levels(wide or 0, COLS)
     asked = boxes.select(*SHEET, *BOX).distinct()
     asked = asked.select(*SHEET, *BOX, F.explode(pieces(F.col("r0"), F.col("r1"), ROWS, n_rows)).alias("_y"))
     asked = asked.select(*SHEET, *BOX, "_y", F.explode(pieces(F.col("c0"), F.col("c1"), COLS, n_cols)).alias("_x"))
     key = ["_ky", "_y", "_kx", "_x"]
+    most = n * min((tall or 0) + 1, 2 * (ROWS - 1) * n_rows) * min((wide or 0) + 1, 2 * (COLS - 1) * n_cols)
     asked = asked.select(*SHEET, *BOX, F.col("_y.level").alias("_ky"), F.col("_y.block").alias("_y"), F.col("_x.level").alias("_kx"), F.col("_x.block").alias("_x"))
     sums = lambda df: df.groupBy(*SHEET, *key).agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("stored").alias("stored"), F.min("bad").alias("bad"))
     values = ["total", "low", "high", "stored", "bad"]
@@ -68,8 +71,13 @@ def box_totals(boxes: DataFrame, cells: DataFrame) -> DataFrame:
         return wide.select(*SHEET, "_g._ky", F.floor(F.col("_y") / F.col("_g.h")).alias("_y"), "_g._kx", F.floor(F.col("_x") / F.col("_g.w")).alias("_x"), *values)
 
     one = cells.select(*SHEET, F.lit(0).alias("_ky"), F.col("row").alias("_y"), F.lit(0).alias("_kx"), F.col("col").alias("_x"), F.col("num").alias("total"), F.col("num").alias("low"), F.col("num").alias("high"), F.when(F.col("num").isNotNull(), 1).otherwise(0).alias("stored"), "bad")
-    block = sums(grown(one, 0, 1)) if n_cols > 1 else one
-    if n_rows > 1:  # the blocks of the first level are a quarter of the cells, and all others come from them
-        block = block.unionByName(sums(grown(sums(one.withColumn("_y", F.floor(F.col("_y") / ROWS))), 1, n_rows)))
-    met = asked.join(block, [*SHEET, *key])
+    if most <= BROADCAST_PIECES:
+        # Few pieces: one pass over the cells, of whose blocks only those go on that a box has.
+        asked = F.broadcast(asked)
+        block = sums(grown(one, 0, n_rows).join(F.broadcast(asked.select(*SHEET, *key).distinct()), [*SHEET, *key], "left_semi"))
+    else:
+        block = sums(grown(one, 0, 1)) if n_cols > 1 else one
+        if n_rows > 1:  # the blocks of the first level are a quarter of the cells, and all others come from them
+            block = block.unionByName(sums(grown(sums(one.withColumn("_y", F.floor(F.col("_y") / ROWS))), 1, n_rows)))
+    met = block.join(asked, [*SHEET, *key])
     return met.groupBy(*SHEET, *BOX).agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("stored").alias("stored"), F.min("bad").alias("bad"))

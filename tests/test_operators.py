@@ -1,5 +1,6 @@
 """Operators on the small cases of FIXTURES.md."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import corpus, documents, edits, exports, formulas, rules, sheets
@@ -322,11 +323,13 @@ def test_ten_thousand_distinct_rule_formulas(spark):
     assert time.perf_counter() - began < 60
 
 
-def test_box_totals_against_every_cell(spark):
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_box_totals_against_every_cell(spark, monkeypatch, few):
     import random
 
     from quire.operators import totals
 
+    monkeypatch.setattr(totals, "BROADCAST_PIECES", few)
     rng = random.Random(3)
     cells = [(b, "s", r, c, rng.choice([None, float(rng.randrange(-50, 50))]), rng.choice([None] * 30 + ["x", "w"])) for b, h, w, n in (("a", 300, 40, 700), ("b", 5, 3, 9), ("c", 1, 1, 1)) for r, c in {(rng.randrange(h), rng.randrange(w)) for _ in range(n)}]
     boxes = []
