@@ -614,3 +614,9 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
                 assert out.count() == docs.count() and out.where("text LIKE '%AKIA%'").count() == 0
             if name == "ngram_jaccard_join":
                 assert out.where("text IS NULL OR text = ''").count() == docs.where("text IS NULL OR text = ''").count()
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 8), (2, "a b c d e f", 9), (3, "x", 7)], "doc_id long, text string, __quire_row long")
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect()) == [(1, "a b c d e f", 8), (3, "x", 7)]
+    assert sorted(r["__quire_row"] for r in ngram_join.drop_near_copies(docs).collect()) == [7, 8]
