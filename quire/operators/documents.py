@@ -32,6 +32,47 @@ def cell_text(paragraphs: DataFrame, key: list[str]) -> DataFrame:
     return paragraphs.groupBy(*key).agg(joined(F.when(F.trim(line) != "", line), " ", "ord").alias("text"))
 
 
+CELL = ["doc_id", "table_id", "row", "cell_ord"]
+_FILLED = r"(?U)\S"
+
+
+def paragraph_lines(runs: DataFrame) -> DataFrame:
+    """doc_id, ord, text: texts, tabs and breaks of each paragraph's runs (doc_id, ord, run_ord, kind, text)."""
+    piece = F.when(F.col("kind") == "tab", "\t").when(F.col("kind").isin("break", "page"), "\n").when(F.col("kind") == "text", F.coalesce("text", F.lit(""))).otherwise("")
+    return runs.groupBy("doc_id", "ord").agg(joined(piece, "", "run_ord").alias("text"))
+
+
+def nested_cell_text(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, table_id, row, cell_ord, text: what stands in each table cell and in the tables inside it, however deep.
+
+    ``paragraphs`` has doc_id, ord, text and ``within``, the cells around it,
+    outermost first.  Paragraphs stand in the order of the document, those of a
+    nested table row by row, so a cell's text is one aggregation over all
+    paragraphs that have it around them, and no round per depth is needed.
+    Blank paragraphs are left out, line breaks are spaces; a cell without other
+    ones has no row.
+    """
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    inside = paragraphs.where(F.rlike("text", F.lit(_FILLED))).select("doc_id", "ord", line.alias("text"), F.explode("within").alias("_at"))
+    return inside.select("doc_id", "_at.*", "ord", "text").groupBy(*CELL).agg(joined(F.col("text"), " ", "ord").alias("text"))
+
+
+def nested_cell_markdown(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, table_id, row, cell_ord, text: cells as Markdown, their paragraphs (``body``) and tables between ``<br>``.
+
+    Markdown has no tables inside cells, so such a table is the escaped text of
+    all its cells.  ``paragraphs`` is that of :func:`nested_cell_text`, with body.
+    """
+    inner = F.get("within", F.col("_k") + 1)["table_id"]  # null for a paragraph right in the cell
+    inside = paragraphs.select("doc_id", "ord", "text", "body", "within", F.posexplode("within").alias("_k", "_at")).select("doc_id", "_at.*", "ord", "text", "body", inner.alias("_inner"))
+    own = inside.where("_inner IS NULL").select(*CELL, "ord", F.regexp_replace("body", r"(?U)^\s+|\s+$", "").alias("text"))
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    flat = inside.where(F.col("_inner").isNotNull() & F.rlike("text", F.lit(_FILLED))).groupBy(*CELL, "_inner").agg(joined(line, " ", "ord").alias("text"), F.min("ord").alias("ord"))
+    items = own.unionByName(flat.select(*CELL, "ord", escape_inline(F.col("text")).alias("text"))).where("text != ''")
+    text = F.replace(F.replace(joined(F.col("text"), "<br>", "ord"), F.lit("\\\n"), F.lit("<br>")), F.lit("\n"), F.lit("<br>"))
+    return items.groupBy(*CELL).agg(text.alias("text"))
+
+
 def document_text(paragraphs: DataFrame, table_cells: DataFrame | None = None) -> DataFrame:
     """doc_id, text: paragraphs one per line, line breaks at the end taken off, one put back.
 
