@@ -44,3 +44,25 @@ def test_addresses_beyond_the_sheet(spark, tmp_path):
     db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == sorted(db.execute(ORACLES["b3_addresses"]).fetchall())
     assert [r[1] is None for r in got] == [False] * 6 + [True] * 4
+
+
+def test_style_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 40 styles, a loop and a double id: the same chains in a few stored tables, none per link."""
+    from quire.operators import documents
+
+    stored = []
+    monkeypatch.setattr(documents, "checkpoint", lambda df: stored.append(1) or df.localCheckpoint())
+    rows = [(1, k, k - 1) for k in range(1, 41)] + [(2, k, (k + 1) % 3) for k in range(4)]
+    got = {tuple(r) for r in documents.style_chains(spark.createDataFrame(rows, "doc_id long, style_id long, based_on long")).collect()}
+    want = {(1, k, k - d, d) for k in range(1, 41) for d in range(min(k, 33))} | {(2, k, (k + d) % 3, d) for k in range(3) for d in range(3)} | {(2, 3, 3, 0), (2, 3, 1, 1), (2, 3, 2, 2), (2, 3, 0, 3)}
+    assert {x[:2] + x[2:] for x in got} == want
+    assert len(stored) <= 8
+
+
+def test_repeated_headers_are_numbered_once(spark):
+    """40 000 equal headers: each number is tried once, not once for each header before it."""
+    from quire.operators import formulas
+
+    h = spark.range(40_000).select(F.lit(0).cast("long").alias("table_id"), F.col("id").alias("position"), F.lit("A").alias("text"))
+    got = [r["name"] for r in formulas.table_headers(h).orderBy("position").collect()]
+    assert got == ["A"] + [f"A{k}" for k in range(2, 40_001)]
