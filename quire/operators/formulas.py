@@ -348,17 +348,19 @@ def sort_range(rows: DataFrame, key: str, by: list[str], index: str, desc: bool
 def table_headers(headers: DataFrame) -> DataFrame:
     """headers (table_id, position, text) plus name: trimmed, a default for blanks, repeats (any case) with the smallest free number from 2.
 
-    Names depend on those before them in the same table, which is one short row.
+    Names depend on those before them in the same table, which is one row of a sheet.
     """
     import pandas as pd
 
     def name(frame: pd.DataFrame) -> pd.DataFrame:
         frame, used, names = frame.sort_values("position"), set(), []
+        free: dict[str, int] = {}  # numbers below are taken for good, so none is tried twice
         for position, text in zip(frame["position"].tolist(), frame["text"].tolist()):
             base = (text or "").strip() or f"Column{position + 1}"
-            own, k = base, 2
+            own, k = base, free.get(base.lower(), 2)
             while own.lower() in used:
                 own, k = f"{base}{k}", k + 1
+            free[base.lower()] = k
             used.add(own.lower())
             names.append(own)
         return frame.assign(name=names)
