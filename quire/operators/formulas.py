@@ -13,7 +13,7 @@ from quire.functions.expressions import FormulaError, parse, references
 from quire.functions.scalars import coerce_number, range_parse
 from quire.lineage import checkpoint
 from quire.operators.sheets import SHEET
-from quire.operators.totals import BOX, box_totals
+from quire.operators.totals import with_totals
 from quire.ordering import in_groups, in_order
 
 #: References to more cells than this stay one range.
@@ -45,8 +45,8 @@ def range_aggregate(formulas: DataFrame, cells: DataFrame, count_blanks: bool =
     stored cells, never rows of their own.  A text (``txt``, where cells have
     it) that is no number makes the value null and is the ``error``.
     """
-    got = box_totals(formulas, _numbers_of(cells)).select(*SHEET, *BOX, F.col("total").alias("s"), F.col("stored").alias("n"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("bad").alias("_bad"))
-    out = formulas.join(got, [*SHEET, *BOX], "left")
+    got = with_totals(formulas, _numbers_of(cells), "_t")
+    out = got.select(*formulas.columns, F.col("_t.total").alias("s"), F.col("_t.stored").alias("n"), F.col("_t.low").alias("lo"), F.col("_t.high").alias("hi"), F.col("_t.bad").alias("_bad"))
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
     n = F.coalesce("n", F.lit(0))
     blanks = (area - n) if count_blanks else F.lit(0)
@@ -269,7 +269,7 @@ def evaluate_formulas(formulas: DataFrame, cells: DataFrame) -> DataFrame:
 
     asked = formulas.select(*key, F.explode(refs_of("formula")).alias("x")).select(*key, "x.*")
     area = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
-    known = asked.withColumn("area", area).join(box_totals(asked, _numbers_of(cells)), [*SHEET, *BOX], "left")
+    known = with_totals(asked.withColumn("area", area), _numbers_of(cells), "_t").select(*key, "ref", "area", "_t.*")
     held = known.groupBy(*key).agg(F.collect_list(F.struct("ref", "total", "low", "high", F.coalesce("stored", F.lit(0)).alias("stored"), "area", "bad")).alias("_held"))  # the references of one formula
 
     @F.pandas_udf("struct<kind:string,num:double,txt:string>")

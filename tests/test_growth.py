@@ -66,3 +66,26 @@ def test_repeated_headers_are_numbered_once(spark):
     h = spark.range(40_000).select(F.lit(0).cast("long").alias("table_id"), F.col("id").alias("position"), F.lit("A").alias("text"))
     got = [r["name"] for r in formulas.table_headers(h).orderBy("position").collect()]
     assert got == ["A"] + [f"A{k}" for k in range(2, 40_001)]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_totals_inside_sheets(spark, monkeypatch, most):
+    """Boxes of any size and number, equal ones too, against every cell; no piece of a box is shuffled."""
+    from quire.operators import totals
+
+    monkeypatch.setattr(sheets, "IN_ONE_TASK", most)
+    rng = random.Random(5)
+    cells = [("b", s, r, c, rng.choice([None, float(rng.randrange(100))]), None) for s in "xy" for r in range(50) for c in (0, 1, 2, 9) if rng.random() < 0.8]
+    cells = [(*x[:5], rng.choice(["é", "b", None]) if x[4] is None else None) for x in cells]
+    boxes = [("b", s, r, rng.randrange(4), r + rng.randrange(60), rng.randrange(4, 12)) for s in "xyz" for r in range(40) for _ in range(2)] * 2
+    df = spark.createDataFrame(boxes, "book string, sheet string, r0 long, c0 long, r1 long, c1 long")
+    held = spark.createDataFrame(cells, "book string, sheet string, row long, col long, num double, bad string")
+    want = []
+    for box in boxes:
+        inside = [x for x in cells if x[1] == box[1] and box[2] <= x[2] <= box[4] and box[3] <= x[3] <= box[5]]
+        n, bad = [x[4] for x in inside if x[4] is not None], [x[5] for x in inside if x[5] is not None]
+        want.append((*box, sum(n) if n else None, min(n, default=None), max(n, default=None), len(n), min(bad, default=None)))
+    out = totals.with_totals(df, held, "t").select(*df.columns, "t.total", "t.low", "t.high", F.coalesce("t.stored", F.lit(0)), "t.bad")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    if most:
+        assert "_ky" not in out._jdf.queryExecution().toString()
