@@ -145,12 +145,15 @@ def scale_color(num: Column, limits: Column, colors: Column) -> Column:
 
     Null without number, or where a point has no value.
     """
-    points = F.array_sort(F.arrays_zip(limits.alias("v"), colors.alias("c")))
-    below = F.filter(points, lambda p: p["v"] <= num)
-    above = F.filter(points, lambda p: p["v"] > num)
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
-    mixed = color_between((num - a["v"]) / (b["v"] - a["v"]), a["c"], b["c"])
-    color = F.when(F.size(below) == 0, F.element_at(points, 1)["c"]).when(F.size(above) == 0, F.element_at(points, -1)["c"]).otherwise(mixed)
+    def colored(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        mixed = color_between((num - a["v"]) / (b["v"] - a["v"]), a["c"], b["c"])
+        return F.when(a.isNull(), b["c"]).when(b.isNull(), a["c"]).otherwise(mixed)
+
+    # A parameter of a lambda is worked out once; the expression itself would be sorted anew wherever it stands.
+    points = F.array(F.sort_array(F.arrays_zip(limits.alias("v"), colors.alias("c"))))
+    ends = F.transform(points, lambda p: F.struct(F.try_element_at(F.filter(p, lambda x: x["v"] <= num), F.lit(-1)).alias("a"), F.try_element_at(F.filter(p, lambda x: x["v"] > num), F.lit(1)).alias("b")))
+    color = F.get(F.transform(ends, colored), F.lit(0))
     return F.when(num.isNotNull() & (F.size(limits) > 1) & (F.size(limits) == F.size(colors)) & ~F.exists(limits, lambda v: v.isNull()), color)
 
 
