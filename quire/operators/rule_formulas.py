@@ -3,14 +3,15 @@
 A formula is read into a postfix program, its constants and its references.
 Formulas that differ in constants and places alone have one program, so a batch
 is worked out program by program on arrays, whatever the number of distinct
-formulas; texts are read once per task that meets them.  Referenced cells come
-by one join on (sheet, row, column) with a row per place of a formula.
+formulas; texts are read once per task that meets them.  Referenced cells are
+looked up inside their sheet; for very large sheets they come by one join on
+(sheet, row, column) with a row per place of a formula.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.expressions import FormulaError, parse
-from quire.operators.sheets import SHEET
+from quire.operators.sheets import SHEET, in_sheets
 from quire.schemas import MAX_COL, MAX_ROW
 
 EMPTY, NUMBER, TEXT, BOOL, ERROR = range(5)  # numbers before texts before truth values
@@ -253,14 +254,86 @@ def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formu
     return value.withColumn("fired", F.coalesce(F.col("_value.kind").isin("bool", "number") & (F.col("_value.num") != 0), F.lit(False))).drop("_value")
 
 
+def _values_in_sheet(text_at: str) -> Callable[[pa.Table, pa.Table], pa.Array]:
+    """The work of a sheet: the values of its matches' formulas, their cells looked up by place."""
+
+    def work(mine: pa.Table, held: pa.Table) -> pa.Array:
+        number = lambda t, c: t.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = (number(held, "row") << 14) | number(held, "col")
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        cells = held.column("_cell").combine_chunks()
+        texts = mine.column(text_at).combine_chunks().dictionary_encode(null_encoding="encode")
+        programs = [compiled(t) for t in texts.dictionary.to_pylist()]
+        code = texts.indices.to_numpy()
+        row, col, r0, c0 = (number(mine, c) for c in ("row", "col", "r0", "c0"))
+        # Formulas of one shape run together; each has its own constants and places.
+        shapes: dict[tuple, list[int]] = {}
+        for k, program in enumerate(programs):
+            if program is not None:
+                shapes.setdefault((program[0], len(program[2])), []).append(k)
+        by_code = np.argsort(code, kind="stable")
+        bounds = np.searchsorted(code[by_code], np.arange(len(programs) + 1))
+        kind, num, txt = np.full(len(code), ERROR, np.int8), np.zeros(len(code)), np.full(len(code), None, object)
+        for (steps, places), members in shapes.items():
+            at = np.concatenate([by_code[bounds[k] : bounds[k + 1]] for k in members])
+            which = np.repeat(np.arange(len(members)), [bounds[k + 1] - bounds[k] for k in members])
+            constants = []
+            for c in zip(*(programs[k][1] for k in members)):
+                kinds, numbers, words = zip(*c)
+                constants.append(Values(np.array(kinds, np.int8)[which], np.array(numbers, float)[which], np.array(words, object)[which]))
+            references = []
+            for r in zip(*(programs[k][2] for k in members)):
+                y, x, fixed_y, fixed_x = (np.array(v)[which] for v in zip(*r))
+                y, x = y + np.where(fixed_y, 0, row[at] - r0[at]), x + np.where(fixed_x, 0, col[at] - c0[at])
+                beyond = (y < 0) | (y > MAX_ROW) | (x < 0) | (x > MAX_COL)
+                asked = (y << 14) | x
+                near = np.minimum(np.searchsorted(place, asked), max(len(place) - 1, 0))
+                there = (place[near] == asked) & ~beyond if len(place) else np.zeros(len(at), bool)
+                references.append(_looked_up(cells, order, near, there, beyond))
+            v = run(steps, constants, references, row[at])
+            kind[at], num[at], txt[at] = v.kind, v.num, np.where(v.kind == TEXT, v.txt, None)
+        numeric = (kind == NUMBER) | (kind == BOOL)
+        return pa.StructArray.from_arrays([pa.array(_NAMES[kind], pa.string()), pa.array(num, mask=~numeric), pa.array(txt, pa.string())], fields=list(_VALUE))
+
+    return work
+
+
+def _looked_up(cells: pa.StructArray, order: np.ndarray, near: np.ndarray, there: np.ndarray, beyond: np.ndarray) -> Values:
+    """The cells at some places; none is a blank, and an error beyond the sheet."""
+    kind, num, txt = np.where(beyond, ERROR, EMPTY).astype(np.int8), np.zeros(len(near)), np.full(len(near), "", object)
+    at = np.flatnonzero(there)
+    if len(at):
+        found = cells.take(pa.array(order[near[at]]))
+        names = found.field("kind").dictionary_encode()
+        known = np.array([KINDS.get(k, EMPTY) for k in names.dictionary.to_pylist()] + [EMPTY], np.int8)
+        kind[at] = known[names.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
+        num[at] = found.field("num").fill_null(0.0).to_numpy(zero_copy_only=False)
+        words = found.field("txt")
+        if words.null_count < len(words):
+            txt[at] = words.fill_null("").to_numpy(zero_copy_only=False)
+    return Values(kind, num, txt)
+
+
 def formula_values(matches: DataFrame, cells: DataFrame, formula: str = "formula1", name: str = "value") -> DataFrame:
     """matches (row, col, the range's r0 and c0, a formula) plus the formula's value, struct(kind, num, txt).
 
     Formulas hold constants, cells (absolute, or relative to the range's
     corner), comparisons, MOD, LEN and ROW().  Cells beyond the sheet, null
     formulas and those outside the language are errors.  Repeated matches stay
-    repeated.
+    repeated.  Matches and cells of a sheet meet in one task, so that no match
+    is shuffled for its references; sheets too large for that are joined by place.
     """
+    held = cells.select(*SHEET, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), tagged(cells).alias("_cell"))
+    few, many = in_sheets(matches, held, _values_in_sheet(formula), name, "struct<kind:string,num:double,txt:string>")
+    if many is None:
+        return few
+    large, theirs = many
+    return few.unionByName(joined_values(large, theirs.select(*SHEET, "row", "col", "_cell.*"), formula, name))
+
+
+def joined_values(matches: DataFrame, cells: DataFrame, formula: str = "formula1", name: str = "value") -> DataFrame:
+    """:func:`formula_values` by one join on (sheet, row, column), for sheets of any size."""
     own = [F.col(f"`{c}`") for c in matches.columns]
     asked = with_places(matches, formula)
     text_at, row_at = matches.columns.index(formula), matches.columns.index("row")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import excel_compare
 from quire.operators.rule_formulas import expression_rules, tagged  # noqa: F401
-from quire.operators.sheets import SHEET, clamp_ranges, in_ranges
+from quire.operators.sheets import BAND, SHEET, clamp_ranges, in_ranges
 from quire.ordering import in_groups
 from quire.schemas import MAX_ROW
 
@@ -37,14 +39,17 @@ def rule_matches(cells: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules over whole columns meet the cells of their sheet, which shuffles
     cells by sheet alone; the others are cut to the used range and met by bands
-    of rows.
+    of rows about as high as they are on average, so that a cell meets few
+    rules and all rules together cross few bands.
     """
     tall = (F.col("r0") <= 0) & (F.col("r1") >= MAX_ROW)
     whole = cells.join(rules.where(tall), SHEET).where("col BETWEEN c0 AND c1")
     rest = rules.where(~tall)
-    if rest.isEmpty():
+    height = rest.agg(F.avg(F.least(F.col("r1") - F.col("r0") + 1, F.lit(BAND)))).first()[0]
+    if height is None:
         return whole
-    banded_ = in_ranges(cells, clamp_ranges(rest, cells))
+    band = min(BAND, max(8, 1 << math.ceil(math.log2(max(height, 1)))))
+    banded_ = in_ranges(cells, clamp_ranges(rest, cells), band)
     return whole.unionByName(banded_.select(*whole.columns))
 
 
