@@ -19,10 +19,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of one task, so that a task's sorts stay in memory however large the table is.
+LINES_IN_TASK = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as it has rows for; what groups by more columns stays where it is."""
+    n = -(-df.count() // LINES_IN_TASK)  # of a stored table, whose footers tell it
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with book, sheet and row."""
     row = F.row_number().over(W.partitionBy("book", "sheet").orderBy(*_ORDER))
-    return named(spark, sf_dir).withColumn("row", row.cast("long") - 1)
+    return dealt(named(spark, sf_dir), "book", "sheet").withColumn("row", row.cast("long") - 1)
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,54 @@ def test_totals_inside_sheets(spark, monkeypatch, most):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     if most:
         assert "_ky" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_formulas_are_looked_up_inside_sheets(spark, monkeypatch, most):
+    """Values by look-up and by join are the same; the look-up shuffles no match by the place of a reference."""
+    from quire.operators import rule_formulas as R
+
+    monkeypatch.setattr(sheets, "IN_ONE_TASK", most)
+    cells = spark.createDataFrame([("b", "s", r, c, float(r * 3 + c) if (r + c) % 4 else None, "t" if r == 2 else None) for r in range(6) for c in range(3) if r != 4], "book string, sheet string, row long, col long, num double, txt string")
+    texts = ["=A1>B2", "=$A$1", "=MOD(C3,2)", "=LEN(A1)", "=ROW()", "=FOO(1)", None, "=B9=0", "=XFD1=1"]
+    one = cells.select("book", "sheet", "row", "col").withColumns({"r0": F.lit(0).cast("long"), "c0": F.lit(0).cast("long")})
+    matches = one.select("*", F.explode(F.array(*map(F.lit, texts))).alias("formula1"))
+    matches = matches.unionByName(matches.where("row = 1"))
+    got, want = R.formula_values(matches, cells, name="v"), R.joined_values(matches, cells, name="v")
+    plain = lambda df: sorted((tuple(r) for r in df.select("row", "col", "formula1", "v.kind", "v.num", "v.txt").collect()), key=repr)
+    assert plain(got) == plain(want)
+    if most:
+        assert "_place" not in got._jdf.queryExecution().toString()
+
+
+def test_short_rules_meet_few_cells(spark, monkeypatch):
+    """Rules of a few rows are met by low bands."""
+    from quire.operators import rules
+
+    seen = []
+    real = rules.in_ranges
+    monkeypatch.setattr(rules, "in_ranges", lambda c, r, band=1024: seen.append(band) or real(c, r, band))
+    cells = spark.createDataFrame([("b", "s", r, c, 1.0) for r in range(100) for c in range(2)], CELLS)
+    table = spark.createDataFrame([("b", "s", k, k, 0, k + 4, 0) for k in range(90)], "book string, sheet string, rule long, r0 long, c0 long, r1 long, c1 long")
+    assert rules.rule_matches(cells, table).count() == 450
+    assert seen == [8]
+
+
+def test_scale_sorts_its_points_once(spark):
+    """The points of a scale stand once in the plan of a colour."""
+    from quire.operators import rules
+
+    color = rules.scale_color(F.col("num"), F.array(F.lit(30.0), F.lit(0.0)), F.array(F.lit(0xFF0000), F.lit(0)))
+    df = spark.createDataFrame([(0.0,), (15.0,), (40.0,), (None,)], "num double").select("num", color.alias("c"))
+    assert [r["c"] for r in df.collect()] == [0, 0x800000, 0xFF0000, None]
+    assert df._jdf.queryExecution().analyzed().toString().count("arrays_zip") == 1
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """More lines, more tasks: none sorts a share of the table that grows with it."""
+    from quire.sources import adapters
+
+    monkeypatch.setattr(adapters, "LINES_IN_TASK", 10)
+    df = spark.range(100).select(F.col("id").alias("k"))
+    assert adapters.dealt(df, "k").rdd.getNumPartitions() == 10
+    assert adapters.dealt(df.limit(5), "k").count() == 5
