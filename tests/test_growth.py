@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import painting
 from quire.operators import sheets
 
 CELLS = "book string, sheet string, row long, col long, num double"
@@ -140,3 +141,15 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
     df = spark.range(100).select(F.col("id").alias("k"))
     assert adapters.dealt(df, "k").rdd.getNumPartitions() == 10
     assert adapters.dealt(df.limit(5), "k").count() == 5
+
+
+def test_rules_of_a_sheet_are_worked_out_in_one_meeting(spark, rows):
+    kinds = "book string, sheet string, row long, col long, kind string, num double, txt string, formula string, style long"
+    cells = spark.createDataFrame([("b", "s", r, 0, "number", float(r), None, None, 0) for r in range(4)] + [("b", "s", 4, 0, "text", None, "x", None, 0)], kinds)
+    some = [(1, "cellIs", "between", "2", "1"), (2, "expression", None, "$A1>2", None), (3, "cellIs", "equal", '"X"', None), (4, "cellIs", "greaterThan", "oops(", None)]
+    fields = "book string, sheet string, rule long, kind string, operator string, formula1 string, formula2 string, r0 long, c0 long, r1 long, c1 long, stop_if_true boolean, style long, thresholds array<struct<kind:string,value:double,gte:boolean>>, colors array<int>, reverse boolean"
+    rules = spark.createDataFrame([("b", "s", k, kind, op, one, two, 0, 0, 1048575, 0, False, k, [], [], False) for k, kind, op, one, two in some], fields)
+    fired = painting.fired_rules(cells, rules)
+    assert rows(fired.where("fired"), "row", "rule") == [(1, 1), (2, 1), (3, 2), (4, 2), (4, 3)]
+    plan = fired._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow ") == 1  # each value had a meeting of its own, and asked for the first one's again
