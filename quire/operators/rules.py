@@ -106,7 +106,9 @@ def rule_limits(matches: DataFrame, rules: DataFrame) -> DataFrame:
     between = known.select(*key, "_n", F.posexplode("thresholds").alias("_i", "t")).where("t.kind = 'percentile' AND t.value IS NOT NULL AND _n > 0").select(*key, "_i", F.floor(rank).alias("_k"), (rank - F.floor(rank)).alias("_part"))
     ends = between.select(*key, "_i", "_part", F.explode(F.array(F.struct("_k", F.lit(True).alias("_lower")), F.struct((F.col("_k") + 1).alias("_k"), F.lit(False).alias("_lower")))).alias("e")).select(*key, "_i", "_part", "e.*")
     ranked = in_groups(numbers.join(rules.where(asked).select(*key).distinct(), key, "left_semi"), key, [F.col(c) for c in _NUMERIC], "_k")
-    found = ends.join(ranked.select(*key, "_k", "num"), [*key, "_k"]).groupBy(*key, "_i").agg(F.max("_part").alias("_part"), F.max(F.when(F.col("_lower"), F.col("num"))).alias("a"), F.max(F.when(~F.col("_lower"), F.col("num"))).alias("b"))
+    # Numbers stay with their rule: a difference is no key that they would be dealt by once more.
+    near = ranked.select(*key, F.col("_k").alias("_at"), "num").join(ends, key).where(F.col("_at") - F.col("_k") == 0)
+    found = near.groupBy(*key, "_i").agg(F.max("_part").alias("_part"), F.max(F.when(F.col("_lower"), F.col("num"))).alias("a"), F.max(F.when(~F.col("_lower"), F.col("num"))).alias("b"))
     value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("_part")
     held = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_i", value.alias("v")))).alias("_at"))  # the percentiles of one rule
     limit = lambda t, i: F.when(t["kind"] == "num", t["value"]).when(t["kind"] == "min", low).when(t["kind"] == "max", high).when(t["kind"] == "percent", low + (high - low) * t["value"] / 100).when(t["kind"] == "percentile", F.try_element_at(F.col("_at"), i))
