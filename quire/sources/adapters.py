@@ -29,6 +29,16 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+#: Cells of one task where ranges are looked up, which sorts them.
+CELLS_IN_TASK = 1_000_000
+
+
+def cell_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the cells are dealt over: as many as they have rows for, at least the configured ones."""
+    n = len(_VALUES) * read(spark, sf_dir, "lineitem").count()  # the footers tell it
+    return max(-(-n // CELLS_IN_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with book, sheet and row."""
     row = F.row_number().over(W.partitionBy("book", "sheet").orderBy(*_ORDER))

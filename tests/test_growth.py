@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import painting
-from quire.operators import sheets
+from quire.operators import painting, rules, sheets
+from quire.sources import packages
 
 CELLS = "book string, sheet string, row long, col long, num double"
 
@@ -153,3 +153,31 @@ def test_rules_of_a_sheet_are_worked_out_in_one_meeting(spark, rows):
     assert rows(fired.where("fired"), "row", "rule") == [(1, 1), (2, 1), (3, 2), (4, 2), (4, 3)]
     plan = fired._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow ") == 1  # each value had a meeting of its own, and asked for the first one's again
+
+
+def test_first_merge_is_found_where_cells_and_merges_met(spark, rows):
+    """No shuffle by place after the one by stretch; uncovered cells and copies of a place stay where all are asked for."""
+    cells = spark.createDataFrame([("b", "s", r, 0, 1.0) for r in (0, 1, 2, 2, 3, 5, 5, 2000)], CELLS)
+    merges = spark.createDataFrame([("b", "s", 0, 1, 0, 3, 0), ("b", "s", 1, 2, 0, 3, 1), ("b", "s", 2, 1000, 0, 2100, 0)], "book string, sheet string, merge long, r0 long, c0 long, r1 long, c1 long")
+    assert rows(sheets.merge_covering(cells, merges), "row", "merge", "hidden") == [(1, 0, False), (2, 0, True), (2000, 2, True), (3, 0, True)]
+    every = rows(sheets.merge_covering(cells, merges, how="left"), "row", "merge")
+    assert every == [(0, None), (1, 0), (2, 0), (2, 0), (2000, 2), (3, 0), (5, None), (5, None)]
+    plan = sheets.merge_covering(cells, merges, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count(", 7)") == 2
+
+
+def test_percentiles_are_not_dealt_by_place(spark, rows):
+    """Numbers of a rule stay where they were put in order."""
+    some = [("b", "s", 0, r, 0, float(r * r)) for r in range(11)]
+    matches = spark.createDataFrame(some, "book string, sheet string, rule long, row long, col long, num double")
+    rule = spark.createDataFrame([("b", "s", 0, [("percentile", 90.0), ("percentile", 25.0), ("max", None)])], "book string, sheet string, rule long, thresholds array<struct<kind:string,value:double>>")
+    limits = rules.rule_limits(matches, rule)
+    assert limits.first()["limits"] == [81.0, 6.5, 100.0]
+    assert not [x for x in limits._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "_k" in x]
+
+
+def test_small_parts_are_dealt_over_the_configured_tasks(spark):
+    """The number of reading tasks is set, so small packages are not left to one task by their bytes."""
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    plan = packages.check_parts(packages.parts_of(files))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
