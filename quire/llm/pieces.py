@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ CACHE_BYTES = 250_000_000
 _ENTRY_BYTES = 260
 #: Words and characters looked at together.
 _WORDS, _CHARS = 300_000, 4_000_000
+#: Words that the model encodes as one text.
+_TOGETHER = 1024
 #: Longest stretch of the batched Viterbi; longer ones are done one by one.
 _BATCHED = 24
 SPACE = "▁"
@@ -84,21 +87,48 @@ class OwnEncoding:
     def whole(self, text: str) -> bytes:
         return np.array(self.processor.encode(text), dtype="<u4").tobytes()
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words (see :func:`cut`), little-endian uint32; plain words go through the model in one text."""
-        out: list[bytes] = [b""] * len(words)
-        odd = {k for k, w in enumerate(words) if not w or " " in w or SPACE in w}
-        rest, plain = sorted(odd), [k for k in range(len(words)) if k not in odd]
-        for k, ids in zip(rest, self.processor.encode([words[k] for k in rest], num_threads=1) if rest else ()):
-            out[k] = np.array(ids if words[k] else [self.alone], dtype="<u4").tobytes()
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.array(self.processor.encode(" ".join([words[k] for k in some])), dtype="<u4")
-            starts = np.flatnonzero(self.begins[ids])
-            raw, edges = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-            for k, a, b in zip(some, edges, edges[1:]):
-                out[k] = raw[a:b]
-        return out
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (see :func:`cut`) in one array, and how many each has; plain words go through the model together."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), _TOGETHER):
+            some = words[at : at + _TOGETHER]
+            text = " ".join(some)
+            if "" in some or SPACE in text or text.count(" ") != len(some) - 1:
+                got = [ids if w else [self.alone] for w, ids in zip(some, self.processor.encode(some, num_threads=1))]
+                flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            else:
+                ids = np.array(self.processor.encode(text), dtype=np.uint32)
+                flat.append(ids)
+                sizes.append(np.diff(np.flatnonzero(self.begins[ids]), append=len(ids)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+
+class Places(dict):
+    """A number for each new key, in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Ragged:
+    """Arrays of numbers one after another."""
+
+    def __init__(self, kind: type):
+        self.flat, self.first, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays at ``places`` in one, and where each begins (and the last ends)."""
+        n = self.sizes[places]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        if edges[-1] == len(places) and (n == 1).all():
+            return self.flat[self.first[places]], edges
+        return self.flat[np.repeat(self.first[places] - edges[:-1], n) + np.arange(edges[-1])], edges
 
 
 class Trie:
@@ -124,6 +154,10 @@ class Trie:
         self.shift, self.mask = U64(64 - bits), U64((1 << bits) - 1)
         self.keys, self.to = np.full(1 << bits, 2**64 - 1, dtype=U64), np.full(1 << bits, -1, dtype=np.int64)
         slot = self._slot(keys)
+        #: The node after each first character.
+        self.root = np.full(0x110001, -1, dtype=np.int64)
+        top = keys < U64(1 << 21)
+        self.root[keys[top].astype(np.int64)] = values[top]
         while len(keys):
             free = self.keys[slot] == U64(2**64 - 1)
             first = np.unique(slot[free], return_index=True)[1]
@@ -173,6 +207,7 @@ class PieceModel:
             else:
                 self.scores[piece] = (model.get_score(i) if scores is None else float(scores[i]), i)
                 self.text.append(piece.replace(SPACE, " ").encode())
+        self.spelt = pa.array(self.text, pa.binary())
         self.unknown_id = model.unk_id()
         #: A character without a piece costs more than any piece and becomes bytes.
         self.unknown = min(s for s, _ in self.scores.values() if s > -1e8) - 10.0
@@ -188,14 +223,13 @@ class PieceModel:
 
     def forget(self) -> None:
         """An empty memory."""
-        self.words: dict[str, int] = {}
-        self.word_ids: list[bytes] = []
-        #: Stretches of word k are flat[first[k] : first[k] + parts[k]].
-        self.first, self.parts, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.words = Places()
+        self.word_ids, self.parts = Ragged(np.uint32), Ragged(np.int64)
+        #: Stretches of long words; a short word is a stretch of its own, kept without the space before it.
         self.stretches: dict[str, int] = {}
         self.segments: list[str] = []
-        self.best, self.loss = np.zeros(0), np.zeros(0)
-        self.found: dict[int, tuple[bytes, tuple]] = {}
+        self.short, self.best, self.loss, self.paths = np.zeros(0, bool), np.zeros(0), np.zeros(0), Ragged(np.uint32)
+        self.found: dict[int, tuple] = {}
         self.held = 0
 
     def lattice(self, segment: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
@@ -226,8 +260,7 @@ class PieceModel:
                 if score > best[j]:
                     best[j] = score
             if not single:
-                ids = tuple(self.byte_ids.get(b, self.unknown_id) for b in segment[i].encode())
-                into[i + 1].append((i, self.unknown, ids))
+                into[i + 1].append((i, self.unknown, self._bytes_of(segment[i])))
                 if base + self.unknown > best[i + 1]:
                     best[i + 1] = base + self.unknown
         return best, into
@@ -255,56 +288,61 @@ class PieceModel:
                 push(heap, (-best[start] - score, order, start, score, (ids, path)))
         return out
 
-    def long_stretch(self, segment: str) -> tuple[float, float]:
-        """(best score, what the second best loses) of one stretch."""
+    def _bytes_of(self, char: str) -> tuple[int, ...]:
+        return tuple(self.byte_ids.get(b, self.unknown_id) for b in char.encode())
+
+    def long_stretch(self, segment: str) -> tuple[float, float, list[int]]:
+        """(best score, what the second best loses, ids of the best) of one stretch."""
         best, into = self.lattice(segment)
-        after = [_NONE] * len(segment) + [0.0]
-        for at in range(len(segment), 0, -1):
-            for start, score, _ in into[at]:
-                after[start] = max(after[start], after[at] + score)
-        losses, at = [], len(segment)
+        losses, path, at = [], [], len(segment)
         while at:
             chosen = max(range(len(into[at])), key=lambda k: best[into[at][k][0]] + into[at][k][1])
             # a place that the best path passes: its other edges change that path
             losses += [best[at] - best[s] - x for k, (s, x, _) in enumerate(into[at]) if k != chosen]
+            path.append(into[at][chosen][2])
             at = into[at][chosen][0]
-        return best[-1], min(losses, default=float("inf"))
+        return best[-1], min(losses, default=float("inf")), [i for ids in reversed(path) for i in ids]
 
-    def viterbi(self, shown: list[str], literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best score, what the second best loses) of stretches with ``SPACE`` for spaces, none over ``_BATCHED`` long.
+    def viterbi(self, stretches: list[str], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best scores, what the second best lose, ids of the best in one array, how many each has) of stretches in the order of their lengths.
 
-        ``literal`` marks places (row, column) that hold a U+2581 of the text itself.
+        None is over ``_BATCHED`` long.  ``short``: the space before each is left out.
         A second-best path leaves the best one somewhere and comes back to it,
         so it loses what the best other edge into a place of the best path loses.
         """
-        width = max(map(len, shown))
-        codes = np.zeros((len(shown), width + 1), dtype=np.int64)
-        codes[:, :width] = np.array(shown, dtype=f"<U{width}").view("<u4").reshape(len(shown), width)
-        lengths = np.fromiter(map(len, shown), np.int64, len(shown))
-        codes[:, :width][literal] = 0x110000  # no piece has it
-        codes[:, :width][np.arange(width) >= lengths[:, None]] = 0
+        count, begin = len(stretches), int(short)
+        lengths = np.fromiter(map(len, stretches), np.int64, count) + begin
+        width = int(lengths[-1])
+        codes = np.full((width, count), 32, dtype=np.int64)
+        if width > begin:
+            codes[begin:] = np.array(stretches, dtype=f"<U{width - begin}").view("<u4").reshape(count, width - begin).T
+        literal = codes == ord(SPACE)
+        codes[codes == 32] = ord(SPACE)
+        codes[literal] = 0x110000  # a U+2581 of the text itself: no piece has it
         trie = self.trie
-        best = np.full((len(shown), width + 1), _NONE)
-        second = np.full((len(shown), width + 1), _NONE)
-        back = np.zeros((len(shown), width + 1), dtype=np.int64)
-        best[:, 0] = 0
+        best, second = np.full((width + 1, count), _NONE), np.full((width + 1, count), _NONE)
+        back, edge = np.zeros((width + 1, count), dtype=np.int64), np.zeros((width + 1, count), dtype=np.int64)
+        best[0] = 0
 
-        def enter(rows: np.ndarray, to: int, start: int, score: np.ndarray) -> None:
-            now, old = best[rows, start] + score, best[rows, to]
+        def enter(rows: np.ndarray, to: int, start: int, score: np.ndarray, ids: np.ndarray) -> None:
+            now, old = best[start][rows] + score, best[to][rows]
             better = now > old
-            second[rows, to] = np.maximum(second[rows, to], np.where(better, old, now))
-            best[rows, to] = np.where(better, now, old)
-            back[rows[better], to] = start
+            second[to][rows] = np.maximum(second[to][rows], np.where(better, old, now))
+            rows = rows[better]
+            best[to][rows], back[to][rows], edge[to][rows] = now[better], start, ids[better]
 
-        rows_left = np.arange(len(shown))
+        ends = np.searchsorted(lengths, np.arange(width), side="right")  # lengths[ends[i]:] > i
         for i in range(width):
-            rows_left = rows_left[lengths[rows_left] > i]
-            rows, node = rows_left, np.zeros(len(rows_left), np.int64)
-            alone = rows[~self.singles[codes[rows, i]]]
+            rows = np.arange(ends[i], count)
+            alone = rows[~self.singles[codes[i][rows]]]
             if len(alone):
-                enter(alone, i + 1, i, np.full(len(alone), self.unknown))
+                enter(alone, i + 1, i, np.full(len(alone), self.unknown), -1 - codes[i][alone])
+            node = trie.root[codes[i][rows]]
             for j in range(i, width):
-                node = trie.step(node, codes[rows, j])
+                if j > i:
+                    over = int(np.searchsorted(rows, ends[j]))
+                    rows, node = rows[over:], node[over:]
+                    node = trie.step(node, codes[j][rows])
                 on = node >= 0
                 rows, node = rows[on], node[on]
                 if not len(rows):
@@ -312,80 +350,85 @@ class PieceModel:
                 score = trie.score[node]
                 piece = score > _NONE
                 if piece.any():
-                    enter(rows[piece], j + 1, i, score[piece])
-        loss = np.full(len(shown), np.inf)
-        rows, at = np.arange(len(shown)), lengths.copy()
+                    enter(rows[piece], j + 1, i, score[piece], trie.ids[node[piece]])
+        loss = np.full(count, np.inf)
+        rows, at, passed = np.arange(count), lengths.copy(), []
         while len(rows):
             place = at[rows]
-            loss[rows] = np.minimum(loss[rows], best[rows, place] - second[rows, place])
-            at[rows] = back[rows, place]
+            loss[rows] = np.minimum(loss[rows], best[place, rows] - second[place, rows])
+            passed.append((rows, edge[place, rows]))
+            at[rows] = back[place, rows]
             rows = rows[at[rows] > 0]
-        return best[np.arange(len(shown)), lengths], loss
-
-    def _learn_stretches(self, segments: list[str]) -> None:
-        best, loss = np.zeros(len(segments)), np.zeros(len(segments))
-        short = [k for k, s in enumerate(segments) if len(s) <= _BATCHED]
-        short.sort(key=lambda k: len(segments[k]))
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
-            texts = [segments[k] for k in some]
-            literal = np.zeros((len(some), max(map(len, texts))), bool)
-            for r, s in enumerate(texts):
-                if SPACE in s:
-                    literal[r, [c for c, x in enumerate(s) if x == SPACE]] = True
-            best[some], loss[some] = self.viterbi([s.replace(" ", SPACE) for s in texts], literal)
-        for k, s in enumerate(segments):
-            if len(s) > _BATCHED:
-                best[k], loss[k] = self.long_stretch(s)
-        self.stretches.update(zip(segments, range(len(self.segments), len(self.segments) + len(segments))))
+        rows, ids = (np.concatenate(x) for x in zip(*reversed(passed)))
+        order = np.argsort(rows, kind="stable")  # each path from its begin
+        rows, ids = rows[order], ids[order]
+        if (ids < 0).any():
+            spelt = {c: self._bytes_of(chr(-1 - c) if c > -1 - 0x110000 else SPACE) for c in set(ids[ids < 0].tolist())}
+            each = [spelt[i] if i < 0 else (i,) for i in ids.tolist()]
+            rows, ids = np.repeat(rows, list(map(len, each))), np.fromiter(chain.from_iterable(each), np.int64)
+        return best[lengths, np.arange(count)], loss, ids.astype(np.uint32), np.bincount(rows, minlength=count)
+
+    def _learn_stretches(self, segments: list[str], short: bool) -> None:
+        """Stretches in the order of their lengths."""
+        at = 0
+        while at < len(segments):
+            some = segments[at : at + 20_000]
+            if len(some[0]) + short > _BATCHED:
+                best, loss, paths = zip(*map(self.long_stretch, some))
+                found = np.array(best), np.array(loss), np.fromiter(chain.from_iterable(paths), np.uint32), np.fromiter(map(len, paths), np.int64, len(paths))
+            else:
+                some = [s for s in some if len(s) + short <= _BATCHED]
+                found = self.viterbi(some, short)
+            self.best, self.loss = np.concatenate([self.best, found[0]]), np.concatenate([self.loss, found[1]])
+            self.paths.add(*found[2:])
+            at += len(some)
         self.segments += segments
-        self.best, self.loss = np.concatenate([self.best, best]), np.concatenate([self.loss, loss])
-        self.held += sum(map(len, segments)) + _ENTRY_BYTES * len(segments)
+        self.short = np.concatenate([self.short, np.full(len(segments), short)])
 
     def _cut(self, segment: str) -> list[str]:
         """Stretches of a word between characters that no piece has side by side."""
-        if len(segment) <= _BATCHED:
-            return [segment]
         shown, pairs = segment.replace(" ", SPACE), self.pairs
         cuts = [0, *(i for i in range(1, len(shown)) if shown[i - 1 : i + 1] not in pairs), len(shown)]
         return [segment[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, words: list[str]) -> None:
-        """Own ids and stretches of new words."""
-        parts = [self._cut(f" {w}") for w in words]
-        fresh = {s for p in parts for s in p} - self.stretches.keys()
-        if fresh:
-            self._learn_stretches(sorted(fresh))
-        of = self.stretches
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.array([of[s] for p in parts for s in p], dtype=np.int64)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
-        self.parts, self.flat = np.concatenate([self.parts, n]), np.concatenate([self.flat, flat])
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
-        ids = self.own.words(words)
-        self.word_ids += ids
-        self.held += sum(map(len, words)) + sum(map(len, ids)) + _ENTRY_BYTES * len(words)
-
-    def known(self, words: list[str]) -> list[int]:
+        """Own ids and stretches of new words, which come by their length."""
+        n_short = int(np.searchsorted(np.fromiter(map(len, words), np.int64, len(words)), _BATCHED))
+        begin = len(self.segments)
+        self._learn_stretches(words[:n_short], True)
+        self.parts.add(np.arange(begin, begin + n_short), np.ones(n_short, np.int64))
+        long = [self._cut(f" {w}") for w in words[n_short:]]
+        if long:
+            fresh = sorted({s for p in long for s in p} - self.stretches.keys(), key=lambda s: (len(s), s))
+            self.stretches.update(zip(fresh, range(len(self.segments), len(self.segments) + len(fresh))))
+            self._learn_stretches(fresh, False)
+            self.parts.add(np.array([self.stretches[s] for p in long for s in p], dtype=np.int64), np.fromiter(map(len, long), np.int64, len(long)))
+        ids, sizes = self.own.words(words)
+        self.word_ids.add(ids, sizes)
+        self.held += sum(map(len, words)) + 4 * len(ids) + _ENTRY_BYTES * (len(words) + sum(map(len, long)))
+
+    def known(self, words: list[str]) -> np.ndarray:
         """Places of words in the memory."""
-        new = list(set(words) - self.words.keys())
-        if new:
+        before = len(self.words)
+        places = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.words) > before:
+            # New words are numbered by length, as they are learnt.
+            new = list(islice(self.words, before, None))
+            order = sorted(range(len(new)), key=list(map(len, new)).__getitem__)
+            number = np.empty(before + len(new), np.int64)
+            number[:before] = np.arange(before)
+            number[before + np.array(order)] = np.arange(before, before + len(new))
+            new = [new[k] for k in order]
+            self.words.update(zip(new, range(before, before + len(new))))
             self.learn(new)
-        return list(map(self.words.__getitem__, words))
-
-    def spread(self, places: np.ndarray) -> np.ndarray:
-        """Stretches of words in their order."""
-        n = self.parts[places]
-        total = int(n.sum())
-        if total == len(places):
-            return self.flat[self.first[places]]
-        return self.flat[np.repeat(self.first[places] - np.cumsum(n) + n, n) + np.arange(total)]
-
-    def choices(self, stretch: int) -> tuple[bytes, tuple]:
-        """(ids of the best, ((loss, ids), ...) of the next ones) of a stretch, by A*."""
+            places = number[places]
+        return places
+
+    def choices(self, stretch: int) -> tuple[tuple[float, bytes], ...]:
+        """(loss, ids) of the N best of a stretch, by A*."""
         if stretch not in self.found:
-            paths = [(s, np.array(ids, dtype="<u4").tobytes()) for s, ids in self.search(self.segments[stretch])]
-            self.found[stretch] = (paths[0][1], tuple((paths[0][0] - s, ids) for s, ids in paths[1:]))
+            paths = self.search(" " * bool(self.short[stretch]) + self.segments[stretch])
+            self.found[stretch] = tuple((paths[0][0] - s, np.array(ids, dtype="<u4").tobytes()) for s, ids in paths)
             self.held += 2 * _ENTRY_BYTES
         return self.found[stretch]
 
@@ -415,7 +458,12 @@ class PieceModel:
         return out
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, list[float]]]:
-        """(own ids, scores of the N best) of each text; the memory is bounded however long a text is."""
+        """(own ids, scores of the N best) of each text."""
+        for ids, found in self.segmented(texts):
+            yield ids, [s for s, _ in found]
+
+    def segmented(self, texts: list[str]) -> Iterator[tuple[bytes, list[tuple[float, bytes]]]]:
+        """(own ids, N best (score, ids)) of each text; the memory is bounded however long a text is."""
         at = 0
         while at < len(texts):
             words: list[list[str]] = []
@@ -426,63 +474,67 @@ class PieceModel:
             if len(words) == 1 and n > _WORDS:
                 yield self._long_text(texts[at], words[0])
             else:
-                self._bounded()
-                places = np.array(self.known([w for doc in words for w in doc]), dtype=np.int64)
-                ids, out = self.word_ids, []
-                begin = 0
-                for text, doc in zip(texts[at : at + len(words)], words):
-                    own = places[begin : begin + len(doc)]
-                    begin += len(doc)
-                    stretches = self.spread(own)
-                    best = float(self.best[stretches].sum())
-                    open_ = [(0.0, *(x for x, _ in self.choices(int(stretches[k]))[1])) for k in self.least(stretches)]
-                    raw = b"".join([ids[k] for k in own.tolist()]) if self.own.by_word and SPACE not in text else self.own.whole(text)
-                    out.append((raw, [best - x for x, _ in self.combined(open_)]))
-                yield from out
+                yield from self._short_texts(texts[at : at + len(words)], words)
             at += len(words)
 
+    def _own(self, text: str, by_words: bytes) -> bytes:
+        return by_words if self.own.by_word and SPACE not in text else self.own.whole(text)
+
+    def _short_texts(self, texts: list[str], words: list[list[str]]) -> list[tuple[bytes, list[tuple[float, bytes]]]]:
+        self._bounded()
+        places = self.known(list(chain.from_iterable(words)))
+        ids, ends = self.word_ids.of(places)
+        stretches, begins = self.parts.of(places)
+        paths, edges = self.paths.of(stretches)
+        best = self.best[stretches]
+        ids, paths = ids.astype("<u4").tobytes(), paths.astype("<u4").tobytes()
+        at = np.concatenate([[0], np.cumsum(list(map(len, words)))])
+        out = []
+        for text, a, b, c, d in zip(texts, (4 * ends[at]).tolist(), (4 * ends[at[1:]]).tolist(), begins[at].tolist(), begins[at[1:]].tolist()):
+            near = [(int(edges[c + k]), int(edges[c + k + 1]), self.choices(int(stretches[c + k]))) for k in self.least(stretches[c:d])]
+            out.append((self._own(text, ids[a:b]), self.together(float(best[c:d].sum()), paths, int(edges[c]), int(edges[d]), near)))
+        return out
+
+    def together(self, best: float, path: bytes, begin: int, end: int, near: list[tuple[int, int, tuple]]) -> list[tuple[float, bytes]]:
+        """N best (score, ids) of a text with the Viterbi path ``path[begin:end]`` (ids), of which the stretches ``near`` (begin, end, choices) can change."""
+        near.sort(key=lambda x: x[:2])
+        edges = [4 * begin, *(4 * x for a, b, _ in near for x in (a, b)), 4 * end]
+        kept = [path[a:b] for a, b in zip(edges[::2], edges[1::2])]
+        out = []
+        for loss, picked in self.combined([tuple(x for x, _ in choice) for _, _, choice in near]):
+            chosen = [choice[p][1] for (_, _, choice), p in zip(near, picked)]
+            out.append((best - loss, b"".join([kept[0], *chain.from_iterable(zip(chosen, kept[1:]))])))
+        return out
+
     def _bounded(self) -> None:
         if self.held > CACHE_BYTES:
             self.forget()
 
-    def _long_text(self, text: str, words: list[str]) -> tuple[bytes, list[float]]:
-        ids, best, open_ = [], 0.0, []
+    def _long_text(self, text: str, words: list[str]) -> tuple[bytes, list[tuple[float, bytes]]]:
+        ids, paths, best, end, near = [], [], 0.0, 0, []
         for at in range(0, len(words), _WORDS):
             self._bounded()
-            places = np.array(self.known(words[at : at + _WORDS]), dtype=np.int64)
-            stretches = self.spread(places)
+            places = self.known(words[at : at + _WORDS])
+            stretches, _ = self.parts.of(places)
+            path, edges = self.paths.of(stretches)
             best += float(self.best[stretches].sum())
-            open_ += [(0.0, *(x for x, _ in self.choices(int(stretches[k]))[1])) for k in self.least(stretches)]
-            ids.append(b"".join([self.word_ids[k] for k in places.tolist()]))
-        open_ = sorted(open_, key=lambda x: x[1:2])[: self.n_best - 1]
-        raw = b"".join(ids) if self.own.by_word and SPACE not in text else self.own.whole(text)
-        return raw, [best - x for x, _ in self.combined(open_)]
+            near += [(end + int(edges[k]), end + int(edges[k + 1]), self.choices(int(stretches[k]))) for k in self.least(stretches)]
+            end += len(path)
+            ids.append(self.word_ids.of(places)[0].astype("<u4").tobytes())
+            paths.append(path.astype("<u4").tobytes())
+        near = sorted(near, key=lambda x: x[2][1][0])[: self.n_best - 1]
+        return self._own(text, b"".join(ids)), self.together(best, b"".join(paths), 0, end, near)
 
     def encode(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
         """N best (score, ids as little-endian uint32) of each text."""
-        return [self._segmentations(text) for text in texts]
-
-    def _segmentations(self, text: str) -> list[tuple[float, bytes]]:
-        self._bounded()
-        stretches = self.spread(np.array(self.known(cut(text)) if text else [], dtype=np.int64))
-        ids = [self.choices(int(s))[0] for s in stretches]
-        near = self.least(stretches)
-        open_ = [((0.0, ids[k]), *self.choices(int(stretches[k]))[1]) for k in near]
-        best = float(self.best[stretches].sum())
-        out = []
-        for loss, picked in self.combined([tuple(x for x, _ in choice) for choice in open_]):
-            parts = ids.copy()
-            for k, choice, p in zip(near, open_, picked):
-                parts[k] = choice[p][1]
-            out.append((best - loss, b"".join(parts)))
-        return out
+        return [found for _, found in self.segmented(texts)]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids; the space put before the text is taken off.  Ids beyond the vocabulary are nothing."""
         numbers = np.frombuffer(ids[: len(ids) // 4 * 4], dtype="<u4")
         if len(numbers) and int(numbers.max()) >= len(self.text):
             numbers = numbers[numbers < len(self.text)]
-        return b"".join(map(self.text.__getitem__, numbers.tolist()))[1:]
+        return self.spelt.take(pa.array(numbers)).buffers()[2].to_pybytes()[1:] if len(numbers) else b""
 
 
 def piece_model(path: str, n_best: int = N_BEST, scores: np.ndarray | None = None) -> PieceModel:
@@ -517,10 +569,8 @@ def corpus_scores(docs: DataFrame, model: str) -> np.ndarray:
         words: Counter[str] = Counter()
 
         def add() -> None:
-            some = list(words)
-            ids = own.words(some)
-            times = np.repeat(np.fromiter((words[w] for w in some), np.int64, len(some)), [len(x) // 4 for x in ids])
-            np.add.at(counts, np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64), times)
+            ids, sizes = own.words(list(words))
+            np.add.at(counts, ids, np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes))
             words.clear()
 
         for batch in batches:
@@ -583,26 +633,30 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, best_score, scores, n_best, decoded_crc32 and round_trip, from encoded and decoded texts.
+    """doc_id, n_pieces, ids_crc32, best_score, scores, n_best, decoded_crc32, round_trip, and pieces, ids_crc32s and round_trips of the N best.
 
-    n_pieces, ids_crc32, decoded_crc32 and round_trip are those of the model's
-    own encoding, best_score, scores and n_best those of :func:`encode`.  The
-    model reads a literal U+2581 as a space, so round_trip is false there.
+    scores, pieces, ids_crc32s and round_trips are lists over the segmentations
+    of :func:`encode`, best first: scores, numbers of ids, checksums of the ids,
+    and whether the ids decode to the text.  n_pieces, ids_crc32, decoded_crc32
+    and round_trip are those of the model's own encoding, which reads a literal
+    U+2581 as a space, so round_trip is false there.
     """
     weights = corpus_scores(docs, model)
+    columns = {"doc_id": "long", "n_pieces": "long", "ids_crc32": "long", "scores": "array<double>", "decoded_crc32": "long", "round_trip": "boolean", "pieces": "array<long>", "ids_crc32s": "array<long>", "round_trips": "array<boolean>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = piece_model(model, n_best, weights)
-        types = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.bool_())
+        types = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
         for batch in batches:
             for at, texts in _some(batch.column(1)):
                 rows = []
-                for text, (ids, scores) in zip(texts, own.texts(texts)):
-                    back = own.decode(ids)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), scores, zlib.crc32(back), back == text.encode()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n_pieces", "ids_crc32", "scores", "decoded_crc32", "round_trip"])
+                for text, (ids, found) in zip(texts, own.segmented(texts)):
+                    back, raw = own.decode(ids), text.encode()
+                    paths = [path for _, path in found]
+                    rows.append((len(ids) // 4, zlib.crc32(ids), [s for s, _ in found], zlib.crc32(back), back == raw, [len(x) // 4 for x in paths], list(map(zlib.crc32, paths)), [own.decode(x) == raw for x in paths]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=list(columns))
 
-    out = documents(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_crc32 long, round_trip boolean")
+    out = documents(docs).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in columns.items()))
     return out.withColumns({"best_score": F.col("scores")[0], "n_best": F.size("scores").cast("long")})
 
 
