@@ -12,7 +12,7 @@ from quire.sources import decks, opendocument, packages, repeats, texts, workboo
 
 def _sheets(parts: DataFrame) -> dict[str, DataFrame]:
     names = workbooks.read_sheets(parts)
-    cells = workbooks.resolve_strings(workbooks.read_cells(parts, names), workbooks.read_shared_strings(parts))
+    cells = workbooks.read_book_cells(parts)
     ods = opendocument.read_ods_rows(parts)
     other = repeats.expand_repeats(ods).select("book", "sheet", "row", "col", F.lit(None).cast("string").alias("vtype"), F.coalesce(F.col("num").cast("string"), "txt").alias("raw"), "formula", F.lit(None).cast("long").alias("style"), "txt")
     return {"sheets": names, "cells": cells.select(*other.columns).unionByName(other), "merges": workbooks.read_merges(parts, names), "dims": workbooks.read_dims(parts, names), "links": workbooks.read_hyperlinks(parts, names), "rules": workbooks.read_rules(parts, names), "comments": workbooks.read_comments(parts, names)}
