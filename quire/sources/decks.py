@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.documents import resolve_rels
-from quire.sources.packages import attributes, child, local, number, read_rels, read_xml
+from quire.sources.packages import attributes, child, local, number, read_rels, read_xml, resolve_rels
 
 SLIDES = r"^ppt/slides/[^/]+\.xml$"
 
