@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions inside the block delete their shuffle files when they end.
+
+    Else those stay until the driver happens to collect its garbage, so the
+    disk holds the shuffles of all steps at once.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; Spark deletes it when it is no longer used, if so configured."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own, so that none that ran needs the files again

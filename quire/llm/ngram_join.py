@@ -21,6 +21,7 @@ No list of pairs is formed inside a group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ PERCENT = 80
 COMMON_SHINGLES = 250_000
 #: Rounds of :func:`peel`.
 PEELINGS = 3
+#: Prefix shingles, and then pairs of blocks, are dealt out in so many turns, one after the other, so that the disk holds the shuffle of one.
+TURNS = 2
 #: Texts looked at together when common shingles are counted.
 _TASTE = 2000
 BLOCK = 512
@@ -131,10 +134,11 @@ def shingle_keys(docs: DataFrame, seed: int = 0, hashed=_text_ids) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, text_id long, text_id_b long")
 
 
-def prefix_rows(docs: DataFrame, common: np.ndarray, seed: int = 0, hashed=_text_ids) -> DataFrame:
+def prefix_rows(docs: DataFrame, common: np.ndarray, seed: int = 0, hashed=_text_ids, turn: int = 0, turns: int = 1) -> DataFrame:
     """shingle, text_id, place: one row per prefix shingle, copies read together only once.
 
     ``place`` holds the set's size and how many of its shingles come after.
+    Of the shingles those of one turn, by their remainder.
     """
     held = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -152,7 +156,9 @@ def prefix_rows(docs: DataFrame, common: np.ndarray, seed: int = 0, hashed=_text
             counts = np.array([len(x) for x in heads], dtype=np.int64)
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             ids, n = np.repeat(hashed(sets, seed)[:, 0], counts), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])), pa.array(ids), pa.array((n << 32) | (n - 1 - at))], names=["shingle", "text_id", "place"])
+            shingles, place = np.concatenate([*heads, np.zeros(0, np.int64)]), (n << 32) | (n - 1 - at)
+            now = shingles % turns == turn
+            yield pa.RecordBatch.from_arrays([pa.array(x[now]) for x in (shingles, ids, place)], names=["shingle", "text_id", "place"])
 
     return documents(docs).mapInArrow(run, "shingle long, text_id long, place long")
 
@@ -332,6 +338,7 @@ def peel(groups: DataFrame, rounds: int = PEELINGS) -> DataFrame:
     left with.  Every round makes the table smaller; how many are run changes
     the work that is left, not the result.
     """
+    last = None
     for _ in range(rounds):
         n = F.shiftrightunsigned(F.col("place"), 32)
         need = F.floor((F.floor((n * PERCENT + 99) / 100) + 9) / 10)
@@ -339,14 +346,21 @@ def peel(groups: DataFrame, rounds: int = PEELINGS) -> DataFrame:
         rest = groups.join(enough, "text_id", "left_semi")
         several = rest.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("shingle")
         groups = table(rest.join(several, "shingle", "left_semi"), "peeled")
+        if last is not None:
+            drop_table(last)
+        last = groups
     return groups
 
 
 def links(docs: DataFrame, keys: DataFrame, seed: int = 0, hashed=_text_ids) -> DataFrame:
     """u, v: pairs of text ids that link, enough to connect every two linking texts."""
-    rows = prefix_rows(docs, common_shingles(documents(docs)), seed, hashed)
-    groups = table(rows.repartition("shingle").sortWithinPartitions("shingle", "text_id").mapInArrow(_groups, "shingle long, text_id long, place long"), "prefix-groups")
-    groups = peel(groups)
+    common, whole = common_shingles(documents(docs)), []
+    for turn in range(TURNS):
+        rows = prefix_rows(docs, common, seed, hashed, turn, TURNS)
+        whole.append(table(rows.repartition("shingle").sortWithinPartitions("shingle", "text_id").mapInArrow(_groups, "shingle long, text_id long, place long"), "prefix-groups"))
+    groups = peeled = peel(functools.reduce(DataFrame.unionByName, whole))
+    for x in whole:
+        drop_table(x)
     groups = groups.select("shingle", "text_id", F.shiftrightunsigned("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("room"))
     # One text's set per candidate; few enough of them are looked up by a broadcast, more by a shuffle.
     asked = checkpoint(groups.select("text_id").distinct().join(keys, "text_id").groupBy("text_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
@@ -357,7 +371,7 @@ def links(docs: DataFrame, keys: DataFrame, seed: int = 0, hashed=_text_ids) ->
     # Of the shingles that two texts share, the first leaves the most room for an overlap: it decides.
     most = F.least(F.col("room"), F.col("room_u")) + 1
     near = F.max(most * 100 >= (F.col("n") + F.col("n_u") - most) * PERCENT)
-    stars = groups.join(center, "shingle").where("text_id != u").groupBy("u", F.col("text_id").alias("v")).agg(near.alias("near")).where("near").select("u", "v")
+    stars = checkpoint(groups.join(center, "shingle").where("text_id != u").groupBy("u", F.col("text_id").alias("v")).agg(near.alias("near")).where("near").select("u", "v"))
     compared = stars.join(sets.select(F.col("text_id").alias("v"), F.col("set").alias("set_v")), "v").join(sets.select(F.col("text_id").alias("u"), F.col("set").alias("set_u")), "u")
     with arrow_rows(docs.sparkSession, 500):
         first = checkpoint(compared.select("u", "v", "set_u", "set_v").mapInArrow(_star_links, "u long, v long"))
@@ -366,15 +380,14 @@ def links(docs: DataFrame, keys: DataFrame, seed: int = 0, hashed=_text_ids) ->
     member = groups.select("shingle", "text_id", "n").join(known, "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
     mixed = member.groupBy("shingle").agg(F.min("component").alias("hub"), F.max("component").alias("high")).where("hub < high").select("shingle", "hub")
     left = checkpoint(member.join(mixed, "shingle").select("text_id", "n", "component", "hub").distinct())
+    drop_table(peeled)
     families = components(left.select("component", "hub")).select(F.col("node").alias("component"), F.col("component").alias("family"))
     members = left.select("text_id", "n", "component").distinct().join(families, "component", "left").withColumn("family", F.coalesce("family", "component"))
-    with arrow_rows(docs.sparkSession, 2000):
-        second = checkpoint(_join_families(members, sets))
-    return first.unionByName(second)
+    return first.unionByName(_join_families(members, sets))
 
 
 def _join_families(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside families (text_id, n, component, family), block against block.
+    """Links inside families (text_id, n, component, family), block against block; the table of sets is dropped.
 
     Blocks hold about ``BLOCK`` texts of similar size; blocks whose sizes are
     too far apart are not compared.
@@ -386,10 +399,18 @@ def _join_families(members: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = members.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("family", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     pairs = blocks.join(other, "family").where((F.col("block") <= F.col("block_b")) & (F.col("high") * 100 >= F.col("low_b") * PERCENT)).select("family", "block", "block_b")
-    with_set = members.join(sets, "text_id")
-    side_a = pairs.join(with_set, ["family", "block"]).select("family", "block", "block_b", F.lit(0).alias("side"), "text_id", "n", "component", "set")
-    side_b = pairs.where("block < block_b").join(with_set.withColumnRenamed("block", "block_b"), ["family", "block_b"]).select("family", "block", "block_b", F.lit(1).alias("side"), "text_id", "n", "component", "set")
-    return side_a.unionByName(side_b).groupBy("family", "block", "block_b").applyInPandas(_block_links, "u long, v long")
+    with_set = table(members.join(sets, "text_id"), "family-sets")
+    drop_table(sets)
+    found = []
+    for turn in range(TURNS):
+        now = F.pmod(F.xxhash64("family", "block"), F.lit(TURNS)) == turn
+        mine = pairs.where(now)
+        side_a = mine.join(with_set.where(now), ["family", "block"]).select("family", "block", "block_b", F.lit(0).alias("side"), "text_id", "n", "component", "set")
+        side_b = mine.where("block < block_b").join(with_set.withColumnRenamed("block", "block_b"), ["family", "block_b"]).select("family", "block", "block_b", F.lit(1).alias("side"), "text_id", "n", "component", "set")
+        with arrow_rows(members.sparkSession, 2000):
+            found.append(checkpoint(side_a.unionByName(side_b).groupBy("family", "block", "block_b").applyInPandas(_block_links, "u long, v long")))
+    drop_table(with_set)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def jaccard_components(docs: DataFrame, hashed=_text_ids) -> DataFrame:

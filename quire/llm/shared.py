@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.lineage import checkpoint, shared_folder
+from quire.lineage import checkpoint, shared_folder, shuffles_dropped
 
 __all__ = ["ROW", "arrow_rows", "checkpoint", "documents", "drop_table", "numbered", "only", "shared_folder", "table", "written"]
 
@@ -30,7 +30,8 @@ def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     if not keep:
         _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
