@@ -10,6 +10,7 @@ looked up inside their sheet; for very large sheets they come by one join on
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +119,10 @@ def _numbers(v: Values) -> tuple[np.ndarray, np.ndarray]:
 
 def number_text(x: float) -> str:
     """Shortest decimal text of a number, without an exponent."""
-    return str(int(x)) if x == int(x) else np.format_float_positional(x, trim="-")
+    if x == int(x):
+        return str(int(x))
+    text = repr(float(x))
+    return np.format_float_positional(x, trim="-") if "e" in text else text
 
 
 def _lengths(v: Values) -> np.ndarray:
@@ -254,64 +259,74 @@ def expression_rules(matches: DataFrame, cells: DataFrame, formula: str = "formu
     return value.withColumn("fired", F.coalesce(F.col("_value.kind").isin("bool", "number") & (F.col("_value.num") != 0), F.lit(False))).drop("_value")
 
 
+def _worked_out(mine: pa.Table, held: pa.Table, formula: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kind, num and txt of the formula of each match of a sheet, their cells looked up by place."""
+    number = lambda t, c: t.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = (number(held, "row") << 14) | number(held, "col")
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    cells = _sorted_cells(held.column("_cell").combine_chunks(), order)
+    texts = mine.column(formula).combine_chunks()
+    if not pa.types.is_dictionary(texts.type):
+        texts = texts.dictionary_encode(null_encoding="encode")
+    programs = [compiled(t) for t in texts.dictionary.to_pylist()]
+    code = texts.indices.to_numpy()
+    row, col, r0, c0 = (number(mine, c) for c in ("row", "col", "r0", "c0"))
+    # Formulas of one shape run together; each has its own constants and places.
+    shapes: dict[tuple, list[int]] = {}
+    for k, program in enumerate(programs):
+        if program is not None:
+            shapes.setdefault((program[0], len(program[2])), []).append(k)
+    by_code = np.argsort(code, kind="stable")
+    bounds = np.searchsorted(code[by_code], np.arange(len(programs) + 1))
+    kind, num, txt = np.full(len(code), ERROR, np.int8), np.zeros(len(code)), np.full(len(code), None, object)
+    for (steps, places), members in shapes.items():
+        at = np.concatenate([by_code[bounds[k] : bounds[k + 1]] for k in members])
+        which = np.repeat(np.arange(len(members)), [bounds[k + 1] - bounds[k] for k in members])
+        constants = []
+        for c in zip(*(programs[k][1] for k in members)):
+            kinds, numbers, words = zip(*c)
+            constants.append(Values(np.array(kinds, np.int8)[which], np.array(numbers, float)[which], np.array(words, object)[which]))
+        references = []
+        for r in zip(*(programs[k][2] for k in members)):
+            y, x, fixed_y, fixed_x = (np.array(v)[which] for v in zip(*r))
+            y, x = y + np.where(fixed_y, 0, row[at] - r0[at]), x + np.where(fixed_x, 0, col[at] - c0[at])
+            beyond = (y < 0) | (y > MAX_ROW) | (x < 0) | (x > MAX_COL)
+            asked = (y << 14) | x
+            near = np.minimum(np.searchsorted(place, asked), max(len(place) - 1, 0))
+            there = (place[near] == asked) & ~beyond if len(place) else np.zeros(len(at), bool)
+            references.append(_looked_up(cells, near, there, beyond))
+        v = run(steps, constants, references, row[at])
+        kind[at], num[at], txt[at] = v.kind, v.num, np.where(v.kind == TEXT, v.txt, None)
+    return kind, num, txt
+
+
 def _values_in_sheet(text_at: str) -> Callable[[pa.Table, pa.Table], pa.Array]:
-    """The work of a sheet: the values of its matches' formulas, their cells looked up by place."""
+    """The work of a sheet: the values of its matches' formulas."""
 
     def work(mine: pa.Table, held: pa.Table) -> pa.Array:
-        number = lambda t, c: t.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = (number(held, "row") << 14) | number(held, "col")
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        cells = held.column("_cell").combine_chunks()
-        texts = mine.column(text_at).combine_chunks().dictionary_encode(null_encoding="encode")
-        programs = [compiled(t) for t in texts.dictionary.to_pylist()]
-        code = texts.indices.to_numpy()
-        row, col, r0, c0 = (number(mine, c) for c in ("row", "col", "r0", "c0"))
-        # Formulas of one shape run together; each has its own constants and places.
-        shapes: dict[tuple, list[int]] = {}
-        for k, program in enumerate(programs):
-            if program is not None:
-                shapes.setdefault((program[0], len(program[2])), []).append(k)
-        by_code = np.argsort(code, kind="stable")
-        bounds = np.searchsorted(code[by_code], np.arange(len(programs) + 1))
-        kind, num, txt = np.full(len(code), ERROR, np.int8), np.zeros(len(code)), np.full(len(code), None, object)
-        for (steps, places), members in shapes.items():
-            at = np.concatenate([by_code[bounds[k] : bounds[k + 1]] for k in members])
-            which = np.repeat(np.arange(len(members)), [bounds[k + 1] - bounds[k] for k in members])
-            constants = []
-            for c in zip(*(programs[k][1] for k in members)):
-                kinds, numbers, words = zip(*c)
-                constants.append(Values(np.array(kinds, np.int8)[which], np.array(numbers, float)[which], np.array(words, object)[which]))
-            references = []
-            for r in zip(*(programs[k][2] for k in members)):
-                y, x, fixed_y, fixed_x = (np.array(v)[which] for v in zip(*r))
-                y, x = y + np.where(fixed_y, 0, row[at] - r0[at]), x + np.where(fixed_x, 0, col[at] - c0[at])
-                beyond = (y < 0) | (y > MAX_ROW) | (x < 0) | (x > MAX_COL)
-                asked = (y << 14) | x
-                near = np.minimum(np.searchsorted(place, asked), max(len(place) - 1, 0))
-                there = (place[near] == asked) & ~beyond if len(place) else np.zeros(len(at), bool)
-                references.append(_looked_up(cells, order, near, there, beyond))
-            v = run(steps, constants, references, row[at])
-            kind[at], num[at], txt[at] = v.kind, v.num, np.where(v.kind == TEXT, v.txt, None)
+        kind, num, txt = _worked_out(mine, held, text_at)
         numeric = (kind == NUMBER) | (kind == BOOL)
         return pa.StructArray.from_arrays([pa.array(_NAMES[kind], pa.string()), pa.array(num, mask=~numeric), pa.array(txt, pa.string())], fields=list(_VALUE))
 
     return work
 
 
-def _looked_up(cells: pa.StructArray, order: np.ndarray, near: np.ndarray, there: np.ndarray, beyond: np.ndarray) -> Values:
+def _sorted_cells(cells: pa.StructArray, order: np.ndarray) -> Values:
+    """The cells of a sheet in an order."""
+    of = _in_columns(cells.field("kind"), cells.field("num"), cells.field("txt"))
+    return Values(of.kind[order], of.num[order], of.txt[order])
+
+
+def _looked_up(cells: Values, near: np.ndarray, there: np.ndarray, beyond: np.ndarray) -> Values:
     """The cells at some places; none is a blank, and an error beyond the sheet."""
+    if there.all():
+        return Values(cells.kind[near], cells.num[near], cells.txt[near])
     kind, num, txt = np.where(beyond, ERROR, EMPTY).astype(np.int8), np.zeros(len(near)), np.full(len(near), "", object)
     at = np.flatnonzero(there)
     if len(at):
-        found = cells.take(pa.array(order[near[at]]))
-        names = found.field("kind").dictionary_encode()
-        known = np.array([KINDS.get(k, EMPTY) for k in names.dictionary.to_pylist()] + [EMPTY], np.int8)
-        kind[at] = known[names.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
-        num[at] = found.field("num").fill_null(0.0).to_numpy(zero_copy_only=False)
-        words = found.field("txt")
-        if words.null_count < len(words):
-            txt[at] = words.fill_null("").to_numpy(zero_copy_only=False)
+        found = near[at]
+        kind[at], num[at], txt[at] = cells.kind[found], cells.num[found], cells.txt[found]
     return Values(kind, num, txt)
 
 
@@ -332,6 +347,68 @@ def formula_values(matches: DataFrame, cells: DataFrame, formula: str = "formula
     return few.unionByName(joined_values(large, theirs.select(*SHEET, "row", "col", "_cell.*"), formula, name))
 
 
+#: Matches that are worked out together where rules are counted.
+MATCHES_AT_ONCE = 500_000
+
+
+def _counted_in_sheet(formula: str, at_once: int) -> Callable[[pa.Table, pa.Table], pa.Array]:
+    """The work of a sheet: how many cells each of its rules holds, and on how many it fires; matches are made some rules at a time."""
+
+    def work(mine: pa.Table, held: pa.Table) -> pa.Array:
+        corner = lambda c, none: mine.column(c).fill_null(none).to_numpy().astype(np.int64)
+        r0, r1, c0, c1 = corner("r0", 1 << 40), corner("r1", -1), corner("c0", 1 << 40), corner("c1", -1)  # a null corner holds nothing
+        held = held.filter(pc.and_(held.column("row").is_valid(), held.column("col").is_valid()))
+        row, col = (held.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        order = np.argsort(row, kind="stable")
+        held, row, col = held.take(pa.array(order)), row[order], col[order]
+        first = np.searchsorted(row, r0)
+        n = np.maximum(np.searchsorted(row, r1, side="right") - first, 0)
+        cells, fired = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        ends, start = np.cumsum(n), 0
+        texts = mine.column(formula).combine_chunks().dictionary_encode(null_encoding="encode")
+        while start < len(n):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")))
+            rule = np.repeat(np.arange(start, stop), n[start:stop])
+            at = np.arange(len(rule)) - np.repeat(ends[start:stop] - n[start:stop], n[start:stop]) + (ends[start - 1] if start else 0) + first[rule]
+            inside = (col[at] >= c0[rule]) & (col[at] <= c1[rule])
+            rule, at = rule[inside], at[inside]
+            if len(rule):
+                kind, num, _ = _worked_out(pa.table({"row": row[at], "col": col[at], "r0": r0[rule], "c0": c0[rule], formula: texts.take(pa.array(rule))}), held, formula)
+                cells += np.bincount(rule, minlength=len(n))
+                fired += np.bincount(rule[((kind == NUMBER) | (kind == BOOL)) & (num != 0)], minlength=len(n))
+            start = stop
+        return pa.StructArray.from_arrays([pa.array(cells), pa.array(fired)], names=["n_cells", "n_fired"])
+
+    return work
+
+
+def rule_counts(rules: DataFrame, cells: DataFrame, formula: str = "formula1", at_once: int = MATCHES_AT_ONCE) -> DataFrame:
+    """rules (a range r0, c0, r1, c1 and a formula) plus n_cells, the cells in its range, and n_fired, those it fires on as in :func:`expression_rules`.
+
+    Rules and cells of a sheet meet in one task, where the matches are made,
+    worked out and counted, so that none is shuffled.  Sheets too large for
+    that go by matches.
+    """
+    from quire.operators.rules import rule_matches
+
+    held = cells.select(*SHEET, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), tagged(cells).alias("_cell"))
+    few, many = in_sheets(rules, held, _counted_in_sheet(formula, at_once), "_n", "struct<n_cells:long,n_fired:long>")
+    if many is not None:
+        large, theirs = many
+        theirs = theirs.select(*SHEET, "row", "col", "_cell.*")
+        own = [F.col(f"`{c}`") for c in rules.columns]
+        # Matches have their ranges cut to the used range; a formula's places go by the rule's own corner.
+        corners = ["r0", "c0", "r1", "c1"]
+        whole = large.dropna(subset=corners).distinct().withColumns({f"_{c}": F.col(c) for c in corners})
+        matches = rule_matches(theirs.select(*SHEET, "row", "col"), whole).withColumns({c: F.col(f"_{c}") for c in corners}).drop(*[f"_{c}" for c in corners])
+        value = joined_values(matches, theirs, formula, "_value")
+        counts = value.groupBy(*own).agg(F.count(F.lit(1)).alias("n_cells"), F.count(F.when(F.col("_value.kind").isin("bool", "number") & (F.col("_value.num") != 0), 1)).alias("n_fired"))
+        same = functools.reduce(lambda x, y: x & y, [F.col(f"_a.`{c}`").eqNullSafe(F.col(f"_b.`{c}`")) for c in rules.columns])
+        n = F.struct(F.coalesce("n_cells", F.lit(0).cast("long")).alias("n_cells"), F.coalesce("n_fired", F.lit(0).cast("long")).alias("n_fired"))
+        few = few.unionByName(large.alias("_a").join(counts.alias("_b"), same, "left").select("_a.*", n.alias("_n")))
+    return few.select(*[F.col(f"`{c}`") for c in rules.columns], "_n.*")
+
+
 def _in_columns(kind: pa.Array, num: pa.Array, txt: pa.Array) -> Values:
     """Values of columns kind, num, txt; nulls are blanks, zeros and empty texts."""
     names = kind.dictionary_encode()

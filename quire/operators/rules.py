@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import excel_compare
-from quire.operators.rule_formulas import expression_rules, tagged  # noqa: F401
+from quire.operators.rule_formulas import expression_rules, rule_counts, tagged  # noqa: F401
 from quire.operators.sheets import BAND, SHEET, clamp_ranges, in_ranges
 from quire.ordering import in_groups
 from quire.schemas import MAX_ROW
